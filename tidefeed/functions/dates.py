@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_RUN, blank, clean_text, collapse_ws, col_, first_nonempty, normalize_text, pystrip
+from .text import WS_CLASS, WS_RUN, blank, clean_text, collapse_ws, col_, first_nonempty, normalize_text, pystrip
 
 # ISO-8601 date, optional time (T or space) and optional zone, which is dropped.
 ISO_RE = ("^(\\d{4}-\\d{2}-\\d{2})(?:[T ](\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?)"
@@ -57,14 +57,14 @@ DATE_TOKEN_KEYS = ("release_date_raw", "edited_date_raw", "last_edited_date_raw"
 DUE_DATE_KEYS = ("comment_due_date_raw", "comment_due_date")
 
 
+ZONE_AFTER_TIME_RE = "([T ]\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?)(?:Z|[+-]\\d{2}(?::?\\d{2})?)$"
+
+
 def parse_iso(c) -> Column:
     """``datetime.fromisoformat`` for date / date-time strings; zone dropped."""
     s = blank(c)
-    day = F.regexp_extract(s, ISO_RE, 1)
-    tod = F.regexp_extract(s, ISO_RE, 2)
-    text = F.concat(day, F.lit(" "), F.when(tod == "", F.lit("00:00:00")).otherwise(tod))
-    return F.when(s.rlike(ISO_RE), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm[:ss][.SSSSSS]"))
-                  ).cast("timestamp_ntz")
+    no_zone = F.regexp_replace(s, ZONE_AFTER_TIME_RE, "$1")
+    return F.when(s.rlike(ISO_RE), no_zone.try_cast("timestamp_ntz"))
 
 
 def _strptime(s: Column, fmt: str) -> Column:
@@ -95,8 +95,10 @@ def parse_date(c, profile: str = "dashboard") -> Column:
     # strptime reads a format space as "one or more whitespace"; input with
     # leading or trailing whitespace never matches.
     spaced = F.regexp_replace(s, WS_RUN, " ")
-    edge_ws = s.rlike("^" + WS_RUN) | s.rlike(WS_RUN + "$")
-    tries = [F.when(~edge_ws, _strptime(spaced, f).cast("timestamp_ntz")) for f in spec["formats"]]
+    edge_ws = s.rlike("^" + WS_CLASS + "|" + WS_CLASS + "$")
+    tries = [_strptime(spaced, f).cast("timestamp_ntz") for f in spec["formats"]]
+    if spec["clean"] is None:
+        tries = [F.when(~edge_ws, F.coalesce(*tries))]
     if spec["iso"] == "first":
         tries = [parse_iso(s)] + tries
     elif spec["iso"] == "last":

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import (WS_CLASS, WS_RUN, alternation, blank, clean_text, collapse_ws, contains_any,
-                   pystrip, tokens, word_count)
+                   let, pystrip, tokens, word_count)
 
 SENTENCE_RE = "[^.!?]*[.!?]"
 
@@ -184,11 +184,21 @@ def _py_ws(pattern: str) -> str:
 # Sentences
 # ---------------------------------------------------------------------------
 
+def sentence_pieces(text: Column) -> Column:
+    """The ``[^.!?]*[.!?]`` matches of ``text``, found in linear time.
+
+    Splitting right after each terminator yields exactly those runs plus the
+    unterminated tail, which is dropped.  (A regex ``find`` loop would rescan
+    a long unterminated tail from every start position.)
+    """
+    parts = F.split(text, "(?<=[.!?])")
+    return F.filter(parts, lambda p: F.substring(p, -1, 1).isin(".", "!", "?"))
+
+
 def split_sentences(c, *, clean: str = "clean_text") -> Column:
     """All ``[^.!?]*[.!?]`` pieces, trimmed, non-empty; an unterminated tail is lost."""
     text = clean_text(c) if clean == "clean_text" else collapse_ws(c)
-    pieces = F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0)
-    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(sentence_pieces(text), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def first_sentences(c, n: int = 2, *, clean: str = "clean_text") -> Column:
@@ -245,7 +255,7 @@ def strip_urls(c, mode: str = "narrow") -> Column:
 def strip_contact_info(c) -> Column:
     """Drop e-mails and sentences with a contact phrase; if too little remains, cut the phrases only."""
     text = F.regexp_replace(blank(c), EMAIL_RE, "")
-    found = F.regexp_extract_all(text, F.lit(SENTENCE_RE), 0)
+    found = sentence_pieces(text)
     sentences = F.when(F.size(found) == 0, F.array(text)).otherwise(found)
     phrase_re = alternation(CONTACT_PHRASES)
     kept = F.filter(sentences, lambda s: ~F.lower(pystrip(s)).rlike(phrase_re))
@@ -321,26 +331,28 @@ def max_token_count(tok: Column) -> Column:
 
 def has_gibberish(c, variant: str = "audit") -> Column:
     """Three named variants: ``audit``, ``strict`` and ``lenient`` (see README)."""
-    s = blank(c)
-    low = F.lower(s)
-    tok = tokens(low)
+    return let(blank(c), lambda s: let(F.lower(s), lambda low: let(
+        tokens(low), lambda tok: _has_gibberish(s, low, tok, variant))))
+
+
+def _has_gibberish(s: Column, low: Column, tok: Column, variant: str) -> Column:
     n = F.size(tok)
     top = max_token_count(tok)
     if variant == "audit":
         return (n >= 5) & (top > n * F.lit(0.3))
     if variant == "lenient":
-        low_s = pystrip(low)
-        ends = low_s.rlike("\\.\\.\\.|\\.+$")
+        low_s = low
+        ends = low_s.rlike("\\.\\.\\.|\\.+" + WS_CLASS + "*$")
         repeated = (n > 0) & (top > n * F.lit(0.4))
         technical = contains_any(low_s, TECHNICAL_TERMS_LONG)
         return F.when(s == "", F.lit(False)).when(ends, F.lit(True)).when(
             repeated, ~technical).otherwise(F.lit(False))
     if variant == "strict":
         low_s = pystrip(low)
-        words = F.regexp_extract_all(low_s, F.lit("(?U)\\b\\w+\\b"), 0)
-        last_word = F.element_at(words, -1)
+        # last \w+ run, read from the reversed text so the regex is anchored
+        last_word = F.reverse(F.regexp_extract(F.reverse(low_s), "(?U)^\\W*(\\w+)", 1))
         ends_punct = low_s.rlike("[.!?]$")
-        short_tail = ((F.size(words) > 0) & ~ends_punct & (F.length(last_word) < 3)
+        short_tail = ((last_word != "") & ~ends_punct & (F.length(last_word) < 3)
                       & ~last_word.isin(*SHORT_WORD_ALLOW))
         nonsense = (low_s.rlike("[a-z]{20,}") | low_s.rlike("\\d{10,}")
                     | low_s.rlike("[^a-z0-9" + WS_CLASS[1:-1] + "\\.,:;!?'\\-()]{5,}"))
@@ -412,9 +424,10 @@ def valid_summary(c) -> Column:
 
 def bad_summary(c) -> Column:
     """struct(is_bad, reason, reason_kind): first failing cache-cleanup rule."""
-    raw = blank(c)
-    s = pystrip(raw)
-    low = F.lower(s)
+    return let(pystrip(blank(c)), lambda s: let(F.lower(s), lambda low: _bad_summary(s, low)))
+
+
+def _bad_summary(s: Column, low: Column) -> Column:
     sub_hit = F.coalesce(*[F.when(F.instr(low, sub) > 0, F.lit(sub)) for sub in BAD_SUBSTRINGS])
     pat_hit = F.coalesce(*[F.when(low.rlike(_py_ws(p)), F.lit(p)) for p in BAD_PATTERNS])
     last_char = F.substring(s, -1, 1)
@@ -427,22 +440,23 @@ def bad_summary(c) -> Column:
              .when(pat_hit.isNotNull(), F.lit("boilerplate pattern"))
              .when(~last_char.isin(".", "!", "?"), F.lit("incomplete"))
              .when(cut_off, F.lit("cut off")))
-    reason = (F.when(kind == "empty", F.lit("empty"))
-               .when(kind == "too short", F.concat(F.lit("too short ("), F.length(s).cast("string"), F.lit(" chars)")))
-               .when(kind == "boilerplate", F.concat(F.lit("boilerplate: '"), sub_hit, F.lit("'")))
-               .when(kind == "boilerplate pattern", F.concat(F.lit("boilerplate pattern: "), pat_hit))
-               .when(kind == "incomplete", F.concat(F.lit("incomplete — ends with '"), last_char, F.lit("'")))
-               .when(kind == "cut off", F.concat(F.lit("cut off at abbreviation '"), word, F.lit(".'")))
-               .otherwise(F.lit("")))
-    return F.struct(kind.isNotNull().alias("is_bad"), reason.alias("reason"),
-                    F.coalesce(kind, F.lit("")).alias("reason_kind"))
+    return let(F.struct(kind.alias("k"), sub_hit.alias("sub"), pat_hit.alias("pat"), word.alias("w")), lambda r: F.struct(
+        r["k"].isNotNull().alias("is_bad"),
+        (F.when(r["k"] == "empty", F.lit("empty"))
+          .when(r["k"] == "too short", F.concat(F.lit("too short ("), F.length(s).cast("string"), F.lit(" chars)")))
+          .when(r["k"] == "boilerplate", F.concat(F.lit("boilerplate: '"), r["sub"], F.lit("'")))
+          .when(r["k"] == "boilerplate pattern", F.concat(F.lit("boilerplate pattern: "), r["pat"]))
+          .when(r["k"] == "incomplete", F.concat(F.lit("incomplete — ends with '"), last_char, F.lit("'")))
+          .when(r["k"] == "cut off", F.concat(F.lit("cut off at abbreviation '"), r["w"], F.lit(".'")))
+          .otherwise(F.lit(""))).alias("reason"),
+        F.coalesce(r["k"], F.lit("")).alias("reason_kind")))
 
 
 def _audit_flags(s: Column) -> dict[str, Column]:
     st = pystrip(s)
     low = F.lower(s)
     words = tokens(st)
-    last_word = F.regexp_replace(F.element_at(words, -1), "[.,!?;:]+$", "")
+    last_word = F.regexp_replace(F.try_element_at(words, F.lit(-1)), "[.,!?;:]+$", "")
     truncation = (s.contains("...")
                   | ((st != "") & ~st.rlike("[.!?]$"))
                   | ((F.size(words) > 0) & (F.length(last_word) == 1) & last_word.rlike("^\\p{Lu}$"))
@@ -472,10 +486,12 @@ def audit_summary(c) -> Column:
     s = blank(c)
     flags = _audit_flags(s)
     marks = sentence_marks(s)
+    # x - 0.0 == x exactly, so subtracting every weight-or-zero in order equals
+    # subtracting only the failed checks' weights in order.
     score = F.lit(1.0)
     issues = []
     for key, text, weight in AUDIT_CHECKS:
-        score = F.when(flags[key], score - F.lit(weight)).otherwise(score)
+        score = score - F.when(flags[key], F.lit(float(weight))).otherwise(F.lit(0.0))
         label = (F.concat(F.lit(text.split("{n}")[0]), marks.cast("string"), F.lit(text.split("{n}")[1]))
                  if "{n}" in text else F.lit(text))
         issues.append(F.when(flags[key], label))
@@ -514,7 +530,7 @@ def is_padded(summary, abstract) -> Column:
 
 def first_sentence_or_text(c) -> Column:
     """First whole sentence, or the text itself plus '.' when it has none."""
-    first = F.element_at(split_sentences(c), 1)
+    first = F.try_element_at(split_sentences(c), F.lit(1))
     s = pystrip(c)
     return F.when(F.size(split_sentences(c)) > 0, first).when(
         s == "", F.lit("")).otherwise(F.concat(s, F.when(s.rlike("[.!?]$"), F.lit("")).otherwise(F.lit("."))))

@@ -21,6 +21,16 @@ NON_WS = WS_CLASS.replace("[", "[^", 1)
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column lambda).
+
+    Catalyst does not share a sub-expression that sits under ``coalesce`` or
+    ``when`` branches, so a long text cleaned once and tested by thirty
+    phrase checks would otherwise be cleaned thirty times per row.
+    """
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -52,14 +62,12 @@ def first_nonempty(*cols) -> Column:
 
 def word_count(c) -> Column:
     """``len(s.split())`` with Python whitespace."""
-    trimmed = collapse_ws(c)
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " ")))
+    return F.size(tokens(c))
 
 
 def tokens(c) -> Column:
     """``s.split()`` as an array (empty array for blank text)."""
-    trimmed = collapse_ws(c)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
+    return F.filter(F.split(blank(c), WS_RUN), lambda t: t != "")
 
 
 def _regex_escape(term: str) -> str:

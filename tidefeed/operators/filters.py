@@ -66,8 +66,9 @@ RECENT_POLICY = {
 
 def filter_notifications_since(df: DataFrame, cutoff, *, item: str = "item") -> DataFrame:
     """Keep notifications whose item date (six keys) is on or after ``cutoff``."""
+    from .notifications import conform_item
     keys = [f"{item}.{k}" for k in NOTIFICATION_ITEM_DATE_KEYS]
-    return df.where(item_date(keys) >= _ts(cutoff))
+    return conform_item(df, item).where(item_date(keys) >= _ts(cutoff))
 
 
 def is_draft_open(category: str = "category", link: str = "link") -> Column:

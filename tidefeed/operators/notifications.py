@@ -19,6 +19,22 @@ from .merge import merge_items
 
 NID = "nid"
 
+ITEM_STRING_FIELDS = ("document_name", "title", "document_number", "link", "summary",
+                      "release_date", "release_date_raw", "edited_date", "edited_date_raw",
+                      "last_edited_date", "last_edited_date_raw", "publish_date", "publish_date_raw")
+
+
+def conform_item(df: DataFrame, item: str = "item") -> DataFrame:
+    """Add the canonical item fields missing from the nested struct (as NULL)."""
+    have = set(df.schema[item].dataType.fieldNames())
+    col = F.col(item)
+    changed = False
+    for f in ITEM_STRING_FIELDS:
+        if f not in have:
+            col = col.withField(f, F.lit(None).cast("string"))
+            changed = True
+    return df.withColumn(item, col) if changed else df
+
 
 def with_nid(df: DataFrame, *, type_col: str = "type", item: str = "item") -> DataFrame:
     """Add the notification identity column (computed from the nested item)."""
@@ -110,7 +126,7 @@ def bucket_by_week(df: DataFrame, as_of, *, seq: str = "seq", item: str = "item"
     undated notifications are dropped.
     """
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
-    firsts = first_per_key(with_nid(df, item=item), [NID], [seq])
+    firsts = first_per_key(with_nid(conform_item(df, item), item=item), [NID], [seq])
     d = notification_date(item)
     secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(d.cast("timestamp"))
     age = F.floor(secs / F.lit(86_400_000_000)).cast("long")
@@ -131,6 +147,7 @@ def active_notifications(df: DataFrame, as_of, *, hours: int = 48, item: str = "
     else the row is dropped (the reference cannot compare a zoned value).
     """
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
+    df = conform_item(df, item)
     raw = first_nonempty(*[f"{item}.{k}" for k in ("release_date_raw", "edited_date_raw",
                                                     "last_edited_date_raw", "publish_date_raw")])
     d = F.when(~raw.rlike(ZONE_RE), parse_iso(raw))

@@ -359,6 +359,358 @@ def q_section_counts(spark, sf):
     return section_counts(DF.union_sources(A.items_pages(spark, sf), _docs(spark, sf)))
 
 
+
+# ---------------------------------------------------------------------------
+# 2.5 filters and predicates, 2.8 ordering
+# ---------------------------------------------------------------------------
+
+CUTOFF_365 = "2023-01-31 00:00:00"   # AS_OF - 365 days
+CUTOFF_730 = "2022-01-31 00:00:00"   # AS_OF - 730 days
+_PUB_KEYS = ["release_date_raw", "release_date"]
+_SQL_PUB_DATE = S.item_date(_PUB_KEYS)
+
+
+@query("filter_since", f"""SELECT seq, document_name FROM ({SQL_ITEMS_DOCS}) d
+WHERE {_SQL_PUB_DATE} >= TIMESTAMP '{CUTOFF_365}'""")
+def q_filter_since(spark, sf):
+    return FL.filter_since(_docs(spark, sf), CUTOFF_365, _PUB_KEYS).select("seq", "document_name")
+
+
+@query("filter_since_fallback", f"""WITH d AS (SELECT *, {_SQL_PUB_DATE} AS dt FROM ({SQL_ITEMS_DOCS}) x)
+SELECT seq, document_name FROM d
+WHERE dt >= CASE WHEN (SELECT max(dt) FROM d) >= TIMESTAMP '{CUTOFF_365}' THEN TIMESTAMP '{CUTOFF_365}'
+                 ELSE TIMESTAMP '{CUTOFF_730}' END""")
+def q_filter_since_fallback(spark, sf):
+    out = FL.filter_since_fallback(_docs(spark, sf), [CUTOFF_365, CUTOFF_730], _PUB_KEYS)
+    return out.select("seq", "document_name")
+
+
+_POLICIES = (("drop_both", "drop", "drop"), ("keep_missing", "keep", "drop"), ("keep_both", "keep", "keep"))
+
+
+def _sql_recent(on_missing, on_unparsed):
+    parsed = S.parse_date("release_date", "listing")
+    return (f"CASE WHEN coalesce(release_date, '') = '' THEN {str(on_missing == 'keep').upper()} "
+            f"WHEN {parsed} IS NULL THEN {str(on_unparsed == 'keep').upper()} "
+            f"ELSE {parsed} >= TIMESTAMP '{CUTOFF_365}' END")
+
+
+@query("recent_policy", " UNION ALL ".join(
+    f"SELECT '{n}' AS policy, seq FROM ({SQL_ITEMS_DOCS}) d WHERE {_sql_recent(m, u)}" for n, m, u in _POLICIES))
+def q_recent_policy(spark, sf):
+    d = _docs(spark, sf)
+    parts = [FL.filter_recent(d, CUTOFF_365, on_missing=m, on_unparsed=u).select(F.lit(n).alias("policy"), "seq")
+             for n, m, u in _POLICIES]
+    return DF.union_sources(*parts)
+
+
+_SQL_DRAFT_OPEN = (f"(lower({S.pystrip('category')}) IN ('drafts open for comment', 'drafts') OR "
+                   f"(coalesce(link, '') <> '' AND regexp_matches(regexp_replace(lower({S.url_part(S.sanitize_link('coalesce(link, chr(0))'), 3)}), '/+$', ''), '/(?:ipd|[2-9]pd)$')))")
+_SQL_DUE = S.item_date(["comment_due_date_raw", "comment_due_date"])
+_SQL_CURRENT = f"({_SQL_DUE} IS NOT NULL AND CAST({_SQL_DUE} AS DATE) >= CAST({AS_OF_SQL} AS DATE))"
+_SQL_DOCS_LINK = f"SELECT *, NULL::VARCHAR AS link FROM ({SQL_ITEMS_DOCS}) d0"
+
+
+@query("is_draft_open", f"SELECT seq, {_SQL_DRAFT_OPEN} AS draft_open, {_SQL_CURRENT} AS comment_current FROM ({_SQL_DOCS_LINK}) d")
+def q_is_draft_open(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("seq", FL.is_draft_open().alias("draft_open"), FL.is_comment_current(AS_OF).alias("comment_current"))
+
+
+@query("comment_drafts", f"""SELECT seq, coalesce(nullif(comment_due_date, ''), 'Not listed') AS due,
+       coalesce(nullif(release_date, ''), '—') AS published, coalesce(document_name, 'Draft Publication') AS title,
+       strftime({_SQL_DUE}, '%Y-%m-%d') AS due_date
+FROM ({_SQL_DOCS_LINK}) d WHERE {_SQL_DRAFT_OPEN} AND {_SQL_CURRENT}""")
+def q_comment_drafts(spark, sf):
+    from ..operators.ordering import comment_drafts
+    return comment_drafts(_docs(spark, sf), AS_OF).select("seq", "due", "published", "title", "due_date")
+
+
+@query("sort_newest", f"""SELECT seq, strftime({_SQL_PUB_DATE}, '%Y-%m-%d') AS item_date FROM ({SQL_ITEMS_DOCS}) d""")
+def q_sort_newest(spark, sf):
+    from ..operators.ordering import sort_newest
+    return sort_newest(_docs(spark, sf), _PUB_KEYS).select("seq", F.date_format("item_date", "yyyy-MM-dd").alias("item_date"))
+
+
+@query("drop_presentations", f"""SELECT seq FROM ({SQL_NOTIFICATIONS}) n
+WHERE NOT (strpos(lower(type), 'presentation') > 0 OR strpos(lower(type), 'slide') > 0
+           OR strpos(lower(type), 'poster') > 0 OR strpos(lower(type), 'conference talk') > 0)""")
+def q_drop_presentations(spark, sf):
+    n = A.notifications_events(spark, sf)
+    return FL.drop_presentations(n, resource_type="type").select("seq")
+
+
+@query("tag_source", f"""SELECT seq, 'ai' AS topic, 'General Publications' AS category, 'documents' AS source
+FROM ({SQL_ITEMS_DOCS}) d""")
+def q_tag_source(spark, sf):
+    d = FL.tag_source(_docs(spark, sf), "ai", "General Publications", "documents")
+    return d.select("seq", "topic", "category", "source")
+
+
+@query("by_type", f"SELECT seq, type FROM ({SQL_NOTIFICATIONS}) n WHERE starts_with(type, 'ai_') OR type IN ('news')")
+def q_by_type(spark, sf):
+    n = A.notifications_events(spark, sf)
+    return DF.union_sources(FL.by_type(n, prefix="ai_"), FL.by_type(n, types=["news"])).select("seq", "type")
+
+
+# ---------------------------------------------------------------------------
+# Notifications (events adapter)
+# ---------------------------------------------------------------------------
+
+_NID_SQL = f"{S.normalize_text('type')} || '::' || {S.item_identity(_NOTE_COLS)}"
+SQL_NOTES_NID = f"SELECT *, {_NID_SQL} AS nid FROM ({SQL_NOTIFICATIONS}) n0"
+_TS_FMT_SQL = "'%Y-%m-%dT%H:%M:%S.%f'"
+_TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _iso(c):
+    return F.date_format(c, _TS_FMT)
+
+
+SQL_DEDUPE_NOTES = f"""SELECT nid, min(seq) AS seq, arg_min(type, seq) AS type,
+       strftime(max("timestamp"), {_TS_FMT_SQL}) AS "timestamp",
+       strftime(arg_max(scrape_date, ("timestamp", -seq)), {_TS_FMT_SQL}) AS scrape_date,
+       arg_min(title, seq) AS title, arg_min(publish_date_raw, seq) AS publish_date_raw
+FROM ({SQL_NOTES_NID}) n GROUP BY nid"""
+
+
+def _flat_notes(df):
+    return df.select("nid", "seq", "type", _iso("timestamp").alias("timestamp"), _iso("scrape_date").alias("scrape_date"),
+                     F.col("item.title").alias("title"), F.col("item.publish_date_raw").alias("publish_date_raw"))
+
+
+@query("dedupe_notifications", SQL_DEDUPE_NOTES)
+def q_dedupe_notifications(spark, sf):
+    from ..operators.notifications import dedupe_notifications
+    return _flat_notes(dedupe_notifications(A.notifications_events(spark, sf)))
+
+
+SPLIT_TS = "2024-01-20 00:00:00"
+
+
+@query("upsert_notifications", f"""WITH store AS (
+  SELECT nid, min(seq) AS seq, arg_min(type, seq) AS type, max("timestamp") AS ts,
+         arg_max(scrape_date, ("timestamp", -seq)) AS sd, arg_min(title, seq) AS title
+  FROM ({SQL_NOTES_NID}) n WHERE "timestamp" < TIMESTAMP '{SPLIT_TS}' GROUP BY nid),
+new AS (SELECT nid, min(seq) AS seq, arg_min(type, seq) AS type, arg_min(title, seq) AS title
+  FROM ({SQL_NOTES_NID}) n WHERE "timestamp" >= TIMESTAMP '{SPLIT_TS}' GROUP BY nid)
+SELECT coalesce(s.nid, n.nid) AS nid, coalesce(s.type, n.type) AS type,
+       strftime(coalesce(s.ts, {AS_OF_SQL}), {_TS_FMT_SQL}) AS "timestamp",
+       strftime(coalesce(s.sd, {AS_OF_SQL}), {_TS_FMT_SQL}) AS scrape_date,
+       coalesce(s.title, n.title) AS title
+FROM store s FULL OUTER JOIN new n ON s.nid = n.nid""")
+def q_upsert_notifications(spark, sf):
+    from ..operators.notifications import dedupe_notifications, upsert_notifications
+    ev = A.notifications_events(spark, sf)
+    store = dedupe_notifications(ev.where(F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")))
+    new = ev.where(F.col("timestamp") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    out = upsert_notifications(store, new, as_of=AS_OF)
+    return out.select("nid", "type", _iso("timestamp").alias("timestamp"), _iso("scrape_date").alias("scrape_date"),
+                      F.col("item.title").alias("title"))
+
+
+_SQL_NOTE_DATE = f"coalesce({S.parse_iso('publish_date_raw')}, scrape_date)"
+_SQL_AGE = f"CAST(floor((epoch_us({AS_OF_SQL}) - epoch_us({_SQL_NOTE_DATE})) / 86400000000.0) AS BIGINT)"
+
+
+@query("bucket_by_week", f"""SELECT nid, seq, {_SQL_AGE} AS age_days,
+       CASE WHEN {_SQL_AGE} BETWEEN 0 AND 7 THEN 'week_1' WHEN {_SQL_AGE} BETWEEN 8 AND 14 THEN 'week_2' ELSE 'archived' END AS bucket
+FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY seq) AS rn FROM ({SQL_NOTES_NID}) n) x
+WHERE rn = 1 AND {_SQL_NOTE_DATE} IS NOT NULL""")
+def q_bucket_by_week(spark, sf):
+    from ..operators.notifications import bucket_by_week
+    return bucket_by_week(A.notifications_events(spark, sf), AS_OF).select("nid", "seq", "age_days", "bucket")
+
+
+@query("active_notifications", f"""SELECT seq, nid FROM ({SQL_NOTES_NID}) n
+WHERE {S.parse_iso('publish_date_raw')} IS NOT NULL
+  AND epoch_us({AS_OF_SQL}) - epoch_us({S.parse_iso("publish_date_raw")}) < CAST(172800000000 AS BIGINT)""")
+def q_active_notifications(spark, sf):
+    from ..operators.notifications import active_notifications, with_nid
+    return active_notifications(with_nid(A.notifications_events(spark, sf)), AS_OF).select("seq", "nid")
+
+
+@query("last_scrape_info", f"""SELECT strftime(max(scrape_date), {_TS_FMT_SQL}) AS last_scrape, count(*) AS scrape_count,
+       count(*) FILTER (WHERE CAST(scrape_date AS DATE) = (SELECT CAST(max(scrape_date) AS DATE) FROM events_n)) AS new_items_this_session
+FROM events_n""".replace("events_n", f"({SQL_NOTIFICATIONS}) e"))
+def q_last_scrape_info(spark, sf):
+    from ..operators.notifications import last_scrape_info
+    out = last_scrape_info(A.notifications_events(spark, sf))
+    return out.select(_iso("last_scrape").alias("last_scrape"), "scrape_count", "new_items_this_session")
+
+
+_SQL_SIDEBAR_LABEL = "lower(trim(coalesce(nullif(document_name, ''), nullif(title, ''), '')))"
+
+
+def _sql_typed_score(link, ntype):
+    host = f"lower({S.url_part(S.sanitize_link(link), 2)})"
+    path = S.rstrip_slash(S.url_part(S.sanitize_link(link), 3))
+    return (f"(CASE WHEN coalesce({link}, '') = '' THEN 0 ELSE "
+            f"(CASE WHEN {path} <> '' THEN 10 ELSE 0 END) "
+            f"+ (CASE WHEN length({path}) - length(replace({path}, '/', '')) > 1 THEN 10 ELSE 0 END) "
+            f"+ (CASE WHEN {host} = 'www.nist.gov' AND (starts_with({ntype}, 'ai_') OR {ntype} IN ('publication', 'presentation', 'news')) THEN 20 ELSE 0 END) "
+            f"+ (CASE WHEN {host} = 'csrc.nist.gov' AND starts_with({ntype}, 'pqc_') THEN 20 ELSE 0 END) "
+            f"+ (CASE WHEN strpos({path}, '/publications/') > 0 OR strpos({path}, '/news-events/news/') > 0 OR strpos({path}, '/presentations/') > 0 THEN 10 ELSE 0 END) "
+            f"+ (CASE WHEN {path} = '' THEN -50 ELSE 0 END) END)")
+
+
+_SQL_SIDEBAR_KEY = f"(coalesce(type, '') || '::' || CASE WHEN {_SQL_SIDEBAR_LABEL} = '' THEN lower(trim(coalesce(link, ''))) ELSE {_SQL_SIDEBAR_LABEL} END)"
+
+
+@query("dedupe_sidebar", f"""SELECT seq, type, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_SQL_SIDEBAR_KEY} ORDER BY {_sql_typed_score('link', 'type')} DESC, seq) AS rn
+  FROM ({SQL_NOTIFICATIONS}) n) x WHERE rn = 1""")
+def q_dedupe_sidebar(spark, sf):
+    return DD.dedupe_sidebar(A.notifications_events(spark, sf)).select("seq", "type", F.col("item.title").alias("title"))
+
+
+_SIDEBAR_TYPES = ("publication", "presentation", "news")
+
+
+@query("group_notifications", f"""WITH b AS (
+  SELECT *, {_SQL_AGE} AS age,
+         CASE WHEN {_SQL_AGE} BETWEEN 0 AND 7 THEN 'week_1' WHEN {_SQL_AGE} BETWEEN 8 AND 14 THEN 'week_2' ELSE 'archived' END AS bucket
+  FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY seq) AS rn FROM ({SQL_NOTES_NID}) n) x
+  WHERE rn = 1 AND {_SQL_NOTE_DATE} IS NOT NULL AND type IN ('publication', 'presentation', 'news'))
+SELECT bucket, type, seq, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY bucket, {_SQL_SIDEBAR_KEY} ORDER BY {_sql_typed_score('link', 'type')} DESC, seq) AS rn2
+  FROM b) y WHERE rn2 = 1""")
+def q_group_notifications(spark, sf):
+    from ..operators.notifications import group_notifications
+    out = group_notifications(A.notifications_events(spark, sf), AS_OF, _SIDEBAR_TYPES)
+    return out.select("bucket", "type", "seq", F.col("item.title").alias("title"))
+
+
+NOTE_CUTOFF = "2024-01-15 00:00:00"
+
+
+@query("filter_notifications_since", f"""SELECT seq FROM ({SQL_NOTIFICATIONS}) n
+WHERE {S.item_date(['release_date_raw', 'release_date', 'publish_date_raw'])} >= TIMESTAMP '{NOTE_CUTOFF}'""")
+def q_filter_notifications_since(spark, sf):
+    return FL.filter_notifications_since(A.notifications_events(spark, sf), NOTE_CUTOFF).select("seq")
+
+
+
+# ---------------------------------------------------------------------------
+# 2.9 summary text functions and quality gates (whole document texts)
+# ---------------------------------------------------------------------------
+
+from ..functions import quality as Q  # noqa: E402
+
+SQL_DOCS = "SELECT doc_id, text FROM documents"
+
+
+def _docs_text(spark, sf):
+    return read_table(spark, sf, "documents", ["doc_id", "text"])
+
+
+_SQL_SENT = S.split_sentences("text")
+
+
+@query("split_sentences", f"""SELECT doc_id, len({_SQL_SENT}) AS n_sentences,
+       coalesce({_SQL_SENT}[1], '') AS first_sentence, coalesce({_SQL_SENT}[-1], '') AS last_sentence FROM documents""")
+def q_split_sentences(spark, sf):
+    d = _docs_text(spark, sf).withColumn("_s", Q.split_sentences("text"))
+    return d.select("doc_id", F.size("_s").alias("n_sentences"),
+                    F.coalesce(F.try_element_at("_s", F.lit(1)), F.lit("")).alias("first_sentence"),
+                    F.coalesce(F.try_element_at("_s", F.lit(-1)), F.lit("")).alias("last_sentence"))
+
+
+@query("first_two_sentences", f"""SELECT doc_id, {S.first_sentences('text')} AS two,
+       {S.first_sentences('text', 2, 'collapse')} AS two_display FROM documents""")
+def q_first_two_sentences(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.first_sentences("text").alias("two"),
+                    Q.first_sentences("text", 2, clean="collapse").alias("two_display"))
+
+
+@query("mid_phrase_start", f"""SELECT doc_id, {S.mid_phrase_start('text', Q.MID_PHRASE_WORDS)} AS mid_phrase,
+       {S.sentence_marks('text')} AS sentence_marks FROM documents""")
+def q_mid_phrase_start(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.mid_phrase_start("text").alias("mid_phrase"), Q.sentence_marks("text").alias("sentence_marks"))
+
+
+
+@query("has_gibberish", f"""SELECT doc_id, {S.has_gibberish('text', 'audit', Q)} AS audit,
+       {S.has_gibberish('text', 'strict', Q)} AS strict, {S.has_gibberish('text', 'lenient', Q)} AS lenient FROM documents""")
+def q_has_gibberish(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", *[Q.has_gibberish("text", v).alias(v) for v in ("audit", "strict", "lenient")])
+
+
+@query("is_uninformative", f"""SELECT doc_id, {S.is_uninformative('text', 'summary', Q)} AS summary_gate,
+       {S.is_uninformative('text', 'strict', Q)} AS strict_gate FROM documents""")
+def q_is_uninformative(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.is_uninformative("text", "summary").alias("summary_gate"),
+                    Q.is_uninformative("text", "strict").alias("strict_gate"))
+
+
+@query("complete_sentences", f"SELECT doc_id, {S.complete_sentences('text')} AS complete FROM documents")
+def q_complete_sentences(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", Q.complete_sentences("text").alias("complete"))
+
+
+@query("valid_summary", f"""SELECT doc_id, {S.valid_summary('text', Q)} AS valid_text,
+       {S.valid_summary(S.first_sentences('text'), Q)} AS valid_two FROM documents""")
+def q_valid_summary(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.valid_summary("text").alias("valid_text"),
+                    Q.valid_summary(Q.first_sentences("text")).alias("valid_two"))
+
+
+_BAD = S.bad_summary("text", Q)
+
+
+@query("bad_summary", f"SELECT doc_id, {_BAD[0]} IS NOT NULL AS is_bad, {_BAD[1]} AS reason, coalesce({_BAD[0]}, '') AS reason_kind FROM documents")
+def q_bad_summary(spark, sf):
+    d = _docs_text(spark, sf).withColumn("_b", Q.bad_summary("text"))
+    return d.select("doc_id", "_b.is_bad", "_b.reason", "_b.reason_kind")
+
+
+_AUD = S.audit_columns("text", Q)
+
+
+@query("audit_summary", f"""SELECT doc_id, {_AUD['status']} AS status, {_AUD['score']} AS score,
+       array_to_string({_AUD['issues']}, ' | ') AS issues, {_AUD['sentence_count']} AS sentence_count,
+       {_AUD['audited']} AS audited FROM documents""")
+def q_audit_summary(spark, sf):
+    d = _docs_text(spark, sf).withColumn("_a", Q.audit_summary("text"))
+    return d.select("doc_id", "_a.status", "_a.score", F.array_join("_a.issues", " | ").alias("issues"),
+                    "_a.sentence_count", "_a.audited")
+
+
+@query("audit_report", f"""WITH a AS (SELECT {_AUD['status']} AS status, {_AUD['score']} AS score,
+                                  {_AUD['issues']} AS issues, {_AUD['audited']} AS audited FROM documents),
+d AS (SELECT * FROM a WHERE audited),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed,
+             sum(CAST(round(score * 100) AS BIGINT)) AS h FROM d),
+i AS (SELECT split_part(issue, ':', 1) AS issue_type, count(*) AS issue_count
+      FROM (SELECT unnest(issues) AS issue FROM d) u GROUP BY 1)
+SELECT t.total, t.passed, t.total - t.passed AS failed, CAST(floor(t.passed * 100 / t.total) AS BIGINT) AS pass_pct,
+       CAST(floor((t.total - t.passed) * 100 / t.total) AS BIGINT) AS fail_pct,
+       round(CAST(t.h AS DOUBLE) / t.total) / CAST(100.0 AS DOUBLE) AS avg_score,
+       i.issue_type, i.issue_count, CAST(floor(i.issue_count * 100 / t.total) AS BIGINT) AS issue_pct
+FROM i, t""")
+def q_audit_report(spark, sf):
+    from ..operators.reports import audit, audit_report
+    return audit_report(audit(_docs_text(spark, sf), "text"))
+
+
+_CACHE_SQL = """SELECT doc_id AS seq, (['qis', 'pqc', 'ai_publications'])[doc_id % 3 + 1] AS topic, text AS summary,
+       TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(doc_id % 72 AS BIGINT)) AS ts FROM documents"""
+_CBAD = S.bad_summary("summary", Q)
+
+
+@query("cache_cleanup", f"""SELECT topic, CASE WHEN {_CBAD[0]} IS NOT NULL THEN 'remove' ELSE 'keep' END AS action,
+       coalesce({_CBAD[0]}, '') AS reason, count(*) AS n FROM ({_CACHE_SQL}) c GROUP BY ALL""")
+def q_cache_cleanup(spark, sf):
+    from ..operators.reports import cache_cleanup
+    _, report = cache_cleanup(A.cache_docs(spark, sf))
+    return report
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

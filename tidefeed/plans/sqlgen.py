@@ -156,12 +156,13 @@ PROFILES = {
 }
 
 
+ZONE_AFTER_TIME_RE = "([T ]\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?)(?:Z|[+-]\\d{2}(?::?\\d{2})?)$"
+
+
 def parse_iso(x: str) -> str:
     s = blank(x)
-    day = f"regexp_extract({s}, {q(ISO_RE)}, 1)"
-    tod = f"regexp_extract({s}, {q(ISO_RE)}, 2)"
-    return (f"(CASE WHEN regexp_matches({s}, {q(ISO_RE)}) THEN "
-            f"try_cast({day} || ' ' || CASE WHEN {tod} = '' THEN '00:00:00' ELSE {tod} END AS TIMESTAMP) END)")
+    no_zone = f"regexp_replace({s}, {q(ZONE_AFTER_TIME_RE)}, '\\1')"
+    return f"(CASE WHEN regexp_matches({s}, {q(ISO_RE)}) THEN try_cast(replace({no_zone}, 'T', ' ') AS TIMESTAMP) END)"
 
 
 def parse_date(x: str, profile: str = "dashboard") -> str:
@@ -180,8 +181,9 @@ def parse_date(x: str, profile: str = "dashboard") -> str:
     tries = []
     for f in formats:
         fmt, gate = _STRPTIME[f]
-        tries.append(f"(CASE WHEN NOT {edge} AND regexp_matches({spaced}, {q(gate)}) "
-                     f"THEN try_strptime({spaced}, {q(fmt)}) END)")
+        tries.append(f"(CASE WHEN regexp_matches({spaced}, {q(gate)}) THEN try_strptime({spaced}, {q(fmt)}) END)")
+    if clean is None:
+        tries = [f"(CASE WHEN NOT {edge} THEN coalesce({', '.join(tries)}) END)"]
     if iso == "first":
         tries = [parse_iso(s)] + tries
     elif iso == "last":
@@ -226,3 +228,212 @@ def tag_text(html: str, tag: str) -> str:
 def first_paragraph(html: str) -> str:
     inner = f"regexp_extract({html}, '(?s)<p>(.*?)</p>', 1)"
     return clean_text(unescape(strip_tags(inner)))
+
+
+# --- quality gates -------------------------------------------------------------
+
+SENTENCE_RE = "[^.!?]*[.!?]"
+NOT_WORD = "[^\\p{L}\\p{N}\\p{M}\\p{Pc}]"   # Python/Java-Unicode \\W as an RE2 class
+WORD = "[\\p{L}\\p{N}\\p{M}\\p{Pc}]"
+
+
+def ubound_after(alt: str) -> str:
+    """``alt\\b`` for Unicode words: followed by a non-word char or the end."""
+    return f"(?:{alt})(?:{NOT_WORD}|$)"
+
+
+def tokens(x: str) -> str:
+    c = collapse(x)
+    return f"(CASE WHEN {c} = '' THEN []::VARCHAR[] ELSE string_split({c}, ' ') END)"
+
+
+def word_count(x: str) -> str:
+    return f"len({tokens(x)})"
+
+
+def max_token_count(tok: str) -> str:
+    return f"coalesce(list_max(map_values(list_histogram({tok}))), 0)"
+
+
+def contains_any(x: str, terms) -> str:
+    return "(" + " OR ".join(f"strpos({x}, {q(t)}) > 0" for t in terms) + ")"
+
+
+def split_sentences(x: str, clean: str = "clean_text") -> str:
+    t = clean_text(x) if clean == "clean_text" else collapse(x)
+    return (f"list_filter(list_transform(regexp_extract_all({t}, {q(SENTENCE_RE)}), lambda s: trim(s)), "
+            f"lambda s: s <> '')")
+
+
+def first_sentences(x: str, n: int = 2, clean: str = "clean_text") -> str:
+    return f"array_to_string(list_slice({split_sentences(x, clean)}, 1, {n}), ' ')"
+
+
+def sentence_marks(x: str) -> str:
+    return f"(length({blank(x)}) - length(regexp_replace({blank(x)}, '[.!?]', '', 'g')))"
+
+
+def mid_phrase_start(x: str, words) -> str:
+    alt = "|".join(words)
+    pat = "^[\"'(\\[{]*\\s*" + ubound_after(alt)
+    return f"regexp_matches(lower({clean_text(x)}), {q(pat)})"
+
+
+def _dbl(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def has_gibberish(x: str, variant: str, Q) -> str:
+    s = blank(x)
+    low = f"lower({s})"
+    tok = tokens(low)
+    n = f"len({tok})"
+    top = max_token_count(tok)
+    if variant == "audit":
+        return f"({n} >= 5 AND {top} > {n} * {_dbl(0.3)})"
+    low_s = pystrip(low)
+    if variant == "lenient":
+        ends = f"regexp_matches({low_s}, '\\.\\.\\.|\\.+$')"
+        rep = f"({n} > 0 AND {top} > {n} * {_dbl(0.4)})"
+        tech = contains_any(low_s, Q.TECHNICAL_TERMS_LONG)
+        return f"(CASE WHEN {s} = '' THEN FALSE WHEN {ends} THEN TRUE WHEN {rep} THEN NOT {tech} ELSE FALSE END)"
+    words = f"regexp_extract_all({low_s}, {q(WORD + '+')})"
+    last = f"{words}[-1]"
+    allow = ", ".join(q(w) for w in Q.SHORT_WORD_ALLOW)
+    short_tail = (f"(len({words}) > 0 AND NOT regexp_matches({low_s}, '[.!?]$') AND length({last}) < 3 "
+                  f"AND {last} NOT IN ({allow}))")
+    nonsense = (f"(regexp_matches({low_s}, '[a-z]{{20,}}') OR regexp_matches({low_s}, '[0-9]{{10,}}') OR "
+                f"regexp_matches({low_s}, {q('[^a-z0-9' + WS_INNER + chr(92) + '.,:;!?' + chr(39) + chr(92) + '-()]{5,}')}))")
+    return (f"(CASE WHEN {s} = '' THEN FALSE ELSE (strpos({low_s}, '...') > 0 OR {short_tail} OR "
+            f"({n} > 0 AND {top} > {n} * {_dbl(0.3)}) OR {nonsense}) END)")
+
+
+EMAIL_RE = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}"
+
+
+def has_email(x: str) -> str:
+    pat = f"(?:^|{NOT_WORD}){EMAIL_RE}(?:{NOT_WORD}|$)"
+    return f"regexp_matches({blank(x)}, {q(pat)})"
+
+
+URL_NARROW = "(?i)https?://[^" + WS_INNER + "]+|www\\.[^" + WS_INNER + "]+"
+
+
+def is_uninformative(x: str, variant: str, Q) -> str:
+    s = blank(x)
+    if variant == "summary":
+        norm = clean_text(f"lower({s})")
+        urls = f"regexp_extract_all({s}, {q(URL_NARROW)})"
+        foreign = (f"(len(list_filter({urls}, lambda u: NOT (starts_with(lower(u), 'https://www.nist.gov') OR "
+                   f"starts_with(lower(u), 'http://www.nist.gov')))) > 0)")
+        gib = (f"({has_gibberish(s, 'lenient', Q)} AND ({word_count(s)} < 10 OR NOT "
+               f"{contains_any(f'lower({s})', Q.TECHNICAL_TERMS_SHORT)}))")
+        url_only = f"regexp_matches({pystrip(norm)}, {q('^https?://[^' + WS_INNER + ']*$')})"
+        return (f"(CASE WHEN {s} = '' THEN TRUE ELSE ({contains_any(norm, Q.SUMMARY_BAD_INDICATORS)} OR "
+                f"{url_only} OR {has_email(s)} OR {foreign} OR {gib}) END)")
+    low = pystrip(f"lower({s})")
+    forbidden = " OR ".join(f"starts_with({low}, {q(p)})" for p in Q.FORBIDDEN_PREFIXES)
+    block = " AND ".join(f"strpos({low}, {q(p)}) > 0" for p in Q.JUNK_SECURITY_BLOCK)
+    return (f"(({forbidden}) OR strpos({low}, 'conducted by researchers at the') > 0 OR ({block}) OR "
+            f"{contains_any(low, Q.RESEARCHER_MENTIONS)} OR (strpos({low}, 'nist') > 0 AND strpos({low}, 'security concern') > 0) OR "
+            f"regexp_matches({low}, {q('^https?://[^' + WS_INNER + ']*$')}) OR "
+            f"(length({low}) < 50 AND regexp_matches({low}, 'https?://')) OR {has_email(s)} OR "
+            f"{contains_any(low, Q.STRICT_INDICATORS)})")
+
+
+def complete_sentences(x: str) -> str:
+    s = blank(x)
+    pieces = f"list_filter(list_transform(string_split_regex({s}, '[.!?]'), lambda p: {pystrip('p')}), lambda p: p <> '')"
+    return (f"(length({pystrip(s)}) >= 20 AND len({pieces}) >= 2 AND {word_count(pieces + '[1]')} >= 3 "
+            f"AND {word_count(pieces + '[2]')} >= 3)")
+
+
+URL_BROAD = (
+    "(?i)https?://[^" + WS_INNER + "]+", "(?i)www\\.[^" + WS_INNER + "]+",
+    f"(?:^|{NOT_WORD})[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+(?:{NOT_WORD}|$)",
+    f"(?i)(?:^|{NOT_WORD})doi\\.org/[^" + WS_INNER + "]+",
+    f"(?i)(?:^|{NOT_WORD})nist\\.gov/", f"(?i)(?:^|{NOT_WORD})tsapps\\.nist\\.gov/",
+    f"(?:^|{NOT_WORD})[a-zA-Z0-9-]+\\.[a-zA-Z]{{2,}}",
+)
+
+
+def mid_phrase(x: str, Q) -> str:
+    return mid_phrase_start(x, Q.MID_PHRASE_WORDS)
+
+
+def valid_summary(x: str, Q) -> str:
+    s = blank(x)
+    st = pystrip(s)
+    any_url = " OR ".join(f"regexp_matches({s}, {q(p)})" for p in URL_BROAD)
+    return (f"(length({st}) >= 20 AND NOT ({any_url}) AND NOT (strpos({s}, '://') > 0 OR strpos(lower({s}), 'www.') > 0 "
+            f"OR strpos(lower({s}), 'http') > 0) AND NOT regexp_matches(substr({st}, 1, 1), '^\\p{{Ll}}$') "
+            f"AND NOT {has_gibberish(s, 'strict', Q)} AND {complete_sentences(s)} AND NOT {mid_phrase(s, Q)} "
+            f"AND NOT {is_uninformative(s, 'strict', Q)} AND regexp_matches({st}, '[.!?]$'))")
+
+
+def bad_summary(x: str, Q) -> tuple[str, str]:
+    """(reason_kind, reason) SQL expressions; NULL kind = good."""
+    s = pystrip(x)
+    low = f"lower({s})"
+    sub_hit = "CASE " + " ".join(f"WHEN strpos({low}, {q(b)}) > 0 THEN {q(b)}" for b in Q.BAD_SUBSTRINGS) + " END"
+    pats = [p.replace("\\s", WS) for p in Q.BAD_PATTERNS]
+    pat_hit = "CASE " + " ".join(f"WHEN regexp_matches({low}, {q(pp)}) THEN {q(p)}" for pp, p in zip(pats, Q.BAD_PATTERNS)) + " END"
+    last = f"right({s}, 1)"
+    word = f"lower(regexp_extract({s}, {q('(' + WORD + '+)' + chr(92) + '.' + WS + '*$')}, 1))"
+    cut_pat = f"(?i)(?:^|{NOT_WORD})[a-z]{{2,6}}\\.{WS}*$"
+    abbrevs = ", ".join(q(a) for a in Q.CUT_OFF_ABBREVIATIONS)
+    cut = f"(regexp_matches({s}, {q(cut_pat)}) AND {word} <> '' AND {word} IN ({abbrevs}))"
+    kind = (f"(CASE WHEN {s} = '' THEN 'empty' WHEN length({s}) < 25 THEN 'too short' "
+            f"WHEN ({sub_hit}) IS NOT NULL THEN 'boilerplate' WHEN ({pat_hit}) IS NOT NULL THEN 'boilerplate pattern' "
+            f"WHEN {last} NOT IN ('.', '!', '?') THEN 'incomplete' WHEN {cut} THEN 'cut off' END)")
+    reason = (f"(CASE WHEN {s} = '' THEN 'empty' WHEN length({s}) < 25 THEN 'too short (' || CAST(length({s}) AS VARCHAR) || ' chars)' "
+              f"WHEN ({sub_hit}) IS NOT NULL THEN 'boilerplate: ''' || ({sub_hit}) || '''' "
+              f"WHEN ({pat_hit}) IS NOT NULL THEN 'boilerplate pattern: ' || ({pat_hit}) "
+              f"WHEN {last} NOT IN ('.', '!', '?') THEN 'incomplete — ends with ''' || {last} || '''' "
+              f"WHEN {cut} THEN 'cut off at abbreviation ''' || {word} || '.''' ELSE '' END)")
+    return kind, reason
+
+
+def audit_flags(x: str, Q) -> dict[str, str]:
+    s = blank(x)
+    st = pystrip(s)
+    words = tokens(st)
+    lw = f"regexp_replace({words}[-1], '[.,!?;:]+$', '')"
+    trunc = (f"(strpos({s}, '...') > 0 OR ({st} <> '' AND NOT regexp_matches({st}, '[.!?]$')) OR "
+             f"(len({words}) > 0 AND length({lw}) = 1 AND regexp_matches({lw}, '^\\p{{Lu}}$')) OR "
+             f"(len({words}) > 0 AND ends_with({st}, '.') AND length({lw}) <= 3 AND regexp_matches({lw}, '^\\p{{L}}+$')))")
+    b1, b2 = f"(?:^|{NOT_WORD})", f"(?:{NOT_WORD}|$)"
+    grammar = f"(?i){b1}these{WS}+system{b2}|{b1}thee{b2}|{b1}th{WS}+e{b2}"
+    return {
+        "url_only": f"regexp_matches({st}, {q('^https?://[^' + WS_INNER + ']+$|^www' + chr(92) + '.[^' + WS_INNER + ']+$')})",
+        "has_urls": f"regexp_matches({s}, 'https?://|www\\.')",
+        "truncation": trunc,
+        "gibberish": has_gibberish(s, "audit", Q),
+        "incomplete": f"({sentence_marks(s)} < 2)",
+        "boilerplate": contains_any(f"lower({s})", Q.AUDIT_BOILERPLATE),
+        "filler": contains_any(f"lower({s})", Q.AUDIT_FILLER),
+        "grammar": f"regexp_matches({s}, {q(grammar)})",
+    }
+
+
+def audit_columns(x: str, Q) -> dict[str, str]:
+    s = blank(x)
+    flags = audit_flags(s, Q)
+    marks = sentence_marks(s)
+    score = "(CAST(1.0 AS DOUBLE)" + "".join(
+        f" - (CASE WHEN {flags[k]} THEN {_dbl(float(w))} ELSE CAST(0.0 AS DOUBLE) END)" for k, _, w in Q.AUDIT_CHECKS) + ")"
+    score = f"greatest({score}, CAST(0.0 AS DOUBLE))"
+    issues = []
+    for k, text, _ in Q.AUDIT_CHECKS:
+        label = (q(text.split("{n}")[0]) + f" || CAST({marks} AS VARCHAR) || " + q(text.split("{n}")[1])
+                 if "{n}" in text else q(text))
+        issues.append(f"CASE WHEN {flags[k]} THEN {label} END")
+    issue_list = f"list_filter([{', '.join(issues)}], lambda i: i IS NOT NULL)"
+    empty = f"({s} = '')"
+    return {
+        "status": f"(CASE WHEN {empty} THEN 'FAIL' WHEN {score} >= {_dbl(0.7)} THEN 'PASS' ELSE 'FAIL' END)",
+        "score": f"(CASE WHEN {empty} THEN CAST(0.0 AS DOUBLE) ELSE round({score}, 2) END)",
+        "issues": f"(CASE WHEN {empty} THEN ['Empty summary'] ELSE {issue_list} END)",
+        "sentence_count": f"(CASE WHEN {empty} THEN NULL ELSE {marks} END)",
+        "audited": f"(NOT {empty})",
+    }
