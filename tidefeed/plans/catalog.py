@@ -711,6 +711,161 @@ def q_cache_cleanup(spark, sf):
     return report
 
 
+
+# ---------------------------------------------------------------------------
+# Remaining text / link functions
+# ---------------------------------------------------------------------------
+
+_SQL_CONTACT = "SELECT doc_id, text FROM documents WHERE strpos(text, '@') > 0"
+
+
+@query("extract_urls", f"""SELECT doc_id, len(regexp_extract_all(text, {S.q(S.URL_NARROW)})) AS n_urls,
+       {S.collapse("regexp_replace(regexp_replace(text, " + S.q('(?i)https?://[^' + S.WS_INNER + ']+') + ", '', 'g'), " + S.q('(?i)www' + chr(92) + '.[^' + S.WS_INNER + ']+') + ", '', 'g')")} AS stripped
+FROM documents""")
+def q_extract_urls(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", F.size(Q.extract_urls("text")).alias("n_urls"), Q.strip_urls("text").alias("stripped"))
+
+
+@query("truncate_sentence", f"""SELECT doc_id, CASE WHEN {S.pystrip('text')} = '' OR length({S.pystrip('text')}) <= 800
+       THEN {S.pystrip('text')} ELSE {S.pystrip("regexp_replace(substr(" + S.pystrip('text') + ", 1, 800), '([.!?])[^.!?]*$', '" + chr(92) + "1')")} END AS truncated
+FROM documents""")
+def q_truncate_sentence(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", Q.truncate_sentence("text", 800).alias("truncated"))
+
+
+@query("is_padded", f"""SELECT doc_id, (text <> '' AND {S.first_sentences('text')} <> '' AND {S.word_count('text')} > 30
+       AND {S.word_count(S.first_sentences('text'))} > {S.word_count('text')} * CAST(0.5 AS DOUBLE)) AS padded FROM documents""")
+def q_is_padded(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.is_padded(Q.first_sentences("text"), F.col("text")).alias("padded"))
+
+
+def _sql_title_fallback(summary, title):
+    s, t = S.pystrip(summary), S.pystrip(title)
+    traw = S.blank(title)
+    cut = f"(CASE WHEN length({traw}) > 200 THEN substr({traw}, 1, 200) || '...' ELSE {traw} END)"
+    ws = f"(CASE WHEN strpos(lower({cut}), 'publication') = 0 THEN 'Publication: ' || {cut} ELSE {cut} END)"
+    return (f"(CASE WHEN {s} <> '' AND {t} <> '' AND lower({s}) <> lower({t}) THEN {s} "
+            f"WHEN {traw} = '' THEN {S.q(T.PUBLICATION_PLACEHOLDER)} "
+            f"WHEN lower({S.pystrip(ws)}) = lower({t}) THEN '' ELSE {ws} END)")
+
+
+@query("title_fallback_summary", f"""SELECT seq, {_sql_title_fallback("CASE WHEN seq % 2 = 0 THEN summary ELSE '' END", 'document_name')} AS summary
+FROM ({SQL_ITEMS_DOCS}) d""")
+def q_title_fallback_summary(spark, sf):
+    d = _docs(spark, sf)
+    summ = F.when(F.col("seq") % 2 == 0, F.col("summary")).otherwise(F.lit(""))
+    return d.select("seq", T.title_fallback_summary(summ, F.col("document_name")).alias("summary"))
+
+
+@query("news_fallback_summary", f"""SELECT seq, CASE WHEN coalesce(summary, '') <> '' THEN summary
+       WHEN length(title) > 50 THEN substr(title, 1, 80) || '...' ELSE 'News article about ' || lower(title) || '.' END AS summary
+FROM ({SQL_ITEMS_PAGES}) p""")
+def q_news_fallback_summary(spark, sf):
+    return A.items_pages(spark, sf).select("seq", T.news_fallback_summary("summary", "title").alias("summary"))
+
+
+@query("is_search_index_url", "SELECT page_id, regexp_matches(url, '(?i)(/publications/search|/search([^A-Za-z0-9_]|$))') AS search_index FROM pages")
+def q_is_search_index_url(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
+    return p.select("page_id", L.is_search_index_url("url").alias("search_index"))
+
+
+@query("absolutize_link", f"""SELECT page_id, CASE WHEN rel = '' THEN rel WHEN starts_with(rel, 'http') THEN rel
+       ELSE 'https://csrc.example.gov' || CASE WHEN starts_with(rel, '/') THEN '' ELSE '/' END || rel END AS link
+FROM (SELECT page_id, {S.url_part('url', 3)} AS rel FROM pages) p""")
+def q_absolutize_link(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url"]).withColumn("rel", L.url_parts("url")[2])
+    return p.select("page_id", L.absolutize_link("rel", "https://csrc.example.gov/").alias("link"))
+
+
+@query("link_score_typed", f"SELECT seq, {_sql_typed_score('link', 'type')} AS score FROM ({SQL_NOTIFICATIONS}) n")
+def q_link_score_typed(spark, sf):
+    n = A.notifications_events(spark, sf)
+    return n.select("seq", L.link_score_typed(F.col("item.link"), F.col("type")).alias("score"))
+
+
+@query("news_date_flags", f"""SELECT seq, FALSE AS show_last_edited, FALSE AS show_published FROM ({SQL_NOTIFICATIONS}) n""")
+def q_news_date_flags(spark, sf):
+    n = A.notifications_events(spark, sf).select("seq", F.col("item.*"))
+    n = n.withColumns({"last_edited_date": F.lit(""), "last_edited_date_raw": F.lit(""), "publish_date": F.lit("")})
+    return D.news_date_flags(n).select("seq", "show_last_edited", "show_published")
+
+
+def _sql_due(text):
+    pats = [f"regexp_extract({S.collapse(text)}, {S.q('(?i)' + p)}, 1)" for p in D.DUE_DATE_PATTERNS]
+    parsed = "coalesce(" + ", ".join(f"CASE WHEN {p} <> '' THEN {S.parse_date(p, 'dashboard')} END" for p in pats) + ")"
+    return parsed
+
+
+@query("extract_due_date", f"""SELECT doc_id, coalesce({S.fmt_display(_sql_due('text'))}, '') AS comment_due_date,
+       coalesce({S.fmt_raw(_sql_due('text'))}, '') AS comment_due_date_raw FROM documents""")
+def q_extract_due_date(spark, sf):
+    d = _docs_text(spark, sf).withColumn("_d", D.extract_due_date("text"))
+    return d.select("doc_id", "_d.comment_due_date", "_d.comment_due_date_raw")
+
+
+@query("third_person")
+def q_third_person(spark, sf):
+    d = _docs_text(spark, sf)
+    return d.select("doc_id", Q.third_person("text", "summary").alias("summary_form"),
+                    Q.third_person("text", "model").alias("model_form"))
+
+
+@query("strip_contact_info")
+def q_strip_contact_info(spark, sf):
+    return A.contact_docs(spark, sf).select("doc_id", Q.strip_contact_info("text").alias("stripped"))
+
+
+@query("clean_summary")
+def q_clean_summary(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", Q.clean_summary("text").alias("summary"))
+
+
+@query("strip_terms")
+def q_strip_terms(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", Q.strip_summary_terms("text").alias("text"))
+
+
+@query("repair_summaries", f"""WITH d AS (SELECT seq, summary, document_name, {S.pystrip('summary')} AS cur FROM ({SQL_ITEMS_DOCS}) x),
+e AS (SELECT *, {S.first_sentences('cur', 2, 'collapse')} AS norm FROM d),
+f AS (SELECT *, (cur = '' OR {S.mid_phrase_start('cur', Q.MID_PHRASE_WORDS)} OR norm <> cur) AS cand,
+             CASE WHEN cur <> '' AND lower(cur) <> lower({S.pystrip('document_name')}) THEN cur ELSE '' END AS best FROM e),
+g AS (SELECT *, {S.first_sentences('best', 2, 'collapse')} AS best_two FROM f)
+SELECT seq, cand AS repair_candidate,
+       CASE WHEN NOT cand THEN summary
+            WHEN best_two <> '' AND NOT {S.mid_phrase_start('best_two', Q.MID_PHRASE_WORDS)} THEN best_two
+            WHEN norm <> '' AND NOT {S.mid_phrase_start('norm', Q.MID_PHRASE_WORDS)} THEN norm ELSE summary END AS summary
+FROM g""")
+def q_repair_summaries(spark, sf):
+    from ..operators.reports import repair_summaries
+    return repair_summaries(_docs(spark, sf)).select("seq", "repair_candidate", "summary")
+
+
+@query("cache_lookup", f"""WITH c AS ({_CACHE_SQL}),
+latest AS (SELECT md5({S.pystrip('summary')}) AS cache_key, topic, arg_max(summary, ts) AS summary, max(ts) AS ts
+           FROM c GROUP BY 1, 2),
+i AS (SELECT seq, (['qis', 'pqc', 'ai_publications'])[seq % 3 + 1] AS topic, md5({S.pystrip('summary')}) AS cache_key
+      FROM ({SQL_ITEMS_DOCS}) d)
+SELECT i.seq, l.summary IS NOT NULL AS hit FROM i LEFT JOIN latest l
+  ON l.cache_key = i.cache_key AND l.topic = i.topic AND l.ts >= {AS_OF_SQL} - INTERVAL 48 HOUR
+  AND NOT (coalesce(l.summary, '') <> '' AND ({S.is_uninformative('l.summary', 'summary', Q)} OR {S.mid_phrase_start('l.summary', Q.MID_PHRASE_WORDS)}))""")
+def q_cache_lookup(spark, sf):
+    from ..operators.enrich import cache_lookup
+    topic = F.element_at(F.array(*[F.lit(t) for t in A.CACHE_TOPICS]), (F.col("seq") % 3 + 1).cast("int"))
+    items = _docs(spark, sf).select("seq", topic.alias("topic"), T.cache_key("summary").alias("cache_key"))
+    out = cache_lookup(items, A.cache_docs(spark, sf), as_of=AS_OF, ttl_hours=48)
+    return out.select("seq", F.col("cached_summary").isNotNull().alias("hit"))
+
+
+@query("enrich_summary", f"""SELECT seq, summary FROM ({SQL_ITEMS_PAGES}) p""")
+def q_enrich_summary(spark, sf):
+    from ..operators.enrich import enrich_summary
+    items = A.items_pages(spark, sf)
+    return enrich_summary(items, read_pages(spark, sf)).select("seq", "summary")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
