@@ -114,11 +114,14 @@ def _le_fold(le_rows: Column) -> Column:
 
 def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
                 group_cols: Sequence[str] = (), fields: Sequence[str] | None = None,
+                carry: Sequence[str] = (), extra_aggs: Sequence[Column] = (),
                 hot_rows: int = 1_000_000, salt_buckets: int = 32) -> DataFrame:
     """One row per ``group_cols + key``; fields merged exactly as the ordered fold does.
 
     ``key`` is computed with ``item_identity`` when the column is missing.
     The output keeps ``seq`` = first occurrence, so "list order" survives.
+    ``carry`` columns ride along (for ``extra_aggs``, further aggregates over
+    the same groups computed in the same pass).
     """
     if key not in df.columns:
         df = df.withColumn(key, item_identity())
@@ -127,7 +130,7 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
         fields = [c for c in df.columns if c not in (*keys, seq)]
     has_le = LE_RAW in fields and LE_DISPLAY in fields
     has_link = "link" in df.columns
-    rows = df.select(*keys, seq, *fields,
+    rows = df.select(*keys, seq, *fields, *[c for c in carry if c not in fields],
                      (link_score("link") if has_link else F.lit(0)).alias("_score"),
                      (~_empty(F.col("link")) if has_link else F.lit(False)).alias("_has_link"))
     flagged = win_flags(rows, keys, seq=seq, hot_rows=hot_rows, salt_buckets=salt_buckets)
@@ -151,11 +154,12 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
                                    F.col(LE_RAW).alias("v")))["v"].alias("_le_raw0"))
         aggs.append(F.min(F.struct(F.lit(0).alias("e"), p0.alias("p0"), p1.alias("p1"),
                                    F.col(LE_DISPLAY).alias("v")))["v"].alias("_le_disp0"))
-    out = flagged.groupBy(*keys).agg(*aggs)
+    out = flagged.groupBy(*keys).agg(*aggs, *extra_aggs)
     if has_le:
         folded = _le_fold(F.col("_le_rows"))
         out = (out.withColumn("_le", folded)
                   .withColumn(LE_RAW, F.coalesce(F.col("_le.r"), F.col("_le_raw0")))
                   .withColumn(LE_DISPLAY, F.coalesce(F.col("_le.d"), F.col("_le_disp0")))
                   .drop("_le", "_le_rows", "_le_raw0", "_le_disp0"))
-    return out.select(*keys, seq, *fields)
+    extra_names = [c for c in out.columns if c not in (*keys, seq, *fields)]
+    return out.select(*keys, seq, *fields, *extra_names)

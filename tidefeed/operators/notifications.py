@@ -65,12 +65,19 @@ def item_identity_of(item: str, fields: Sequence[str]) -> Column:
              .otherwise(F.lit("empty-item")))
 
 
-def _merge_nested(df: DataFrame, *, item: str, seq: str, **merge_opts) -> DataFrame:
+def _merge_nested(df: DataFrame, *, item: str, seq: str, carry: Sequence[str] = (),
+                  extra_aggs: Sequence[Column] = (), **merge_opts) -> DataFrame:
     """Merge the nested items of rows sharing ``nid`` (the item fold), one row per nid."""
     fields = df.schema[item].dataType.fieldNames()
-    flat = df.select(NID, seq, *[F.col(f"{item}.{f}").alias(f) for f in fields])
-    merged = merge_items(flat, key=NID, seq=seq, fields=fields, **merge_opts)
-    return merged.select(NID, F.struct(*[F.col(f) for f in fields]).alias(item))
+    flat = df.select(NID, seq, *carry, *[F.col(f"{item}.{f}").alias(f) for f in fields])
+    merged = merge_items(flat, key=NID, seq=seq, fields=fields, carry=carry, extra_aggs=extra_aggs,
+                         **merge_opts)
+    extra = [c for c in merged.columns if c not in (NID, seq, *fields)]
+    return merged.select(NID, seq, *extra, F.struct(*[F.col(f) for f in fields]).alias(item))
+
+
+def _first(col: str, seq: str) -> Column:
+    return F.min(F.struct(F.col(seq).alias("s"), F.col(col).alias("v")))["v"]
 
 
 def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
@@ -78,21 +85,21 @@ def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
     """One notification per identity: items merged in order, newest timestamp kept.
 
     The newest timestamp wins (earliest row on ties) and brings its scrape
-    date along when it has one; type and other columns come from the first row.
+    date along when it has one; type and other columns come from the first
+    row.  All of it is one aggregation pass with the item merge.
     """
     df = with_nid(df, item=item)
-    first = first_per_key(df.drop(item), [NID], [seq])
-    newest = (df.groupBy(NID)
-                .agg(F.min(F.when(F.col(ts).isNotNull(),
-                                  F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("o"),
-                                           F.col(seq).alias("s"), F.col(ts).alias("t"),
-                                           F.col(scrape).alias("sd")))).alias("_newest")))
-    items = _merge_nested(df, item=item, seq=seq, **merge_opts)
-    out = (first.join(newest, NID).join(items, NID)
-                .withColumn(ts, F.coalesce(F.col("_newest.t"), F.col(ts)))
-                .withColumn(scrape, F.coalesce(F.col("_newest.sd"), F.col(scrape)))
-                .drop("_newest"))
-    return out.select(*[c for c in df.columns])
+    others = [c for c in df.columns if c not in (NID, seq, item, ts, scrape)]
+    newest = F.min(F.when(F.col(ts).isNotNull(),
+                          F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("o"),
+                                   F.col(seq).alias("s"), F.col(ts).alias("t"), F.col(scrape).alias("sd"))))
+    extra = [_first(c, seq).alias(c) for c in others]
+    extra += [newest.alias("_newest"), _first(ts, seq).alias("_ts0"), _first(scrape, seq).alias("_sd0")]
+    out = _merge_nested(df, item=item, seq=seq, carry=[*others, ts, scrape], extra_aggs=extra, **merge_opts)
+    out = (out.withColumn(ts, F.coalesce(F.col("_newest.t"), F.col("_ts0")))
+              .withColumn(scrape, F.coalesce(F.col("_newest.sd"), F.col("_sd0")))
+              .drop("_newest", "_ts0", "_sd0"))
+    return out.select(*df.columns)
 
 
 def upsert_notifications(store: DataFrame, new: DataFrame, *, as_of, new_type: str | Column | None = None,
@@ -101,22 +108,32 @@ def upsert_notifications(store: DataFrame, new: DataFrame, *, as_of, new_type: s
 
     Known identities keep their row and timestamps and merge the new item
     into theirs; unknown ones are inserted stamped with ``as_of``.  The store
-    is assumed already deduplicated (``read_notifications`` does it).
+    is assumed already deduplicated (``read_notifications`` does it).  Store
+    rows order before new rows (a leading ``_batch`` rank), so "first row"
+    means the stored one whenever it exists.
     """
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     store = with_nid(store, item=item)
-    offset = store.agg(F.coalesce(F.max(seq), F.lit(-1))).scalar() + F.lit(1)
     incoming = new
     if new_type is not None:
         incoming = incoming.withColumn("type", F.lit(new_type) if isinstance(new_type, str) else new_type)
     incoming = (with_nid(incoming, item=item)
-                .withColumn(seq, offset + F.col(seq))
                 .withColumn("timestamp", as_of_col)
                 .withColumn("scrape_date", as_of_col))
-    both = store.unionByName(incoming.select(*store.columns))
-    first = first_per_key(both.drop(item), [NID], [seq])
-    items = _merge_nested(both, item=item, seq=seq, **merge_opts)
-    return first.join(items, NID).select(*store.columns)
+    both = (store.withColumn("_batch", F.lit(0))
+                 .unionByName(incoming.select(*store.columns).withColumn("_batch", F.lit(1))))
+    # order key: (batch, seq) packed so the merge fold sees stored rows first
+    both = both.withColumn("_order", F.struct(F.col("_batch"), F.col(seq)))
+    others = [c for c in store.columns if c not in (NID, seq, item)]
+    extra = [F.min(F.struct(F.col("_order").alias("o"), F.col(c).alias("v")))["v"].alias(c) for c in others]
+    extra.append(F.min(F.struct(F.col("_order").alias("o"), F.col(seq).alias("v")))["v"].alias("_seq0"))
+    ranked = both
+    # the fold needs a single sortable sequence: stored rows keep their seq,
+    # new rows are shifted past every stored seq by a scalar subquery
+    offset = store.agg(F.coalesce(F.max(seq), F.lit(-1)) + F.lit(1)).scalar()
+    ranked = ranked.withColumn(seq, F.when(F.col("_batch") == 0, F.col(seq)).otherwise(offset + F.col(seq)))
+    out = _merge_nested(ranked, item=item, seq=seq, carry=[*others, "_order"], extra_aggs=extra, **merge_opts)
+    return out.drop(seq).withColumnRenamed("_seq0", seq).select(*store.columns)
 
 
 def bucket_by_week(df: DataFrame, as_of, *, seq: str = "seq", item: str = "item") -> DataFrame:

@@ -502,7 +502,7 @@ FROM store s FULL OUTER JOIN new n ON s.nid = n.nid""")
 def q_upsert_notifications(spark, sf):
     from ..operators.notifications import dedupe_notifications, upsert_notifications
     ev = A.notifications_events(spark, sf)
-    store = dedupe_notifications(ev.where(F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz")))
+    store = materialize(dedupe_notifications(ev.where(F.col("timestamp") < F.lit(SPLIT_TS).cast("timestamp_ntz"))))
     new = ev.where(F.col("timestamp") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
     out = upsert_notifications(store, new, as_of=AS_OF)
     return out.select("nid", "type", _iso("timestamp").alias("timestamp"), _iso("scrape_date").alias("scrape_date"),
