@@ -60,3 +60,27 @@ def sidebar_key(ntype: str = "type", item: str = "item") -> Column:
     label = F.lower(F.trim(first_nonempty(f"{item}.document_name", f"{item}.title")))
     label = F.when(label == "", F.lower(F.trim(blank(f"{item}.link")))).otherwise(label)
     return F.concat(blank(ntype), F.lit("::"), label)
+
+
+def add_identity(df, name: str = "identity", *, label_keys: Sequence[str] = LABEL_KEYS,
+                 date_keys: Sequence[str] = DATE_TOKEN_KEYS, number_col: str = "document_number",
+                 link_col: str = "link"):
+    """DataFrame form of ``item_identity``: label, date token, number and link are
+    computed once in their own projection, then combined (no re-evaluation per branch)."""
+    present = set(df.columns)
+
+    def c(name):
+        return F.col(name) if name in present else F.lit(None).cast("string")
+    parts = df.select("*",
+                      normalize_text(first_nonempty(*[c(k) for k in label_keys])).alias("_id_label"),
+                      normalize_text(first_nonempty(*[c(k) for k in date_keys])).alias("_id_token"),
+                      normalize_text(c(number_col)).alias("_id_number"),
+                      normalize_link(c(link_col)).alias("_id_link"))
+    label, token, number, link = (F.col("_id_label"), F.col("_id_token"), F.col("_id_number"), F.col("_id_link"))
+    ident = (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
+              .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
+              .when(label != "", F.concat(F.lit("label::"), label))
+              .when(link != "", F.concat(F.lit("link::"), link))
+              .when(token != "", F.concat(F.lit("date::"), token))
+              .otherwise(F.lit("empty-item")))
+    return parts.withColumn(name, ident).drop("_id_label", "_id_token", "_id_number", "_id_link")

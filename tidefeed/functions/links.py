@@ -37,6 +37,15 @@ def url_parts(c) -> tuple[Column, Column, Column]:
             F.regexp_extract(raw, URL_SPLIT, 3))
 
 
+def url_struct(c) -> Column:
+    """struct(scheme, host, path) from one regex pass (query and fragment dropped)."""
+    raw = pystrip(c)
+    joined = F.regexp_replace(raw, "(?s)" + URL_SPLIT + ".*$", "$1\u0001$2\u0001$3")
+    parts = F.split(joined, "\u0001")
+    return F.struct(parts.getItem(0).alias("scheme"), parts.getItem(1).alias("host"),
+                    parts.getItem(2).alias("path"))
+
+
 def _rstrip_slash(c: Column) -> Column:
     return F.regexp_replace(c, "/+$", "")
 

@@ -124,7 +124,8 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
     the same groups computed in the same pass).
     """
     if key not in df.columns:
-        df = df.withColumn(key, item_identity())
+        from ..functions.identity import add_identity
+        df = add_identity(df, key)
     keys = [*group_cols, key]
     if fields is None:
         fields = [c for c in df.columns if c not in (*keys, seq)]

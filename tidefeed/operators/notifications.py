@@ -40,9 +40,12 @@ def with_nid(df: DataFrame, *, type_col: str = "type", item: str = "item") -> Da
     """Add the notification identity column (computed from the nested item)."""
     if NID in df.columns:
         return df
+    from ..functions.identity import add_identity
     fields = df.schema[item].dataType.fieldNames()
-    ident = item_identity_of(item, fields)
-    return df.withColumn(NID, notification_identity(F.col(type_col), ident))
+    flat = df.select(*df.columns, *[F.col(f"{item}.{f}").alias(f) for f in fields if f not in df.columns])
+    ident_df = add_identity(flat, "_ident")
+    out = ident_df.withColumn(NID, notification_identity(F.col(type_col), F.col("_ident")))
+    return out.select(*df.columns, NID)
 
 
 def item_identity_of(item: str, fields: Sequence[str]) -> Column:

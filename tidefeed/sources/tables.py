@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if spread_rows or (spread_rows is None and name in TEXT_TABLES):
+    if spread_rows or spread_rows is None:
         df = spread(df)
     return df
 
