@@ -866,6 +866,68 @@ def q_enrich_summary(spark, sf):
     return enrich_summary(items, read_pages(spark, sf)).select("seq", "summary")
 
 
+
+# ---------------------------------------------------------------------------
+# 2.4 page extraction (one mapInPandas pass; rows-only checks, unit-tested by hand)
+# ---------------------------------------------------------------------------
+
+from ..functions import html as H  # noqa: E402
+from ..operators import extract as X  # noqa: E402
+
+
+@query("page_body")
+def q_page_body(spark, sf):
+    return X.page_body(read_pages(spark, sf)).select("page_id", F.length("body").alias("body_chars"), "body")
+
+
+@query("page_abstract")
+def q_page_abstract(spark, sf):
+    return X.page_abstract(read_pages(spark, sf))
+
+
+@query("page_summary")
+def q_page_summary(spark, sf):
+    return X.page_summary(read_pages(spark, sf))
+
+
+@query("article_dates")
+def q_article_dates(spark, sf):
+    return X.article_dates(read_pages(spark, sf))
+
+
+@query("next_page_links")
+def q_next_page_links(spark, sf):
+    pages = read_pages(spark, sf)
+    return X.next_page_links(pages, known=pages.select("url"))
+
+
+@query("listing_items")
+def q_listing_items(spark, sf):
+    return X.listing_items(read_pages(spark, sf), "publications")
+
+
+@query("is_error_page")
+def q_is_error_page(spark, sf):
+    pages = read_pages(spark, sf)
+    body = X.page_body(pages)
+    text = pages.select("page_id", H.page_text("html").alias("text"))
+    return body.join(text, "page_id").select("page_id", H.is_error_page(F.col("text"), F.col("body")).alias("error_page"))
+
+
+_ABS_LOW = f"lower({S.pystrip('text')})"
+
+
+@query("is_likely_abstract", f"""SELECT doc_id, (length({S.pystrip('text')}) >= 50 AND NOT {S.contains_any(_ABS_LOW, H.ABSTRACT_BOILERPLATE)}
+       AND {S.word_count('text')} >= 10 AND {S.contains_any(_ABS_LOW, H.RESEARCH_INDICATORS)}) AS likely_abstract FROM documents""")
+def q_is_likely_abstract(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", H.is_likely_abstract("text").alias("likely_abstract"))
+
+
+@query("page_language", """SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\\slang\\s*=\\s*["'']([^"'']+)["'']', 1), ''), 'en') AS lang FROM pages""")
+def q_page_language(spark, sf):
+    return read_pages(spark, sf).select("page_id", H.page_language("html").alias("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
