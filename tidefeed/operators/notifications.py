@@ -129,7 +129,7 @@ def upsert_notifications(store: DataFrame, new: DataFrame, *, as_of, new_type: s
     both = both.withColumn("_order", F.struct(F.col("_batch"), F.col(seq)))
     others = [c for c in store.columns if c not in (NID, seq, item)]
     extra = [F.min(F.struct(F.col("_order").alias("o"), F.col(c).alias("v")))["v"].alias(c) for c in others]
-    extra.append(F.min(F.struct(F.col("_order").alias("o"), F.col(seq).alias("v")))["v"].alias("_seq0"))
+    extra.append(F.min(F.struct(F.col("_order").alias("o"), F.col("_order")[seq].alias("v")))["v"].alias("_seq0"))
     ranked = both
     # the fold needs a single sortable sequence: stored rows keep their seq,
     # new rows are shifted past every stored seq by a scalar subquery

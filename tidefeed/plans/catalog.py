@@ -928,6 +928,92 @@ def q_page_language(spark, sf):
     return read_pages(spark, sf).select("page_id", H.page_language("html").alias("lang"))
 
 
+
+# ---------------------------------------------------------------------------
+# 2.1 snapshot / notification / cache stores, 2.10 streaming
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"tidefeed-{name}-{uuid.uuid4().hex}")
+
+
+@query("write_snapshot", f"""SELECT topic, section, count(*) AS n FROM ({SQL_MERGE_PAGES}) m GROUP BY topic, section""")
+def q_write_snapshot(spark, sf):
+    from ..sources.snapshots import write_snapshot
+    items = materialize(A.items_pages(spark, sf).select("seq", "topic", "section", "title", "link", "summary"))
+    return write_snapshot(items, _scratch(spark, "snap"), as_of=AS_OF)
+
+
+@query("latest_snapshot", f"""SELECT seq, identity, title, link FROM ({SQL_CURR}) c""")
+def q_latest_snapshot(spark, sf):
+    from ..sources.snapshots import latest_snapshot, read_snapshots, write_snapshot
+    path = _scratch(spark, "snaps")
+    items = materialize(A.items_pages(spark, sf).select("seq", "topic", "section", "title", "link", "summary"))
+    write_snapshot(items.where(F.col("seq") % 5 != 0), path, as_of="2024-01-30 00:00:00")
+    write_snapshot(items.where(F.col("seq") % 7 != 0), path, as_of=AS_OF)
+    return latest_snapshot(read_snapshots(spark, path), "qis").select("seq", "identity", "title", "link")
+
+
+@query("read_notifications", SQL_DEDUPE_NOTES)
+def q_read_notifications(spark, sf):
+    from ..operators.notifications import NID
+    from ..sources.notifications_io import read_notifications, write_notifications
+    path = _scratch(spark, "notes")
+    write_notifications(A.notifications_events(spark, sf), path, dedupe=False)
+    from ..operators.notifications import with_nid
+    return _flat_notes(with_nid(read_notifications(spark, path)))
+
+
+@query("write_summary_cache", f"""WITH c AS ({_CACHE_SQL})
+SELECT topic, md5({S.pystrip('summary')}) AS key, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts
+FROM c GROUP BY 1, 2""")
+def q_write_summary_cache(spark, sf):
+    from ..sources.cache_io import upsert_cache
+    cache = A.cache_docs(spark, sf)
+    # the same entries written again one hour later overwrite the first write
+    later = cache.withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.lit(1)))
+    merged = upsert_cache(cache.select("topic", "key", "kind", "ts", "summary"),
+                          later.select("topic", "key", "kind", "ts", "summary"))
+    return merged.select("topic", "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("stream_new_items", f"SELECT DISTINCT nid FROM ({SQL_NOTES_NID}) n")
+def q_stream_new_items(spark, sf):
+    from ..streaming.streams import stream_new_items
+    src = _scratch(spark, "stream-src")
+    ev = A.notifications_events(spark, sf)
+    # several files ordered by time, as a feed would deliver them
+    (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").write
+       .partitionBy("_day").json(src))
+    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).json(src)
+    name = f"new_items_{uuid.uuid4().hex[:8]}"
+    q = (stream_new_items(sdf).writeStream.format("memory").queryName(name)
+           .option("checkpointLocation", _scratch(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select("nid")
+
+
+@query("stream_upsert_notifications", SQL_DEDUPE_NOTES.replace("strftime(max(\"timestamp\"), " + _TS_FMT_SQL + ") AS \"timestamp\",", "").replace(
+    "strftime(arg_max(scrape_date, (\"timestamp\", -seq)), " + _TS_FMT_SQL + ") AS scrape_date,", ""))
+def q_stream_upsert_notifications(spark, sf):
+    from ..streaming.streams import latest_table, stream_upsert_notifications
+    src, table = _scratch(spark, "upsert-src"), _scratch(spark, "upsert-table")
+    ev = A.notifications_events(spark, sf)
+    # one file per day: an identity (type, item, day) arrives within one file
+    (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").sortWithinPartitions("seq")
+       .write.partitionBy("_day").json(src))
+    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).json(src)
+    stream_upsert_notifications(sdf, table, _scratch(spark, "upsert-ckpt")).awaitTermination()
+    out = latest_table(spark, table)
+    return out.select("nid", "seq", "type", F.col("item.title").alias("title"),
+                      F.col("item.publish_date_raw").alias("publish_date_raw"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
