@@ -1014,6 +1014,81 @@ def q_stream_upsert_notifications(spark, sf):
                       F.col("item.publish_date_raw").alias("publish_date_raw"))
 
 
+
+# ---------------------------------------------------------------------------
+# Cascade, append, banner, preview, paging
+# ---------------------------------------------------------------------------
+
+@query("summary_cascade")
+def q_summary_cascade(spark, sf):
+    from ..operators.summaries import summary_cascade
+    topic = F.element_at(F.array(*[F.lit(t) for t in A.CACHE_TOPICS]), (F.col("seq") % 3 + 1).cast("int"))
+    items = _docs(spark, sf).withColumn("topic", topic)
+    out = summary_cascade(items, cache=A.cache_docs(spark, sf), as_of=AS_OF)
+    return out.select("seq", "generated_summary")
+
+
+_SQL_PREV_ITEMS = SQL_ITEMS_PAGES + " WHERE page_id % 5 <> 0"
+_SQL_CURR_ITEMS = SQL_ITEMS_PAGES + " WHERE page_id % 7 <> 0"
+
+
+@query("append_new", f"""WITH e AS ({_SQL_PREV_ITEMS}), n AS ({_SQL_CURR_ITEMS}),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(title, '') ORDER BY seq) AS rn FROM n) x
+          WHERE rn = 1 AND coalesce(title, '') NOT IN (SELECT coalesce(title, '') FROM e))
+SELECT 'existing' AS src, seq, title FROM e UNION ALL SELECT 'new' AS src, seq, title FROM fresh""")
+def q_append_new(spark, sf):
+    items = materialize(A.items_pages(spark, sf).select("seq", "title"))
+    existing = items.where(F.col("seq") % 5 != 0).withColumn("src", F.lit("existing"))
+    new = items.where(F.col("seq") % 7 != 0).withColumn("src", F.lit("new"))
+    return DF.append_new(existing, new, key="title").select("src", "seq", "title")
+
+
+@query("new_item_banner", f"""WITH n AS (SELECT c.* FROM ({SQL_CURR}) c WHERE NOT EXISTS (SELECT 1 FROM ({SQL_PREV}) p
+        WHERE p.topic = c.topic AND p.section = c.section AND p.identity = c.identity)),
+t AS (SELECT DISTINCT topic FROM n),
+g AS (SELECT topic, s.section FROM t, (VALUES ('publications'), ('presentations'), ('news')) s(section)
+      UNION SELECT DISTINCT topic, section FROM n)
+SELECT g.topic, g.section, CAST(count(n.identity) AS BIGINT) AS n, CAST(count(n.identity) AS BIGINT) AS banner,
+       count(n.identity) >= 1 AS show
+FROM g LEFT JOIN n ON g.topic = n.topic AND g.section = n.section GROUP BY g.topic, g.section""")
+def q_new_item_banner(spark, sf):
+    from ..operators.reports import new_item_banner
+    from ..sources.snapshots import is_first_snapshot
+    new = q_new_items(spark, sf)
+    return new_item_banner(new, False)
+
+
+@query("head_preview", f"""SELECT seq, document_name FROM ({SQL_ITEMS_DOCS}) d
+ORDER BY {_SQL_PUB_DATE} DESC NULLS LAST, seq LIMIT 5""")
+def q_head_preview(spark, sf):
+    from ..operators.ordering import head_preview
+    d = _docs(spark, sf).withColumn("_d", D.item_date(_PUB_KEYS))
+    return head_preview(d, 5, [F.desc_nulls_last("_d"), F.col("seq")]).select("seq", "document_name")
+
+
+_SQL_PAGES_TABLE = f"""SELECT source AS listing, CAST(doc_id // 20 AS INTEGER) AS page, count(*) AS n_items,
+       count(*) FILTER (WHERE {S.parse_date('release_date', 'listing')} >= TIMESTAMP '{CUTOFF_365}') AS n_added
+FROM (SELECT d.*, x.release_date FROM documents d JOIN ({SQL_ITEMS_DOCS}) x ON x.seq = d.doc_id) y GROUP BY 1, 2"""
+
+
+@query("stop_after_stale_pages", f"""WITH p AS (SELECT * FROM ({_SQL_PAGES_TABLE}) z WHERE page < 50),
+m AS (SELECT *, sum(CASE WHEN n_added = 0 THEN 1 ELSE 0 END) OVER w3 AS stale_run, count(*) OVER w3 AS run_len
+      FROM p WINDOW w3 AS (PARTITION BY listing ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, least(min(CASE WHEN n_items = 0 THEN page END) OVER (PARTITION BY listing),
+                      min(CASE WHEN n_items <> 0 AND run_len = 3 AND stale_run = 3 THEN page + 1 END) OVER (PARTITION BY listing)) AS lim
+      FROM m)
+SELECT listing, page, n_items, n_added FROM s WHERE lim IS NULL OR page < lim""")
+def q_stop_after_stale_pages(spark, sf):
+    from ..operators.ordering import stop_after_stale_pages
+    docs = read_table(spark, sf, "documents", ["doc_id", "source"])
+    dated = _docs(spark, sf).select("seq", "release_date")
+    joined = docs.join(dated, docs.doc_id == dated.seq)
+    in_range = D.parse_date("release_date", "listing") >= F.lit(CUTOFF_365).cast("timestamp_ntz")
+    pages = (joined.groupBy(F.col("source").alias("listing"), (F.col("doc_id") / 20).cast("int").alias("page"))
+                   .agg(F.count(F.lit(1)).alias("n_items"), F.count_if(in_range).alias("n_added")))
+    return stop_after_stale_pages(pages)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
