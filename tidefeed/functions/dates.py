@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_CLASS, WS_RUN, blank, clean_text, collapse_ws, col_, first_nonempty, normalize_text, pystrip
+from .text import WS_CLASS, WS_RUN, blank, let, clean_text, collapse_ws, col_, first_nonempty, normalize_text, pystrip
 
 # ISO-8601 date, optional time (T or space) and optional zone, which is dropped.
 ISO_RE = ("^(\\d{4}-\\d{2}-\\d{2})(?:[T ](\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?)"
@@ -93,17 +93,21 @@ def parse_date(c, profile: str = "dashboard") -> Column:
     if spec["ordinals"]:
         s = F.regexp_replace(s, ORDINAL_RE, "$1")
     # strptime reads a format space as "one or more whitespace"; input with
-    # leading or trailing whitespace never matches.
-    spaced = F.regexp_replace(s, WS_RUN, " ")
-    edge_ws = s.rlike("^" + WS_CLASS + "|" + WS_CLASS + "$")
-    tries = [_strptime(spaced, f).cast("timestamp_ntz") for f in spec["formats"]]
-    if spec["clean"] is None:
-        tries = [F.when(~edge_ws, F.coalesce(*tries))]
-    if spec["iso"] == "first":
-        tries = [parse_iso(s)] + tries
-    elif spec["iso"] == "last":
-        tries = tries + [parse_iso(s)]
-    return F.when(s != "", F.coalesce(*tries)).cast("timestamp_ntz")
+    # leading or trailing whitespace never matches.  The cleaned text is bound
+    # once (``let``) instead of being re-cleaned for every format tried.
+    def attempt(v):
+        s, spaced = v["s"], v["spaced"]
+        tries = [_strptime(spaced, f).cast("timestamp_ntz") for f in spec["formats"]]
+        if spec["clean"] is None:
+            edge_ws = s.rlike("^" + WS_CLASS + "|" + WS_CLASS + "$")
+            tries = [F.when(~edge_ws, F.coalesce(*tries))]
+        if spec["iso"] == "first":
+            tries = [parse_iso(s)] + tries
+        elif spec["iso"] == "last":
+            tries = tries + [parse_iso(s)]
+        return F.when(s != "", F.coalesce(*tries)).cast("timestamp_ntz")
+
+    return let(s, lambda sv: let(F.struct(sv.alias("s"), F.regexp_replace(sv, WS_RUN, " ").alias("spaced")), attempt))
 
 
 def format_date(ts, style: str = "display") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, pystrip
+from .text import blank, let, pystrip
 
 # RFC 3986 split: scheme, authority (host), path; query and fragment dropped.
 URL_SPLIT = "^(?:([A-Za-z][A-Za-z0-9+.\\-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -38,12 +38,13 @@ def url_parts(c) -> tuple[Column, Column, Column]:
 
 
 def url_struct(c) -> Column:
-    """struct(scheme, host, path) from one regex pass (query and fragment dropped)."""
-    raw = pystrip(c)
-    joined = F.regexp_replace(raw, "(?s)" + URL_SPLIT + ".*$", "$1\u0001$2\u0001$3")
-    parts = F.split(joined, "\u0001")
-    return F.struct(parts.getItem(0).alias("scheme"), parts.getItem(1).alias("host"),
-                    parts.getItem(2).alias("path"))
+    """struct(raw, scheme, host, path) from one regex pass (query and fragment dropped)."""
+    def split(raw):
+        joined = F.regexp_replace(raw, "(?s)" + URL_SPLIT + ".*$", "$1\u0001$2\u0001$3")
+        parts = F.split(joined, "\u0001")
+        return F.struct(raw.alias("raw"), parts.getItem(0).alias("scheme"), parts.getItem(1).alias("host"),
+                        parts.getItem(2).alias("path"))
+    return let(pystrip(c), split)
 
 
 def _rstrip_slash(c: Column) -> Column:
@@ -71,26 +72,23 @@ def normalize_link(c, *, default_scheme: str | None = None, sanitize: bool = Fal
 
     ``default_scheme=None`` is the identity form (relative links stay relative);
     ``default_scheme='https'`` (with ``sanitize=True``) is the display-key form,
-    which always renders ``scheme://host/path``.
+    which always renders ``scheme://host/path``.  One URL split per value.
     """
     raw = sanitize_link(c) if sanitize else c
-    raw = pystrip(raw)
-    scheme, host, path = url_parts(raw)
-    scheme = F.lower(scheme)
-    host = F.lower(host)
-    path = _rstrip_slash(path)
-    if default_scheme is None:
-        built = F.concat(
-            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-            F.when(host != "", F.concat(F.lit("//"), host)).otherwise(F.lit("")),
-            path,
-        )
-    else:
-        built = F.concat(
-            F.when(scheme != "", scheme).otherwise(F.lit(default_scheme)),
-            F.lit("://"), host, path,
-        )
-    return F.when(raw == "", F.lit("")).otherwise(built)
+
+    def build(u):
+        scheme, host, path = F.lower(u["scheme"]), F.lower(u["host"]), _rstrip_slash(u["path"])
+        if default_scheme is None:
+            built = F.concat(
+                F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
+                F.when(host != "", F.concat(F.lit("//"), host)).otherwise(F.lit("")),
+                path)
+        else:
+            built = F.concat(F.when(scheme != "", scheme).otherwise(F.lit(default_scheme)),
+                             F.lit("://"), host, path)
+        return F.when(u["raw"] == "", F.lit("")).otherwise(built)
+
+    return let(url_struct(raw), build)
 
 
 def absolutize_link(c, base) -> Column:
@@ -114,17 +112,22 @@ def link_score(c, rules: Sequence[tuple[str, str, int]] = DEFAULT_HOST_RULES) ->
     Scored on the normalised link's host and path, which are the raw link's
     host lower-cased and path without trailing '/', so one URL split suffices.
     """
-    scheme, host, path = url_parts(c)
-    host = F.lower(host)
-    path = _rstrip_slash(path)
-    empty = (scheme == "") & (host == "") & (path == "")
-    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    score = (F.when(path != "", F.lit(10)).otherwise(F.lit(0))
-             + F.when(slashes > 1, F.lit(10)).otherwise(F.lit(0)))
-    for rule_host, part, points in rules:
-        score = score + F.when((host == rule_host) & (F.instr(path, part) > 0), F.lit(points)).otherwise(F.lit(0))
-    score = score + F.when(path == "", F.lit(-50)).otherwise(F.lit(0))
-    return F.when(empty, F.lit(0)).otherwise(score).cast("int")
+    def score_of(u):
+        return let(F.struct(F.lower(u["host"]).alias("host"), _rstrip_slash(u["path"]).alias("path"),
+                            u["scheme"].alias("scheme")), _score)
+
+    def _score(v):
+        host, path = v["host"], v["path"]
+        empty = (v["scheme"] == "") & (host == "") & (path == "")
+        slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+        score = (F.when(path != "", F.lit(10)).otherwise(F.lit(0))
+                 + F.when(slashes > 1, F.lit(10)).otherwise(F.lit(0)))
+        for rule_host, part, points in rules:
+            score = score + F.when((host == rule_host) & (F.instr(path, part) > 0), F.lit(points)).otherwise(F.lit(0))
+        score = score + F.when(path == "", F.lit(-50)).otherwise(F.lit(0))
+        return F.when(empty, F.lit(0)).otherwise(score).cast("int")
+
+    return let(url_struct(c), score_of)
 
 
 def link_score_typed(link, ntype,
@@ -133,9 +136,12 @@ def link_score_typed(link, ntype,
     """Sidebar score: path shape, host/type pairs, content segments, homepage penalty."""
     raw = blank(link)
     t = blank(ntype)
-    _, host, path = url_parts(sanitize_link(raw))
-    host = F.lower(host)
-    path = _rstrip_slash(path)
+    return let(url_struct(sanitize_link(raw)), lambda u: let(
+        F.struct(F.lower(u["host"]).alias("host"), _rstrip_slash(u["path"]).alias("path")),
+        lambda v: _typed(raw, t, v["host"], v["path"], rules, segments)))
+
+
+def _typed(raw, t, host, path, rules, segments):
     slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
     score = (F.when(path != "", F.lit(10)).otherwise(F.lit(0))
              + F.when(slashes > 1, F.lit(10)).otherwise(F.lit(0)))
