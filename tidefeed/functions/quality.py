@@ -481,22 +481,30 @@ def audit_summary(c) -> Column:
     Score starts at 1.0 and loses each failed check's weight in order, as
     doubles; PASS is decided on the unrounded score, then it is rounded to 2
     places.  An empty text is FAIL / 0.0 and ``audited`` false (it is left out
-    of the report).
+    of the report).  Every check is evaluated once per text.
     """
-    s = blank(c)
-    flags = _audit_flags(s)
-    marks = sentence_marks(s)
+    def with_flags(s):
+        flags = _audit_flags(s)
+        packed = F.struct(*[flags[k].alias(k) for k, _, _ in AUDIT_CHECKS],
+                          sentence_marks(s).alias("marks"), (s == "").alias("empty"))
+        return let(packed, _audit_from_flags)
+
+    return let(blank(c), with_flags)
+
+
+def _audit_from_flags(f: Column) -> Column:
+    marks = f["marks"]
     # x - 0.0 == x exactly, so subtracting every weight-or-zero in order equals
     # subtracting only the failed checks' weights in order.
     score = F.lit(1.0)
     issues = []
     for key, text, weight in AUDIT_CHECKS:
-        score = score - F.when(flags[key], F.lit(float(weight))).otherwise(F.lit(0.0))
+        score = score - F.when(f[key], F.lit(float(weight))).otherwise(F.lit(0.0))
         label = (F.concat(F.lit(text.split("{n}")[0]), marks.cast("string"), F.lit(text.split("{n}")[1]))
                  if "{n}" in text else F.lit(text))
-        issues.append(F.when(flags[key], label))
+        issues.append(F.when(f[key], label))
     score = F.greatest(score, F.lit(0.0))
-    empty = s == ""
+    empty = f["empty"]
     return F.struct(
         F.when(empty, F.lit("FAIL")).when(score >= F.lit(AUDIT_PASS), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
         F.when(empty, F.lit(0.0)).otherwise(F.round(score, 2)).alias("score"),

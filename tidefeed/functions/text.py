@@ -113,9 +113,14 @@ def cache_key(c, *, kind: str | None = None, trim: bool = True) -> Column:
     return F.concat(F.lit(kind + "_"), key) if kind else key
 
 
+# Python's whitespace characters, for ``btrim`` (same set as WS_CLASS).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def pystrip(c) -> Column:
     """Python ``str.strip()`` (Unicode whitespace at both ends)."""
-    return F.regexp_replace(blank(c), "^" + WS_RUN + "|" + WS_RUN + "$", "")
+    return F.btrim(blank(c), F.lit(PY_WHITESPACE))
 
 
 # Placeholder texts used when a listing gives no summary.
