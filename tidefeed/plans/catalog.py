@@ -241,12 +241,18 @@ def q_date_token(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("page_metadata", f"""SELECT page_id, {S.tag_text('html', 'title')} AS title, {S.tag_text('html', 'h1')} AS h1,
-       coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\\slang\\s*=\\s*["'']([^"'']+)["'']', 1), ''), 'en') AS lang
+       coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\\slang\\s*=\\s*["'']([^"'']+)["'']', 1), ''), 'en') AS lang,
+       {S.meta_content('html', 'name', 'description')} AS meta_description,
+       {S.meta_content('html', 'property', 'og:description')} AS og_description,
+       {S.meta_content('html', 'name', 'dcterms.description')} AS dcterms_description
 FROM pages""")
 def q_page_metadata(spark, sf):
     p = read_pages(spark, sf)
     return p.select("page_id", tag_text("html", "title").alias("title"), tag_text("html", "h1").alias("h1"),
-                    page_language("html").alias("lang"))
+                    page_language("html").alias("lang"),
+                    meta_content("html", "name", "description").alias("meta_description"),
+                    meta_content("html", "property", "og:description").alias("og_description"),
+                    meta_content("html", "name", "dcterms.description").alias("dcterms_description"))
 
 
 # ---------------------------------------------------------------------------
@@ -1089,6 +1095,29 @@ def q_stop_after_stale_pages(spark, sf):
     return stop_after_stale_pages(pages)
 
 
+
+@query("enrich_due_dates", f"""WITH i AS (SELECT seq, link, 'Drafts' AS category FROM ({SQL_ITEMS_PAGES}) x),
+p AS (SELECT * FROM (SELECT {S.normalize_link('url')} AS plink, page_id, html,
+                            row_number() OVER (PARTITION BY {S.normalize_link('url')} ORDER BY page_id) AS rn FROM pages) y
+      WHERE rn = 1 AND plink <> ''),
+d AS (SELECT plink, {_sql_due(S.page_text('html'))} AS due FROM p)
+SELECT i.seq, coalesce({S.fmt_display('d.due')}, '') AS comment_due_date, coalesce({S.fmt_raw('d.due')}, '') AS comment_due_date_raw
+FROM i LEFT JOIN d ON d.plink = {S.normalize_link(S.sanitize_link('i.link'))}""")
+def q_enrich_due_dates(spark, sf):
+    from ..operators.enrich import enrich_due_dates
+    items = FL.tag_source(A.items_pages(spark, sf), "qis", "Drafts")
+    out = enrich_due_dates(items, read_pages(spark, sf))
+    return out.select("seq", "comment_due_date", "comment_due_date_raw")
+
+
+@query("enrich_news_dates")
+def q_enrich_news_dates(spark, sf):
+    from ..operators.enrich import enrich_news_dates
+    pages = read_pages(spark, sf)
+    out = enrich_news_dates(A.items_pages(spark, sf), X.article_dates(pages))
+    return out.select("seq", "publish_date", "publish_date_raw", "last_edited_date", "last_edited_date_raw")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -437,3 +437,14 @@ def audit_columns(x: str, Q) -> dict[str, str]:
         "sentence_count": f"(CASE WHEN {empty} THEN NULL ELSE {marks} END)",
         "audited": f"(NOT {empty})",
     }
+
+
+def page_text(html: str) -> str:
+    h = (f"regexp_replace({html}, '(?is)<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g')")
+    return clean_text(unescape(strip_tags(h)))
+
+
+def meta_content(html: str, attr: str, name: str) -> str:
+    a = f"regexp_extract({html}, {q(f'(?is)<meta{chr(92)}s[^>]*{attr}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]{name}[{chr(34)}{chr(39)}][^>]*content{chr(92)}s*={chr(92)}s*{chr(34)}([^{chr(34)}]*){chr(34)}')}, 1)"
+    b = f"regexp_extract({html}, {q(f'(?is)<meta{chr(92)}s[^>]*content{chr(92)}s*={chr(92)}s*{chr(34)}([^{chr(34)}]*){chr(34)}[^>]*{attr}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]{name}[{chr(34)}{chr(39)}]')}, 1)"
+    return clean_text(unescape(f"coalesce(nullif({a}, ''), {b})"))

@@ -29,10 +29,12 @@ def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines")
     else:
         raw = spark.read.text(path, wholetext=True)
         arr = F.from_json(F.col("value"), ArrayType(NOTE_SCHEMA))
-        rows = (raw.select(F.input_file_name().alias("_file"), arr.alias("a"))
+        # a single object would be read as a one-element list: only '[' payloads count
+        is_list = F.regexp_replace(F.col("value"), "^\\s+", "").startswith("[")
+        rows = (raw.select(F.input_file_name().alias("_file"), F.when(is_list, arr).alias("a"))
                    .where(F.col("a").isNotNull())
                    .select("_file", F.posexplode("a").alias("pos", "n"))
-                   .select((F.xxhash64("_file") * F.lit(1 << 20) + F.col("pos")).alias("seq"), "n.*"))
+                   .select(((F.xxhash64("_file") % F.lit(1 << 40)) * F.lit(1 << 20) + F.col("pos")).alias("seq"), "n.*"))
     rows = (rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
                 .withColumn("scrape_date", F.col("scrape_date").try_cast("timestamp_ntz")))
     return dedupe_notifications(rows.select("seq", "type", "timestamp", "scrape_date", "item"))

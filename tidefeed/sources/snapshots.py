@@ -59,27 +59,20 @@ def read_snapshot_json(spark: SparkSession, path: str, topic: str, *, flat_secti
     path for the envelope format, the snapshot store itself is parquet.
     """
     data_type = ArrayType(ITEM_SCHEMA) if flat_section else MapType(StringType(), ArrayType(ITEM_SCHEMA))
-    schema = StructType([StructField("data", data_type), StructField("timestamp", StringType()),
-                         StructField("_corrupt_record", StringType())])
+    schema = StructType([StructField("data", data_type), StructField("timestamp", StringType())])
     out_schema = StructType([StructField("topic", StringType()), StructField("section", StringType()),
                              StructField("seq", LongType()), *ITEM_SCHEMA.fields])
+    # flat reader: corrupt files are dropped; topic reader: the job fails on one
+    mode = "DROPMALFORMED" if flat_section else "FAILFAST"
     try:
-        raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-                    .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+        raw = spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e).lower():
             return spark.createDataFrame([], out_schema)
         raise
-    good = raw.where(F.col("_corrupt_record").isNull())
     if flat_section:
-        items = good.select(F.lit(flat_section).alias("section"), F.posexplode("data").alias("seq", "it"))
+        items = raw.select(F.lit(flat_section).alias("section"), F.posexplode("data").alias("seq", "it"))
     else:
-        check = raw.where(F.col("_corrupt_record").isNotNull()).select(
-            F.raise_error(F.lit("corrupt topic snapshot")).alias("_x"))
-        sections = good.select(F.explode("data").alias("section", "lst"))
+        sections = raw.select(F.explode("data").alias("section", "lst"))
         items = sections.select("section", F.posexplode("lst").alias("seq", "it"))
-        # fail the job (not the driver) if any corrupt envelope is present
-        items = items.unionByName(check.select(F.lit(None).cast("string").alias("section"),
-                                               F.lit(None).cast("int").alias("seq"),
-                                               F.lit(None).cast(ITEM_SCHEMA).alias("it")))
     return items.select(F.lit(topic).alias("topic"), "section", F.col("seq").cast("long").alias("seq"), "it.*")
