@@ -71,16 +71,16 @@ def add_identity(df, name: str = "identity", *, label_keys: Sequence[str] = LABE
 
     def c(name):
         return F.col(name) if name in present else F.lit(None).cast("string")
-    parts = df.select("*",
-                      normalize_text(first_nonempty(*[c(k) for k in label_keys])).alias("_id_label"),
-                      normalize_text(first_nonempty(*[c(k) for k in date_keys])).alias("_id_token"),
-                      normalize_text(c(number_col)).alias("_id_number"),
-                      normalize_link(c(link_col)).alias("_id_link"))
-    label, token, number, link = (F.col("_id_label"), F.col("_id_token"), F.col("_id_number"), F.col("_id_link"))
+    parts = df.select("*", F.explode(F.array(F.struct(
+        normalize_text(first_nonempty(*[c(k) for k in label_keys])).alias("label"),
+        normalize_text(first_nonempty(*[c(k) for k in date_keys])).alias("token"),
+        normalize_text(c(number_col)).alias("number"),
+        normalize_link(c(link_col)).alias("link")))).alias("_id"))
+    label, token, number, link = (F.col("_id.label"), F.col("_id.token"), F.col("_id.number"), F.col("_id.link"))
     ident = (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
               .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
               .when(label != "", F.concat(F.lit("label::"), label))
               .when(link != "", F.concat(F.lit("link::"), link))
               .when(token != "", F.concat(F.lit("date::"), token))
               .otherwise(F.lit("empty-item")))
-    return parts.withColumn(name, ident).drop("_id_label", "_id_token", "_id_number", "_id_link")
+    return parts.withColumn(name, ident).drop("_id")

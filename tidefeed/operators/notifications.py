@@ -148,12 +148,13 @@ def bucket_by_week(df: DataFrame, as_of, *, seq: str = "seq", item: str = "item"
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     firsts = first_per_key(with_nid(conform_item(df, item), item=item), [NID], [seq])
     d = notification_date(item)
-    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(d.cast("timestamp"))
+    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(F.col("item_date").cast("timestamp"))
     age = F.floor(secs / F.lit(86_400_000_000)).cast("long")
     bucket = (F.when((age >= 0) & (age <= 7), F.lit("week_1"))
                .when((age >= 8) & (age <= 14), F.lit("week_2"))
                .otherwise(F.lit("archived")))
-    return (firsts.withColumn("item_date", d).where(F.col("item_date").isNotNull())
+    from .common import bind
+    return (bind(firsts, "item_date", d).where(F.col("item_date").isNotNull())
                   .withColumn("age_days", age).withColumn("bucket", bucket))
 
 
@@ -171,8 +172,9 @@ def active_notifications(df: DataFrame, as_of, *, hours: int = 48, item: str = "
     raw = first_nonempty(*[f"{item}.{k}" for k in ("release_date_raw", "edited_date_raw",
                                                     "last_edited_date_raw", "publish_date_raw")])
     d = F.when(~raw.rlike(ZONE_RE), parse_iso(raw))
-    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(d.cast("timestamp"))
-    return df.withColumn("item_date", d).where(
+    from .common import bind
+    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(F.col("item_date").cast("timestamp"))
+    return bind(df, "item_date", d).where(
         F.col("item_date").isNotNull() & (secs < F.lit(hours * 3600 * 1_000_000)))
 
 

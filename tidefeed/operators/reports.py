@@ -36,9 +36,15 @@ def new_item_banner(new: DataFrame, is_first: Column | bool, *, sections: Sequen
 
 
 def audit(df: DataFrame, text: str = "summary") -> DataFrame:
-    """Attach the audit struct's fields to every row."""
-    return (df.withColumn("_a", audit_summary(F.col(text)))
-              .select("*", "_a.status", "_a.score", "_a.issues", "_a.sentence_count", "_a.audited")
+    """Attach the audit struct's fields to every row.
+
+    ``audited`` is restated as the cheap test it is (non-empty text), so a
+    filter on it, pushed below the projection, does not re-run the audit.
+    """
+    from .common import bind
+    return (bind(df, "_a", audit_summary(F.col(text)))
+              .select("*", "_a.status", "_a.score", "_a.issues", "_a.sentence_count",
+                      (blank(text) != "").alias("audited"))
               .drop("_a"))
 
 
