@@ -812,7 +812,8 @@ def q_extract_due_date(spark, sf):
     return d.select("doc_id", "_d.comment_due_date", "_d.comment_due_date_raw")
 
 
-@query("third_person")
+@query("third_person", f"""SELECT doc_id, {S.third_person('text', Q, 'summary')} AS summary_form,
+       {S.third_person('text', Q, 'model')} AS model_form FROM documents""")
 def q_third_person(spark, sf):
     d = _docs_text(spark, sf)
     return d.select("doc_id", Q.third_person("text", "summary").alias("summary_form"),
@@ -824,12 +825,19 @@ def q_strip_contact_info(spark, sf):
     return A.contact_docs(spark, sf).select("doc_id", Q.strip_contact_info("text").alias("stripped"))
 
 
-@query("clean_summary")
+_TP = S.third_person("text", Q, "summary")
+_TWO = S.first_sentences(_TP)
+
+
+@query("clean_summary", f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR {S.is_uninformative('text', 'summary', Q)} THEN ''
+       WHEN {S.is_uninformative('two', 'summary', Q)} OR {S.mid_phrase_start('two', Q.MID_PHRASE_WORDS)} THEN ''
+       ELSE two END AS summary
+FROM (SELECT doc_id, text, {_TWO} AS two FROM documents) d""")
 def q_clean_summary(spark, sf):
     return _docs_text(spark, sf).select("doc_id", Q.clean_summary("text").alias("summary"))
 
 
-@query("strip_terms")
+@query("strip_terms", f"SELECT doc_id, {S.strip_summary_terms('text', Q)} AS text FROM documents")
 def q_strip_terms(spark, sf):
     return _docs_text(spark, sf).select("doc_id", Q.strip_summary_terms("text").alias("text"))
 

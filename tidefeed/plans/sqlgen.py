@@ -448,3 +448,53 @@ def meta_content(html: str, attr: str, name: str) -> str:
     a = f"regexp_extract({html}, {q(f'(?is)<meta{chr(92)}s[^>]*{attr}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]{name}[{chr(34)}{chr(39)}][^>]*content{chr(92)}s*={chr(92)}s*{chr(34)}([^{chr(34)}]*){chr(34)}')}, 1)"
     b = f"regexp_extract({html}, {q(f'(?is)<meta{chr(92)}s[^>]*content{chr(92)}s*={chr(92)}s*{chr(34)}([^{chr(34)}]*){chr(34)}[^>]*{attr}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]{name}[{chr(34)}{chr(39)}]')}, 1)"
     return clean_text(unescape(f"coalesce(nullif({a}, ''), {b})"))
+
+
+def word_sub(x: str, word_pat: str, repl: str, flags: str = "i") -> str:
+    """``re.sub(r'\\bWORD\\b', repl, x, flags)`` with Unicode word boundaries in RE2.
+
+    The neighbouring non-word characters are captured and put back; a match
+    consumes its right neighbour, so a second pass handles occurrences that
+    share one boundary character with the previous one.
+    """
+    pat = f"(?{flags})(^|{NOT_WORD})(?:{word_pat})({NOT_WORD}|$)" if flags else f"(^|{NOT_WORD})(?:{word_pat})({NOT_WORD}|$)"
+    r = repl.replace("'", "''")
+    once = f"regexp_replace({x}, {q(pat)}, '\\1{r}\\2', 'g')"
+    return f"regexp_replace({once}, {q(pat)}, '\\1{r}\\2', 'g')"
+
+
+def third_person(x: str, Q, variant: str = "summary") -> str:
+    s = f"regexp_replace({blank(x)}, {q('(?i)^' + WS + '*summary' + WS + '*[:' + chr(92) + '-]?' + WS + '*')}, '')"
+    if variant == "summary":
+        s = pystrip(s)
+    leads = [
+        "(?i)^(this\\s+abstract\\s+outlines(\\s+key\\s+areas(\\s+of)?)?)\\s*[:,]?\\s*",
+        "(?i)^(the|this)\\s+(paper|article)\\s+presents\\s*[:,]?\\s*",
+        "(?i)^(the|this)\\s+study\\s+presents\\s*[:,]?\\s*",
+    ]
+    if variant != "summary":
+        leads.append("(?i)^(the|this)\\s+abstract\\s+is\\s+about\\s*[:,]?\\s*")
+    for p in leads:
+        s = f"regexp_replace({s}, {q(p.replace(chr(92) + 's', WS))}, '')"
+    if variant == "summary":
+        s = pystrip(s)
+    verbs = Q.THIRD_PERSON_VERBS_SHORT if variant == "summary" else Q.THIRD_PERSON_VERBS_LONG
+    for verb, repl in verbs:
+        s = word_sub(s, "we " + verb, repl)
+    for w, r in (("our", "their"), ("ours", "theirs"), ("us", "them"), ("I", "The researcher")):
+        s = word_sub(s, w, r)
+    if variant == "summary":
+        s = word_sub(s, "we", "the researchers")
+        for term in Q.PUBLISHER_TERMS:
+            s = word_sub(s, term, "")
+        s = f"regexp_replace({s}, {q('(?i)' + Q.PUBLISHER_NAME)}, '', 'g')"
+        return clean_text(s)
+    return pystrip(s)
+
+
+def strip_summary_terms(x: str, Q) -> str:
+    s = blank(x)
+    for t in Q.PUBLISHER_TERMS:
+        s = word_sub(s, t, "")
+    s = pystrip(s)
+    return pystrip(f"regexp_replace({s}, {q(WS + '{2,}')}, ' ', 'g')")
