@@ -262,7 +262,9 @@ def strip_contact_info(c) -> Column:
     result = pystrip(F.array_join(F.transform(kept, lambda s: pystrip(s)), " "))
 
     def surgical(s):
-        out = F.regexp_replace(s, "(?i)" + phrase_re, "")
+        out = s
+        for phrase in CONTACT_PHRASES:      # removed one phrase after another, in list order
+            out = F.regexp_replace(out, "(?i)" + alternation([phrase]), "")
         out = F.regexp_replace(out, WS_RUN, " ")
         out = F.regexp_replace(out, "\\." + WS_CLASS + "*\\.", ".")
         return pystrip(out)

@@ -820,7 +820,7 @@ def q_third_person(spark, sf):
                     Q.third_person("text", "model").alias("model_form"))
 
 
-@query("strip_contact_info")
+@query("strip_contact_info", f"SELECT doc_id, {S.strip_contact_info('text', Q)} AS stripped FROM documents WHERE strpos(text, '@') > 0")
 def q_strip_contact_info(spark, sf):
     return A.contact_docs(spark, sf).select("doc_id", Q.strip_contact_info("text").alias("stripped"))
 

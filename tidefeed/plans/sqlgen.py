@@ -498,3 +498,23 @@ def strip_summary_terms(x: str, Q) -> str:
         s = word_sub(s, t, "")
     s = pystrip(s)
     return pystrip(f"regexp_replace({s}, {q(WS + '{2,}')}, ' ', 'g')")
+
+
+def strip_contact_info(x: str, Q) -> str:
+    email = f"(^|{NOT_WORD}){EMAIL_RE}({NOT_WORD}|$)"
+    text = f"regexp_replace({blank(x)}, {q(email)}, '\\1\\2', 'g')"
+    found = f"regexp_extract_all(t, {q(SENTENCE_RE)})"
+    sents = f"(CASE WHEN len({found}) = 0 THEN [t] ELSE {found} END)"
+    keep = (f"array_to_string(list_transform(list_filter(sents, lambda z: NOT "
+            f"{contains_any('lower(' + pystrip('z') + ')', Q.CONTACT_PHRASES)}), lambda z: {pystrip('z')}), ' ')")
+    surg = "z"
+    for ph in Q.CONTACT_PHRASES:
+        esc = "".join(("\\" + ch) if not ch.isalnum() and ch != " " else ch for ch in ph)
+        surg = f"regexp_replace({surg}, {q('(?i)' + esc)}, '', 'g')"
+    surg = f"regexp_replace({surg}, {q(WS + '+')}, ' ', 'g')"
+    surg = f"regexp_replace({surg}, {q(chr(92) + '.' + WS + '*' + chr(92) + '.')}, '.', 'g')"
+    surg = pystrip(surg)
+    cut = (f"array_to_string(list_filter(list_transform(sents, lambda z: {surg}), "
+           f"lambda z: z <> '' AND {word_count('z')} > 3), ' ')")
+    return (f"(SELECT CASE WHEN {blank(x)} = '' THEN '' WHEN {word_count(pystrip(keep))} < 10 AND len(sents) > 1 "
+            f"THEN {pystrip(cut)} ELSE {pystrip(keep)} END FROM (SELECT {sents} AS sents FROM (SELECT {text} AS t) a) b)")
