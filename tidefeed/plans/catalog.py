@@ -1033,7 +1033,29 @@ def q_stream_upsert_notifications(spark, sf):
 # Cascade, append, banner, preview, paging
 # ---------------------------------------------------------------------------
 
-@query("summary_cascade")
+def _sql_cascade():
+    ab = S.clean_text("summary")
+    tp = lambda x: S.first_sentences(S.third_person(x, Q, "summary"))
+    mid = lambda x: S.mid_phrase_start(x, Q.MID_PHRASE_WORDS)
+    uninf = lambda x: S.is_uninformative(x, "summary", Q)
+    return f"""WITH c AS ({_CACHE_SQL}),
+latest AS (SELECT md5({S.pystrip('summary')}) AS key, topic, arg_max(summary, ts) AS summary, max(ts) AS ts FROM c GROUP BY 1, 2),
+hit AS (SELECT key, topic, summary FROM latest WHERE ts >= {AS_OF_SQL} - INTERVAL 48 HOUR
+        AND NOT (coalesce(summary, '') <> '' AND ({uninf('summary')} OR {mid('summary')}))),
+i AS (SELECT seq, (['qis', 'pqc', 'ai_publications'])[seq % 3 + 1] AS topic, {ab} AS abstract FROM ({SQL_ITEMS_DOCS}) d),
+j AS (SELECT i.*, h.summary AS cached FROM i LEFT JOIN hit h ON h.key = md5({S.pystrip('i.abstract')}) AND h.topic = i.topic),
+k AS (SELECT *, {tp('cached')} AS cached_out, {S.strip_contact_info('abstract', Q)} AS cl FROM j),
+m AS (SELECT *, {tp(S.first_sentences('cl'))} AS own, {S.split_sentences('cl')}[1] AS first1 FROM k)
+SELECT seq, CASE WHEN abstract = '' THEN ''
+                 WHEN coalesce(cached, '') <> '' AND NOT {mid('cached_out')} THEN cached_out
+                 WHEN cl = '' OR {uninf('cl')} THEN ''
+                 WHEN own <> '' AND NOT {mid('own')} THEN own
+                 WHEN first1 IS NOT NULL AND NOT {uninf('first1')} AND NOT {mid('first1')} THEN first1
+                 ELSE '' END AS generated_summary
+FROM m"""
+
+
+@query("summary_cascade", _sql_cascade())
 def q_summary_cascade(spark, sf):
     from ..operators.summaries import summary_cascade
     topic = F.element_at(F.array(*[F.lit(t) for t in A.CACHE_TOPICS]), (F.col("seq") % 3 + 1).cast("int"))
