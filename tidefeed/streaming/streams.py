@@ -7,8 +7,8 @@ what the previous snapshot lacks).  Without a horizon the state is kept for
 ever, which matches the batch answer on any split of the input.
 
 ``stream_upsert_notifications`` maintains the notification table per
-micro-batch with ``foreachBatch``; each batch writes a new version directory
-named by its batch id, so a replayed batch finds its version and does nothing.
+micro-batch with ``foreachBatch``; the table is bucketed by identity hash and
+a batch rewrites only the buckets it touches (see ``upsert_batch``).
 """
 
 from __future__ import annotations
@@ -26,36 +26,41 @@ def stream_new_items(sdf: DataFrame, *, horizon: str | None = None, event_time:
     return keyed.dropDuplicates([NID])
 
 
-def _versions(spark, path: str) -> list[int]:
+BUCKETS = 64
+
+
+def _exists(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, as_of_col: str = "scrape_date") -> None:
-    """One micro-batch: latest version + this batch -> version ``batch_id`` (idempotent)."""
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS,
+                 as_of_col: str = "scrape_date") -> None:
+    """One micro-batch: merge the batch into the buckets it touches, overwrite only those.
+
+    The table is partitioned by ``bucket = pmod(xxhash64(nid), buckets)``.  The
+    stored rows are read through a semi-join on the batch's buckets, which
+    dynamic partition pruning turns into reading only those directories; the
+    result is staged in the checkpoint folder and written back with dynamic
+    partition overwrite.  ``upsert_notifications`` is idempotent (a known
+    identity keeps its row and merging the same item again changes nothing),
+    so a batch replayed after a failure leaves the table as it was.
+    """
+    from ..session import materialize
     spark = batch.sparkSession
-    versions = _versions(spark, path)
-    if batch_id in versions:
-        return
-    prior = [v for v in versions if v < batch_id]
-    new = batch.select("seq", "type", "timestamp", "scrape_date", "item")
-    if prior:
-        store = spark.read.parquet(f"{path}/v={prior[-1]}")
+    bucket = F.pmod(F.xxhash64(F.col(NID)), F.lit(buckets))
+    new = with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item"))
+    if _exists(spark, path):
+        touched = new.select(bucket.alias("bucket")).distinct()
+        store = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket")
         as_of = new.agg(F.max(as_of_col)).scalar()
-        out = upsert_notifications(store, new, as_of=as_of)
+        out = upsert_notifications(store, new.drop(NID), as_of=as_of)
     else:
-        out = dedupe_notifications(new)
-    out.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        out = dedupe_notifications(new.drop(NID))
+    staged = materialize(with_nid(out).withColumn("bucket", bucket))
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("bucket").parquet(path))
 
 
 def stream_upsert_notifications(sdf: DataFrame, path: str, checkpoint: str):
@@ -65,5 +70,4 @@ def stream_upsert_notifications(sdf: DataFrame, path: str, checkpoint: str):
 
 
 def latest_table(spark, path: str) -> DataFrame:
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}")
+    return spark.read.parquet(path).drop("bucket")
