@@ -21,8 +21,8 @@ def _items(spark):
 def test_new_items_properties(spark):
     items = _items(spark)
     assert DF.new_items(items, items, fields=["title", "link", "summary"]).count() == 0
-    cur = items.where(F.col("seq") % 7 != 0)
-    prev = items.where(F.col("seq") % 5 != 0)
+    cur = items.where(A.in_curr_crawl())
+    prev = items.where(A.in_prev_crawl())
     new = DF.new_items(cur, prev, fields=["title", "link", "summary"])
     merged_cur = DF.merge_items(DF._with_identity(cur, "identity"), group_cols=("topic", "section"),
                                 fields=["title", "link", "summary"])

@@ -16,14 +16,18 @@ SECTIONS = ("publications", "presentations", "news")
 
 def section_counts(df: DataFrame, *, sections: Sequence[str] = SECTIONS,
                    topic: str = "topic", section: str = "section") -> DataFrame:
-    """Rows per (topic, section); the fixed sections appear with 0 when empty."""
+    """Rows per (topic, section); the fixed sections appear with 0 when empty.
+
+    The input is aggregated once; the zero-filled grid is built from that
+    (topic x section)-sized result, so the input plan is read a single time.
+    """
     counts = df.groupBy(topic, section).agg(F.count(F.lit(1)).alias("n"))
-    frame = (df.select(topic).distinct()
-               .withColumn(section, F.explode(F.array(*[F.lit(s) for s in sections]))))
-    extra = counts.select(topic, section)
-    grid = frame.unionByName(extra).distinct()
-    return (grid.join(counts, [topic, section], "left")
-                .select(topic, section, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    fixed = F.array(*[F.lit(s) for s in sections])
+    per_topic = counts.groupBy(topic).agg(
+        F.array_union(fixed, F.collect_set(F.col(section))).alias("_sections"),   # bounded: sections of one topic
+        F.map_from_entries(F.collect_list(F.struct(F.col(section), F.col("n")))).alias("_n"))
+    return per_topic.select(topic, F.explode("_sections").alias(section), "_n").select(
+        topic, section, F.coalesce(F.try_element_at("_n", F.col(section)), F.lit(0)).cast("long").alias("n"))
 
 
 def new_item_banner(new: DataFrame, is_first: Column | bool, *, sections: Sequence[str] = SECTIONS,

@@ -46,14 +46,24 @@ def items_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out)
 
 
+def in_prev_crawl(link="link"):
+    """The previous crawl did not follow links with a query string."""
+    return F.instr(F.col(link) if isinstance(link, str) else link, "?") == 0
+
+
+def in_curr_crawl(link="link"):
+    """The current crawl does not follow fragment links."""
+    return F.instr(F.col(link) if isinstance(link, str) else link, "#") == 0
+
+
 def snapshot_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previous crawl: the pages seen then (every page but one in five)."""
-    return items_pages(spark, sf_dir).where(F.col("seq") % 5 != 0)
+    """Previous crawl over the pages table: every page reachable without a query string."""
+    return items_pages(spark, sf_dir).where(in_prev_crawl())
 
 
 def snapshot_curr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current crawl: the pages seen now (every page but one in seven)."""
-    return items_pages(spark, sf_dir).where(F.col("seq") % 7 != 0)
+    """Current crawl over the pages table: every page reachable without a fragment."""
+    return items_pages(spark, sf_dir).where(in_curr_crawl())
 
 
 def items_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,16 +292,18 @@ def q_merge_items(spark, sf):
     return _merged_pages(spark, sf)
 
 
-SQL_PREV = _sql_merge(SQL_ITEMS_PAGES + " WHERE page_id % 5 <> 0", _PAGE_FIELDS, ["topic", "section"], _PAGE_COLS)
-SQL_CURR = _sql_merge(SQL_ITEMS_PAGES + " WHERE page_id % 7 <> 0", _PAGE_FIELDS, ["topic", "section"], _PAGE_COLS)
+SQL_PREV_WHERE = " WHERE strpos(url, '?') = 0"      # previous crawl: no query-string links
+SQL_CURR_WHERE = " WHERE strpos(url, '#') = 0"      # current crawl: no fragment links
+SQL_PREV = _sql_merge(SQL_ITEMS_PAGES + SQL_PREV_WHERE, _PAGE_FIELDS, ["topic", "section"], _PAGE_COLS)
+SQL_CURR = _sql_merge(SQL_ITEMS_PAGES + SQL_CURR_WHERE, _PAGE_FIELDS, ["topic", "section"], _PAGE_COLS)
 
 
 @query("new_items", f"""SELECT c.* FROM ({SQL_CURR}) c
 WHERE NOT EXISTS (SELECT 1 FROM ({SQL_PREV}) p WHERE p.topic = c.topic AND p.section = c.section AND p.identity = c.identity)""")
 def q_new_items(spark, sf):
     items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
-    cur = merge_items(items.where(F.col("seq") % 7 != 0), group_cols=("topic", "section"), fields=_PAGE_FIELDS)
-    prev = merge_items(items.where(F.col("seq") % 5 != 0), group_cols=("topic", "section"), fields=_PAGE_FIELDS)
+    cur = merge_items(items.where(A.in_curr_crawl()), group_cols=("topic", "section"), fields=_PAGE_FIELDS)
+    prev = merge_items(items.where(A.in_prev_crawl()), group_cols=("topic", "section"), fields=_PAGE_FIELDS)
     return DF.new_items(cur, prev, merged=True)
 
 
@@ -310,8 +312,8 @@ def q_new_items(spark, sf):
     EXCEPT SELECT identity FROM ({SQL_CURR}) c) y) > 0 AS changed""")
 def q_has_changed(spark, sf):
     items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
-    cur = items.where(F.col("seq") % 7 != 0)
-    prev = items.where(F.col("seq") % 5 != 0)
+    cur = items.where(A.in_curr_crawl())
+    prev = items.where(A.in_prev_crawl())
     return DF.has_changed(cur, prev, group_cols=("topic", "section"), fields=_PAGE_FIELDS)
 
 
@@ -323,8 +325,8 @@ FULL OUTER JOIN (SELECT topic, section, identity FROM ({SQL_PREV}) p0) p
   ON c.topic = p.topic AND c.section = p.section AND c.identity = p.identity""")
 def q_compare_snapshots(spark, sf):
     items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
-    cur = items.where(F.col("seq") % 7 != 0)
-    prev = items.where(F.col("seq") % 5 != 0)
+    cur = items.where(A.in_curr_crawl())
+    prev = items.where(A.in_prev_crawl())
     return DF.compare_snapshots(cur, prev, fields=_PAGE_FIELDS)
 
 
@@ -968,8 +970,8 @@ def q_latest_snapshot(spark, sf):
     from ..sources.snapshots import latest_snapshot, read_snapshots, write_snapshot
     path = _scratch(spark, "snaps")
     items = materialize(A.items_pages(spark, sf).select("seq", "topic", "section", "title", "link", "summary"))
-    write_snapshot(items.where(F.col("seq") % 5 != 0), path, as_of="2024-01-30 00:00:00")
-    write_snapshot(items.where(F.col("seq") % 7 != 0), path, as_of=AS_OF)
+    write_snapshot(items.where(A.in_prev_crawl()), path, as_of="2024-01-30 00:00:00")
+    write_snapshot(items.where(A.in_curr_crawl()), path, as_of=AS_OF)
     return latest_snapshot(read_snapshots(spark, path), "qis").select("seq", "identity", "title", "link")
 
 
@@ -1064,8 +1066,8 @@ def q_summary_cascade(spark, sf):
     return out.select("seq", "generated_summary")
 
 
-_SQL_PREV_ITEMS = SQL_ITEMS_PAGES + " WHERE page_id % 5 <> 0"
-_SQL_CURR_ITEMS = SQL_ITEMS_PAGES + " WHERE page_id % 7 <> 0"
+_SQL_PREV_ITEMS = SQL_ITEMS_PAGES + SQL_PREV_WHERE
+_SQL_CURR_ITEMS = SQL_ITEMS_PAGES + SQL_CURR_WHERE
 
 
 @query("append_new", f"""WITH e AS ({_SQL_PREV_ITEMS}), n AS ({_SQL_CURR_ITEMS}),
@@ -1073,9 +1075,9 @@ fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(titl
           WHERE rn = 1 AND coalesce(title, '') NOT IN (SELECT coalesce(title, '') FROM e))
 SELECT 'existing' AS src, seq, title FROM e UNION ALL SELECT 'new' AS src, seq, title FROM fresh""")
 def q_append_new(spark, sf):
-    items = materialize(A.items_pages(spark, sf).select("seq", "title"))
-    existing = items.where(F.col("seq") % 5 != 0).withColumn("src", F.lit("existing"))
-    new = items.where(F.col("seq") % 7 != 0).withColumn("src", F.lit("new"))
+    items = materialize(A.items_pages(spark, sf).select("seq", "title", "link"))
+    existing = items.where(A.in_prev_crawl()).withColumn("src", F.lit("existing"))
+    new = items.where(A.in_curr_crawl()).withColumn("src", F.lit("new"))
     return DF.append_new(existing, new, key="title").select("src", "seq", "title")
 
 
