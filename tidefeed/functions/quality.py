@@ -209,7 +209,7 @@ def first_sentences(c, n: int = 2, *, clean: str = "clean_text") -> Column:
 def sentence_marks(c) -> Column:
     """Number of ``[^.!?]*[.!?]`` matches, i.e. of '.', '!' and '?' characters."""
     s = blank(c)
-    return F.length(s) - F.length(F.regexp_replace(s, "[.!?]", ""))
+    return (F.length(s) - F.length(F.regexp_replace(s, "[.!?]", ""))).cast("long")
 
 
 def mid_phrase_start(c) -> Column:
@@ -521,7 +521,7 @@ def _audit_from_flags(f: Column) -> Column:
         F.when(empty, F.lit("FAIL")).when(score >= F.lit(AUDIT_PASS), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
         F.when(empty, F.lit(0.0)).otherwise(F.round(score, 2)).alias("score"),
         F.when(empty, F.array(F.lit(EMPTY_ISSUE))).otherwise(F.array_compact(F.array(*issues))).alias("issues"),
-        F.when(empty, F.lit(None).cast("int")).otherwise(marks).alias("sentence_count"),
+        F.when(empty, F.lit(None).cast("long")).otherwise(marks).alias("sentence_count"),
         (~empty).alias("audited"),
     )
 

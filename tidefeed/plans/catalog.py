@@ -87,7 +87,7 @@ def _docs(spark, sf):
 
 @query("read_pages", "SELECT page_id, url, length(html) AS html_chars FROM pages")
 def q_read_pages(spark, sf):
-    return read_pages(spark, sf).select("page_id", "url", F.length("html").alias("html_chars"))
+    return read_pages(spark, sf).select("page_id", "url", F.length("html").cast("long").alias("html_chars"))
 
 
 # ---------------------------------------------------------------------------
@@ -619,7 +619,7 @@ _SQL_SENT = S.split_sentences("text")
        coalesce({_SQL_SENT}[1], '') AS first_sentence, coalesce({_SQL_SENT}[-1], '') AS last_sentence FROM documents""")
 def q_split_sentences(spark, sf):
     d = _docs_text(spark, sf).withColumn("_s", Q.split_sentences("text"))
-    return d.select("doc_id", F.size("_s").alias("n_sentences"),
+    return d.select("doc_id", F.size("_s").cast("long").alias("n_sentences"),
                     F.coalesce(F.try_element_at("_s", F.lit(1)), F.lit("")).alias("first_sentence"),
                     F.coalesce(F.try_element_at("_s", F.lit(-1)), F.lit("")).alias("last_sentence"))
 
@@ -732,7 +732,7 @@ _SQL_CONTACT = "SELECT doc_id, text FROM documents WHERE strpos(text, '@') > 0"
 FROM documents""")
 def q_extract_urls(spark, sf):
     d = _docs_text(spark, sf)
-    return d.select("doc_id", F.size(Q.extract_urls("text")).alias("n_urls"), Q.strip_urls("text").alias("stripped"))
+    return d.select("doc_id", F.size(Q.extract_urls("text")).cast("long").alias("n_urls"), Q.strip_urls("text").alias("stripped"))
 
 
 @query("truncate_sentence", f"""SELECT doc_id, CASE WHEN {S.pystrip('text')} = '' OR length({S.pystrip('text')}) <= 800
