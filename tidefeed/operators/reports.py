@@ -128,7 +128,8 @@ def repair_summaries(items: DataFrame, best: Column | None = None, *, summary: s
     current = pystrip(summary)
     normalized = first_sentences(current, 2, clean="collapse")
     candidate = (current == "") | mid_phrase_start(current) | (normalized != current)
-    title = pystrip(F.coalesce(*[F.nullif(F.col(k), F.lit("")) for k in title_keys], F.lit("")))
+    present = [k for k in title_keys if k in items.columns]
+    title = pystrip(F.coalesce(*[F.nullif(F.col(k), F.lit("")) for k in present], F.lit("")))
     if best is None:
         best = F.when((current != "") & (F.lower(current) != F.lower(title)), current).otherwise(F.lit(""))
     best_two = first_sentences(best, 2, clean="collapse")
