@@ -67,10 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as a parquet table in the shared checkpoint folder and continue from it.
 
     Used after expensive per-row extraction that several later branches read:
-    the work runs once, and lineage is cut at a copy that survives executor loss.
+    the work runs once, and lineage is cut at a columnar copy on shared
+    storage that survives executor loss (columnar files are much cheaper to
+    write and re-read than an RDD checkpoint of serialized rows).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    path = scratch_path(df.sparkSession, f"tidefeed-mat-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
