@@ -84,3 +84,15 @@ def test_upsert_keeps_store_timestamps(spark):
     stamped = out.where(F.col("timestamp") == F.lit(AS_OF).cast("timestamp_ntz")).count()
     assert out.count() == store.count() + stamped
     assert N.dedupe_notifications(out).count() == out.count()
+
+
+def test_ages_ignore_session_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        dates = ["2024-03-09T12:00:00", "2024-03-01T12:00:00"]
+        out = N.bucket_by_week(_notes(spark, dates), "2024-03-11 12:00:00").orderBy("seq").collect()
+        assert [r["age_days"] for r in out] == [2, 10]
+        act = N.active_notifications(_notes(spark, ["2024-03-09T12:00:01"]), "2024-03-11 12:00:00").count()
+        assert act == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -74,8 +74,9 @@ def _strptime(s: Column, fmt: str) -> Column:
         year = F.when(yy.cast("int") >= 69, F.concat(F.lit("19"), yy)).otherwise(F.concat(F.lit("20"), yy))
         text = F.concat(year, F.lit("-"), F.regexp_extract(s, TWO_DIGIT_YEAR_RE, 1), F.lit("-"),
                         F.regexp_extract(s, TWO_DIGIT_YEAR_RE, 2))
-        return F.when(s.rlike(TWO_DIGIT_YEAR_RE), F.try_to_timestamp(text, F.lit("yyyy-M-d")))
-    return F.try_to_timestamp(s, F.lit(fmt))
+        return F.when(s.rlike(TWO_DIGIT_YEAR_RE), F.try_to_date(text, "yyyy-M-d").cast("timestamp_ntz"))
+    # every strptime format here is date-only: a DATE has no zone to apply
+    return F.try_to_date(s, fmt).cast("timestamp_ntz")
 
 
 def parse_date(c, profile: str = "dashboard") -> Column:
@@ -110,6 +111,18 @@ def parse_date(c, profile: str = "dashboard") -> Column:
     return let(s, lambda sv: let(F.struct(sv.alias("s"), F.regexp_replace(sv, WS_RUN, " ").alias("spaced")), attempt))
 
 
+NTZ_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of a naive timestamp, independent of the session time zone.
+
+    (Casting a naive timestamp to an instant would apply the session zone and
+    shift by an hour across daylight-saving changes.)
+    """
+    return F.timestamp_diff("MICROSECOND", F.lit(NTZ_EPOCH).cast("timestamp_ntz"), col_(c).cast("timestamp_ntz"))
+
+
 def format_date(ts, style: str = "display") -> Column:
     """``display`` -> 'March 06, 2026'; ``raw`` -> '2026-03-06'."""
     pattern = {"display": "MMMM dd, yyyy", "raw": "yyyy-MM-dd"}[style]
@@ -148,7 +161,7 @@ def notification_date(item: str = "item", scrape_col: str = "scrape_date") -> Co
     raw_keys = ("release_date_raw", "edited_date_raw", "last_edited_date_raw", "publish_date_raw")
     disp_keys = ("release_date", "edited_date", "last_edited_date", "publish_date")
     tries = [parse_iso(F.col(f"{item}.{k}")) for k in raw_keys]
-    tries += [F.try_to_timestamp(F.nullif(F.col(f"{item}.{k}"), F.lit("")), F.lit("MMMM d, yyyy")).cast("timestamp_ntz")
+    tries += [F.try_to_date(F.nullif(F.col(f"{item}.{k}"), F.lit("")), "MMMM d, yyyy").cast("timestamp_ntz")
               for k in disp_keys]
     tries.append(F.col(scrape_col).try_cast("timestamp_ntz"))
     return F.coalesce(*tries)

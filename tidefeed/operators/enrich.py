@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import extract_due_date, format_date, parse_date
+from ..functions.dates import extract_due_date, format_date, ntz_micros, parse_date
 from ..functions.html import meta_content, page_text
 from ..functions.links import normalize_link, sanitize_link
 from ..functions.quality import first_sentences, has_gibberish, is_uninformative, mid_phrase_start
@@ -77,7 +77,7 @@ def cache_lookup(items: DataFrame, cache: DataFrame, *, as_of, ttl_hours: int =
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     # one entry per (key, topic): the newest write, as a keyed store keeps it
     latest = first_per_key(cache.select(F.col("key").alias(key_col), "topic", "ts", "summary"),
-                           [key_col, "topic"], [-F.unix_micros(F.col("ts").cast("timestamp"))])
+                           [key_col, "topic"], [-ntz_micros(F.col("ts"))])
     usable = ((F.col("ts") >= as_of_col - F.make_dt_interval(hours=F.lit(ttl_hours)))
               & ~((blank("summary") != "") & (is_uninformative("summary", "summary") | mid_phrase_start("summary"))))
     hit = latest.where(usable).select(key_col, "topic", F.col("summary").alias("cached_summary"))

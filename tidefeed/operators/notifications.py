@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import notification_date, parse_iso
+from ..functions.dates import notification_date, ntz_micros, parse_iso
 from ..functions.identity import item_identity, notification_identity
 from ..functions.text import blank, first_nonempty
 from .dedupe import first_per_key
@@ -94,7 +94,7 @@ def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
     df = with_nid(df, item=item)
     others = [c for c in df.columns if c not in (NID, seq, item, ts, scrape)]
     newest = F.min(F.when(F.col(ts).isNotNull(),
-                          F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("o"),
+                          F.struct((-ntz_micros(F.col(ts))).alias("o"),
                                    F.col(seq).alias("s"), F.col(ts).alias("t"), F.col(scrape).alias("sd"))))
     extra = [_first(c, seq).alias(c) for c in others]
     extra += [newest.alias("_newest"), _first(ts, seq).alias("_ts0"), _first(scrape, seq).alias("_sd0")]
@@ -148,7 +148,7 @@ def bucket_by_week(df: DataFrame, as_of, *, seq: str = "seq", item: str = "item"
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     firsts = first_per_key(with_nid(conform_item(df, item), item=item), [NID], [seq])
     d = notification_date(item)
-    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(F.col("item_date").cast("timestamp"))
+    secs = ntz_micros(as_of_col) - ntz_micros(F.col("item_date"))
     age = F.floor(secs / F.lit(86_400_000_000)).cast("long")
     bucket = (F.when((age >= 0) & (age <= 7), F.lit("week_1"))
                .when((age >= 8) & (age <= 14), F.lit("week_2"))
@@ -173,7 +173,7 @@ def active_notifications(df: DataFrame, as_of, *, hours: int = 48, item: str = "
                                                     "last_edited_date_raw", "publish_date_raw")])
     d = F.when(~raw.rlike(ZONE_RE), parse_iso(raw))
     from .common import bind
-    secs = F.unix_micros(as_of_col.cast("timestamp")) - F.unix_micros(F.col("item_date").cast("timestamp"))
+    secs = ntz_micros(as_of_col) - ntz_micros(F.col("item_date"))
     return bind(df, "item_date", d).where(
         F.col("item_date").isNotNull() & (secs < F.lit(hours * 3600 * 1_000_000)))
 
