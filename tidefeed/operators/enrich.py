@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import extract_due_date, format_date, ntz_micros, parse_date
 from ..functions.html import meta_content, page_text
 from ..functions.links import normalize_link, sanitize_link
-from ..functions.quality import first_sentences, has_gibberish, is_uninformative, mid_phrase_start
-from ..functions.text import blank, clean_text, pystrip
+from ..functions.quality import is_uninformative, mid_phrase_start
+from ..functions.text import blank
 from .dedupe import first_per_key
 from .filters import is_draft_open
 

@@ -31,9 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.identity import item_identity
 from ..functions.links import link_score
-from ..functions.text import blank
 
 LE_RAW = "last_edited_date_raw"
 LE_DISPLAY = "last_edited_date"

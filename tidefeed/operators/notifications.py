@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import notification_date, ntz_micros, parse_iso
-from ..functions.identity import item_identity, notification_identity
-from ..functions.text import blank, first_nonempty
+from ..functions.identity import notification_identity
+from ..functions.text import first_nonempty
 from .dedupe import first_per_key
 from .merge import merge_items
 
@@ -48,26 +48,6 @@ def with_nid(df: DataFrame, *, type_col: str = "type", item: str = "item") -> Da
     return out.select(*df.columns, NID)
 
 
-def item_identity_of(item: str, fields: Sequence[str]) -> Column:
-    """``item_identity`` evaluated on the fields of a nested item struct."""
-    def f(name):
-        return F.col(f"{item}.{name}") if name in fields else F.lit("")
-    from ..functions.dates import DATE_TOKEN_KEYS
-    from ..functions.identity import LABEL_KEYS
-    from ..functions.links import normalize_link
-    from ..functions.text import normalize_text
-    label = normalize_text(first_nonempty(*[f(k) for k in LABEL_KEYS]))
-    token = normalize_text(first_nonempty(*[f(k) for k in DATE_TOKEN_KEYS]))
-    number = normalize_text(f("document_number"))
-    link = normalize_link(f("link"))
-    return (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
-             .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
-             .when(label != "", F.concat(F.lit("label::"), label))
-             .when(link != "", F.concat(F.lit("link::"), link))
-             .when(token != "", F.concat(F.lit("date::"), token))
-             .otherwise(F.lit("empty-item")))
-
-
 def _merge_nested(df: DataFrame, *, item: str, seq: str, carry: Sequence[str] = (),
                   extra_aggs: Sequence[Column] = (), **merge_opts) -> DataFrame:
     """Merge the nested items of rows sharing ``nid`` (the item fold), one row per nid."""

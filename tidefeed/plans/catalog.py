@@ -977,7 +977,6 @@ def q_latest_snapshot(spark, sf):
 
 @query("read_notifications", SQL_DEDUPE_NOTES)
 def q_read_notifications(spark, sf):
-    from ..operators.notifications import NID
     from ..sources.notifications_io import read_notifications, write_notifications
     path = _scratch(spark, "notes")
     write_notifications(A.notifications_events(spark, sf), path, dedupe=False)
@@ -1091,7 +1090,6 @@ SELECT g.topic, g.section, CAST(count(n.identity) AS BIGINT) AS n, CAST(count(n.
 FROM g LEFT JOIN n ON g.topic = n.topic AND g.section = n.section GROUP BY g.topic, g.section""")
 def q_new_item_banner(spark, sf):
     from ..operators.reports import new_item_banner
-    from ..sources.snapshots import is_first_snapshot
     new = q_new_items(spark, sf)
     return new_item_banner(new, False)
 
