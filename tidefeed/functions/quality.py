@@ -206,6 +206,19 @@ def first_sentences(c, n: int = 2, *, clean: str = "clean_text") -> Column:
     return F.array_join(F.slice(split_sentences(c, clean=clean), 1, n), " ")
 
 
+def limit_two_sentences(c) -> Column:
+    """Model-output variant: the first two raw pieces joined as found (then stripped);
+    one piece alone; no terminated piece at all -> the text stripped, plus '.'
+    when it does not end in '.!?'."""
+    s = blank(c)
+    pieces = sentence_pieces(s)
+    st = pystrip(s)
+    return (F.when(s == "", F.lit(""))
+             .when(F.size(pieces) >= 2, pystrip(F.array_join(F.slice(pieces, 1, 2), " ")))
+             .when(F.size(pieces) == 1, pystrip(pieces.getItem(0)))
+             .otherwise(F.concat(st, F.when(st.rlike("[.!?]$"), F.lit("")).otherwise(F.lit(".")))))
+
+
 def sentence_marks(c) -> Column:
     """Number of ``[^.!?]*[.!?]`` matches, i.e. of '.', '!' and '?' characters."""
     s = blank(c)

@@ -101,17 +101,21 @@ def by_type(df: DataFrame, types: Sequence[str] | None = None, prefix: str | Non
 PRESENTATION_WORDS = ("presentation", "slide", "poster", "conference talk")
 
 
-def is_presentation(resource_type: str = "resource_type") -> Column:
+def is_presentation(resource_type: str = "resource_type", *, exact: bool = False) -> Column:
+    """Substring rule (summary step) or, with ``exact``, the display rule that
+    only matches 'presentation' / 'presentations'."""
     rt = F.lower(pystrip(F.coalesce(col_(resource_type).cast("string"), F.lit(""))))
+    if exact:
+        return rt.isin("presentation", "presentations")
     hit = F.lit(False)
     for w in PRESENTATION_WORDS:
         hit = hit | (F.instr(rt, w) > 0)
     return hit
 
 
-def drop_presentations(df: DataFrame, resource_type: str = "resource_type") -> DataFrame:
+def drop_presentations(df: DataFrame, resource_type: str = "resource_type", *, exact: bool = False) -> DataFrame:
     """Rows that may get a summary (not a presentation, slide, poster or talk)."""
-    return df.where(~is_presentation(resource_type))
+    return df.where(~is_presentation(resource_type, exact=exact))
 
 
 def tag_source(df: DataFrame, topic: str, category: str | None = None, source: str | None = None) -> DataFrame:

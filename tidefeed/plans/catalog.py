@@ -1148,6 +1148,25 @@ def q_enrich_news_dates(spark, sf):
     return out.select("seq", "publish_date", "publish_date_raw", "last_edited_date", "last_edited_date_raw")
 
 
+
+@query("limit_two_sentences", f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN ''
+       WHEN len(regexp_extract_all(text, {S.q(S.SENTENCE_RE)})) >= 2
+         THEN {S.pystrip("array_to_string(list_slice(regexp_extract_all(text, " + S.q(S.SENTENCE_RE) + "), 1, 2), ' ')")}
+       WHEN len(regexp_extract_all(text, {S.q(S.SENTENCE_RE)})) = 1
+         THEN {S.pystrip("regexp_extract_all(text, " + S.q(S.SENTENCE_RE) + ")[1]")}
+       ELSE {S.pystrip('text')} || CASE WHEN regexp_matches({S.pystrip('text')}, '[.!?]$') THEN '' ELSE '.' END END AS two
+FROM documents""")
+def q_limit_two_sentences(spark, sf):
+    return _docs_text(spark, sf).select("doc_id", Q.limit_two_sentences("text").alias("two"))
+
+
+@query("drop_presentations_exact", f"""SELECT seq FROM ({SQL_NOTIFICATIONS}) n
+WHERE NOT (lower({S.pystrip('type')}) IN ('presentation', 'presentations'))""")
+def q_drop_presentations_exact(spark, sf):
+    n = A.notifications_events(spark, sf)
+    return FL.drop_presentations(n, resource_type="type", exact=True).select("seq")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
