@@ -22,7 +22,12 @@ from ..operators.notifications import NID, dedupe_notifications, upsert_notifica
 def stream_new_items(sdf: DataFrame, *, horizon: str | None = None, event_time: str = "timestamp") -> DataFrame:
     keyed = with_nid(sdf)
     if horizon:
-        return keyed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([NID])
+        # watermarks need an instant (TIMESTAMP); our times are naive, so the
+        # watermark runs on a derived column (a daylight-saving hour does not
+        # matter for a state horizon)
+        timed = keyed.withColumn("_event_ts", F.col(event_time).cast("timestamp"))
+        return (timed.withWatermark("_event_ts", horizon)
+                     .dropDuplicatesWithinWatermark([NID]).drop("_event_ts"))
     return keyed.dropDuplicates([NID])
 
 
