@@ -57,3 +57,17 @@ def test_selectors():
     assert X.select_one(root, 'p[id^="content-area-"]').text() == "p"
     assert X.select_one(root, "[class*='b']").tag == "div"
     assert X._next_url(root, "https://x.gov/list/") == "https://x.gov/n"
+
+
+def test_summary_cascade_uses_linked_page(spark):
+    from tidefeed.operators.summaries import summary_cascade
+    pages = _pages(spark, SUMMARY, BODY)
+    items = spark.createDataFrame(
+        [(1, "qis", "Doc A", "", "https://x.gov/p/0", "Publication"),
+         (2, "qis", "Doc B", "", "https://x.gov/p/0", "Presentation"),
+         (3, "qis", "Doc C", "", "", "Publication")],
+        "seq long, topic string, document_name string, summary string, link string, resource_type string")
+    out = {r["seq"]: r["generated_summary"]
+           for r in summary_cascade(items, pages_summary=X.page_summary(pages), as_of="2024-01-31 00:00:00").collect()}
+    assert out[1] == "The new method measures qubit states precisely across many devices. It scales well."
+    assert out[2] == "" and out[3] == ""
