@@ -71,3 +71,11 @@ def test_summary_cascade_uses_linked_page(spark):
            for r in summary_cascade(items, pages_summary=X.page_summary(pages), as_of="2024-01-31 00:00:00").collect()}
     assert out[1] == "The new method measures qubit states precisely across many devices. It scales well."
     assert out[2] == "" and out[3] == ""
+
+
+def test_next_page_links_skip_known(spark):
+    p0 = '<html><body><a rel="next" href="/p/1">next</a></body></html>'
+    p1 = '<html><body><ul class="pager"><li class="next"><a href="page-3">more</a></li></ul></body></html>'
+    pages = _pages(spark, p0, p1)
+    got = {r["page_id"]: r["next_url"] for r in X.next_page_links(pages, known=pages.select("url")).collect()}
+    assert got == {1: "https://x.gov/p/page-3"}     # page 0's next (/p/1) is already known
