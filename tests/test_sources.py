@@ -71,3 +71,19 @@ def test_read_notifications_list_layout(spark):
     assert len(rows) == 2
     t = [r for r in rows if r["item"]["title"] == "T"][0]
     assert str(t["timestamp"]) == "2024-01-03 10:00:00"
+
+
+def test_snapshot_json_corrupt_files(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="tf-flat-")
+    _write(os.path.join(d, "good.json"), {"data": [{"document_name": "A"}, {"document_name": "B"}],
+                                          "timestamp": "t", "count": 2})
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write("{not json")
+    flat = read_snapshot_json(spark, d, "pqc", flat_section="publications")
+    assert sorted(r["document_name"] for r in flat.collect()) == ["A", "B"]
+    topic_dir = tempfile.mkdtemp(prefix="tf-topic-")
+    with open(os.path.join(topic_dir, "bad.json"), "w") as f:
+        f.write("{not json")
+    with pytest.raises(Exception):
+        read_snapshot_json(spark, topic_dir, "pqc").collect()
