@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -119,3 +119,34 @@ FROM cut c LEFT JOIN fits f ON c.page_id IS NOT DISTINCT FROM f.page_id AND c.ur
 @registered("op4_url_filter", _URL_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
+
+
+_NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+           ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY 1),
+sizes AS (SELECT class_id, len(s) AS n FROM classes),
+shingles AS (SELECT class_id, unnest(s) AS g FROM classes),
+common AS (
+  SELECT a.class_id AS a, b.class_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.class_id < b.class_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.class_id JOIN sizes y ON b = y.class_id
+  WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT class_id AS a, class_id AS b FROM sizes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+named AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(m.component_id, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN named m ON c.class_id = m.class_id"""
+
+
+@registered("op10_minhash_near_dedup", _NEAR_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
