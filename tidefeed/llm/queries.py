@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, decontamination, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -150,3 +150,8 @@ FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN named m ON c.c
 @registered("op10_minhash_near_dedup", _NEAR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@registered("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
