@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, decontamination, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -155,3 +155,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
