@@ -32,7 +32,7 @@ from .shingles import WordHashes, mixed
 #: Documents with this crc32 remainder are never learnt from.
 FOLDS, HELD_OUT = 10, 0
 #: Strength of the prior, in occurrences of a history.
-PRIOR = 50.0
+PRIOR = 200.0
 #: Characters of text per block.
 BLOCK_CHARS = 6_000_000
 _START, _END = b"\x00 start", b"\x00 end"  # a white space keeps them apart from words

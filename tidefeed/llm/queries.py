@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, decontamination, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -160,3 +160,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op8_lm_score")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@registered("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_wrapper.extract_text(pages, html_wrapper.infer_wrappers(pages))

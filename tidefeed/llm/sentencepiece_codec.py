@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .chunks import MARK, marked_chunks
 
 #: Bytes of chunks and ids a task's table may hold before it is emptied.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 #: Chunks longer than this are encoded each time instead of being kept.
 LONGEST_KEPT = 256
 _ID = np.dtype("<u4")
