@@ -67,7 +67,7 @@ def test_sketch_estimates_high_similarities(spark):
         misses = []
         for _ in range(40):
             whole = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
-            cut = 600 * (100 - percent) // (100 + percent)
+            cut = 3 * (100 - percent)
             sketches = N.odd_sketches(N.minhash([np.unique(whole[cut:]), np.unique(whole[:600 - cut])]))
             z = sum(int(x).bit_count() for x in (sketches[0] ^ sketches[1]).view(np.uint64))
             misses.append(100 + 50 * N.SKETCH_BITS * np.log(1 - min(2 * z / N.SKETCH_BITS, 0.999)) / (2 * N.SAMPLES) - percent)
