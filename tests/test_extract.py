@@ -1,6 +1,7 @@
 """Hand-made HTML pages for the extraction cascades."""
 
 from tidefeed.operators import extract as X
+from tidefeed.operators.page_tree import parse, select
 
 LISTING = """<html><body>
 <div class="search-list-item"><h3><a href="/pubs/a">First Report</a></h3><span class="series">SP 800</span>
@@ -28,7 +29,7 @@ def _pages(spark, *htmls):
 
 
 def test_listing_items(spark):
-    rows = X.listing_items(_pages(spark, LISTING), "publications").orderBy("pos").collect()
+    rows = X.listing_items(_pages(spark, LISTING), "pqc_publications").orderBy("pos").collect()
     assert [r["title"] for r in rows] == ["First Report", "Second Report"]
     assert rows[0]["series"] == "SP 800" and rows[0]["date"] == "March 19, 2026"
     assert rows[0]["summary"] == "A study of things."
@@ -51,12 +52,60 @@ def test_page_summary_meta_first(spark):
 
 
 def test_selectors():
-    root = X.parse_html('<div class="a b"><ul><li class="next"><a href="/n">n</a></li></ul>'
+    root, error = parse('<div class="a b"><ul><li class="next"><a href="/n">n</a></li></ul>'
                         '<p id="content-area-3">p</p></div>')
-    assert X.select_one(root, "li.next a").get("href") == "/n"
-    assert X.select_one(root, 'p[id^="content-area-"]').text() == "p"
-    assert X.select_one(root, "[class*='b']").tag == "div"
-    assert X._next_url(root, "https://x.gov/list/") == "https://x.gov/n"
+    assert error == ""
+    assert next(select(root, "li.next a")).get("href") == "/n"
+    assert next(select(root, 'p[id^="content-area-"]')).strings() == ["p"]
+    assert next(select(root, "[class*='b']")).tag == "div"
+    assert [n.tag for n in select(root, "div ul a, p[id$='3'], .a.b")] == ["div", "a", "p"]
+    assert list(select(root, "p a")) == [] and list(select(root, ".a.c")) == []
+    assert X.PARTS["next_url"][1](root, "https://x.gov/list/") == "https://x.gov/n"
+
+
+def test_deep_and_broken_markup(spark):
+    deep = "<div>" * 5000 + "deep text" + "<font>" * 5000
+    pages = _pages(spark, deep, "<p>" * 5000 + "x", "<![bad", "</div></p>plain", None)
+    rows = {r["page_id"]: r for r in X.extract_pages(pages, ["body", "divs", "summary_candidates"]).collect()}
+    assert rows[0]["body"] == "deep text" and rows[1]["body"] == "x" and rows[3]["body"] == "plain" and rows[4]["body"] == ""
+    assert sum(s["length"] for s in rows[0]["divs"]["spans"]) == 0
+
+
+def test_nested_divs_come_as_spans_of_one_text(spark):
+    text = "word " * 40
+    page = f"<div>{text}<div>{text}<div>{text}</div></div></div>"
+    row = X.extract_pages(_pages(spark, page), ["divs"]).first()["divs"]
+    assert row["text"] == text * 3 and [(s["start"], s["length"]) for s in row["spans"]] == [(0, 600), (200, 400), (400, 200)]
+
+
+NEWS = """<div class="search-result"><h3><a href="/news/1">Alpha <b>Beta</b></a></h3><span class="date">March 05, 2026</span>
+<div class="description">What happened.</div></div><div class="search-result"><h4><a href="https://o.org/2">Gamma</a></h4>
+<time>soon</time><p>Later.</p></div><div class="search-result"><p>no link</p></div>"""
+
+
+def test_news_rows_of_each_source(spark):
+    rows = {(s, r["pos"]): r for s in ("pqc_news", "ai_news") for r in X.listing_records(_pages(spark, NEWS), s).collect()}
+    assert set(rows) == {(s, p) for s in ("pqc_news", "ai_news") for p in (0, 1)}
+    first, second = rows["ai_news", 0], rows["pqc_news", 1]
+    assert (first["title"], first["link"], first["summary"]) == ("Alpha Beta", "https://www.nist.gov/news/1", "What happened.")
+    assert (first["publish_date"], first["publish_date_raw"]) == ("March 05, 2026", "2026-03-05")
+    assert (second["link"], second["publish_date"], second["publish_date_raw"]) == ("https://o.org/2", "soon", "soon")
+    assert rows["ai_news", 1]["publish_date_raw"] == "" and first["resource_type"] == "Artificial Intelligence News"
+
+
+def test_presentations_carry_constants(spark):
+    page = """<div class="search-list-item"><a id="title-link-1" href="/p/1">Talk</a><strong id="date-container-1">May 2025</strong></div>
+<div class="search-list-item"><a href="/p/2">Not a title link</a></div>"""
+    [row] = X.listing_records(_pages(spark, page), "qis_presentations").collect()
+    assert (row["document_name"], row["series"], row["status"], row["release_date"]) == ("Talk", "Presentation", "Available", "May 2025")
+    assert row["link"] == "https://csrc.nist.gov/p/1" and row["resource_type"] == "Quantum Information Science Presentation"
+
+
+def test_qis_news_takes_the_time_attribute_and_needs_a_link(spark):
+    page = '<article><h3>One</h3><a href="/a">x</a><time datetime="2025-04-05T10:00:00Z">April</time></article><article><h3>Two</h3></article>'
+    [row] = X.listing_records(_pages(spark, page), "qis_news").collect()
+    assert (row["title"], row["link"], row["publish_date"], row["publish_date_raw"]) == (
+        "One", "https://www.nist.gov/a", "April 05, 2025", "2025-04-05")
 
 
 def test_summary_cascade_uses_linked_page(spark):

@@ -15,7 +15,7 @@ from ..functions.dates import extract_due_date, format_date, ntz_micros, parse_d
 from ..functions.html import meta_content, page_text
 from ..functions.links import normalize_link, sanitize_link
 from ..functions.quality import is_uninformative, mid_phrase_start
-from ..functions.text import blank
+from ..functions.text import blank, first_nonempty
 from .dedupe import first_per_key
 from .filters import is_draft_open
 
@@ -53,16 +53,17 @@ def enrich_due_dates(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.where(~need).unionByName(filled)
 
 
-def enrich_news_dates(items: DataFrame, article_dates: DataFrame) -> DataFrame:
+def enrich_news_dates(items: DataFrame, article_dates: DataFrame, profile: str = "news") -> DataFrame:
     """Overwrite publish dates and set last-edited dates from the linked article.
 
     ``article_dates`` is the output of ``extract.article_dates`` (url, published, modified).
+    Where the article gives no publish date, the item's own raw date is parsed again.
     """
     keyed = article_dates.select(normalize_link("url").alias("_plink"), "page_id", "published", "modified")
     dates = first_per_key(keyed.where(F.col("_plink") != ""), ["_plink"], ["page_id"]).drop("page_id")
     j = items.withColumn("_plink", normalize_link("link")).join(dates, "_plink", "left")
-    pub = parse_date(F.col("published"), "news")
-    mod = parse_date(F.col("modified"), "news")
+    pub = parse_date(first_nonempty("published", "publish_date_raw"), profile)
+    mod = parse_date(F.col("modified"), profile)
     return (j.withColumn("publish_date", F.coalesce(format_date(pub, "display"), F.col("publish_date")))
              .withColumn("publish_date_raw", F.coalesce(format_date(pub, "raw"), F.col("publish_date_raw")))
              .withColumn("last_edited_date", F.coalesce(format_date(mod, "display"), F.col("last_edited_date")))

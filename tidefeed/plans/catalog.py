@@ -126,12 +126,6 @@ def q_sanitize_link(spark, sf):
                     L.sanitize_link(other).alias("wrapped_other"), L.sanitize_link("url").alias("plain"))
 
 
-@query("link_score", f"SELECT page_id, {S.link_score('url')} AS score FROM pages")
-def q_link_score(spark, sf):
-    p = read_table(spark, sf, "pages", ["page_id", "url"])
-    return p.select("page_id", L.link_score("url").alias("score"))
-
-
 @query("item_label", f"SELECT seq, {S.normalize_text(S.first_nonempty('document_name'))} AS label FROM ({SQL_ITEMS_DOCS}) d")
 def q_item_label(spark, sf):
     return _docs(spark, sf).select("seq", I.item_label().alias("label"))
@@ -240,20 +234,6 @@ def q_date_token(spark, sf):
 # 2.4 page fields
 # ---------------------------------------------------------------------------
 
-@query("page_metadata", f"""SELECT page_id, {S.tag_text('html', 'title')} AS title, {S.tag_text('html', 'h1')} AS h1,
-       coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*\\slang\\s*=\\s*["'']([^"'']+)["'']', 1), ''), 'en') AS lang,
-       {S.meta_content('html', 'name', 'description')} AS meta_description,
-       {S.meta_content('html', 'property', 'og:description')} AS og_description,
-       {S.meta_content('html', 'name', 'dcterms.description')} AS dcterms_description
-FROM pages""")
-def q_page_metadata(spark, sf):
-    p = read_pages(spark, sf)
-    return p.select("page_id", tag_text("html", "title").alias("title"), tag_text("html", "h1").alias("h1"),
-                    page_language("html").alias("lang"),
-                    meta_content("html", "name", "description").alias("meta_description"),
-                    meta_content("html", "property", "og:description").alias("og_description"),
-                    meta_content("html", "name", "dcterms.description").alias("dcterms_description"))
-
 
 # ---------------------------------------------------------------------------
 # 2.6 / 2.7 merge, diff, dedupe (flagship: new_items)
@@ -367,7 +347,6 @@ def q_section_counts(spark, sf):
     return section_counts(DF.union_sources(A.items_pages(spark, sf), _docs(spark, sf)))
 
 
-
 # ---------------------------------------------------------------------------
 # 2.5 filters and predicates, 2.8 ordering
 # ---------------------------------------------------------------------------
@@ -598,7 +577,6 @@ def q_filter_notifications_since(spark, sf):
     return FL.filter_notifications_since(A.notifications_events(spark, sf), NOTE_CUTOFF).select("seq")
 
 
-
 # ---------------------------------------------------------------------------
 # 2.9 summary text functions and quality gates (whole document texts)
 # ---------------------------------------------------------------------------
@@ -639,7 +617,6 @@ def q_mid_phrase_start(spark, sf):
     return d.select("doc_id", Q.mid_phrase_start("text").alias("mid_phrase"), Q.sentence_marks("text").alias("sentence_marks"))
 
 
-
 @query("has_gibberish", f"""SELECT doc_id, {S.has_gibberish('text', 'audit', Q)} AS audit,
        {S.has_gibberish('text', 'strict', Q)} AS strict, {S.has_gibberish('text', 'lenient', Q)} AS lenient FROM documents""")
 def q_has_gibberish(spark, sf):
@@ -719,7 +696,6 @@ def q_cache_cleanup(spark, sf):
     return report
 
 
-
 # ---------------------------------------------------------------------------
 # Remaining text / link functions
 # ---------------------------------------------------------------------------
@@ -727,14 +703,6 @@ def q_cache_cleanup(spark, sf):
 _SQL_CONTACT = "SELECT doc_id, text FROM documents WHERE strpos(text, '@') > 0"
 
 
-@query("extract_urls", f"""SELECT doc_id, len(regexp_extract_all(text, {S.q(S.URL_NARROW)})) AS n_urls,
-       {S.collapse("regexp_replace(regexp_replace(text, " + S.q('(?i)https?://[^' + S.WS_INNER + ']+') + ", '', 'g'), " + S.q('(?i)www' + chr(92) + '.[^' + S.WS_INNER + ']+') + ", '', 'g')")} AS stripped
-FROM documents""")
-def q_extract_urls(spark, sf):
-    d = _docs_text(spark, sf)
-    return d.select("doc_id", F.size(Q.extract_urls("text")).cast("long").alias("n_urls"), Q.strip_urls("text").alias("stripped"))
-
-
 @query("truncate_sentence", f"""SELECT doc_id, CASE WHEN {S.pystrip('text')} = '' OR length({S.pystrip('text')}) <= 800
        THEN {S.pystrip('text')} ELSE {S.pystrip("regexp_replace(substr(" + S.pystrip('text') + ", 1, 800), '([.!?])[^.!?]*$', '" + chr(92) + "1')")} END AS truncated
 FROM documents""")
@@ -774,12 +742,6 @@ def q_news_fallback_summary(spark, sf):
     return A.items_pages(spark, sf).select("seq", T.news_fallback_summary("summary", "title").alias("summary"))
 
 
-@query("is_search_index_url", "SELECT page_id, regexp_matches(url, '(?i)(/publications/search|/search([^A-Za-z0-9_]|$))') AS search_index FROM pages")
-def q_is_search_index_url(spark, sf):
-    p = read_table(spark, sf, "pages", ["page_id", "url"])
-    return p.select("page_id", L.is_search_index_url("url").alias("search_index"))
-
-
 @query("absolutize_link", f"""SELECT page_id, CASE WHEN rel = '' THEN rel WHEN starts_with(rel, 'http') THEN rel
        ELSE 'https://csrc.example.gov' || CASE WHEN starts_with(rel, '/') THEN '' ELSE '/' END || rel END AS link
 FROM (SELECT page_id, {S.url_part('url', 3)} AS rel FROM pages) p""")
@@ -788,32 +750,12 @@ def q_absolutize_link(spark, sf):
     return p.select("page_id", L.absolutize_link("rel", "https://csrc.example.gov/").alias("link"))
 
 
-@query("link_score_typed", f"SELECT seq, {_sql_typed_score('link', 'type')} AS score FROM ({SQL_NOTIFICATIONS}) n")
-def q_link_score_typed(spark, sf):
-    n = A.notifications_events(spark, sf)
-    return n.select("seq", L.link_score_typed(F.col("item.link"), F.col("type")).alias("score"))
-
-
-@query("news_date_flags", f"""SELECT seq, FALSE AS show_last_edited, FALSE AS show_published FROM ({SQL_NOTIFICATIONS}) n""")
-def q_news_date_flags(spark, sf):
-    n = A.notifications_events(spark, sf).select("seq", F.col("item.*"))
-    n = n.withColumns({"last_edited_date": F.lit(""), "last_edited_date_raw": F.lit(""), "publish_date": F.lit("")})
-    return D.news_date_flags(n).select("seq", "show_last_edited", "show_published")
-
-
 def _sql_due(text):
     pats = [f"regexp_extract({S.collapse(text)}, {S.q('(?i)' + p)}, 1)" for p in D.DUE_DATE_PATTERNS]
     parsed = "coalesce(" + ", ".join(f"CASE WHEN {p} <> '' THEN {S.parse_date(p, 'dashboard')} END" for p in pats) + ")"
     return parsed
 
 
-@query("extract_due_date", f"""SELECT doc_id, coalesce({S.fmt_display(_sql_due('text'))}, '') AS comment_due_date,
-       coalesce({S.fmt_raw(_sql_due('text'))}, '') AS comment_due_date_raw FROM documents""")
-def q_extract_due_date(spark, sf):
-    d = _docs_text(spark, sf).withColumn("_d", D.extract_due_date("text"))
-    return d.select("doc_id", "_d.comment_due_date", "_d.comment_due_date_raw")
-
-
 @query("third_person", f"""SELECT doc_id, {S.third_person('text', Q, 'summary')} AS summary_form,
        {S.third_person('text', Q, 'model')} AS model_form FROM documents""")
 def q_third_person(spark, sf):
@@ -822,23 +764,10 @@ def q_third_person(spark, sf):
                     Q.third_person("text", "model").alias("model_form"))
 
 
-@query("strip_contact_info", f"SELECT doc_id, {S.strip_contact_info('text', Q)} AS stripped FROM documents WHERE strpos(text, '@') > 0")
-def q_strip_contact_info(spark, sf):
-    return A.contact_docs(spark, sf).select("doc_id", Q.strip_contact_info("text").alias("stripped"))
-
-
 _TP = S.third_person("text", Q, "summary")
 _TWO = S.first_sentences(_TP)
 
 
-@query("clean_summary", f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR {S.is_uninformative('text', 'summary', Q)} THEN ''
-       WHEN {S.is_uninformative('two', 'summary', Q)} OR {S.mid_phrase_start('two', Q.MID_PHRASE_WORDS)} THEN ''
-       ELSE two END AS summary
-FROM (SELECT doc_id, text, {_TWO} AS two FROM documents) d""")
-def q_clean_summary(spark, sf):
-    return _docs_text(spark, sf).select("doc_id", Q.clean_summary("text").alias("summary"))
-
-
 @query("strip_terms", f"SELECT doc_id, {S.strip_summary_terms('text', Q)} AS text FROM documents")
 def q_strip_terms(spark, sf):
     return _docs_text(spark, sf).select("doc_id", Q.strip_summary_terms("text").alias("text"))
@@ -875,14 +804,6 @@ def q_cache_lookup(spark, sf):
     return out.select("seq", F.col("cached_summary").isNotNull().alias("hit"))
 
 
-@query("enrich_summary", f"""SELECT seq, summary FROM ({SQL_ITEMS_PAGES}) p""")
-def q_enrich_summary(spark, sf):
-    from ..operators.enrich import enrich_summary
-    items = A.items_pages(spark, sf)
-    return enrich_summary(items, read_pages(spark, sf)).select("seq", "summary")
-
-
-
 # ---------------------------------------------------------------------------
 # 2.4 page extraction (one mapInPandas pass; rows-only checks, unit-tested by hand)
 # ---------------------------------------------------------------------------
@@ -891,45 +812,6 @@ from ..functions import html as H  # noqa: E402
 from ..operators import extract as X  # noqa: E402
 
 
-@query("page_body")
-def q_page_body(spark, sf):
-    return X.page_body(read_pages(spark, sf)).select("page_id", F.length("body").alias("body_chars"), "body")
-
-
-@query("page_abstract")
-def q_page_abstract(spark, sf):
-    return X.page_abstract(read_pages(spark, sf))
-
-
-@query("page_summary")
-def q_page_summary(spark, sf):
-    return X.page_summary(read_pages(spark, sf))
-
-
-@query("article_dates")
-def q_article_dates(spark, sf):
-    return X.article_dates(read_pages(spark, sf))
-
-
-@query("next_page_links")
-def q_next_page_links(spark, sf):
-    pages = read_pages(spark, sf)
-    return X.next_page_links(pages, known=pages.select("url"))
-
-
-@query("listing_items")
-def q_listing_items(spark, sf):
-    return X.listing_items(read_pages(spark, sf), "publications")
-
-
-@query("is_error_page")
-def q_is_error_page(spark, sf):
-    pages = read_pages(spark, sf)
-    body = X.page_body(pages)
-    text = pages.select("page_id", H.page_text("html").alias("text"))
-    return body.join(text, "page_id").select("page_id", H.is_error_page(F.col("text"), F.col("body")).alias("error_page"))
-
-
 _ABS_LOW = f"lower({S.pystrip('text')})"
 
 
@@ -944,7 +826,6 @@ def q_page_language(spark, sf):
     return read_pages(spark, sf).select("page_id", H.page_language("html").alias("lang"))
 
 
-
 # ---------------------------------------------------------------------------
 # 2.1 snapshot / notification / cache stores, 2.10 streaming
 # ---------------------------------------------------------------------------
@@ -1029,7 +910,6 @@ def q_stream_upsert_notifications(spark, sf):
                       F.col("item.publish_date_raw").alias("publish_date_raw"))
 
 
-
 # ---------------------------------------------------------------------------
 # Cascade, append, banner, preview, paging
 # ---------------------------------------------------------------------------
@@ -1125,30 +1005,6 @@ def q_stop_after_stale_pages(spark, sf):
     return stop_after_stale_pages(pages)
 
 
-
-@query("enrich_due_dates", f"""WITH i AS (SELECT seq, link, 'Drafts' AS category FROM ({SQL_ITEMS_PAGES}) x),
-p AS (SELECT * FROM (SELECT {S.normalize_link('url')} AS plink, page_id, html,
-                            row_number() OVER (PARTITION BY {S.normalize_link('url')} ORDER BY page_id) AS rn FROM pages) y
-      WHERE rn = 1 AND plink <> ''),
-d AS (SELECT plink, {_sql_due(S.page_text('html'))} AS due FROM p)
-SELECT i.seq, coalesce({S.fmt_display('d.due')}, '') AS comment_due_date, coalesce({S.fmt_raw('d.due')}, '') AS comment_due_date_raw
-FROM i LEFT JOIN d ON d.plink = {S.normalize_link(S.sanitize_link('i.link'))}""")
-def q_enrich_due_dates(spark, sf):
-    from ..operators.enrich import enrich_due_dates
-    items = FL.tag_source(A.items_pages(spark, sf), "qis", "Drafts")
-    out = enrich_due_dates(items, read_pages(spark, sf))
-    return out.select("seq", "comment_due_date", "comment_due_date_raw")
-
-
-@query("enrich_news_dates")
-def q_enrich_news_dates(spark, sf):
-    from ..operators.enrich import enrich_news_dates
-    pages = read_pages(spark, sf)
-    out = enrich_news_dates(A.items_pages(spark, sf), X.article_dates(pages))
-    return out.select("seq", "publish_date", "publish_date_raw", "last_edited_date", "last_edited_date_raw")
-
-
-
 @query("limit_two_sentences", f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN ''
        WHEN len(regexp_extract_all(text, {S.q(S.SENTENCE_RE)})) >= 2
          THEN {S.pystrip("array_to_string(list_slice(regexp_extract_all(text, " + S.q(S.SENTENCE_RE) + "), 1, 2), ' ')")}
@@ -1167,6 +1023,9 @@ def q_drop_presentations_exact(spark, sf):
     return FL.drop_presentations(n, resource_type="type", exact=True).select("seq")
 
 
+from . import catalog_pages  # noqa: E402,F401  (registers the page, link and phrase queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
