@@ -1,11 +1,13 @@
 """Token counts under a unigram segmentation, by dynamic programming over a shared trie.
 
-A text's pre-tokens are its marked words.  Each task inserts the distinct ones in
-a trie; a trie node holds the best score of any segmentation of its prefix into
-pieces and that segmentation's length, computed once from the nodes above it, so
-words that share a prefix share its work.  The count at a word's last node is its
-token count, and a document's count is the sum over its pre-tokens.  Nothing is
-shuffled; the trie is emptied at a node bound, which changes no result.
+A text's pre-tokens are its marked words.  Each task inserts the distinct new ones
+of a group of texts in a trie, kept as sorted strings: their order is the trie's
+depth-first order, and a stack holds the current branch.  A trie node has the best
+score of any segmentation of its prefix into pieces and that segmentation's length,
+computed once from the nodes above it, so words that share a prefix share its work.
+The count at a word's last node is stored for the word, and a document's count is
+the sum over its pre-tokens.  Nothing is shuffled; the store is emptied at a bound,
+which changes no result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .chunks import MARK, marked_chunks
 
-#: Trie nodes a task may hold before it starts a new trie.
-MAX_NODES = 500_000
-#: Words longer than this are scored in a sliding window instead of filling the trie.
-LONGEST_WORD = 1_000
-_CODE = 21  # bits of a code point
+#: Words whose counts a task keeps before it starts anew.
+MAX_WORDS = 400_000
+#: Texts whose new words are inserted together.
+GROUP = 1_000
+#: Words longer than this are counted each time instead of being kept.
+LONGEST_KEPT = 256
 
 
 def piece_scores(model_path: str) -> tuple[dict[str, float], float]:
@@ -43,73 +46,73 @@ def piece_scores(model_path: str) -> tuple[dict[str, float], float]:
 
 
 class ScoreTrie:
-    """Best score and token count of every inserted prefix."""
+    """Token counts of words, from best scores shared by their prefixes."""
 
     def __init__(self, scores: dict[str, float], byte_score: float):
-        self.scores, self.byte_score = scores, byte_score
+        self.byte_score = byte_score
         self.longest = max(map(len, scores), default=1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.best, self.tokens = [0.0], [0]
+        # every ending of a piece, so that a look back stops where no piece can begin
+        self.endings = {piece[at:]: -math.inf for piece in scores for at in range(len(piece))} | scores
         self.terminal: dict[str, int] = {}
 
-    def _step(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and tokens of ``word[:end]``, given those of its prefixes from ``end - len(best)`` on."""
-        get, first = self.scores.get, end - len(best)
-        top, fewest = -math.inf, 0
-        for start in range(max(first, end - self.longest), end):
-            score = get(word[start:end])
-            if score is not None:
-                total, n = best[start - first] + score, tokens[start - first] + 1
-                if total > top or total == top and n < fewest:
-                    top, fewest = total, n
-        if word[end - 1] not in self.scores:
+    def _extend(self, word: str, end: int, best: list[float], tokens: list[int]) -> None:
+        """Push the node of ``word[:end]``; the lists end with the nodes above it."""
+        get, back, top, fewest = self.endings.get, 1, -math.inf, 0
+        while back <= len(best):
+            score = get(word[end - back:end])
+            if score is None:
+                break
+            total = best[-back] + score
+            if total > top:
+                top, fewest = total, tokens[-back] + 1
+            elif total == top and tokens[-back] + 1 < fewest:
+                fewest = tokens[-back] + 1
+            back += 1
+        if get(word[end - 1], -math.inf) == -math.inf:
             size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            total, n = best[-1] + size * self.byte_score, tokens[-1] + size
+            total = best[-1] + size * self.byte_score
             if total > top:
-                top, fewest = total, n
-        return top, fewest
+                top, fewest = total, tokens[-1] + size
+        best.append(top)
+        tokens.append(fewest)
+
+    def insert(self, words: list[str]) -> Iterator[tuple[str, int]]:
+        """Each word and its token count, in the trie's depth-first order."""
+        best, tokens, last = [0.0], [0], ""
+        for word in sorted(words):
+            if len(word) > LONGEST_KEPT:
+                yield word, self.slide(word)
+                continue
+            shared, upto = 0, min(len(word), len(last))
+            while shared < upto and word[shared] == last[shared]:
+                shared += 1
+            del best[shared + 1:], tokens[shared + 1:]
+            for end in range(shared + 1, len(word) + 1):
+                self._extend(word, end, best, tokens)
+            last = word
+            yield word, tokens[-1]
 
     def slide(self, word: str) -> int:
         """Token count of a very long word, remembering only the last prefixes."""
         best, tokens = [0.0], [0]
         for end in range(1, len(word) + 1):
-            top, n = self._step(word, end, best, tokens)
-            best, tokens = [*best[1 - self.longest:], top], [*tokens[1 - self.longest:], n]
-        return tokens[-1]
-
-    def insert(self, word: str) -> int:
-        """Token count of a marked word."""
-        node, best, tokens = 0, [0.0], [0]
-        for at, char in enumerate(word):
-            key = node << _CODE | ord(char)
-            below = self.child.get(key)
-            if below is None:
-                below = len(self.best)
-                top, n = self._step(word, at + 1, best, tokens)
-                self.best.append(top)
-                self.tokens.append(n)
-                self.child[key] = below
-            node = below
-            best.append(self.best[node])
-            tokens.append(self.tokens[node])
+            self._extend(word, end, best, tokens)
+            del best[:-self.longest], tokens[:-self.longest]
         return tokens[-1]
 
-    def count(self, text: str) -> tuple[int, int]:
-        """Pre-tokens and tokens of a text."""
-        chunks = marked_chunks(text)
-        terminal, total = self.terminal, 0
-        for chunk in set(chunks) - terminal.keys():
-            if len(chunk) < LONGEST_WORD:
-                terminal[chunk] = self.insert(MARK + chunk.replace(" ", MARK))
-            else:
-                total += chunks.count(chunk) * self.slide(MARK + chunk.replace(" ", MARK))
-        total += sum(terminal.get(chunk, 0) for chunk in chunks)
-        if len(self.best) > MAX_NODES:
-            self.clear()
-        return len(chunks), total
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Pre-tokens and tokens of each text."""
+        cut = [marked_chunks(text) for text in texts]
+        if len(self.terminal) > MAX_WORDS:
+            self.terminal.clear()
+        terminal = self.terminal
+        new = {MARK + chunk.replace(" ", MARK): chunk for chunk in set().union(*cut) if chunk not in terminal}
+        terminal.update((new[word], n) for word, n in self.insert(list(new)))
+        counted = [(len(chunks), sum(map(terminal.__getitem__, chunks))) for chunks in cut]
+        for chunk in new.values():
+            if len(chunk) >= LONGEST_KEPT:
+                del terminal[chunk]
+        return counted
 
 
 def counts_column(model_path: str, text: Column) -> Column:
@@ -120,7 +123,10 @@ def counts_column(model_path: str, text: Column) -> Column:
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = ScoreTrie(scores, byte_score)
         for texts in batches:
-            yield pd.DataFrame([trie.count(t or "") for t in texts], columns=["n_pretokens", "n_tokens"])
+            rows = []
+            for at in range(0, len(texts), GROUP):
+                rows += trie.count([t or "" for t in texts.iloc[at:at + GROUP]])
+            yield pd.DataFrame(rows, columns=["n_pretokens", "n_tokens"])
 
     return counts(text)
 
