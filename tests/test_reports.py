@@ -7,7 +7,6 @@ from tidefeed.operators.dedupe import dedupe_sidebar
 from tidefeed.operators.ordering import comment_drafts
 from tidefeed.operators.reports import audit, audit_report, cache_cleanup, repair_summaries, section_counts
 from tidefeed.plans.adapters import conform
-from tidefeed.sources.tables import spread
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -69,10 +68,13 @@ def test_section_counts_zero_fill(spark):
     assert len(got) == 7
 
 
-def test_bind_and_spread(spark):
-    df = spark.range(10)
-    assert bind(df, "x", F.col("id") * 2).agg(F.sum("x")).first()[0] == 90
-    many = spark.range(0, 100, numPartitions=16)
-    assert spread(many).rdd.getNumPartitions() == 16
-    one = spark.range(0, 100, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_bind(spark):
+    assert bind(spark.range(10), "x", F.col("id") * 2).agg(F.sum("x")).first()[0] == 90
+
+
+def test_audit_report_without_issues_keeps_its_totals(spark):
+    good = "The authors describe a method for testing modules. It works well in practice."
+    audited = audit(spark.createDataFrame([(1, good), (2, good)], "id long, summary string")).withColumn(
+        "status", F.lit("PASS")).withColumn("issues", F.array().cast("array<string>"))
+    [row] = audit_report(audited).collect()
+    assert (row["total"], row["passed"], row["failed"], row["issue_type"], row["issue_count"]) == (2, 2, 0, None, 0)

@@ -19,6 +19,16 @@ def item_label(keys: Sequence[str] = LABEL_KEYS) -> Column:
     return normalize_text(first_nonempty(*keys))
 
 
+def _identity(label: Column, token: Column, number: Column, link: Column) -> Column:
+    """The identity rule on normalised parts."""
+    return (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
+             .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
+             .when(label != "", F.concat(F.lit("label::"), label))
+             .when(link != "", F.concat(F.lit("link::"), link))
+             .when(token != "", F.concat(F.lit("date::"), token))
+             .otherwise(F.lit("empty-item")))
+
+
 def item_identity(*, label_keys: Sequence[str] = LABEL_KEYS,
                   date_keys: Sequence[str] = DATE_TOKEN_KEYS,
                   number_col: str = "document_number", link_col: str = "link") -> Column:
@@ -31,12 +41,7 @@ def item_identity(*, label_keys: Sequence[str] = LABEL_KEYS,
     token = date_token(date_keys)
     number = normalize_text(number_col)
     link = normalize_link(link_col)
-    return (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
-             .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
-             .when(label != "", F.concat(F.lit("label::"), label))
-             .when(link != "", F.concat(F.lit("link::"), link))
-             .when(token != "", F.concat(F.lit("date::"), token))
-             .otherwise(F.lit("empty-item")))
+    return _identity(label, token, number, link)
 
 
 def notification_identity(ntype, identity) -> Column:
@@ -76,11 +81,5 @@ def add_identity(df, name: str = "identity", *, label_keys: Sequence[str] = LABE
         normalize_text(first_nonempty(*[c(k) for k in date_keys])).alias("token"),
         normalize_text(c(number_col)).alias("number"),
         normalize_link(c(link_col)).alias("link")))).alias("_id"))
-    label, token, number, link = (F.col("_id.label"), F.col("_id.token"), F.col("_id.number"), F.col("_id.link"))
-    ident = (F.when((label != "") & (token != ""), F.concat(F.lit("label::"), label, F.lit("::date::"), token))
-              .when((number != "") & (token != ""), F.concat(F.lit("document::"), number, F.lit("::date::"), token))
-              .when(label != "", F.concat(F.lit("label::"), label))
-              .when(link != "", F.concat(F.lit("link::"), link))
-              .when(token != "", F.concat(F.lit("date::"), token))
-              .otherwise(F.lit("empty-item")))
+    ident = _identity(F.col("_id.label"), F.col("_id.token"), F.col("_id.number"), F.col("_id.link"))
     return parts.withColumn(name, ident).drop("_id")

@@ -93,19 +93,6 @@ def contains_any(c, terms: Iterable[str]) -> Column:
     return blank(c).rlike(alternation(terms))
 
 
-def strip_terms(c, terms: Iterable[str]) -> Column:
-    """Remove whole-word terms case-insensitively, then collapse spaces.
-
-    Mirrors the display clean-up that drops the publisher's name:
-    ``re.sub(r'\\bTERM\\b', '', s, flags=I).strip()`` then ``\\s{2,}`` -> ' '.
-    """
-    out = blank(c)
-    for term in terms:
-        out = F.regexp_replace(out, "(?iU)\\b" + _regex_escape(term) + "\\b", "")
-    out = F.trim(out)
-    return F.trim(F.regexp_replace(out, "(?U)\\s{2,}", " "))
-
-
 def cache_key(c, *, kind: str | None = None, trim: bool = True) -> Column:
     """md5 hex of the (trimmed) text, optionally prefixed ``km_``/``te_``."""
     text = pystrip(c) if trim else blank(c)

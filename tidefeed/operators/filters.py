@@ -64,6 +64,14 @@ RECENT_POLICY = {
 }
 
 
+def filter_recent_source(df: DataFrame, cutoff, topic: str, section: str, *, date_col: str = "release_date") -> DataFrame:
+    """``filter_recent`` with the rule of a source (sources without a rule keep every row)."""
+    on_missing, on_unparsed, applies = RECENT_POLICY.get((topic, section), ("keep", "keep", False))
+    if not applies:
+        return df
+    return filter_recent(df, cutoff, date_col=date_col, on_missing=on_missing, on_unparsed=on_unparsed)
+
+
 def filter_notifications_since(df: DataFrame, cutoff, *, item: str = "item") -> DataFrame:
     """Keep notifications whose item date (six keys) is on or after ``cutoff``."""
     from .notifications import conform_item

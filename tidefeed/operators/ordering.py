@@ -33,30 +33,26 @@ def comment_drafts(df: DataFrame, as_of, *, seq: str = "seq") -> DataFrame:
 
 def stop_after_stale_pages(pages: DataFrame, *, listing: str = "listing", page: str = "page",
                            items: str = "n_items", added: str = "n_added", stale: int = 3,
-                           max_pages: int = 50) -> DataFrame:
+                           max_pages: int | None = None) -> DataFrame:
     """Pages of each listing that the crawl would read before it stops.
 
     Input: one row per (listing, page) with the number of items on the page
     and how many of them were in range.  The crawl stops at the first empty
-    page, after ``stale`` pages in a row without an in-range item, or after
-    ``max_pages`` pages.  The window is per listing over at most ``max_pages``
-    rows, so it is bounded whatever the table size.
+    page, after ``stale`` pages in a row without an in-range item, or, if the caller
+    sets ``max_pages``, after that many pages.  The streak is a window of ``stale``
+    pages per listing; the page it stops at is one aggregated row per listing.
     """
-    w = Window.partitionBy(listing).orderBy(page)
     streak = Window.partitionBy(listing).orderBy(page).rowsBetween(-(stale - 1), 0)
-    marked = (pages.where(F.col(page) < max_pages)
-                   .withColumn("_empty", F.col(items) == 0)
-                   .withColumn("_stale_run", F.sum((F.col(added) == 0).cast("int")).over(streak))
-                   .withColumn("_run_len", F.count(F.lit(1)).over(streak)))
-    stop_here = F.col("_empty") | ((F.col("_run_len") == stale) & (F.col("_stale_run") == stale))
-    # first stopping page: empty pages are excluded, stale-streak pages included
-    marked = marked.withColumn("_stop_excl", F.when(F.col("_empty"), F.col(page)))
-    marked = marked.withColumn("_stop_incl", F.when(~F.col("_empty") & stop_here, F.col(page) + 1))
-    bounds = F.least(F.min("_stop_excl").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-                     F.min("_stop_incl").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return (marked.withColumn("_limit", bounds)
-                  .where(F.col("_limit").isNull() | (F.col(page) < F.col("_limit")))
-                  .drop("_empty", "_stale_run", "_run_len", "_stop_excl", "_stop_incl", "_limit"))
+    read = pages if max_pages is None else pages.where(F.col(page) < max_pages)
+    marked = (read.withColumn("_empty", F.col(items) == 0)
+                .withColumn("_stale_run", F.sum((F.col(added) == 0).cast("int")).over(streak))
+                .withColumn("_run_len", F.count(F.lit(1)).over(streak)))
+    streak_ends = (F.col("_run_len") == stale) & (F.col("_stale_run") == stale)
+    # pages from here on are not read: an empty page itself, and what follows a stale streak
+    limit = F.when(F.col("_empty"), F.col(page)).when(streak_ends, F.col(page) + 1)
+    stops = marked.groupBy(F.col(listing).alias("_listing")).agg(F.min(limit).alias("_limit"))
+    joined = read.join(stops, read[listing].eqNullSafe(F.col("_listing")), "left")
+    return joined.where(F.col("_limit").isNull() | (F.col(page) < F.col("_limit"))).drop("_listing", "_limit")
 
 
 def head_preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def audit(df: DataFrame, text: str = "summary") -> DataFrame:
 
 def audit_report(audited: DataFrame) -> DataFrame:
     """Totals plus one row per issue kind (``total, passed, failed, pass_pct, fail_pct,
-    avg_score, issue_type, issue_count, issue_pct``).
+    avg_score, issue_type, issue_count, issue_pct``); without any issue one totals row, its kind NULL.
 
     Empty texts are not part of the report.  Percentages are floor divisions;
     the average score is summed in hundredths (scores have two decimals) and
@@ -83,7 +83,11 @@ def audit_report(audited: DataFrame) -> DataFrame:
         (F.round(hsum / tot) / F.lit(100.0)).alias("avg_score"),
         "issue_type", F.col("n").alias("issue_count"),
         F.floor(F.col("n") * 100 / tot).cast("long").alias("issue_pct"))
-    return report.where(F.col("issue_type").isNotNull())
+    shown = report.withColumn("issue_count", F.when(F.col("issue_type").isNotNull(), F.col("issue_count")).otherwise(0))
+    shown = shown.withColumn("issue_pct", F.when(F.col("issue_type").isNotNull(), F.col("issue_pct")).otherwise(0))
+    # the totals row stands in when no text has an issue
+    kinds = F.count_if(F.col("issue_type").isNotNull()).over(w)
+    return shown.withColumn("_kinds", kinds).where(F.col("issue_type").isNotNull() | (F.col("_kinds") == 0)).drop("_kinds")
 
 
 def audit_totals(audited: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.links import normalize_link
 from ..functions.quality import (first_sentences, is_uninformative, mid_phrase_start, split_sentences,
                                  strip_contact_info, third_person)
 from ..functions.text import blank, cache_key, clean_text, first_nonempty, let, pystrip
+from .dedupe import first_per_key
 from .enrich import cache_lookup
 from .filters import is_presentation
 
@@ -46,9 +47,11 @@ def summary_cascade(items: DataFrame, *, pages_summary: DataFrame | None = None,
     else:
         df = df.withColumn("cached_summary", F.lit(None).cast("string"))
     if pages_summary is not None:
-        ps = pages_summary.select(normalize_link("url").alias("_plink"), F.col("summary").alias("_page_summary"))
-        df = (df.withColumn("_plink", normalize_link("_link"))
-                .join(ps.dropDuplicates(["_plink"]), "_plink", "left").drop("_plink"))
+        keyed = pages_summary.select(normalize_link("url").alias("_plink"), "page_id", F.col("summary").alias("_page_summary"))
+        first = first_per_key(keyed.where(F.col("_plink") != ""), ["_plink"], ["page_id"]).drop("page_id")
+        # only rows without an abstract can use a page: the others carry no join key
+        wanted = F.when(F.col("_abstract") == "", F.nullif(normalize_link("_link"), F.lit("")))
+        df = df.withColumn("_plink", wanted).join(first, "_plink", "left").drop("_plink")
     else:
         df = df.withColumn("_page_summary", F.lit(None).cast("string"))
     if summarizer is not None:

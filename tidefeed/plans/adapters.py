@@ -1,11 +1,13 @@
 """Adapters: the given tables read as feed records (items, notifications, summary cache).
 
 Each adapter reads whole tables; the same definitions are written in SQL in
-``oracle.py`` so the DuckDB check computes the same inputs independently.
+``catalog.py`` so the DuckDB check computes the same inputs independently.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,22 +58,13 @@ def in_curr_crawl(link="link"):
     return F.instr(F.col(link) if isinstance(link, str) else link, "#") == 0
 
 
-def snapshot_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previous crawl over the pages table: every page reachable without a query string."""
-    return items_pages(spark, sf_dir).where(in_prev_crawl())
-
-
-def snapshot_curr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current crawl over the pages table: every page reachable without a fragment."""
-    return items_pages(spark, sf_dir).where(in_curr_crawl())
-
-
-def items_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items_docs(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
     """Publications from documents, with dates written in the styles the sources use.
 
-    document_name = first line of the text; summary = the whole text.
+    document_name = first line of the text; summary = the whole text; ``keep`` names
+    columns of documents to carry along.
     """
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", *keep])
     d = F.date_add(F.lit("2022-07-01").cast("date"), ((F.col("doc_id") * 37) % 700).cast("int"))
     m6 = F.col("doc_id") % 6
     day = F.dayofmonth(d)
@@ -94,7 +87,7 @@ def items_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         release.alias("release_date"),
         F.when(F.col("doc_id") % 3 == 0, F.date_format(d, "yyyy-MM-dd")).otherwise(F.lit("")).alias("release_date_raw"),
         F.when(draft, F.date_format(F.date_add(d, 60), "yyyy-MM-dd")).otherwise(F.lit("")).alias("comment_due_date_raw"),
-        F.lit("").alias("comment_due_date"))
+        F.lit("").alias("comment_due_date"), *keep)
     return conform(out)
 
 
@@ -125,8 +118,3 @@ def cache_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq"), topic.alias("topic"), cache_key(F.col("text")).alias("key"),
                        F.lit("item").alias("kind"), ts.alias("ts"), F.col("text").alias("summary"))
 
-
-def contact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain an '@' (contact details to strip)."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return docs.where(F.col("text").contains("@"))

@@ -700,9 +700,6 @@ def q_cache_cleanup(spark, sf):
 # Remaining text / link functions
 # ---------------------------------------------------------------------------
 
-_SQL_CONTACT = "SELECT doc_id, text FROM documents WHERE strpos(text, '@') > 0"
-
-
 @query("truncate_sentence", f"""SELECT doc_id, CASE WHEN {S.pystrip('text')} = '' OR length({S.pystrip('text')}) <= 800
        THEN {S.pystrip('text')} ELSE {S.pystrip("regexp_replace(substr(" + S.pystrip('text') + ", 1, 800), '([.!?])[^.!?]*$', '" + chr(92) + "1')")} END AS truncated
 FROM documents""")
@@ -880,34 +877,40 @@ def q_write_summary_cache(spark, sf):
 
 @query("stream_new_items", f"SELECT DISTINCT nid FROM ({SQL_NOTES_NID}) n")
 def q_stream_new_items(spark, sf):
+    return _streamed_new_items(spark, sf, None)
+
+
+def _streamed_new_items(spark, sf, horizon):
     from ..streaming.streams import stream_new_items
-    src = _scratch(spark, "stream-src")
+    src, table = _scratch(spark, "stream-src"), _scratch(spark, "stream-table")
     ev = A.notifications_events(spark, sf)
     # several files ordered by time, as a feed would deliver them
     (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").write
        .partitionBy("_day").json(src))
     sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).json(src)
-    name = f"new_items_{uuid.uuid4().hex[:8]}"
-    q = (stream_new_items(sdf).writeStream.format("memory").queryName(name)
-           .option("checkpointLocation", _scratch(spark, "stream-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select("nid")
+    new = stream_new_items(sdf, horizon=horizon).select("nid")
+    new.writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "stream-ckpt")).trigger(
+        availableNow=True).start(table).awaitTermination()
+    return spark.read.schema("nid string").parquet(table)
+
+
+# every identity carries its day, and files come in day order: within a horizon of days none is new twice
+@query("stream_new_items_horizon", f"SELECT DISTINCT nid FROM ({SQL_NOTES_NID}) n")
+def q_stream_new_items_horizon(spark, sf):
+    return _streamed_new_items(spark, sf, "72 hours")
 
 
-@query("stream_upsert_notifications", SQL_DEDUPE_NOTES.replace("strftime(max(\"timestamp\"), " + _TS_FMT_SQL + ") AS \"timestamp\",", "").replace(
-    "strftime(arg_max(scrape_date, (\"timestamp\", -seq)), " + _TS_FMT_SQL + ") AS scrape_date,", ""))
+@query("stream_upsert_notifications", SQL_DEDUPE_NOTES)
 def q_stream_upsert_notifications(spark, sf):
     from ..streaming.streams import latest_table, stream_upsert_notifications
     src, table = _scratch(spark, "upsert-src"), _scratch(spark, "upsert-table")
     ev = A.notifications_events(spark, sf)
     # one file per day: an identity (type, item, day) arrives within one file
     (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").sortWithinPartitions("seq")
-       .write.partitionBy("_day").json(src))
-    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).json(src)
+       .write.partitionBy("_day").parquet(src))
+    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).parquet(src)
     stream_upsert_notifications(sdf, table, _scratch(spark, "upsert-ckpt")).awaitTermination()
-    out = latest_table(spark, table)
-    return out.select("nid", "seq", "type", F.col("item.title").alias("title"),
-                      F.col("item.publish_date_raw").alias("publish_date_raw"))
+    return _flat_notes(latest_table(spark, table))
 
 
 # ---------------------------------------------------------------------------
@@ -987,7 +990,7 @@ _SQL_PAGES_TABLE = f"""SELECT source AS listing, CAST(doc_id // 20 AS INTEGER) A
 FROM (SELECT d.*, x.release_date FROM documents d JOIN ({SQL_ITEMS_DOCS}) x ON x.seq = d.doc_id) y GROUP BY 1, 2"""
 
 
-@query("stop_after_stale_pages", f"""WITH p AS (SELECT * FROM ({_SQL_PAGES_TABLE}) z WHERE page < 50),
+@query("stop_after_stale_pages", f"""WITH p AS (SELECT * FROM ({_SQL_PAGES_TABLE}) z),
 m AS (SELECT *, sum(CASE WHEN n_added = 0 THEN 1 ELSE 0 END) OVER w3 AS stale_run, count(*) OVER w3 AS run_len
       FROM p WINDOW w3 AS (PARTITION BY listing ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 s AS (SELECT *, least(min(CASE WHEN n_items = 0 THEN page END) OVER (PARTITION BY listing),
@@ -996,12 +999,10 @@ s AS (SELECT *, least(min(CASE WHEN n_items = 0 THEN page END) OVER (PARTITION B
 SELECT listing, page, n_items, n_added FROM s WHERE lim IS NULL OR page < lim""")
 def q_stop_after_stale_pages(spark, sf):
     from ..operators.ordering import stop_after_stale_pages
-    docs = read_table(spark, sf, "documents", ["doc_id", "source"])
-    dated = _docs(spark, sf).select("seq", "release_date")
-    joined = docs.join(dated, docs.doc_id == dated.seq)
+    dated = A.items_docs(spark, sf, keep=["source"]).select("seq", "source", "release_date")
     in_range = D.parse_date("release_date", "listing") >= F.lit(CUTOFF_365).cast("timestamp_ntz")
-    pages = (joined.groupBy(F.col("source").alias("listing"), (F.col("doc_id") / 20).cast("int").alias("page"))
-                   .agg(F.count(F.lit(1)).alias("n_items"), F.count_if(in_range).alias("n_added")))
+    pages = (dated.groupBy(F.col("source").alias("listing"), (F.col("seq") / 20).cast("int").alias("page"))
+                  .agg(F.count(F.lit(1)).alias("n_items"), F.count_if(in_range).alias("n_added")))
     return stop_after_stale_pages(pages)
 
 

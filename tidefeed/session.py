@@ -8,6 +8,7 @@ keeps its own master, shuffle sizing and checkpoint folder.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,24 +41,40 @@ def get_spark(app: str = "tidefeed", *, master: str | None = None,
         builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset.
+    """The shared folder for intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    given; a machine-local folder is only chosen when nothing is configured,
-    which is the case in tests and local runs.
+    A configured ``spark.checkpoint.dir`` is used as given.  Without one a folder on
+    this machine is made, but only under a local master (tests, single-machine runs):
+    executors on other machines could not read it.
     """
-    configured = spark.sparkContext.getCheckpointDir()
+    configured = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not configured:
-            configured = tempfile.mkdtemp(prefix="tidefeed-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tidefeed-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
-        configured = spark.sparkContext.getCheckpointDir() or configured
-    return configured
+    return spark.sparkContext.getCheckpointDir() or configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that page extraction runs from any working folder.
+
+    Nothing is sent under a plain local master, whose workers see the driver's files.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_tidefeed_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidefeed-zip-"), "tidefeed")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "tidefeed"))
+    context._tidefeed_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,13 +83,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table once nothing reads it any more."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def materialize(df):
     """Write ``df`` as a parquet table in the shared checkpoint folder and continue from it.
 
-    Used after expensive per-row extraction that several later branches read:
-    the work runs once, and lineage is cut at a columnar copy on shared
-    storage that survives executor loss (columnar files are much cheaper to
-    write and re-read than an RDD checkpoint of serialized rows).
+    Used after expensive per-row extraction that several later branches read: the
+    work runs once, and lineage is cut at a columnar copy on shared storage that
+    survives executor loss.  The result is lazy, so the table stays until the
+    caller ends the session or passes its path to :func:`remove_path`.
     """
     import uuid
     path = scratch_path(df.sparkSession, f"tidefeed-mat-{uuid.uuid4().hex}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..operators.notifications import ITEM_STRING_FIELDS, dedupe_notifications
 
@@ -15,17 +15,34 @@ NOTE_SCHEMA = StructType([
 ])
 
 
+def numbered(rows: DataFrame, place: str) -> DataFrame:
+    """Add ``seq``: the given numbers, then numbers by file and position for rows without one.
+
+    Files are numbered by name (one row per file), so a number is
+    ``(file number + 1) * 2**40 + position`` past every given number's range.
+    """
+    files = rows.select(F.col(f"{place}.file").alias("file")).where("file <> ''").distinct()
+    ranked = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")))  # one row per file
+    both = rows.join(F.broadcast(ranked), F.col(f"{place}.file") == F.col("file"), "left")
+    at = F.col("file_no").cast("long") * F.lit(1 << 40) + F.col(f"{place}.at") % F.lit(1 << 40)
+    return both.withColumn("seq", F.when(F.col(f"{place}.late"), at).otherwise(F.col(f"{place}.n"))).drop("file", "file_no", place)
+
+
 def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines") -> DataFrame:
     """Load notifications, self-heal duplicates, type the timestamps (bad ones -> NULL).
 
     ``layout='lines'``: one JSON object per line (the scalable store format).
-    ``layout='list'``: files holding one JSON list each (import format); a
-    payload that is not a list gives no rows.
+    Lines without a ``seq`` come after those with one, in the order of their files
+    and lines.  ``layout='list'``: files holding one JSON list each (import format);
+    a payload that is not a list gives no rows.  The order of notifications is a
+    struct of rank, file and position; ``seq`` of the result is that of the first row.
     """
     if layout == "lines":
-        rows = spark.read.schema(NOTE_SCHEMA.add("seq", "long")).json(path)
-        if "seq" not in rows.columns or rows.schema["seq"].dataType.simpleString() != "bigint":
-            rows = rows.withColumn("seq", F.monotonically_increasing_id())
+        rows = spark.read.schema(StructType([*NOTE_SCHEMA.fields, StructField("seq", LongType())])).json(path)
+        place = F.struct(F.col("seq").isNull().alias("late"), F.coalesce("seq", F.lit(0)).alias("n"),
+                         F.when(F.col("seq").isNull(), F.input_file_name()).otherwise("").alias("file"),
+                         F.when(F.col("seq").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("at"))
+        rows = rows.withColumn("_place", place)
     else:
         raw = spark.read.text(path, wholetext=True)
         arr = F.from_json(F.col("value"), ArrayType(NOTE_SCHEMA))
@@ -34,10 +51,12 @@ def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines")
         rows = (raw.select(F.input_file_name().alias("_file"), F.when(is_list, arr).alias("a"))
                    .where(F.col("a").isNotNull())
                    .select("_file", F.posexplode("a").alias("pos", "n"))
-                   .select(((F.xxhash64("_file") % F.lit(1 << 40)) * F.lit(1 << 20) + F.col("pos")).alias("seq"), "n.*"))
+                   .select(F.struct(F.lit(True).alias("late"), F.lit(0).cast("long").alias("n"), F.col("_file").alias("file"),
+                                    F.col("pos").cast("long").alias("at")).alias("_place"), "n.*"))
     rows = (rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
                 .withColumn("scrape_date", F.col("scrape_date").try_cast("timestamp_ntz")))
-    return dedupe_notifications(rows.select("seq", "type", "timestamp", "scrape_date", "item"))
+    ordered = numbered(rows, "_place")
+    return dedupe_notifications(ordered.select("seq", "type", "timestamp", "scrape_date", "item"))
 
 
 def write_notifications(df: DataFrame, path: str, *, dedupe: bool = True) -> None:

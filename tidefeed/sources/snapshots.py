@@ -22,14 +22,19 @@ ITEM_SCHEMA = StructType([StructField(f, StringType()) for f in ITEM_FIELDS])
 
 def write_snapshot(items: DataFrame, path: str, *, as_of: str, dedupe: bool = True,
                    group_cols=("topic", "section")) -> DataFrame:
-    """Append a snapshot; returns its per-section counts (an aggregate, not stored)."""
+    """Write a snapshot; returns its per-section counts (an aggregate, not stored).
+
+    Only the partitions of this ``as_of`` are replaced, so a job that is run again
+    leaves one copy and every other snapshot stays.
+    """
     out = items
     if dedupe:
         fields = [c for c in items.columns if c not in (*group_cols, "seq", "identity")]
         out = merge_items(items, group_cols=group_cols, fields=fields)
     stamp = as_of.replace(" ", "T").replace(":", "-")
     out = out.withColumn("snapshot_ts", F.lit(stamp))
-    out.write.mode("append").partitionBy(*group_cols, "snapshot_ts").parquet(path)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*group_cols, "snapshot_ts").parquet(path))
     written = out.sparkSession.read.parquet(path).where(F.col("snapshot_ts") == stamp)
     return written.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,32 +14,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables whose rows carry long texts: per-row work dominates, so a table that
-# arrives as fewer input splits than cores is spread before that work.
-TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``spark.read.parquet`` of one table; ``columns`` prunes the scan's ReadSchema.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame over the default parallelism if it has fewer splits.
-
-    On a cluster, a large table already has far more file splits than cores
-    and this is a no-op; it only matters when a whole table sits in one file.
+    How a table is split is left to the session (``spark.sql.files.*``).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None, *, spread_rows: bool | None = None) -> DataFrame:
-    """``spark.read.parquet`` of one table; ``columns`` prunes the scan's ReadSchema."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)
-    if spread_rows or spread_rows is None:
-        df = spread(df)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,12 @@ a batch rewrites only the buckets it touches (see ``upsert_batch``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.notifications import NID, dedupe_notifications, upsert_notifications, with_nid
+from ..operators.notifications import NID, dedupe_notifications, with_nid
 
 
 def stream_new_items(sdf: DataFrame, *, horizon: str | None = None, event_time: str = "timestamp") -> DataFrame:
@@ -40,32 +42,34 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS,
-                 as_of_col: str = "scrape_date") -> None:
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS) -> None:
     """One micro-batch: merge the batch into the buckets it touches, overwrite only those.
 
     The table is partitioned by ``bucket = pmod(xxhash64(nid), buckets)``.  The
     stored rows are read through a semi-join on the batch's buckets, which
     dynamic partition pruning turns into reading only those directories; the
-    result is staged in the checkpoint folder and written back with dynamic
-    partition overwrite.  ``upsert_notifications`` is idempotent (a known
-    identity keeps its row and merging the same item again changes nothing),
-    so a batch replayed after a failure leaves the table as it was.
+    result is staged in the checkpoint folder, written back with dynamic partition
+    overwrite, and the stage removed.  Stored and new rows are merged by ``seq`` with
+    their own timestamps (the newest is kept); merging the same rows again changes
+    nothing, so a batch replayed after a failure leaves the table as it was.
     """
-    from ..session import materialize
+    from ..session import remove_path, scratch_path
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(F.col(NID)), F.lit(buckets))
     new = with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item"))
     if _exists(spark, path):
         touched = new.select(bucket.alias("bucket")).distinct()
-        store = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket")
-        as_of = new.agg(F.max(as_of_col)).scalar()
-        out = upsert_notifications(store, new.drop(NID), as_of=as_of)
+        store = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket", NID)
+        rows = store.unionByName(new.drop(NID))
     else:
-        out = dedupe_notifications(new.drop(NID))
-    staged = materialize(with_nid(out).withColumn("bucket", bucket))
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("bucket").parquet(path))
+        rows = new.drop(NID)
+    # every row brings its own timestamps, so the table does not depend on how rows fall into batches
+    out = dedupe_notifications(rows)
+    stage = scratch_path(spark, f"tidefeed-upsert-{uuid.uuid4().hex}")
+    with_nid(out).withColumn("bucket", bucket).write.parquet(stage)
+    (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("bucket").parquet(path))
+    remove_path(spark, stage)
 
 
 def stream_upsert_notifications(sdf: DataFrame, path: str, checkpoint: str):
