@@ -87,3 +87,25 @@ def test_snapshot_json_corrupt_files(spark):
         f.write("{not json")
     with pytest.raises(Exception):
         read_snapshot_json(spark, topic_dir, "pqc").collect()
+
+
+def test_second_write_of_a_snapshot_replaces_it(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="tf-twice-"), "s")
+    items = spark.createDataFrame([(1, "qis", "news", "T1", "https://a/1")], "seq long, topic string, section string, title string, link string")
+    for _ in range(2):
+        counts = write_snapshot(items, d, as_of="2024-01-30 00:00:00").collect()
+    assert [r["n"] for r in counts] == [1]
+    write_snapshot(items, d, as_of="2024-01-31 00:00:00")
+    assert read_snapshots(spark, d).count() == 2
+
+
+def test_notification_lines_without_seq_and_twice(spark):
+    d = tempfile.mkdtemp(prefix="tf-lines-")
+    rows = [{"type": "news", "timestamp": "2024-01-02T10:00:00", "scrape_date": "x", "item": {"title": t, "summary": s}}
+            for t, s in (("T", "first"), ("T", "second"), ("U", ""))]
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write("\n".join(map(json.dumps, [dict(rows[0], seq=7), rows[1], rows[2]])))
+    for _ in range(2):
+        got = {r["item"]["title"]: (r["seq"], r["item"]["summary"]) for r in read_notifications(spark, d).collect()}
+        assert got["T"] == (7, "first") and got["U"][0] > 7
+    assert read_notifications(spark, d, layout="list").count() == 0

@@ -16,7 +16,8 @@ Closed form used here (derived from that fold, see README):
   latest first; then the first row; then the other rows in ``seq`` order.  That
   is a ``min(struct(priority, value))`` aggregate, which Spark pre-aggregates
   map-side, so a hot identity (e.g. ``empty-item``) never lands whole in one task.
-* Hot identities are salted for the join that attaches the score table.
+* The join that attaches the score table is salted for every identity, so the
+  rows of a hot one are dealt over several keys without a test of its size.
 * The last-edited pair depends on the previous pair in a way no associative
   summary captures; it is folded with ``aggregate()`` over only the rows that
   carry a last-edited value (never rows of label-only, link-only or
@@ -41,16 +42,17 @@ def _empty(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
 
+#: Copies of a key's score table, so that the rows of a hot key are dealt over as many join keys.
+SALTS = 16
+
+
 def win_flags(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
-              score_col: str = "_score", has_col: str = "_has_link",
-              hot_rows: int = 1_000_000, salt_buckets: int = 32) -> DataFrame:
+              score_col: str = "_score", has_col: str = "_has_link") -> DataFrame:
     """Add ``_win`` / ``_first``: did the row take over as primary in the fold?
 
-    Two small aggregates build, per key, the table ``score -> first seq`` (at
-    most one entry per distinct score); it is joined back to the rows on the
-    key.  Keys with more than ``hot_rows`` rows are salted over
-    ``salt_buckets`` tasks; there are at most total_rows / hot_rows of them,
-    which bounds the broadcast list of hot keys.
+    Two narrow aggregates build, per key, the table ``score -> first seq`` (at most
+    one entry per distinct score); keys with one row need none.  The table is joined
+    to the rows on key and salt, always, whatever the size of a key.
     """
     keys = list(keys)
     firsts = (rows.groupBy(*keys, F.when(F.col(has_col), F.col(score_col)).alias("_s"))
@@ -61,22 +63,16 @@ def win_flags(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
                         .alias("_scores"),
                         F.min("_fs").alias("_first_seq"),
                         F.sum("_n").alias("_rows")))
-    hot = table.where(F.col("_rows") > F.lit(hot_rows)).select(*keys, F.lit(True).alias("_hot"))
-    tagged = (rows.join(F.broadcast(hot), on=keys, how="left")
-                  .withColumn("_salt", F.when(F.col("_hot"), F.abs(F.xxhash64(F.col(seq))) % F.lit(salt_buckets))
-                              .otherwise(F.lit(0)).cast("int"))
-                  .drop("_hot"))
-    salted = (table.drop("_rows").join(F.broadcast(hot), on=keys, how="left")
-                   .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                                  .otherwise(F.array(F.lit(0)))))
-                   .drop("_hot"))
-    joined = tagged.join(salted, on=[*keys, "_salt"], how="inner")
+    salted = table.where("_rows > 1").drop("_rows").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tagged = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(seq)), F.lit(SALTS)).cast("int"))
+    joined = tagged.join(salted, on=[*keys, "_salt"], how="left")
     before = F.aggregate(
         F.filter("_scores", lambda e: e["fs"] < F.col(seq)),
         F.lit(None).cast("int"),
         lambda acc, e: F.when(acc.isNull() | (e["s"] > acc), e["s"]).otherwise(acc))
     return (joined
-            .withColumn("_first", F.col(seq) == F.col("_first_seq"))
+            .withColumn("_first", F.col("_first_seq").isNull() | (F.col(seq) == F.col("_first_seq")))
             .withColumn("_win", ~F.col("_first") & (F.col(score_col) > F.coalesce(before, F.lit(0))))
             .drop("_scores", "_first_seq", "_salt"))
 
@@ -112,8 +108,7 @@ def _le_fold(le_rows: Column) -> Column:
 
 def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
                 group_cols: Sequence[str] = (), fields: Sequence[str] | None = None,
-                carry: Sequence[str] = (), extra_aggs: Sequence[Column] = (),
-                hot_rows: int = 1_000_000, salt_buckets: int = 32) -> DataFrame:
+                carry: Sequence[str] = (), extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """One row per ``group_cols + key``; fields merged exactly as the ordered fold does.
 
     ``key`` is computed with ``item_identity`` when the column is missing.
@@ -132,7 +127,7 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
     rows = df.select(*keys, seq, *fields, *[c for c in carry if c not in fields],
                      (link_score("link") if has_link else F.lit(0)).alias("_score"),
                      (~_empty(F.col("link")) if has_link else F.lit(False)).alias("_has_link"))
-    flagged = win_flags(rows, keys, seq=seq, hot_rows=hot_rows, salt_buckets=salt_buckets)
+    flagged = win_flags(rows, keys, seq=seq)
     p0 = F.when(F.col("_win"), F.lit(0)).otherwise(F.lit(1))
     p1 = F.when(F.col("_win"), -F.col(seq)).otherwise(F.col(seq))
     aggs = [F.min(seq).alias(seq)]

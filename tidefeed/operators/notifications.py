@@ -49,12 +49,11 @@ def with_nid(df: DataFrame, *, type_col: str = "type", item: str = "item") -> Da
 
 
 def _merge_nested(df: DataFrame, *, item: str, seq: str, carry: Sequence[str] = (),
-                  extra_aggs: Sequence[Column] = (), **merge_opts) -> DataFrame:
+                  extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """Merge the nested items of rows sharing ``nid`` (the item fold), one row per nid."""
     fields = df.schema[item].dataType.fieldNames()
     flat = df.select(NID, seq, *carry, *[F.col(f"{item}.{f}").alias(f) for f in fields])
-    merged = merge_items(flat, key=NID, seq=seq, fields=fields, carry=carry, extra_aggs=extra_aggs,
-                         **merge_opts)
+    merged = merge_items(flat, key=NID, seq=seq, fields=fields, carry=carry, extra_aggs=extra_aggs)
     extra = [c for c in merged.columns if c not in (NID, seq, *fields)]
     return merged.select(NID, seq, *extra, F.struct(*[F.col(f) for f in fields]).alias(item))
 
@@ -64,7 +63,7 @@ def _first(col: str, seq: str) -> Column:
 
 
 def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
-                         ts: str = "timestamp", scrape: str = "scrape_date", **merge_opts) -> DataFrame:
+                         ts: str = "timestamp", scrape: str = "scrape_date") -> DataFrame:
     """One notification per identity: items merged in order, newest timestamp kept.
 
     The newest timestamp wins (earliest row on ties) and brings its scrape
@@ -78,7 +77,7 @@ def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
                                    F.col(seq).alias("s"), F.col(ts).alias("t"), F.col(scrape).alias("sd"))))
     extra = [_first(c, seq).alias(c) for c in others]
     extra += [newest.alias("_newest"), _first(ts, seq).alias("_ts0"), _first(scrape, seq).alias("_sd0")]
-    out = _merge_nested(df, item=item, seq=seq, carry=[*others, ts, scrape], extra_aggs=extra, **merge_opts)
+    out = _merge_nested(df, item=item, seq=seq, carry=[*others, ts, scrape], extra_aggs=extra)
     out = (out.withColumn(ts, F.coalesce(F.col("_newest.t"), F.col("_ts0")))
               .withColumn(scrape, F.coalesce(F.col("_newest.sd"), F.col("_sd0")))
               .drop("_newest", "_ts0", "_sd0"))
@@ -86,7 +85,7 @@ def dedupe_notifications(df: DataFrame, *, seq: str = "seq", item: str = "item",
 
 
 def upsert_notifications(store: DataFrame, new: DataFrame, *, as_of, new_type: str | Column | None = None,
-                         seq: str = "seq", item: str = "item", **merge_opts) -> DataFrame:
+                         seq: str = "seq", item: str = "item") -> DataFrame:
     """Add new items to the notification table.
 
     Known identities keep their row and timestamps and merge the new item
@@ -115,7 +114,7 @@ def upsert_notifications(store: DataFrame, new: DataFrame, *, as_of, new_type: s
     # new rows are shifted past every stored seq by a scalar subquery
     offset = store.agg(F.coalesce(F.max(seq), F.lit(-1)) + F.lit(1)).scalar()
     ranked = ranked.withColumn(seq, F.when(F.col("_batch") == 0, F.col(seq)).otherwise(offset + F.col(seq)))
-    out = _merge_nested(ranked, item=item, seq=seq, carry=[*others, "_order"], extra_aggs=extra, **merge_opts)
+    out = _merge_nested(ranked, item=item, seq=seq, carry=[*others, "_order"], extra_aggs=extra)
     return out.drop(seq).withColumnRenamed("_seq0", seq).select(*store.columns)
 
 
