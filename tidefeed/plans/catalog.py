@@ -1024,7 +1024,7 @@ def q_drop_presentations_exact(spark, sf):
     return FL.drop_presentations(n, resource_type="type", exact=True).select("seq")
 
 
-from . import catalog_pages  # noqa: E402,F401  (registers the page, link and phrase queries)
+from . import catalog_pages, catalog_stores  # noqa: E402,F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
