@@ -28,21 +28,38 @@ def first_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[C
     return grouped.select("_best._row.*")
 
 
+def _keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], seq: str) -> DataFrame:
+    """Keep, per key, the row that sorts first; ``seq`` is unique.
+
+    The aggregate carries only key and order, and the rows are picked by a semi-join
+    on the unique ``seq``, which cannot skew; columns the caller drops are never read.
+    """
+    named = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], *[o.alias(f"_o{i}") for i, o in enumerate(order)],
+                      F.col(seq).alias("_seq"))
+    groups = named.groupBy(*[f"_k{i}" for i in range(len(keys))])
+    if order:
+        best = F.min(F.struct(*[f"_o{i}" for i in range(len(order))], "_seq"))["_seq"]
+    else:
+        best = F.min("_seq")
+    firsts = groups.agg(best.alias("_first")).select("_first")
+    return df.join(firsts, df[seq] == firsts["_first"], "left_semi")
+
+
 def dedupe_display(df: DataFrame, title_keys: Sequence[str], date_keys: Sequence[str],
                    *, seq: str = "seq") -> DataFrame:
     """First row per display key (https-normalised link, else type/title/date)."""
-    return first_per_key(df, [display_key(title_keys, date_keys)], [seq])
+    return _keep_first(df, [display_key(title_keys, date_keys)], [], seq)
 
 
 def dedupe_exact(df: DataFrame, keys: Sequence[str], *, seq: str = "seq",
                  source_rank: str | None = None) -> DataFrame:
     """First row per exact key tuple; across sources a fixed source rank orders first."""
-    order = ([source_rank] if source_rank else []) + [seq]
-    return first_per_key(df, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], order)
+    order = [F.col(source_rank)] if source_rank else []
+    return _keep_first(df, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], order, seq)
 
 
 def dedupe_sidebar(df: DataFrame, *, seq: str = "seq", type_col: str = "type",
                    item: str = "item") -> DataFrame:
     """One notification per (type, visible label): best sidebar link score, earliest on ties."""
     score = link_score_typed(F.col(f"{item}.link"), F.col(type_col))
-    return first_per_key(df, [sidebar_key(type_col, item)], [-score, F.col(seq)])
+    return _keep_first(df, [sidebar_key(type_col, item)], [-score], seq)
