@@ -68,3 +68,13 @@ def test_probabilities_sum_to_one():
     for state in set(range(len(block.word_keys))) - {end}:  # nothing follows the end
         total = sum(10 ** machine.read(state, [w]) for w in words) + 10 ** machine.failure[state] * unseen
         assert abs(total - 1) < 1e-9
+
+
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 50, 5000):
+        for top in (300, 1 << 40, (1 << 64) - 1):
+            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert (L.unpack_keys(L.pack_keys(keys)) == keys).all()
+    for counts in ([], [0, 1], [200], [70_000, 1], [1 << 40]):
+        assert L.unpack_counts(L.pack_counts(np.array(counts, np.int64))).tolist() == counts

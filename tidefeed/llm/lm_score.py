@@ -86,8 +86,34 @@ def _part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps, in as few bytes each as the widest gap needs."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    narrow = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + narrow.tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    narrow = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    gaps = np.zeros((len(narrow), 8), np.uint8)
+    gaps[:, :width] = narrow
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, 1), gaps.view("<u8").ravel()]), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest whole type that holds them all."""
+    width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << (8 * w - 1))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 _SENT = "kind int, part long, block long, keys binary, counts binary"
-_ANSWER = "block long, kind int, part long, places binary, totals binary, types long, tokens long"
+_ANSWER = "block long, kind int, part long, changed binary, totals binary, types long, tokens long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -105,31 +131,26 @@ def _sender(parts: int):
         rows = []
         for kind, keys, counts in ((0, block.word_keys, block.word_counts), (1, block.pair_keys, block.pair_counts)):
             edges = _part_bounds(keys, parts)
-            small = counts.astype(np.uint8) if not len(counts) or counts.max() < 256 else counts.astype(np.uint64)
-            rows += [(kind, p, docs["block"][0].as_py(), keys[a:b].tobytes(), small[a:b].tobytes())
+            rows += [(kind, p, docs["block"][0].as_py(), pack_keys(keys[a:b]), pack_counts(counts[a:b]))
                      for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return _table(rows, _SENT)
     return send
 
 
-def _read_counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint64).astype(np.int64)
-
-
 def add_up(sent: pa.Table) -> pa.Table:
     """Totals of one part, answered to each block where they differ from its own counts; one row of sums."""
     kind, part = sent["kind"][0].as_py(), sent["part"][0].as_py()
-    keys = [np.frombuffer(k, np.uint64) for k in sent["keys"].to_pylist()]
-    counts = [_read_counts(c, len(k)) for c, k in zip(sent["counts"].to_pylist(), keys)]
+    keys = [unpack_keys(k) for k in sent["keys"].to_pylist()]
+    counts = [unpack_counts(c) for c in sent["counts"].to_pylist()]
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
     rows, at = [], 0
     for block, own in zip(sent["block"].to_pylist(), counts):
         known = totals[which[at:at + len(own)]]
         at += len(own)
-        places = np.flatnonzero(known != own)
-        if len(places) or kind == 0:
-            rows.append((block, kind, part, places.astype(np.uint32).tobytes(), known[places].astype(np.uint64).tobytes(), 0, 0))
+        changed = known != own
+        if changed.any() or kind == 0:
+            rows.append((block, kind, part, np.packbits(changed).tobytes(), pack_counts(known[changed]), 0, 0))
     if kind == 0:
         start = distinct == np.uint64(WordHashes()[_START])
         rows.append((None, 0, part, b"", b"", int((totals[~start] > 0).sum()), int(totals[~start].sum())))
@@ -169,9 +190,9 @@ def _scorer(parts: int):
         block = Block(docs["text"].to_pylist(), docs["train"].to_numpy())
         totals = [block.word_counts.copy(), block.pair_counts.copy()]
         edges = [_part_bounds(block.word_keys, parts), _part_bounds(block.pair_keys, parts)]
-        for row in answers.select(["kind", "part", "places", "totals"]).to_pylist():
-            at = edges[row["kind"]][row["part"]] + np.frombuffer(row["places"], np.uint32)
-            totals[row["kind"]][at] = np.frombuffer(row["totals"], np.uint64).astype(np.int64)
+        for row in answers.select(["kind", "part", "changed", "totals"]).to_pylist():
+            places = np.flatnonzero(np.unpackbits(np.frombuffer(row["changed"], np.uint8)))
+            totals[row["kind"]][edges[row["kind"]][row["part"]] + places] = unpack_counts(row["totals"])
         tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
         machine = Automaton(block, *totals, tokens, types)
         rows = []
@@ -205,6 +226,6 @@ def score_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
     answered = sent.groupBy("kind", "part").applyInArrow(add_up, _ANSWER)
     sums = answered.where("block IS NULL").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
     answers = answered.where("block IS NOT NULL").select(
-        "block", "kind", "part", "places", "totals",
+        "block", "kind", "part", "changed", "totals",
         sums.select("types").scalar().alias("all_types"), sums.select("tokens").scalar().alias("all_tokens"))
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(blocks), _SCORED)
