@@ -84,8 +84,8 @@ class ChunkTable:
         cut = [self.chunks(text) for text in texts]
         distinct = set().union(*cut)
         if self.held > TABLE_BYTES:
-            self.packed, self.held = {c: self.packed[c] for c in distinct & self.packed.keys()}, 0
-        found = self._learn(list(distinct - self.packed.keys()))
+            self.packed, self.held = {c: self.packed[c] for c in distinct if c in self.packed}, 0
+        found = self._learn([c for c in distinct if c not in self.packed])
         table = self.packed
         table.update(found)
         begin, end = self.ends
