@@ -30,8 +30,8 @@ def test_new_items_properties(spark):
                                           fields=["title", "link", "summary"]).select("topic", "section", "identity"),
                            ["topic", "section", "identity"], "left_semi")
     assert new.count() + kept.count() == merged_cur.count()
-    assert DF.has_changed(cur, prev, fields=["title", "link", "summary"]).first()["changed"] is True
-    assert DF.has_changed(items, items, fields=["title", "link", "summary"]).first()["changed"] is False
+    assert DF.has_changed(cur, prev).first()["changed"] is True
+    assert DF.has_changed(items, items).first()["changed"] is False
 
 
 def _notes(spark, dates):
@@ -96,3 +96,24 @@ def test_ages_ignore_session_time_zone(spark):
         assert act == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sorted_order(spark):
+    """The sort itself: newest first, undated last, ties in list order; previews follow it."""
+    from pyspark.sql import functions as F
+
+    from tidefeed.operators.ordering import head_preview, sort_newest
+    rows = [(1, "2024-01-02"), (2, ""), (3, "January 05, 2024"), (4, "2024-01-02"), (5, "never")]
+    df = spark.createDataFrame(rows, "seq long, release_date string").repartition(3)
+    assert [r["seq"] for r in sort_newest(df, ["release_date"]).collect()] == [3, 1, 4, 2, 5]
+    assert [r["seq"] for r in head_preview(df, 2, [F.desc("seq")]).collect()] == [5, 4]
+
+
+def test_changed_items(spark):
+    from tidefeed.operators.diff import compare_snapshots
+    schema = "seq long, topic string, section string, identity string, link string"
+    old = spark.createDataFrame([(1, "t", "s", "a", "x"), (2, "t", "s", "b", "x"), (3, "t", "s", "c", None)], schema)
+    new = spark.createDataFrame([(1, "t", "s", "a", "y"), (2, "t", "s", "b", "x"), (3, "t", "s", "d", None)], schema)
+    got = {r["identity"]: r["status"] for r in compare_snapshots(new, old, compare=["link"], fields=["link"]).collect()}
+    assert got == {"a": "changed", "b": "kept", "c": "removed", "d": "added"}
+    assert {r["identity"]: r["status"] for r in compare_snapshots(new, old).collect()}["a"] == "kept"

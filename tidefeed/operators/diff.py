@@ -20,44 +20,48 @@ def new_items(current: DataFrame, previous: DataFrame, *, key: str = "identity",
               **merge_opts) -> DataFrame:
     """Rows of ``current`` whose identity is absent from ``previous`` (per topic and section).
 
-    Both sides are merged first (one row per identity), so the anti-join sees
-    unique keys on both sides and cannot be skewed.
+    The current side is merged first (one row per identity); of the previous side only
+    the distinct identities matter, so nothing else of it is read or shuffled.
     """
+    keys = [*group_cols, key]
+    known = _with_identity(previous, key).select(*keys).distinct()
     cur = _with_identity(current, key)
-    prev = _with_identity(previous, key)
     if not merged:
         cur = merge_items(cur, key=key, group_cols=group_cols, **merge_opts)
-        prev = merge_items(prev, key=key, group_cols=group_cols, **merge_opts)
-    keys = [*group_cols, key]
-    return cur.join(prev.select(*keys), on=keys, how="left_anti")
+    return cur.join(known, on=keys, how="left_anti")
 
 
 def compare_snapshots(current: DataFrame, previous: DataFrame, *, key: str = "identity",
-                      group_cols: Sequence[str] = ("topic", "section"), merged: bool = False,
-                      **merge_opts) -> DataFrame:
-    """Full outer join of the two merged identity sets with a ``status`` column.
+                      group_cols: Sequence[str] = ("topic", "section"), compare: Sequence[str] = (),
+                      merged: bool = False, **merge_opts) -> DataFrame:
+    """Full outer join of the two identity sets with a ``status`` column.
 
-    ``added`` (the reference's "new"), ``removed`` and ``kept``; the latter two
-    are derived extras that fall out of the same join.
+    ``added``, ``removed`` and ``kept``; with fields to ``compare``, an identity on both
+    sides whose merged fields differ is ``changed``.  Fields are merged and shuffled
+    only when they are compared.
     """
-    cur = _with_identity(current, key)
-    prev = _with_identity(previous, key)
-    if not merged:
-        cur = merge_items(cur, key=key, group_cols=group_cols, **merge_opts)
-        prev = merge_items(prev, key=key, group_cols=group_cols, **merge_opts)
     keys = [*group_cols, key]
-    joined = (cur.select(*keys, F.lit(True).alias("_in_cur"))
-                 .join(prev.select(*keys, F.lit(True).alias("_in_prev")), on=keys, how="full_outer"))
-    status = (F.when(F.col("_in_prev").isNull(), F.lit("added"))
-               .when(F.col("_in_cur").isNull(), F.lit("removed"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        df = _with_identity(df, key)
+        if not compare:
+            return df.select(*keys).distinct().withColumn(name, F.struct(F.lit(True).alias("there")))
+        if not merged:
+            df = merge_items(df, key=key, group_cols=group_cols, **merge_opts)
+        return df.select(*keys, F.struct(F.lit(True).alias("there"), *compare).alias(name))
+
+    joined = side(current, "_cur").join(side(previous, "_prev"), on=keys, how="full_outer")
+    status = (F.when(F.col("_prev").isNull(), F.lit("added"))
+               .when(F.col("_cur").isNull(), F.lit("removed"))
+               .when(~F.col("_cur").eqNullSafe(F.col("_prev")), F.lit("changed"))
                .otherwise(F.lit("kept")))
     return joined.select(*keys, status.alias("status"))
 
 
 def has_changed(current: DataFrame, previous: DataFrame, *, key: str = "identity",
-                group_cols: Sequence[str] = (), **merge_opts) -> DataFrame:
-    """One row ``(changed)``: the merged identity sets differ (counts then members)."""
-    diff = compare_snapshots(current, previous, key=key, group_cols=group_cols, **merge_opts)
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row ``(changed)``: the identity sets differ."""
+    diff = compare_snapshots(current, previous, key=key, group_cols=group_cols)
     return diff.agg(F.coalesce(F.max(F.col("status") != "kept"), F.lit(False)).alias("changed"))
 
 

@@ -294,7 +294,7 @@ def q_has_changed(spark, sf):
     items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
     cur = items.where(A.in_curr_crawl())
     prev = items.where(A.in_prev_crawl())
-    return DF.has_changed(cur, prev, group_cols=("topic", "section"), fields=_PAGE_FIELDS)
+    return DF.has_changed(cur, prev, group_cols=("topic", "section"))
 
 
 @query("compare_snapshots", f"""SELECT coalesce(c.topic, p.topic) AS topic, coalesce(c.section, p.section) AS section,
@@ -307,7 +307,19 @@ def q_compare_snapshots(spark, sf):
     items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
     cur = items.where(A.in_curr_crawl())
     prev = items.where(A.in_prev_crawl())
-    return DF.compare_snapshots(cur, prev, fields=_PAGE_FIELDS)
+    return DF.compare_snapshots(cur, prev)
+
+
+@query("changed_items", f"""SELECT coalesce(c.topic, p.topic) AS topic, coalesce(c.section, p.section) AS section,
+       coalesce(c.identity, p.identity) AS identity,
+       CASE WHEN p.identity IS NULL THEN 'added' WHEN c.identity IS NULL THEN 'removed'
+            WHEN c.link IS DISTINCT FROM p.link THEN 'changed' ELSE 'kept' END AS status
+FROM (SELECT topic, section, identity, link FROM ({SQL_CURR}) c0) c
+FULL OUTER JOIN (SELECT topic, section, identity, link FROM ({SQL_PREV}) p0) p
+  ON c.topic = p.topic AND c.section = p.section AND c.identity = p.identity""")
+def q_changed_items(spark, sf):
+    items = materialize(A.items_pages(spark, sf).withColumn("identity", I.item_identity()))
+    return DF.compare_snapshots(items.where(A.in_curr_crawl()), items.where(A.in_prev_crawl()), compare=["link"], fields=_PAGE_FIELDS)
 
 
 _DISPLAY_KEY_DOCS = S.display_key(["document_name"], ["release_date_raw", "release_date"],
