@@ -41,3 +41,22 @@ def test_stream_new_items_with_horizon(spark):
     got = _run(spark, stream_new_items(sdf, horizon="48 hours"))
     expected = with_nid(ev).select("nid").distinct()
     assert sorted(r["nid"] for r in got.select("nid").collect()) == sorted(r["nid"] for r in expected.collect())
+
+
+def _table(spark, path):
+    from tidefeed.streaming.streams import latest_table
+    rows = latest_table(spark, path).select("nid", "seq", "type", "timestamp", "scrape_date", F.to_json("item").alias("item"))
+    return sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_upserts_do_not_depend_on_batches_and_may_be_replayed(spark):
+    from tidefeed.streaming.streams import upsert_batch
+    ev = A.notifications_events(spark, SF).where("seq < 400")
+    base = tempfile.mkdtemp(prefix="tf-upsert-")
+    whole, split = f"{base}/whole", f"{base}/split"
+    upsert_batch(ev, 0, whole, buckets=4)
+    for n, part in enumerate([ev.where("seq % 3 = 1"), ev.where("seq % 3 = 0"), ev.where("seq % 3 = 0"), ev.where("seq % 3 = 2")]):
+        upsert_batch(part, n, split, buckets=4)
+    assert _table(spark, whole) == _table(spark, split)
+    upsert_batch(ev.where("seq % 3 = 2"), 3, split, buckets=4)
+    assert _table(spark, whole) == _table(spark, split)
