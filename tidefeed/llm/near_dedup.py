@@ -8,8 +8,10 @@ drops most wrong candidates; full shingle sets then confirm every link.
 Work per group stays linear.  Texts with equal shingle sets are one class from the
 start.  In each band bucket all members are first compared with the bucket's
 smallest member only.  What these links leave apart is compared in a second round:
-members outside the bucket's largest component against all its members, with the
-sketch test inside the join, so no group emits all its pairs.
+members outside the bucket's largest component against all its members.  The join
+itself tests sizes, odd sketches and a finer parity bitmap of the full sets, and
+counts a pair in its first common bucket only, so what it emits are close to the
+threshold, not all pairs of a group.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
-#: Percent below the threshold at which a sketch estimate drops a candidate (over six standard deviations).
-SLACK = 25
+#: Percent below the threshold at which an estimate drops a candidate: five standard deviations (3.1 at 80).
+SLACK = 16
+#: Bits of the parity bitmap of a full set, the largest set it is used for, and its slack (six deviations).
+PARITY_BITS, PARITY_SET, PARITY_SLACK = 2048, 1500, 4
+#: Bits of the bitmap that keeps texts no pair asks for out of a shuffle (8 MB, whatever the input).
+ASKED_BITS = 1 << 26
 
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -79,10 +85,19 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Parity bitmap of each full set: every shingle flips one bit."""
+    out = []
+    for s in sets:
+        odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return out
+
+
 def signature_column(text: Column, shingle: int) -> Column:
-    """Struct of set size, set digest, band keys and odd sketch; empty texts have nulls for the last three."""
+    """Struct of set size, set digest, band keys, odd sketch and parity bitmap; the last four are null without shingles."""
 
-    @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
+    @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>, parity array<long>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
@@ -90,11 +105,13 @@ def signature_column(text: Column, shingle: int) -> Column:
             full = [i for i, s in enumerate(sets) if len(s)]
             samples = minhash([sets[i] for i in full]) if full else np.empty((0, SAMPLES), np.uint32)
             bands, sketches = iter(bands_of(samples)), iter(odd_sketches(samples))
+            parities = iter(parity_bitmaps([sets[i] for i in full]))
             yield pd.DataFrame({
                 "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "bands": [next(bands) if len(s) else None for s in sets],
-                "sketch": [next(sketches) if len(s) else None for s in sets]})
+                "sketch": [next(sketches) if len(s) else None for s in sets],
+                "parity": [next(parities) if len(s) else None for s in sets]})
 
     return signature(text)
 
@@ -111,19 +128,50 @@ def set_column(text: Column, shingle: int) -> Column:
     return full_set(text)
 
 
+def _differing(a: Column, b: Column, bits: int) -> Column:
+    """Size of a symmetric difference from two parity bitmaps."""
+    # written out word by word, so that it is compiled with the join that tests it
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)), F.lit(0))
+    return -bits / 2.0 * F.log(1.0 - F.least(2.0 * apart / bits, F.lit(0.999)))
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity in percent from two odd sketches."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    share = F.least(2.0 * apart / SKETCH_BITS, F.lit(0.999))
-    differing = -SKETCH_BITS / 2.0 * F.log(1.0 - share)
-    return 100.0 - 100.0 * differing / (2.0 * SAMPLES)
+    return 100.0 - 100.0 * _differing(a, b, SKETCH_BITS) / (2.0 * SAMPLES)
+
+
+def close_sizes(a: Column, b: Column, percent: int) -> Column:
+    """Sets of these sizes can be ``percent`` similar."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def close_sets(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """The parity bitmaps of two full sets allow ``percent``; true for sets too large for them."""
+    apart, total = _differing(a, b, PARITY_BITS), size_a + size_b
+    return (F.greatest(size_a, size_b) > PARITY_SET) | (100.0 * (total - apart) >= (percent - PARITY_SLACK) * (total + apart))
+
+
+def _asked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id is in ``ids``.
+
+    A bitmap of fixed size over hashed ids is broadcast first and drops most other
+    texts before the shuffle; the join behind it is exact.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS))
+    marks = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket_number")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("marks", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    few = texts.join(F.broadcast(marks), F.bitmap_bucket_number(slot) == F.col("bucket_number")).where(
+        F.getbit(byte, (place % 8).cast("int")) == 1)
+    return few.select(*texts.columns).join(ids, "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough.  ``texts`` has ``id, text`` of all classes."""
     pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = saved(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select(
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = saved(_asked(texts, ids).dropDuplicates(["id"]).select(
         "id", set_column(F.col("text"), shingle).alias("s")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -151,36 +199,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.min("id").alias("class_id"))
     chosen = signed.join(classes.withColumnRenamed("set_hash", "h"), (F.col("id") == F.col("class_id")) & (
         F.col("set_hash") == F.col("h")), "left_semi")
-    reps = saved(chosen.select("id", "bands", "sketch"), "classes")
+    reps = saved(chosen.select("id", "n_shingles", "bands", "sketch", "parity"), "classes")
 
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where(
         "first_id < last_id").drop("last_id")
     members = saved(entries.join(shared, "bucket"), "buckets")
-    sketches = reps.select("id", "sketch")
 
-    def likely(a: Column, b: Column) -> Column:
-        return estimate(a, b) >= percent - SLACK
+    def side(suffix: str, *columns: str) -> DataFrame:
+        return reps.select(*(F.col(c).alias(c + suffix) for c in ("id", *columns)))
 
-    stars = members.where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a").join(
-        sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b").where(
-        likely(F.col("ka"), F.col("kb"))).select("a", "b")
-    links = _confirmed(near, texts, shingle, percent)
+    stars = members.where("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    known = ("n_shingles", "sketch")
+    near = stars.join(side("_a", *known), "id_a").join(side("_b", *known), "id_b").where(
+        close_sizes(F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+        & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent - SLACK))
+    links = _confirmed(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), texts, shingle, percent)
     found = saved(components(links), "components")
 
     # Second round: buckets whose members are not all in one component.
     labelled = members.join(found, "id", "left").select(
-        "bucket", "id", "first_id", F.coalesce("component", "id").alias("component"))
+        "band", "bucket", "id", "first_id", F.coalesce("component", "id").alias("component"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed_buckets = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("main")).where(
         "parts > 1").drop("parts")
-    apart = saved(labelled.where("id <> first_id").join(mixed_buckets, "bucket").join(sketches, "id"), "apart")
-    rest = apart.where("component <> main").select(
-        "bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
-    others = apart.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("kb"))
-    late = rest.join(others, (rest["bucket"] == others["bucket"]) & (F.col("ca") != F.col("cb")) & likely(
-        F.col("ka"), F.col("kb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left_over = labelled.where("id <> first_id").join(mixed_buckets, "bucket")
+    apart = saved(left_over.join(reps, "id"), "apart")
+
+    def half(rows: DataFrame, suffix: str) -> DataFrame:
+        columns = ("id", "band", "bucket", "component", "n_shingles", "bands", "sketch", "parity")
+        return rows.select(*(F.col(c).alias(c + suffix) for c in columns))
+
+    first_common = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) - 1
+    late = half(apart.where("component <> main"), "_a").join(half(apart, "_b"), (
+        F.col("bucket_a") == F.col("bucket_b")) & (F.col("component_a") != F.col("component_b"))
+        & close_sizes(F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+        & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent - SLACK)
+        & close_sets(F.col("parity_a"), F.col("parity_b"), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+        & (first_common == F.col("band_a")))
+    late = late.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     more = _confirmed(late, texts, shingle, percent)
     joined = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
@@ -195,4 +252,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, without the documents of a component that are not kept."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
