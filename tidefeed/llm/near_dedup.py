@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
+from .id_filter import asked, without
 from .shingles import WordHashes, mixed, shingle_set
 
 #: 40 bands of 5 samples: a pair at similarity 0.8 misses every band with probability 1.3e-7.
@@ -37,8 +38,6 @@ SKETCH_BITS = 512
 SLACK = 16
 #: Bits of the parity bitmap of a full set, the largest set it is used for, and its slack (six deviations).
 PARITY_BITS, PARITY_SET, PARITY_SLACK = 2048, 1500, 4
-#: Bits of the bitmap that keeps texts no pair asks for out of a shuffle (8 MB, whatever the input).
-ASKED_BITS = 1 << 26
 
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,27 +150,11 @@ def close_sets(a: Column, b: Column, size_a: Column, size_b: Column, percent: in
     return (F.greatest(size_a, size_b) > PARITY_SET) | (100.0 * (total - apart) >= (percent - PARITY_SLACK) * (total + apart))
 
 
-def _asked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts whose id is in ``ids``.
-
-    A bitmap of fixed size over hashed ids is broadcast first and drops most other
-    texts before the shuffle; the join behind it is exact.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS))
-    marks = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket_number")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("marks", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    few = texts.join(F.broadcast(marks), F.bitmap_bucket_number(slot) == F.col("bucket_number")).where(
-        F.getbit(byte, (place % 8).cast("int")) == 1)
-    return few.select(*texts.columns).join(ids, "id", "left_semi")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough.  ``texts`` has ``id, text`` of all classes."""
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = saved(_asked(texts, ids).dropDuplicates(["id"]).select(
+    sets = saved(asked(texts, "id", ids).dropDuplicates(["id"]).select(
         "id", set_column(F.col("text"), shingle).alias("s")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -252,4 +235,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, without the documents of a component that are not kept."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without(docs, "doc_id", saved(gone, "gone"))
