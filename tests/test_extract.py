@@ -128,3 +128,23 @@ def test_next_page_links_skip_known(spark):
     pages = _pages(spark, p0, p1)
     got = {r["page_id"]: r["next_url"] for r in X.next_page_links(pages, known=pages.select("url")).collect()}
     assert got == {1: "https://x.gov/p/page-3"}     # page 0's next (/p/1) is already known
+
+
+def test_runs_from_another_folder(tmp_path):
+    """Workers that cannot import the package are sent it."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tidefeed.session import get_spark
+from tidefeed.operators.extract import page_body
+spark = get_spark("elsewhere", master="local[1]", shuffle_partitions=1)
+pages = spark.createDataFrame([(1, "u", "<p>hello")], "page_id long, url string, html string")
+print("BODY", page_body(pages).first()["body"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "BODY hello" in done.stdout, done.stderr[-2000:]

@@ -272,13 +272,12 @@ def strip_urls(c, mode: str = "narrow") -> Column:
 
 
 def strip_contact_info(c) -> Column:
-    """Drop e-mails and sentences with a contact phrase; if too little remains, cut the phrases only."""
-    text = F.regexp_replace(blank(c), EMAIL_RE, "")
-    found = sentence_pieces(text)
-    sentences = F.when(F.size(found) == 0, F.array(text)).otherwise(found)
+    """Drop e-mails and sentences with a contact phrase; if too little remains, cut the phrases only.
+
+    Text, sentences and the first result are each bound once; the e-mail pattern runs
+    only where there is an ``@``.
+    """
     phrase_re = alternation(CONTACT_PHRASES)
-    kept = F.filter(sentences, lambda s: ~F.lower(pystrip(s)).rlike(phrase_re))
-    result = pystrip(F.array_join(F.transform(kept, lambda s: pystrip(s)), " "))
 
     def surgical(s):
         out = s
@@ -288,10 +287,19 @@ def strip_contact_info(c) -> Column:
         out = F.regexp_replace(out, "\\." + WS_CLASS + "*\\.", ".")
         return pystrip(out)
 
-    cut = F.filter(F.transform(sentences, surgical), lambda s: (s != "") & (word_count(s) > 3))
-    surgical_result = pystrip(F.array_join(cut, " "))
-    return F.when(blank(c) == "", F.lit("")).when(
-        (word_count(result) < 10) & (F.size(sentences) > 1), surgical_result).otherwise(result)
+    def of_sentences(sentences):
+        kept = F.filter(sentences, lambda s: ~F.lower(pystrip(s)).rlike(phrase_re))
+        whole = pystrip(F.array_join(F.transform(kept, lambda s: pystrip(s)), " "))
+        cut = F.filter(F.transform(sentences, surgical), lambda s: (s != "") & (word_count(s) > 3))
+        return let(whole, lambda result: F.when(
+            (word_count(result) < 10) & (F.size(sentences) > 1), pystrip(F.array_join(cut, " "))).otherwise(result))
+
+    def of_text(text):
+        return let(sentence_pieces(text), lambda found: let(
+            F.when(F.size(found) == 0, F.array(text)).otherwise(found), of_sentences))
+
+    return let(blank(c), lambda s: F.when(s == "", F.lit("")).otherwise(let(
+        F.when(F.instr(s, "@") > 0, F.regexp_replace(s, EMAIL_RE, "")).otherwise(s), of_text)))
 
 
 # ---------------------------------------------------------------------------
@@ -386,23 +394,26 @@ def _has_gibberish(s: Column, low: Column, tok: Column, variant: str) -> Column:
     raise ValueError(f"unknown gibberish variant {variant!r}")
 
 
+def _uninformative(s: Column, norm: Column) -> Column:
+    """The ``summary`` tests on a text and its lower-cased cleaned form; patterns run only where they can match."""
+    foreign = F.exists(extract_urls(s, "narrow"), lambda u: ~(F.lower(u).startswith("https://www.nist.gov")
+                                                              | F.lower(u).startswith("http://www.nist.gov")))
+    linked = (F.instr(norm, "http") > 0) | (F.instr(norm, "www.") > 0)
+    gibberish = has_gibberish(s, "lenient") & ((word_count(s) < 10) | ~contains_any(F.lower(s), TECHNICAL_TERMS_SHORT))
+    return (contains_any(norm, SUMMARY_BAD_INDICATORS)
+            | pystrip(norm).rlike(_py_ws("^https?://[^\\s]*$"))
+            | ((F.instr(s, "@") > 0) & s.rlike(EMAIL_RE))
+            | (linked & foreign)
+            | gibberish)
+
+
 def is_uninformative(c, variant: str = "summary") -> Column:
     """``summary``: error/contact phrases, URL-only, e-mail, foreign URL, gibberish.
     ``strict``: adds forbidden leads, keyword block and researcher mentions."""
     s = blank(c)
     if variant == "summary":
-        norm = clean_text(F.lower(s))
-        urls = extract_urls(s, "narrow")
-        foreign = F.exists(urls, lambda u: ~(F.lower(u).startswith("https://www.nist.gov")
-                                             | F.lower(u).startswith("http://www.nist.gov")))
-        gib = has_gibberish(s, "lenient") & ((word_count(s) < 10)
-                                             | ~contains_any(F.lower(s), TECHNICAL_TERMS_SHORT))
-        return F.when(s == "", F.lit(True)).otherwise(
-            contains_any(norm, SUMMARY_BAD_INDICATORS)
-            | pystrip(norm).rlike(_py_ws("^https?://[^\\s]*$"))
-            | s.rlike(EMAIL_RE)
-            | foreign
-            | gib)
+        return let(s, lambda text: F.when(text == "", F.lit(True)).otherwise(
+            let(clean_text(F.lower(text)), lambda norm: _uninformative(text, norm))))
     if variant == "strict":
         low = pystrip(F.lower(s))
         forbidden = F.lit(False)

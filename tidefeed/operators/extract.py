@@ -21,6 +21,7 @@ from ..functions.html import is_likely_abstract
 from ..functions.links import absolutize_link, is_search_index_url
 from ..functions.quality import first_sentences, is_uninformative, strip_contact_info, word_count
 from ..functions.text import blank, clean_text, let
+from ..session import ship_package
 from .page_tree import NO_TEXT, Node, parse, select
 
 
@@ -267,6 +268,7 @@ def extract_pages(pages: DataFrame, parts: Sequence[str], keep: Sequence[str] =
     from what was read before it.
     """
     wanted = [(p, PARTS[p][1]) for p in parts]
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -63,15 +63,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+def _workers_see(root: str, master: str) -> bool:
+    """Python workers can import the package without being sent it."""
+    if os.path.basename(root) in ("site-packages", "dist-packages"):
+        return True  # installed, as on every machine of the cluster
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    return master.startswith("local") and root in map(os.path.abspath, filter(None, seen))
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, so that page extraction runs from any working folder.
+    """Give the Python workers this package, so that its functions run from any working folder.
 
-    Nothing is sent under a plain local master, whose workers see the driver's files.
+    Workers unpickle functions by module name.  The package is sent once per session,
+    unless it is installed or a local session's workers find it by themselves.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_tidefeed_shipped", False):
-        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_tidefeed_shipped", False) or _workers_see(root, context.master):
+        return
     archive = os.path.join(tempfile.mkdtemp(prefix="tidefeed-zip-"), "tidefeed")
     context.addPyFile(shutil.make_archive(archive, "zip", root, "tidefeed"))
     context._tidefeed_shipped = True
