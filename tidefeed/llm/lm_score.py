@@ -19,10 +19,9 @@ can visit.  Keys are 64-bit hashes: among n distinct ones about n^2 / 2^65 pairs
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,14 @@ _START, _END = b"\x00 start", b"\x00 end"  # a white space keeps them apart from
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Numbers(dict):
+    """Numbers of words in the order they are first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Block:
     """Words, bigrams and own training counts of one block of documents, in the order of their keys.
 
@@ -48,13 +55,13 @@ class Block:
 
     def __init__(self, texts: list[str | None], train: np.ndarray):
         hashes = WordHashes()
-        local: dict[bytes, int] = {_START: 0, _END: 1}
+        local = _Numbers({_START: 0, _END: 1})
         ids: list[int] = []
         sizes = []
         for text in texts:
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             ids.append(0)
-            ids += [local.setdefault(word, len(local)) for word in words]
+            ids.extend(map(local.__getitem__, words))
             ids.append(1)
             sizes.append(len(words) + 2)
         seen = np.array(ids, np.int64)
@@ -77,6 +84,11 @@ class Block:
         by_key = np.argsort(pair_keys)
         self.history, self.word = self.history[by_key], self.word[by_key]
         self.pair_keys, self.pair_counts = pair_keys[by_key], pair_counts[by_key]
+        # every text's tokens without its start: their places, and the pair each one ends
+        place_of = np.empty(len(by_key), np.int64)
+        place_of[by_key] = np.arange(len(by_key))
+        self.tokens, self.pair_at = self.ids[at], place_of[pair_of]
+        self.first_token = self.bounds[:-1] - np.arange(len(sizes))
 
 
 def _part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -158,28 +170,24 @@ def add_up(sent: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """States and arcs that one block of documents can visit."""
+    """States and arcs that one block of documents can visit.
+
+    The state after a word is that word's, so the state before each token of a text
+    is known from the token before it, and an arc of a state is the pair of the two.
+    """
 
     def __init__(self, block: Block, word_totals: np.ndarray, pair_totals: np.ndarray, tokens: int, types: int):
-        self.n_words = len(word_totals)
-        root = (word_totals + 0.1) / (tokens + 0.1 * (types + 1))
-        self.root = np.log10(root)
+        weight = (word_totals + 0.1) / (tokens + 0.1 * (types + 1))
+        self.root = np.log10(weight)
         self.known = word_totals > 0
-        seen = np.flatnonzero(pair_totals > 0)
-        history, word = block.history[seen], block.word[seen]
-        weight = (pair_totals[seen] + PRIOR * root[word]) / (word_totals[history] + PRIOR)
-        self.arcs = dict(zip((history * self.n_words + word).tolist(), np.log10(weight).tolist()))
-        self.failure = np.log10(PRIOR / (word_totals + PRIOR)).tolist()
-        self.root_arcs = self.root.tolist()
-
-    def read(self, state: int, words: list[int]) -> float:
-        """Log10 probability of the words, read from ``state`` on; the state after a word is that word's."""
-        total, step, arcs, failure, root = 0.0, self.n_words, self.arcs, self.failure, self.root_arcs
-        for word in words:
-            weight = arcs.get(state * step + word)
-            total += failure[state] + root[word] if weight is None else weight
-            state = word
-        return total
+        self.has_arc = pair_totals > 0
+        self.arc = np.log10((pair_totals + PRIOR * weight[block.word]) / (word_totals[block.history] + PRIOR))
+        self.failure = np.log10(PRIOR / (word_totals + PRIOR))
+
+    def read(self, block: Block) -> np.ndarray:
+        """Log weights of all tokens, texts read from left to right: the state's arc, or its failure arc and the root's."""
+        state, word = block.history[block.pair_at], block.tokens
+        return np.where(self.has_arc[block.pair_at], self.arc[block.pair_at], self.failure[state] + self.root[word])
 
 
 def _scorer(parts: int):
@@ -195,12 +203,16 @@ def _scorer(parts: int):
             totals[row["kind"]][edges[row["kind"]][row["part"]] + places] = unpack_counts(row["totals"])
         tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
         machine = Automaton(block, *totals, tokens, types)
-        rows = []
-        for n, (doc_id, train) in enumerate(zip(docs["doc_id"].to_pylist(), docs["train"].to_pylist())):
-            ids = block.ids[block.bounds[n] + 1:block.bounds[n + 1]]
-            rows.append((doc_id, not train, len(ids), int(machine.known[ids].sum()), tokens,
-                         math.fsum(machine.root[ids]), machine.read(block.start, ids.tolist())))
-        return _table(rows, _SCORED)
+        sizes = np.diff(np.append(block.first_token, len(block.tokens)))
+
+        def per_text(values: np.ndarray) -> list:
+            return np.add.reduceat(values, block.first_token).tolist()
+
+        return pa.table({
+            "doc_id": docs["doc_id"], "held_out": pc.invert(docs["train"]), "n_tokens": sizes,
+            "n_known": per_text(machine.known[block.tokens].astype(np.int64)),
+            "train_tokens": np.full(len(sizes), tokens, np.int64), "base_score": per_text(machine.root[block.tokens]),
+            "score": per_text(machine.read(block))})
     return score
 
 
