@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+from .id_filter import without
+
 #: Length of a q-gram; the three doublings in :func:`gram_keys` make eight.
 Q = 8
 #: Edits allowed per 100 characters of an item.
@@ -297,5 +300,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, in which no benchmark item was found."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
+    return without(docs, "doc_id", saved(gone, "leaks"))
