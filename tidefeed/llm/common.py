@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def sliced(texts: pd.Series, size: int) -> Iterator[pd.Series]:
+    """A batch in parts, so that a task holds the results of a part and not of a whole batch."""
+    for at in range(0, max(len(texts), 1), size):
+        yield texts.iloc[at:at + size]
+
+
 def id_crc(column: str) -> Column:
     """crc32 of the id written as text (null ids: crc32 of the empty string)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

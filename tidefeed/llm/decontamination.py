@@ -33,7 +33,7 @@ EDIT_PERCENT = 10
 #: Characters of items in one block (about 20 bytes of index for each).
 BLOCK_CHARS = 2_000_000
 #: Normalised characters compared at once.
-SLICE = 1_000_000
+SLICE = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
 _SPACE = 32

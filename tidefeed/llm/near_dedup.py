@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, sliced
 from .components import components
 from .id_filter import asked, without
 from .shingles import WordHashes, mixed, shingle_set
@@ -96,21 +96,23 @@ def parity_bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
 def signature_column(text: Column, shingle: int) -> Column:
     """Struct of set size, set digest, band keys, odd sketch and parity bitmap; the last four are null without shingles."""
 
+    def signed(hashes: WordHashes, texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(hashes.of(t), shingle) for t in texts]
+        full = [s for s in sets if len(s)]
+        samples = minhash(full) if full else np.empty((0, SAMPLES), np.uint32)
+        bands, sketches, parities = iter(bands_of(samples)), iter(odd_sketches(samples)), iter(parity_bitmaps(full))
+        return pd.DataFrame({
+            "n_shingles": np.array([len(s) for s in sets], np.int64),
+            "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+            "bands": [next(bands) if len(s) else None for s in sets],
+            "sketch": [next(sketches) if len(s) else None for s in sets],
+            "parity": [next(parities) if len(s) else None for s in sets]})
+
     @F.pandas_udf("n_shingles long, set_hash binary, bands array<long>, sketch array<long>, parity array<long>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for texts in batches:
-            sets = [shingle_set(hashes.of(t), shingle) for t in texts]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            samples = minhash([sets[i] for i in full]) if full else np.empty((0, SAMPLES), np.uint32)
-            bands, sketches = iter(bands_of(samples)), iter(odd_sketches(samples))
-            parities = iter(parity_bitmaps([sets[i] for i in full]))
-            yield pd.DataFrame({
-                "n_shingles": np.array([len(s) for s in sets], np.int64),
-                "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "bands": [next(bands) if len(s) else None for s in sets],
-                "sketch": [next(sketches) if len(s) else None for s in sets],
-                "parity": [next(parities) if len(s) else None for s in sets]})
+        for batch in batches:
+            yield from (signed(hashes, texts) for texts in sliced(batch, 1000))
 
     return signature(text)
 
@@ -121,8 +123,9 @@ def set_column(text: Column, shingle: int) -> Column:
     @F.pandas_udf("array<long>")
     def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = WordHashes()
-        for texts in batches:
-            yield pd.Series([shingle_set(hashes.of(t), shingle).view(np.int64) for t in texts])
+        for batch in batches:
+            for texts in sliced(batch, 500):
+                yield pd.Series([shingle_set(hashes.of(t), shingle).view(np.int64) for t in texts], dtype=object)
 
     return full_set(text)
 

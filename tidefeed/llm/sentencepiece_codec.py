@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import MARK, marked_chunks
+from .common import sliced
 
 #: Bytes of chunks and ids a task's table may hold before it is emptied.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 48 << 20
 #: Chunks longer than this are encoded each time instead of being kept.
 LONGEST_KEPT = 256
 _ID = np.dtype("<u4")
@@ -107,12 +108,11 @@ def codec_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     @F.pandas_udf("ids binary, decoded string")
     def codec(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = ChunkTable(_processor(shared.value), separate)
-        for texts in batches:
-            packed: list[bytes] = []
-            for part in np.array_split(np.arange(len(texts)), len(texts) // 256 + 1):
-                packed += table.encode(["" if t is None else t for t in texts.iloc[part]])
-            decoded = [table.processor.decode(np.frombuffer(ids, _ID).tolist()) for ids in packed]
-            yield pd.DataFrame({"ids": packed, "decoded": decoded})
+        for batch in batches:
+            for texts in sliced(batch, 256):
+                packed = table.encode(["" if t is None else t for t in texts])
+                decoded = [table.processor.decode(np.frombuffer(ids, _ID).tolist()) for ids in packed]
+                yield pd.DataFrame({"ids": packed, "decoded": decoded})
 
     return codec(text)
 

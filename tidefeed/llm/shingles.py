@@ -7,7 +7,7 @@ import xxhash
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words whose hashes a task keeps before it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

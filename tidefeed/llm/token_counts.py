@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import MARK, marked_chunks
+from .common import sliced
 
 #: Words whose counts a task keeps before it starts anew.
 MAX_WORDS = 400_000
@@ -122,11 +123,9 @@ def counts_column(model_path: str, text: Column) -> Column:
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = ScoreTrie(scores, byte_score)
-        for texts in batches:
-            rows = []
-            for at in range(0, len(texts), GROUP):
-                rows += trie.count([t or "" for t in texts.iloc[at:at + GROUP]])
-            yield pd.DataFrame(rows, columns=["n_pretokens", "n_tokens"])
+        for batch in batches:
+            for texts in sliced(batch, GROUP):
+                yield pd.DataFrame(trie.count([t or "" for t in texts]), columns=["n_pretokens", "n_tokens"])
 
     return counts(text)
 
