@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefeed.llm import decontamination, near_dedup, quality_classifier, quality_rules, sentencepiece_codec
-from tidefeed.llm.common import saved, table
+from tidefeed.llm.common import saved, small_batches, table
 from tidefeed.llm.queries import piece_model
 
 
@@ -28,6 +28,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return near_dedup.drop_duplicates(docs)
 
 
@@ -38,6 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed, with their count) and digests of ids and decoded text."""
+    small_batches(spark)
     encoded = sentencepiece_codec.encode_decode(spark, docs, piece_model())
     return encoded.select(
         "doc_id", "ids", sentencepiece_codec.n_tokens(F.col("ids")).alias("n_tokens"),

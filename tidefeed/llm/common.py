@@ -15,8 +15,20 @@ from ..session import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker, and Spark's own default.
+BATCH_BYTES, _DEFAULT_BYTES = "8388608b", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of long texts hold 8 MB instead of Spark's 64 (a value the user set stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read by Spark (the path may be in any store Spark reads)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
