@@ -33,8 +33,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any item of the benchmark."""
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without any item of the benchmark, rows without an id included."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,16 @@ def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
 def test_bound_is_never_below_one():
     index = D.ItemIndex.of([(n, "abcdefgh " * n) for n in range(1, 60)])
     assert (index.bound >= 1).all() and (np.diff(index.budget) >= 0).all()
+
+
+def test_rows_and_items_without_an_id(spark, tmp_path):
+    import corpus_pipeline as P
+    leak, second = "this very passage is in the benchmark set", "another passage whose item has no name"
+    docs = spark.createDataFrame([(None, leak, 1), (None, "clean", 2), (None, None, 3), (1, f"so {second} ok", 4), (2, "clean", 5), (None, leak + "!", 6)],
+                                 "doc_id long, text string, key int")
+    benchmark = spark.createDataFrame([(1, leak), (None, second)], "item_id long, text string")
+    rows = {tuple(r) for r in D.contaminated(docs, benchmark).collect()}
+    assert rows == {(None, 1, 0, len(leak), 0), (1, None, 3, 3 + len(second), 0)}
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = P.decontaminate(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r["key"] for r in left.collect()) == [2, 3, 5]

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -96,7 +96,7 @@ class ItemIndex:
     seen: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], edit_percent: int = EDIT_PERCENT) -> ItemIndex:
+    def of(cls, items: list[tuple[int | None, str]], edit_percent: int = EDIT_PERCENT) -> ItemIndex:
         """Index items; those with fewer than Q compared characters are too short to name and are left out.
 
         A short item's budget is lowered until the lemma's bound is at least one
@@ -118,7 +118,7 @@ class ItemIndex:
         keys, first = np.unique(keys[order], return_index=True)
         seen = np.zeros(1 << _TABLE_BITS, bool)
         seen[_slot(keys)] = True
-        return cls(np.array([i for i, _ in named], np.int64), [c for _, c in named], budget,
+        return cls(np.array([i for i, _ in named], object), [c for _, c in named], budget,
                    sizes - Q + 1 - budget * Q, keys, np.append(first, len(order)), item[order], place[order], seen)
 
 
@@ -231,7 +231,7 @@ def occurrences(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> list
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
-                  ("edits", pa.int64())])
+                  ("edits", pa.int64()), ("key", pa.int64())])
 
 
 def _slices(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[np.ndarray]]]:
@@ -255,27 +255,18 @@ def _slices(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts]), who, places
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT) -> DataFrame:
-    """``doc_id, item_id, start, end, edits`` of every benchmark item found in a document.
-
-    ``start`` and ``end`` are code points of the document's text, ``edits`` the edit
-    distance between the compared characters, at most ``edit_percent`` of the item's.
-    Overlapping occurrences of one item give one row, with the fewest edits.  Null
-    and empty texts and items match nothing, nor do items of under Q letters;
-    repeated documents, ids or items give the same rows once; rows with a null id
-    are reported with a null id; empty tables give an empty result; other columns
-    are ignored.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, edit_percent: int) -> DataFrame:
+    """Rows of :func:`contaminated`, with a ``key`` of the text where the document's id is null."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = total // BLOCK_CHARS + 1
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("key"))
+    columns = "doc_id long, item_id long, start long, end long, edits long, key long"
+    found = spark.createDataFrame([], columns)
     for block in range(blocks):
         chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        named = [(r["item_id"], r["text"]) for r in chosen if r["item_id"] is not None]
-        index = ItemIndex.of(named, edit_percent)
+        index = ItemIndex.of([(r["item_id"], r["text"]) for r in chosen], edit_percent)
         if not len(index.ids):
             continue
         shared = spark.sparkContext.broadcast(index)
@@ -284,21 +275,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
             index = shared.value
             overlap = 2 * max(map(len, index.codes))
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                ids, texts, keys = (batch.column(n).to_pylist() for n in range(3))
                 rows = []
                 for codes, bounds, who, places in _slices(texts, overlap):
                     for part, item, start, end, edits in occurrences(index, codes, bounds):
                         place = places[part]
-                        rows.append((ids[who[part]], int(index.ids[item]), int(place[start - bounds[part]]),
-                                     int(place[end - 1 - bounds[part]]) + 1, edits))
+                        rows.append((ids[who[part]], index.ids[item], int(place[start - bounds[part]]),
+                                     int(place[end - 1 - bounds[part]]) + 1, edits, keys[who[part]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, _OUT)], schema=_OUT)
+                    [pa.array(list(c), t.type) for c, t in zip(zip(*rows) if rows else [[]] * 6, _OUT)], schema=_OUT)
+
+        found = found.unionByName(texts.mapInArrow(search, columns))
+    return found
+
+
+def _text_key() -> Column:
+    """Hash of the text of a row without an id; null for others."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
-        found = found.unionByName(texts.mapInArrow(search, "doc_id long, item_id long, start long, end long, edits long"))
-    return found.distinct()
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT) -> DataFrame:
+    """``doc_id, item_id, start, end, edits`` of every benchmark item found in a document.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, in which no benchmark item was found."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
-    return without(docs, "doc_id", saved(gone, "leaks"))
+    ``start`` and ``end`` are code points of the document's text, ``edits`` the edit
+    distance between the compared characters, at most ``edit_percent`` of the item's.
+    Overlapping occurrences of one item give one row, with the fewest edits.  Null
+    and empty texts and items match nothing, nor do items of under Q letters;
+    repeated documents, ids or items give the same rows once; documents and items with
+    a null id are reported with a null id; a part of an item is no occurrence; empty
+    tables give an empty result; other columns are ignored.
+    """
+    return _found(docs, benchmark, edit_percent).drop("key").distinct()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, in which no benchmark item was found.
+
+    Rows with a null id stay whatever their text is, unless ``nameless``: then those with an item in it go too.
+    """
+    leaks = saved(_found(docs, benchmark, EDIT_PERCENT).select("doc_id", "key").distinct(), "leaks")
+    gone = leaks.where("doc_id is not null").select(F.col("doc_id").alias("gone_id"))
+    if not nameless:
+        return without(docs, "doc_id", gone)
+    texts = leaks.where("doc_id is null").select(F.col("key").alias("leaking text"))
+    left = docs.where("doc_id is null").join(texts, _text_key() == F.col("leaking text"), "left_anti")
+    return without(docs.where("doc_id is not null"), "doc_id", gone).unionByName(left)
