@@ -127,3 +127,19 @@ def test_shingles_of_short_texts_are_the_whole_sequence():
     hashes = WordHashes()
     assert len(shingle_set(hashes.of("a b c"), 5)) == 1 and len(shingle_set(hashes.of(" "), 5)) == 0
     assert shingle_set(hashes.of("a b"), 5)[0] != shingle_set(hashes.of("b a"), 5)[0]
+
+
+def test_sketches_miss_less_than_bands():
+    from math import comb, log
+    bits, missed = N.SKETCH_BITS, 0.0
+    odd = np.zeros(bits + 1)  # chance of each number of odd bits after 2 n flips
+    odd[0], k = 1.0, np.arange(bits + 1)
+    similar = np.array([100 + 100 * bits / 2 * log(1 - min(2 * n / bits, 0.999)) / (2 * N.SAMPLES) for n in k])
+    for n in range(N.SAMPLES + 1):
+        missed += comb(N.SAMPLES, n) * 0.2 ** n * 0.8 ** (N.SAMPLES - n) * odd[similar < 80 - N.SLACK].sum()
+        for _ in range(2):
+            more = np.zeros(bits + 1)
+            more[1:] += odd[:-1] * (bits - k[:-1]) / bits
+            more[:-1] += odd[1:] * k[1:] / bits
+            odd = more
+    assert missed < (1 - 0.8 ** N.ROWS) ** N.BANDS
