@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, decontamination, hard_negatives, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -166,3 +166,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_wrapper.extract_text(pages, html_wrapper.infer_wrappers(pages))
+
+
+_HARD_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM rows a JOIN rows b ON a.id % 50 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT a, b, s FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 3"""
+
+
+@registered("op13_hard_negatives", _HARD_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.quantised(F.col("embedding")).alias("embedding"))
+    return hard_negatives.mine(moved, lambda vec_id: vec_id % 50 == 0)
