@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, hard_negatives, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, decontamination, hard_negatives, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, spelling, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -193,3 +193,54 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
         hard_negatives.quantised(F.col("embedding")).alias("embedding"))
     return hard_negatives.mine(moved, lambda vec_id: vec_id % 50 == 0)
+
+
+_SPELLING_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS v
+    FROM (SELECT unnest(range(256)) AS k))),
+said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes FROM said GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_transform(range(length(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+  FROM counted, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+ranked AS (
+  SELECT p.word, count(*) AS n_near, min(struct_pack(less := -w.n, near := p.near)) AS best
+  FROM pairs p JOIN words w ON p.near = w.word GROUP BY 1),
+judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * w.n THEN best.near END AS form,
+         CASE WHEN -best.less >= 2 * w.n THEN -best.less END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word),
+steps AS (
+  WITH RECURSIVE s AS (
+    SELECT word, word AS at FROM judged UNION ALL SELECT s.word, j.form FROM s JOIN judged j ON s.at = j.word WHERE j.form IS NOT NULL)
+  SELECT s.word, s.at AS root FROM s JOIN judged j ON s.at = j.word WHERE j.form IS NULL)
+SELECT j.word, j.form, s.root, j.n, j.n_near, j.form_n FROM judged j JOIN steps s ON j.word = s.word"""
+
+
+def dropped_letter(doc_id, run):
+    """Place of the code point that the spelling query leaves out of a run, or null."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    return F.when(h % 97 == 0, (h % F.length(run)).cast("int"))
+
+
+@registered("op12_spelling_variants", _SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), dropped_letter)
