@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, hard_negatives, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, spelling, token_counts, url_filter
+from . import chat_format, decontamination, hard_negatives, html_wrapper, lm_score, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, spelling, token_counts, url_filter
 from .common import table
 
 #: The public SentencePiece file that the queries use; operators take the path as a parameter.
@@ -168,6 +168,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_text(pages, html_wrapper.infer_wrappers(pages))
 
 
+@registered("op11_secret_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 _HARD_SQL = """
 WITH rows AS (
   SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
