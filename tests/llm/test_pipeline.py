@@ -44,4 +44,4 @@ def test_clean_labelled_documents_stay(spark):
 
 def test_everything_is_registered():
     names = [n for n in E.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 #: A word everywhere in this subpackage: a maximal run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,7 @@ def small_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read by Spark (the path may be in any store Spark reads)."""
     small_batches(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -38,6 +39,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage at files every executor can read, so work done so far survives
     the loss of executors.
     """
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, f"llm-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -236,7 +236,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _named_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id names them alone, and a copy of all others with an own id each (None if there are none).
+
+    Own ids are above every given id.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = saved(counts.where("doc_id is null or n > 1").select(F.col("doc_id").alias("shared_id")), "shared")
+    if not shared.limit(1).count():
+        return docs, None
+    known = shared.where("shared_id is not null")
+    odd = asked(docs, "doc_id", known).unionByName(docs.where("doc_id is null"))
+    highest = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    own = F.lit(highest + 1) + F.monotonically_increasing_id()
+    odd = saved(odd.select(own.alias("own id"), F.struct("*").alias("row")), "odd")
+    return without(docs.where("doc_id is not null"), "doc_id", known), odd
+
+
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, without the documents of a component that are not kept."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, "doc_id", saved(gone, "gone"))
+    """``docs``, all columns unchanged, with one row of each component of :func:`near_duplicates`.
+
+    Rows are judged one by one: an id repeated with several texts names several
+    documents, repeated rows are copies, and rows without an id take part like others.
+    The row that stays has the smallest id (any one of rows that share it); a row without
+    an id stays only if no row of its component has one.  Rows without a word all stay.
+    """
+    plain, odd = _named_rows(docs)
+    named = plain.select("doc_id", "text")
+    if odd is None:
+        gone = near_duplicates(named, shingle, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+        return without(plain, "doc_id", saved(gone, "gone"))
+    own = odd.select(F.col("own id").alias("doc_id"), F.col("row.doc_id").alias("given"), "row.text")
+    judged = saved(near_duplicates(named.unionByName(own.drop("given")), shingle, percent), "judged")
+    given = own.select("doc_id", F.struct(F.col("given").isNull().alias("nameless"), F.col("given").alias("first"), F.col("doc_id").alias("own")).alias("o"))
+    plainly = F.struct(F.lit(False).alias("nameless"), F.col("doc_id").alias("first"), F.col("doc_id").alias("own"))
+    placed = judged.join(given, "doc_id", "left").select("doc_id", "component_id", F.coalesce("o", plainly).alias("o"))
+    best = placed.groupBy("component_id").agg(F.min("o").alias("best"))
+    gone = saved(placed.join(best, "component_id").where("o <> best").select(F.col("doc_id").alias("gone_id")), "gone")
+    return without(plain, "doc_id", gone).unionByName(without(odd, "own id", gone).select("row.*"))
