@@ -887,41 +887,60 @@ def q_write_summary_cache(spark, sf):
     return merged.select("topic", "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("stream_new_items", f"SELECT DISTINCT nid FROM ({SQL_NOTES_NID}) n")
-def q_stream_new_items(spark, sf):
-    return _streamed_new_items(spark, sf, None)
+FEED_FILES, FEED_SLICES = 2, 8
+# items without their day, so that an identity (type, item) comes back in later slices
+_SQL_UNDATED = f"""SELECT *, {_NID_SQL} AS nid, seq * {FEED_SLICES} // (SELECT max(event_id) + 1 FROM events) AS slice
+FROM (SELECT * REPLACE ('' AS publish_date_raw) FROM ({SQL_NOTIFICATIONS}) n0) u"""
 
 
-def _streamed_new_items(spark, sf, horizon):
-    from ..streaming.streams import stream_new_items
-    src, table = _scratch(spark, "stream-src"), _scratch(spark, "stream-table")
+def _undated_slices(spark, sf):
     ev = A.notifications_events(spark, sf)
-    # several files ordered by time, as a feed would deliver them
-    (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").write
-       .partitionBy("_day").json(src))
-    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).json(src)
-    new = stream_new_items(sdf, horizon=horizon).select("nid")
-    new.writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "stream-ckpt")).trigger(
-        availableNow=True).start(table).awaitTermination()
-    return spark.read.schema("nid string").parquet(table)
+    upto = ev.agg(F.max("seq") + 1).scalar()
+    return (ev.withColumn("item", F.col("item").withField("publish_date_raw", F.lit("")))
+              .withColumn("slice", F.floor(F.col("seq") * FEED_SLICES / upto)))
 
 
-# every identity carries its day, and files come in day order: within a horizon of days none is new twice
-@query("stream_new_items_horizon", f"SELECT DISTINCT nid FROM ({SQL_NOTES_NID}) n")
+def _feed(spark, rows):
+    """A stream that delivers the slices of ``rows`` one after the other, one a micro-batch."""
+    src = _scratch(spark, "stream-src")
+    kept = materialize(rows)
+    for k in range(FEED_SLICES):
+        kept.where(F.col("slice") == k).drop("slice").repartition(FEED_FILES).write.mode("append").parquet(src)
+    return spark.readStream.schema(kept.drop("slice").schema).option("maxFilesPerTrigger", FEED_FILES).parquet(src)
+
+
+@query("stream_new_items", f"SELECT nid, min(seq) AS seq, min(slice) AS batch_id FROM ({_SQL_UNDATED}) n GROUP BY nid")
+def q_stream_new_items(spark, sf):
+    from ..streaming.streams import latest_table, stream_first_seen
+    table = _scratch(spark, "stream-table")
+    feed = _feed(spark, _undated_slices(spark, sf))
+    stream_first_seen(feed, table, _scratch(spark, "stream-ckpt"), buckets=8).awaitTermination()
+    return latest_table(spark, table).select("nid", "seq", "batch_id")
+
+
+# Slices are ten days apart and the horizon is four: state of a slice is gone from the third slice after it on.
+@query("stream_new_items_horizon", f"""WITH s AS (SELECT nid, list(DISTINCT slice ORDER BY slice) AS slices FROM ({_SQL_UNDATED}) n GROUP BY nid)
+SELECT nid, unnest(list_reduce(list_transform(slices, lambda x: [x]),
+       lambda seen, x: CASE WHEN x[1] >= seen[-1] + 3 THEN list_concat(seen, x) ELSE seen END)) AS slice FROM s""")
 def q_stream_new_items_horizon(spark, sf):
-    return _streamed_new_items(spark, sf, "72 hours")
+    from ..streaming.streams import stream_new_items
+    table = _scratch(spark, "stream-table")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    timed = _undated_slices(spark, sf).withColumn("timestamp", start + F.make_dt_interval(days=(F.col("slice") * 10).cast("int")))
+    new = stream_new_items(_feed(spark, timed), horizon="4 days").select("nid", "timestamp")
+    new.writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "stream-ckpt")).trigger(
+        availableNow=True).start(table).awaitTermination()
+    written = spark.read.schema("nid string, timestamp timestamp_ntz").parquet(table)
+    return written.select("nid", (F.datediff(F.col("timestamp"), start) / 10).cast("long").alias("slice"))
 
 
 @query("stream_upsert_notifications", SQL_DEDUPE_NOTES)
 def q_stream_upsert_notifications(spark, sf):
     from ..streaming.streams import latest_table, stream_upsert_notifications
-    src, table = _scratch(spark, "upsert-src"), _scratch(spark, "upsert-table")
-    ev = A.notifications_events(spark, sf)
-    # one file per day: an identity (type, item, day) arrives within one file
-    (ev.withColumn("_day", F.to_date("timestamp")).repartition("_day").sortWithinPartitions("seq")
-       .write.partitionBy("_day").parquet(src))
-    sdf = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).parquet(src)
-    stream_upsert_notifications(sdf, table, _scratch(spark, "upsert-ckpt")).awaitTermination()
+    table = _scratch(spark, "upsert-table")
+    # events dealt by number, so every identity of several events is merged across batches
+    feed = _feed(spark, A.notifications_events(spark, sf).withColumn("slice", F.col("seq") % FEED_SLICES))
+    stream_upsert_notifications(feed, table, _scratch(spark, "upsert-ckpt"), buckets=8).awaitTermination()
     return _flat_notes(latest_table(spark, table))
 
 

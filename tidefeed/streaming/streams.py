@@ -1,14 +1,16 @@
 """Structured Streaming forms of the snapshot diff and the notification table.
 
-``stream_new_items`` emits an item the first time its identity is seen.  With
-a finite ``horizon`` the state expires: an identity not seen for longer than
-the horizon counts as new again (unlike the batch diff, which forgets exactly
-what the previous snapshot lacks).  Without a horizon the state is kept for
-ever, which matches the batch answer on any split of the input.
-
-``stream_upsert_notifications`` maintains the notification table per
-micro-batch with ``foreachBatch``; the table is bucketed by identity hash and
-a batch rewrites only the buckets it touches (see ``upsert_batch``).
+``stream_new_items`` emits an item the first time its identity is seen within a
+``horizon``: the state expires, and an identity not seen for longer than the horizon
+counts as new again (unlike the batch diff, which forgets exactly what the previous
+snapshot lacks).  Its state lives in the session's state store.
+
+``stream_first_seen`` never forgets.  Identities seen are a table in hash buckets
+(``sources.bucket_store``), and each micro-batch is reduced to the identities that its
+buckets lack, so nothing grows on any heap; the table is the stream of new items.
+
+``stream_upsert_notifications`` maintains the notification table per micro-batch in the
+same kind of store: a batch reads and rewrites only the buckets it touches.
 """
 
 from __future__ import annotations
@@ -18,7 +20,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import first_per_key
 from ..operators.notifications import NID, dedupe_notifications, with_nid
+from ..session import remove_path, scratch_path
+from ..sources.bucket_store import BucketStore
+
+BUCKETS = 64
 
 
 def stream_new_items(sdf: DataFrame, *, horizon: str | None = None, event_time: str = "timestamp") -> DataFrame:
@@ -33,50 +40,67 @@ def stream_new_items(sdf: DataFrame, *, horizon: str | None = None, event_time:
     return keyed.dropDuplicates([NID])
 
 
-BUCKETS = 64
+def _staged(rows: DataFrame) -> tuple[DataFrame, str]:
+    """A copy of a micro-batch, which is read more than once, and where it is."""
+    path = scratch_path(rows.sparkSession, f"tidefeed-batch-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path), path
+
 
+def first_seen_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS, stream: str | None = None) -> None:
+    """One micro-batch: append the first row (by ``seq``) of each identity the store lacks.
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    Only the buckets of the batch's identities are read, and of them only the identity.
+    """
+    store = BucketStore(batch.sparkSession, path, [NID], buckets)
+    if store.applied(stream, batch_id):
+        return
+    rows, copy = _staged(with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item")))
+    firsts = first_per_key(rows, [NID], ["seq"])
+    touched = store.touched(firsts)
+    if touched:
+        known = store.read(touched)
+        if known is not None:
+            firsts = firsts.join(known.select(NID), NID, "left_anti")
+        store.commit(firsts.withColumn("batch_id", F.lit(batch_id).cast("long")), touched, append=True, stream=stream, batch_id=batch_id)
+        store.compact()
+        store.vacuum()
+    remove_path(batch.sparkSession, copy)
+
+
+def stream_first_seen(sdf: DataFrame, path: str, checkpoint: str, *, buckets: int = BUCKETS):
+    """Start the query (``availableNow``) that appends never-seen items to the table at ``path``."""
+    return (sdf.writeStream.foreachBatch(lambda b, i: first_seen_batch(b, i, path, buckets=buckets, stream=checkpoint))
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS) -> None:
-    """One micro-batch: merge the batch into the buckets it touches, overwrite only those.
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS, stream: str | None = None) -> None:
+    """One micro-batch: merge the batch into the buckets it touches and commit them as a new version.
 
-    The table is partitioned by ``bucket = pmod(xxhash64(nid), buckets)``.  The
-    stored rows are read through a semi-join on the batch's buckets, which
-    dynamic partition pruning turns into reading only those directories; the
-    result is staged in the checkpoint folder, written back with dynamic partition
-    overwrite, and the stage removed.  Stored and new rows are merged by ``seq`` with
-    their own timestamps (the newest is kept); merging the same rows again changes
-    nothing, so a batch replayed after a failure leaves the table as it was.
+    Stored and new rows are merged by ``seq`` with their own timestamps (the newest is
+    kept), so the table does not depend on how rows fall into batches.  A crash at any
+    point leaves the version before; the replayed batch then finds the rows it needs.
+    A batch already applied for its ``stream`` is left out.
     """
-    from ..session import remove_path, scratch_path
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(NID)), F.lit(buckets))
-    new = with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item"))
-    if _exists(spark, path):
-        touched = new.select(bucket.alias("bucket")).distinct()
-        store = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket", NID)
-        rows = store.unionByName(new.drop(NID))
-    else:
-        rows = new.drop(NID)
-    # every row brings its own timestamps, so the table does not depend on how rows fall into batches
-    out = dedupe_notifications(rows)
-    stage = scratch_path(spark, f"tidefeed-upsert-{uuid.uuid4().hex}")
-    with_nid(out).withColumn("bucket", bucket).write.parquet(stage)
-    (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("bucket").parquet(path))
-    remove_path(spark, stage)
-
-
-def stream_upsert_notifications(sdf: DataFrame, path: str, checkpoint: str):
+    store = BucketStore(batch.sparkSession, path, [NID], buckets)
+    if store.applied(stream, batch_id):
+        return
+    new, copy = _staged(with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item")))
+    touched = store.touched(new)
+    if touched:
+        stored = store.read(touched)
+        rows = new.drop(NID) if stored is None else stored.drop(NID).unionByName(new.drop(NID))
+        store.commit(with_nid(dedupe_notifications(rows)), touched, stream=stream, batch_id=batch_id)
+        store.vacuum()
+    remove_path(batch.sparkSession, copy)
+
+
+def stream_upsert_notifications(sdf: DataFrame, path: str, checkpoint: str, *, buckets: int = BUCKETS):
     """Start the upkeep query (``availableNow``); returns the StreamingQuery."""
-    return (sdf.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path))
+    return (sdf.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path, buckets=buckets, stream=checkpoint))
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def latest_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """Rows of the newest committed version of a store."""
+    return BucketStore(spark, path, [NID]).read()
