@@ -109,3 +109,97 @@ def test_notification_lines_without_seq_and_twice(spark):
         got = {r["item"]["title"]: (r["seq"], r["item"]["summary"]) for r in read_notifications(spark, d).collect()}
         assert got["T"] == (7, "first") and got["U"][0] > 7
     assert read_notifications(spark, d, layout="list").count() == 0
+
+
+def _shuffles_of(frame, table):
+    """Exchanges between the scans of ``table`` and the join above them, and how many such scans there are."""
+    above, found, scans = [], [], 0
+    for line in frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        name = line.lstrip(" :+-*()0123456789")
+        at = len(line) - len(name)
+        above = [(d, n) for d, n in above if d < at] + [(at, name)]
+        if "Scan" in name and table in name:
+            names = [n for _, n in above]
+            join = max((i for i, n in enumerate(names) if "Join" in n), default=-1)
+            found += [n for n in names[join + 1:] if n.startswith("Exchange")]
+            scans += 1
+    return found, scans
+
+
+KEYED = "seq long, topic string, section string, identity string, title string, link string"
+
+
+def test_keyed_snapshot_is_not_shuffled_by_diffs(spark):
+    from tidefeed.operators.diff import compare_snapshots, has_changed, new_items
+    from tidefeed.sources.snapshots import keyed_snapshots, open_keyed_snapshot, stored_counts, write_keyed_snapshot
+    path = tempfile.mkdtemp(prefix="tf-keyed-")
+    old = spark.createDataFrame([(i, "qis", "news" if i % 2 else "publications", f"k{i % 40}", f"T{i}", "") for i in range(60)], KEYED)
+    cur = spark.createDataFrame([(i, "qis", "news" if i % 2 else "publications", f"k{i}", f"T{i}", "x") for i in range(30, 50)], KEYED)
+    counts = write_keyed_snapshot(old, path, as_of="2024-01-30 00:00:00").orderBy("section").collect()
+    assert [tuple(r) for r in counts] == [("qis", "news", 20), ("qis", "publications", 20)]
+    assert stored_counts(spark, path).count() == 2 and keyed_snapshots(spark, path) == ["2024-01-30T00-00-00"]
+    stored = open_keyed_snapshot(spark, path)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # plan as for large tables
+    fresh = new_items(cur, stored, merged=True)
+    assert sorted(r.identity for r in fresh.collect()) == [f"k{i}" for i in range(40, 50)]
+    for diff in (fresh, compare_snapshots(cur, stored, merged=True), compare_snapshots(cur, stored, compare=["link"], merged=True),
+                 has_changed(cur, stored, group_cols=("topic", "section"))):
+        assert _shuffles_of(diff, "tidefeed_snapshot_") == ([], 1), diff._jdf.queryExecution().executedPlan().toString()
+    assert has_changed(cur, stored, group_cols=("topic", "section")).first()["changed"] is True
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    # another session opens it by its description alone
+    other = spark.newSession()
+    for t in other.catalog.listTables():
+        other.sql(f"DROP TABLE IF EXISTS {t.name}")
+    again = open_keyed_snapshot(other, path)
+    assert again.count() == 40
+    assert open_keyed_snapshot(spark, path, "2024-02-01 00:00:00") is None
+    assert open_keyed_snapshot(spark, path + "/none") is None and stored_counts(spark, path + "/none").count() == 0
+
+
+def test_a_snapshot_without_its_description_does_not_count(spark, monkeypatch):
+    import pytest
+    from tidefeed.sources import snapshots
+    path = tempfile.mkdtemp(prefix="tf-half-")
+    items = spark.createDataFrame([(1, "qis", "news", "a", "T", "")], KEYED)
+    snapshots.write_keyed_snapshot(items, path, as_of="2024-01-30 00:00:00", buckets=2)
+    write = snapshots.write_text
+
+    def dies(*a):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(snapshots, "write_text", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        snapshots.write_keyed_snapshot(items, path, as_of="2024-01-31 00:00:00", buckets=2)
+    assert snapshots.keyed_snapshots(spark, path) == ["2024-01-30T00-00-00"]
+    monkeypatch.setattr(snapshots, "write_text", write)
+    snapshots.write_keyed_snapshot(items, path, as_of="2024-01-31 00:00:00", buckets=2)
+    assert len(snapshots.keyed_snapshots(spark, path)) == 2 and snapshots.open_keyed_snapshot(spark, path).count() == 1
+
+
+def test_cache_store_rewrites_changed_buckets_only(spark):
+    from tidefeed.sources.cache_io import cache_store, clean_cache, expire_cache, put_cache
+    store = cache_store(spark, tempfile.mkdtemp(prefix="tf-store-") + "/c", buckets=4)
+
+    def entries(*rows):
+        return spark.createDataFrame([(t, k, "item", ts, s) for t, k, ts, s in rows], "topic string, key string, kind string, ts string, summary string").withColumn(
+            "ts", F.col("ts").cast("timestamp_ntz"))
+
+    def now():
+        return {r.key: r.summary for r in store.read().collect()}
+
+    good = "The study measures how lattice keys are exchanged between two parties."
+    first = entries(*[("qis", f"k{i}", f"2024-01-{10 + i} 00:00:00", good) for i in range(12)], ("qis", "k0", "2024-01-09 00:00:00", "older"), ("qis", "e", None, ""))
+    assert put_cache(store, first) and now() == {f"k{i}": good for i in range(12)}
+    version = store.manifest().version
+    assert not put_cache(store, first) and store.manifest().version == version
+    assert put_cache(store, entries(("qis", "k3", "2024-02-01 00:00:00", "Two.")))
+    changed = [b for b, v in store.manifest().parts.items() if v == [version + 1]]
+    assert len(changed) == 1 and now()["k3"] == "Two."
+    oldest = dict(store.manifest().oldest)
+    assert expire_cache(store, "2024-01-12 00:00:00") == sum(ts < "2024-01-12" for ts in oldest.values()) > 0
+    assert set(now()) == {f"k{i}" for i in range(2, 12)}
+    assert expire_cache(store, "2024-01-12 00:00:00") == 0
+    assert put_cache(store, entries(("ai", "bad", "2024-02-01 00:00:00", "x")))
+    assert clean_cache(store) >= 1 and "bad" not in now() and clean_cache(store) == 0

@@ -18,17 +18,19 @@ Closed form used here (derived from that fold, see README):
   map-side, so a hot identity (e.g. ``empty-item``) never lands whole in one task.
 * The join that attaches the score table is salted for every identity, so the
   rows of a hot one are dealt over several keys without a test of its size.
-* The last-edited pair depends on the previous pair in a way no associative
-  summary captures; it is folded with ``aggregate()`` over only the rows that
-  carry a last-edited value (never rows of label-only, link-only or
-  ``empty-item`` groups, whose identity would otherwise contain that date).
+* A row hands over its last-edited pair when its date beats the record's date at that
+  point.  Until a row has a raw date, the record's date is the latest shown date seen, and
+  from then on the latest raw date seen; each field is therefore that of the last row
+  which hands over and has it, else of the first row that has it.  The dates seen before a
+  row are running maxima, taken in two levels (over blocks of a key, then inside a block),
+  over only the rows that carry a last-edited value, so no key's rows meet in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
@@ -46,13 +48,11 @@ def _empty(c: Column) -> Column:
 SALTS = 16
 
 
-def win_flags(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
-              score_col: str = "_score", has_col: str = "_has_link") -> DataFrame:
-    """Add ``_win`` / ``_first``: did the row take over as primary in the fold?
+def score_table(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
+                score_col: str = "_score", has_col: str = "_has_link") -> DataFrame:
+    """Per key of several rows the table ``score -> first seq``, once for each salt.
 
-    Two narrow aggregates build, per key, the table ``score -> first seq`` (at most
-    one entry per distinct score); keys with one row need none.  The table is joined
-    to the rows on key and salt, always, whatever the size of a key.
+    Two narrow aggregates build it (at most one entry per distinct score).
     """
     keys = list(keys)
     firsts = (rows.groupBy(*keys, F.when(F.col(has_col), F.col(score_col)).alias("_s"))
@@ -63,10 +63,19 @@ def win_flags(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
                         .alias("_scores"),
                         F.min("_fs").alias("_first_seq"),
                         F.sum("_n").alias("_rows")))
-    salted = table.where("_rows > 1").drop("_rows").withColumn(
+    return table.where("_rows > 1").drop("_rows").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def win_flags(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, seq: str = "seq", score_col: str = "_score") -> DataFrame:
+    """Add ``_win`` / ``_first``: did the row take over as primary in the fold?
+
+    ``table`` (:func:`score_table` of all rows) is joined to the rows on key and salt,
+    always, whatever the size of a key.
+    """
+    keys = list(keys)
     tagged = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(seq)), F.lit(SALTS)).cast("int"))
-    joined = tagged.join(salted, on=[*keys, "_salt"], how="left")
+    joined = tagged.join(table, on=[*keys, "_salt"], how="left")
     before = F.aggregate(
         F.filter("_scores", lambda e: e["fs"] < F.col(seq)),
         F.lit(None).cast("int"),
@@ -77,33 +86,52 @@ def win_flags(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq",
             .drop("_scores", "_first_seq", "_salt"))
 
 
-def _le_fold(le_rows: Column) -> Column:
-    """Exact last-edited fold over the rows that carry a last-edited value."""
-    init = F.struct(F.lit(None).cast("string").alias("r"), F.lit(None).cast("string").alias("d"),
-                    F.lit(None).cast("timestamp_ntz").alias("pr"),
-                    F.lit(None).cast("timestamp_ntz").alias("pd"))
+def _same_keys(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys, null keys included."""
+    named = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *(c for c in other.columns if c not in keys))
+    same = [rows[k].eqNullSafe(named[f"_key{i}"]) for i, k in enumerate(keys)]
+    return rows.join(named, same, "left").drop(*(f"_key{i}" for i in range(len(keys))))
+
 
-    def nonempty(c):
+#: Positions of one key that are folded together.
+BLOCK = 4096
+
+
+def last_edited(rows: DataFrame, keys: Sequence[str], *, seq: str = "seq") -> DataFrame:
+    """``keys, _le_r, _le_d``: the last-edited pair that the fold leaves for each key.
+
+    ``rows`` are the rows that carry a raw or a shown last-edited value, with their
+    ``_win`` flag.
+    """
+    keys = list(keys)
+
+    def filled(c: Column) -> Column:
         return c.isNotNull() & (c != "")
 
-    def step(acc, x):
-        e = F.when(nonempty(acc["r"]), acc["pr"]).otherwise(acc["pd"])
-        li = F.when(nonempty(x["r"]), x["pr"]).otherwise(x["pd"])
-        take_in = li.isNotNull() & (e.isNull() | (li > e))
-        keep = ~take_in & e.isNotNull()
-        # case "neither parses": plain fill, incoming first when it won the link vote
-        in_first = take_in | (~keep & x["win"])
-        r = F.when(in_first, F.when(nonempty(x["r"]), x["r"]).otherwise(acc["r"])) \
-             .otherwise(F.when(nonempty(acc["r"]), acc["r"]).otherwise(x["r"]))
-        pr = F.when(in_first, F.when(nonempty(x["r"]), x["pr"]).otherwise(acc["pr"])) \
-              .otherwise(F.when(nonempty(acc["r"]), acc["pr"]).otherwise(x["pr"]))
-        d = F.when(in_first, F.when(nonempty(x["d"]), x["d"]).otherwise(acc["d"])) \
-             .otherwise(F.when(nonempty(acc["d"]), acc["d"]).otherwise(x["d"]))
-        pd = F.when(in_first, F.when(nonempty(x["d"]), x["pd"]).otherwise(acc["pd"])) \
-              .otherwise(F.when(nonempty(acc["d"]), acc["pd"]).otherwise(x["pd"]))
-        return F.struct(r.alias("r"), d.alias("d"), pr.alias("pr"), pd.alias("pd"))
-
-    return F.aggregate(F.array_sort(le_rows), init, step)
+    raw, shown = F.col(LE_RAW).cast("string"), F.col(LE_DISPLAY).cast("string")
+    dated = rows.select(*keys, seq, "_win", raw.alias("_r"), shown.alias("_d"), F.floor(F.col(seq) / BLOCK).alias("_block"),
+                        filled(raw).alias("_has_r"), filled(shown).alias("_has_d"))
+    dated = dated.withColumn("_raw_date", F.when(F.col("_has_r"), parse_date("_r", "store"))).withColumn(
+        "_shown_date", F.when(~F.col("_has_r"), parse_date("_d", "store")))
+    seen = ("_raw_date", "_shown_date", "_has_r")
+    blocks = dated.groupBy(*keys, "_block").agg(*(F.max(c).alias(c) for c in seen))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", *(F.max(c).over(earlier).alias(f"_b{c}") for c in seen))
+    before = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dated.select("*", *(F.max(c).over(before).alias(f"_in{c}") for c in seen))
+    placed = _same_keys(placed, blocks, [*keys, "_block"])
+    raw_seen, shown_seen, any_raw = (F.greatest(f"_b{c}", f"_in{c}") for c in seen)
+    record = F.when(any_raw, raw_seen).otherwise(shown_seen)
+    own = F.coalesce("_raw_date", "_shown_date")
+    hands_over = F.coalesce(own > record, F.when(record.isNull(), own.isNotNull() | F.col("_win")), F.lit(False))
+    judged = placed.withColumn("_over", hands_over)
+
+    def field(has: str, value: str) -> Column:
+        last = F.max(F.when(F.col(has) & F.col("_over"), F.struct(F.col(seq), F.col(value))))
+        first = F.min(F.when(F.col(has), F.struct(F.col(seq), F.col(value))))
+        return F.coalesce(last[value], first[value])
+
+    return judged.groupBy(*keys).agg(field("_has_r", "_r").alias("_le_r"), field("_has_d", "_d").alias("_le_d"))
 
 
 def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
@@ -127,7 +155,8 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
     rows = df.select(*keys, seq, *fields, *[c for c in carry if c not in fields],
                      (link_score("link") if has_link else F.lit(0)).alias("_score"),
                      (~_empty(F.col("link")) if has_link else F.lit(False)).alias("_has_link"))
-    flagged = win_flags(rows, keys, seq=seq)
+    table = score_table(rows, keys, seq=seq)
+    flagged = win_flags(rows, table, keys, seq=seq)
     p0 = F.when(F.col("_win"), F.lit(0)).otherwise(F.lit(1))
     p1 = F.when(F.col("_win"), -F.col(seq)).otherwise(F.col(seq))
     aggs = [F.min(seq).alias(seq)]
@@ -137,12 +166,6 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
         aggs.append(F.min(F.struct(_empty(F.col(f)).alias("e"), p0.alias("p0"), p1.alias("p1"),
                                    F.col(f).alias("v")))["v"].alias(f))
     if has_le:
-        le_struct = F.struct(
-            F.col(seq).alias("seq"), F.col("_win").alias("win"),
-            F.col(LE_RAW).cast("string").alias("r"), F.col(LE_DISPLAY).cast("string").alias("d"),
-            parse_date(LE_RAW, "store").alias("pr"), parse_date(LE_DISPLAY, "store").alias("pd"))
-        carries = ~_empty(F.col(LE_RAW)) | ~_empty(F.col(LE_DISPLAY))
-        aggs.append(F.collect_list(F.when(carries, le_struct)).alias("_le_rows"))
         # a group without last-edited rows keeps the plain fill result
         aggs.append(F.min(F.struct(F.lit(0).alias("e"), p0.alias("p0"), p1.alias("p1"),
                                    F.col(LE_RAW).alias("v")))["v"].alias("_le_raw0"))
@@ -150,10 +173,11 @@ def merge_items(df: DataFrame, *, key: str = "identity", seq: str = "seq",
                                    F.col(LE_DISPLAY).alias("v")))["v"].alias("_le_disp0"))
     out = flagged.groupBy(*keys).agg(*aggs, *extra_aggs)
     if has_le:
-        folded = _le_fold(F.col("_le_rows"))
-        out = (out.withColumn("_le", folded)
-                  .withColumn(LE_RAW, F.coalesce(F.col("_le.r"), F.col("_le_raw0")))
-                  .withColumn(LE_DISPLAY, F.coalesce(F.col("_le.d"), F.col("_le_disp0")))
-                  .drop("_le", "_le_rows", "_le_raw0", "_le_disp0"))
+        carries = ~_empty(F.col(LE_RAW)) | ~_empty(F.col(LE_DISPLAY))
+        edited = last_edited(win_flags(rows.where(carries), table, keys, seq=seq), keys, seq=seq)
+        out = (_same_keys(out, edited, keys)
+                  .withColumn(LE_RAW, F.coalesce("_le_r", "_le_raw0"))
+                  .withColumn(LE_DISPLAY, F.coalesce("_le_d", "_le_disp0"))
+                  .drop("_le_r", "_le_d", "_le_raw0", "_le_disp0"))
     extra_names = [c for c in out.columns if c not in (*keys, seq, *fields)]
     return out.select(*keys, seq, *fields, *extra_names)

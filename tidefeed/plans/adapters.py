@@ -12,19 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import first_paragraph, tag_text
+from ..sources.snapshots import ITEM_FIELDS
 from ..sources.tables import read_pages, read_table
 
 AS_OF = "2024-01-31 00:00:00"
 
-# Canonical item fields (all strings; '' or NULL means missing).
-ITEM_FIELDS = (
-    "document_name", "title", "document_number", "series", "status", "resource_type", "link",
-    "summary", "abstract", "description", "category",
-    "release_date", "release_date_raw", "edited_date", "edited_date_raw", "publish_date",
-    "publish_date_raw", "last_edited_date", "last_edited_date_raw", "comment_due_date",
-    "comment_due_date_raw",
-)
-
 # Fixed values (adapter): document categories by doc_id % 4, event type -> notification type.
 DOC_CATEGORIES = ("Final Publications", "Drafts Open for Comment", "Drafts", "General Publications")
 EVENT_TYPES = (("click", "publication"), ("view", "news"), ("purchase", "presentation"),

@@ -878,13 +878,13 @@ def q_read_notifications(spark, sf):
 SELECT topic, md5({S.pystrip('summary')}) AS key, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts
 FROM c GROUP BY 1, 2""")
 def q_write_summary_cache(spark, sf):
-    from ..sources.cache_io import upsert_cache
-    cache = A.cache_docs(spark, sf)
+    from ..sources.cache_io import cache_store, put_cache
+    store = cache_store(spark, _scratch(spark, "cache-store"), buckets=8)
+    cache = materialize(A.cache_docs(spark, sf).select("topic", "key", "kind", "ts", "summary"))
+    put_cache(store, cache)
     # the same entries written again one hour later overwrite the first write
-    later = cache.withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.lit(1)))
-    merged = upsert_cache(cache.select("topic", "key", "kind", "ts", "summary"),
-                          later.select("topic", "key", "kind", "ts", "summary"))
-    return merged.select("topic", "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    put_cache(store, cache.withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.lit(1))))
+    return store.read().select("topic", "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 FEED_FILES, FEED_SLICES = 2, 8

@@ -10,17 +10,18 @@ from . import html_pages as P
 from . import sqlgen as S
 from ..functions import quality as Q
 from ..operators import extract as X
-from ..operators.diff import new_items, union_sources
+from ..functions.identity import item_identity
+from ..operators.diff import compare_snapshots, has_changed, new_items, union_sources
 from ..operators.filters import filter_recent_source
 from ..operators.merge import merge_items
 from ..operators.reports import audit, audit_totals, repair_counts, repair_summaries
 from ..operators.summaries import summary_cascade
 from ..session import materialize, scratch_path
-from ..sources.cache_io import extraction_table, read_summary_cache
-from ..sources.snapshots import read_snapshot_json
+from ..sources.cache_io import cache_store, expire_cache, extraction_table, put_cache, read_summary_cache
+from ..sources.snapshots import open_keyed_snapshot, read_snapshot_json, stored_counts, write_keyed_snapshot
 from ..sources.tables import read_table
 from . import adapters as A
-from .catalog import _AUD, SQL_ITEMS_DOCS, query
+from .catalog import _AUD, _CACHE_SQL, _PAGE_FIELDS, AS_OF_SQL, REGISTRY, SQL_ITEMS_DOCS, query
 from .catalog_pages import _record_sql
 
 _PAGE = f"doc_id div {P.PER_PAGE}"
@@ -163,3 +164,53 @@ def q_summary_cascade_pages(spark, sf):
     later = pages.select((F.col("page_id") + 10**9).alias("page_id"), "url", F.lit("Something else entirely is said here.").alias("summary"))
     out = summary_cascade(items, pages_summary=pages.unionByName(later), as_of=A.AS_OF)
     return out.select("seq", "generated_summary")
+
+
+# Diffs against a stored snapshot, bucketed by the diff keys: the stored side is read in place.
+
+def _against_stored(spark, sf):
+    """The current crawl, merged, and the previous one as stored."""
+    items = materialize(A.items_pages(spark, sf).withColumn("identity", item_identity()).select(
+        "seq", "topic", "section", "identity", *_PAGE_FIELDS))
+    path = scratch_path(spark, f"tidefeed-keyed-{uuid.uuid4().hex}")
+    write_keyed_snapshot(items.where(A.in_prev_crawl()), path, as_of="2024-01-30 00:00:00")
+    current = merge_items(items.where(A.in_curr_crawl()), group_cols=("topic", "section"), fields=_PAGE_FIELDS)
+    return current, open_keyed_snapshot(spark, path)
+
+
+@query("new_items_stored", REGISTRY["new_items"][1])
+def q_new_items_stored(spark, sf):
+    current, stored = _against_stored(spark, sf)
+    return new_items(current, stored, merged=True)
+
+
+@query("has_changed_stored", REGISTRY["has_changed"][1])
+def q_has_changed_stored(spark, sf):
+    current, stored = _against_stored(spark, sf)
+    return has_changed(current, stored, group_cols=("topic", "section"))
+
+
+@query("changed_items_stored", REGISTRY["changed_items"][1])
+def q_changed_items_stored(spark, sf):
+    current, stored = _against_stored(spark, sf)
+    return compare_snapshots(current, stored, compare=["link"], merged=True)
+
+
+@query("snapshot_counts", REGISTRY["write_snapshot"][1])
+def q_snapshot_counts(spark, sf):
+    items = materialize(A.items_pages(spark, sf).select("seq", "topic", "section", "title", "link", "summary"))
+    path = scratch_path(spark, f"tidefeed-keyed-{uuid.uuid4().hex}")
+    write_keyed_snapshot(items, path, as_of=A.AS_OF)
+    return stored_counts(spark, path)
+
+
+@query("cache_expiry", f"""WITH c AS ({_CACHE_SQL}), k AS (SELECT topic, md5({S.pystrip('summary')}) AS key, max(ts) AS ts FROM c
+       WHERE coalesce(summary, '') <> '' GROUP BY 1, 2)
+SELECT topic, key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM k WHERE ts >= {AS_OF_SQL} - INTERVAL 48 HOUR""")
+def q_cache_expiry(spark, sf):
+    store = cache_store(spark, scratch_path(spark, f"tidefeed-cache-{uuid.uuid4().hex}"), buckets=8)
+    cache = materialize(A.cache_docs(spark, sf).select("topic", "key", "kind", "ts", "summary"))
+    put_cache(store, cache)
+    put_cache(store, cache)  # changes nothing
+    expire_cache(store, "2024-01-29 00:00:00")
+    return store.read().select("topic", "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

@@ -94,8 +94,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table once nothing reads it any more."""
+    target, fs = _file(spark, path)
+    fs.delete(target, True)
+
+
+def _file(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file (replacing one of that name)."""
+    target, fs = _file(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Read a small text file."""
+    target, fs = _file(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none where it does not exist."""
+    target, fs = _file(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file unless the new name is taken."""
+    (old, fs), (new, _) = _file(spark, path), _file(spark, to)
+    return not fs.exists(new) and fs.rename(old, new)
 
 
 def materialize(df):

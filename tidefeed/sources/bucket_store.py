@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_names, read_text, remove_path, rename_path, write_text
+
 #: Versions of a bucket that are read together before an append rewrites it as one.
 MAX_PARTS = 8
 
@@ -50,42 +52,27 @@ class BucketStore:
     def __init__(self, spark: SparkSession, path: str, keys: Iterable[str], buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
-    # -- files -----------------------------------------------------------------
+    # -- states ----------------------------------------------------------------
 
-    def _file(self, *names: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _state(self, version: int) -> str:
+        return f"{self.path}/manifest/{version:012d}.json"
 
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""
-        path, fs = self._file("manifest")
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        names = file_names(self.spark, f"{self.path}/manifest")
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest committed state (or that of ``version``); an empty one before the first commit."""
         if version is None:
             version = max(self.versions(), default=0)
-        if not version:
-            return Manifest()
-        path, fs = self._file("manifest", f"{version:012d}.json")
-        stream = fs.open(path)
-        try:
-            return Manifest.from_json(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return Manifest.from_json(read_text(self.spark, self._state(version))) if version else Manifest()
 
     def _publish(self, manifest: Manifest) -> None:
         """Make a state visible: written aside, then renamed; fails if another writer took the version."""
-        aside, fs = self._file("manifest", f"_{manifest.version:012d}.tmp")
-        final, _ = self._file("manifest", f"{manifest.version:012d}.json")
-        out = fs.create(aside, True)
-        out.write(bytearray(manifest.to_json().encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(aside, final):
+        aside = f"{self.path}/manifest/_{manifest.version:012d}.tmp"
+        write_text(self.spark, aside, manifest.to_json())
+        if not rename_path(self.spark, aside, self._state(manifest.version)):
             raise RuntimeError(f"version {manifest.version} of {self.path} was committed by another writer")
 
     # -- rows ------------------------------------------------------------------
@@ -122,9 +109,7 @@ class BucketStore:
         target = f"{self.path}/data/{version:012d}"
         # files of an earlier attempt at this version are replaced
         rows.withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        path, fs = self._file("data", f"{version:012d}")
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        written = {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}
+        written = {int(n.split("=")[1]) for n in file_names(self.spark, target) if n.startswith("bucket=")}
         if not written <= set(touched):
             raise ValueError(f"rows outside of the buckets named: {sorted(written - set(touched))}")
         kept = {b: v for b, v in last.parts.items() if append or b not in touched}
@@ -155,11 +140,8 @@ class BucketStore:
         """Remove all but the newest ``keep`` states and the files only they name."""
         versions = self.versions()
         for v in versions[:-keep]:
-            path, fs = self._file("manifest", f"{v:012d}.json")
-            fs.delete(path, False)
+            remove_path(self.spark, self._state(v))
         named = {v for state in versions[-keep:] for vs in self.manifest(state).parts.values() for v in vs}
-        path, fs = self._file("data")
-        for s in (fs.listStatus(path) if fs.exists(path) else []):
-            v = int(s.getPath().getName())
+        for v in map(int, file_names(self.spark, f"{self.path}/data")):
             if v not in named and v <= max(versions, default=0):
-                fs.delete(s.getPath(), True)
+                remove_path(self.spark, f"{self.path}/data/{v:012d}")

@@ -5,16 +5,34 @@ to) and ``latest_snapshot`` reads the newest one of a topic; the partition
 filter prunes every older snapshot directory.  ``read_snapshot_json`` imports
 the JSON envelopes ``{data: {section: [items]}, timestamp, counts}`` (or flat
 ``{data: [items], timestamp, count}``) one row per item with its list position.
+
+``write_keyed_snapshot`` writes a snapshot as a bucketed table: rows dealt by their diff
+keys into as many files as a shuffle has partitions.  A diff against it joins each file
+with the partition of the current side that has its keys, so the stored side, the large
+one, is never shuffled or read twice.  Counts per section are stored beside it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
 
 from ..operators.merge import merge_items
-from ..plans.adapters import ITEM_FIELDS
+from ..session import file_names, read_text, write_text
+
+# Canonical item fields (all strings; '' or NULL means missing).
+ITEM_FIELDS = (
+    "document_name", "title", "document_number", "series", "status", "resource_type", "link",
+    "summary", "abstract", "description", "category",
+    "release_date", "release_date_raw", "edited_date", "edited_date_raw", "publish_date",
+    "publish_date_raw", "last_edited_date", "last_edited_date_raw", "comment_due_date",
+    "comment_due_date_raw",
+)
 
 SECTIONS = ("publications", "presentations", "news", "projects")
 ITEM_SCHEMA = StructType([StructField(f, StringType()) for f in ITEM_FIELDS])
@@ -39,6 +57,80 @@ def write_snapshot(items: DataFrame, path: str, *, as_of: str, dedupe: bool = Tr
     return written.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Keys by which snapshots are compared.
+DIFF_KEYS = ("topic", "section", "identity")
+_ABOUT = "_about.json"
+
+
+def _stamp(as_of: str) -> str:
+    return as_of.replace(" ", "T").replace(":", "-")
+
+
+def _table_name(location: str) -> str:
+    return "tidefeed_snapshot_" + hashlib.md5(location.encode()).hexdigest()
+
+
+def write_keyed_snapshot(items: DataFrame, path: str, *, as_of: str, dedupe: bool = True, buckets: int | None = None,
+                         keys: Sequence[str] = DIFF_KEYS) -> DataFrame:
+    """Write one snapshot below ``path`` bucketed by ``keys``; returns its stored counts by topic and section.
+
+    ``buckets`` is the session's number of shuffle partitions unless given; a diff under
+    the same number needs no shuffle of merged rows either.  A snapshot counts from the
+    moment its description is written, which comes last, so a crash leaves none.
+    """
+    spark = items.sparkSession
+    out = items
+    if dedupe:
+        fields = [c for c in items.columns if c not in (*keys, "seq")]
+        out = merge_items(items, group_cols=[k for k in keys if k != "identity"], fields=fields)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    location = f"{path.rstrip('/')}/{_stamp(as_of)}"
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(location)}")
+    (out.repartition(buckets, *keys).write.mode("overwrite").option("path", location)
+        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(_table_name(location)))
+    counts = spark.table(_table_name(location)).groupBy("topic", "section").agg(F.count(F.lit(1)).alias("n"))
+    about = {"keys": list(keys), "buckets": buckets, "schema": out.schema.jsonValue(),
+             "counts": [list(r) for r in counts.collect()]}  # one row per section
+    write_text(spark, f"{location}/{_ABOUT}", json.dumps(about))
+    return stored_counts(spark, path, as_of)
+
+
+def keyed_snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Stamps of the complete snapshots below ``path``, oldest first."""
+    return sorted(s for s in file_names(spark, path) if _ABOUT in file_names(spark, f"{path.rstrip('/')}/{s}"))
+
+
+def _about(spark: SparkSession, path: str, as_of: str | None) -> tuple[str, dict] | None:
+    complete = keyed_snapshots(spark, path)
+    stamp = _stamp(as_of) if as_of else (complete or [None])[-1]
+    if stamp not in complete:
+        return None
+    location = f"{path.rstrip('/')}/{stamp}"
+    return location, json.loads(read_text(spark, f"{location}/{_ABOUT}"))
+
+
+def open_keyed_snapshot(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame | None:
+    """A stored snapshot (the newest one unless named) as a bucketed table; None where there is none."""
+    found = _about(spark, path, as_of)
+    if found is None:
+        return None
+    location, about = found
+    name = _table_name(location)
+    if not spark.catalog.tableExists(name):  # another session wrote it
+        schema = StructType.fromJson(about["schema"])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{k}`" for k in about["keys"])
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+                  f"INTO {about['buckets']} BUCKETS LOCATION '{location}'")
+    return spark.table(name)
+
+
+def stored_counts(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """Rows per topic and section of a stored snapshot, as written with it."""
+    found = _about(spark, path, as_of)
+    return spark.createDataFrame([tuple(r) for r in found[1]["counts"]] if found else [], "topic string, section string, n long")
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
