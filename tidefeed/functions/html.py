@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, clean_text, col_
+from .text import any_of, blank, clean_text, col_, contains_any, let, pystrip, word_count
 
 # Entities decoded natively, '&amp;' last so '&amp;lt;' stays '&lt;'.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -61,28 +63,27 @@ ERROR_SOFT = ("redirect", "error", "not found", "404", "500", "maintenance",
               "temporarily unavailable")
 ERROR_CRITICAL = ("404", "500", "not found", "access denied", "forbidden")
 JS_DISABLED = ("javascript disabled", "requires javascript", "unauthorized frame window")
-BODY_ERROR_PATTERNS = ("error.*occurred", "not found", "page not found", "404", "500",
-                       "internal server error", "maintenance", "temporarily unavailable",
-                       "access denied", "forbidden", "you are being redirected")
+# Besides these, "error" with "occurred" anywhere after it.
+BODY_ERRORS = ("not found", "page not found", "404", "500", "internal server error", "maintenance",
+               "temporarily unavailable", "access denied", "forbidden", "you are being redirected")
 
 
 def is_error_page(text, body) -> Column:
     """Page-level error: critical token or 3+ soft tokens (unless a JS-disabled notice),
     then a body under 100 characters, then error patterns in the body."""
-    low = F.lower(blank(text))
-    soft = sum((F.instr(low, t) > 0).cast("int") for t in ERROR_SOFT)
-    critical = F.lit(False)
-    for t in ERROR_CRITICAL:
-        critical = critical | (F.instr(low, t) > 0)
-    js = F.lit(False)
-    for t in JS_DISABLED:
-        js = js | (F.instr(low, t) > 0)
-    b = blank(body)
-    js_body = b.rlike("(?i)" + "|".join(JS_DISABLED))
-    body_err = b.rlike("(?is)" + "|".join(BODY_ERROR_PATTERNS))
-    return (((critical | (soft >= 3)) & ~js)
-            | (F.length(b) < 100)
-            | (~js_body & body_err))
+    return let(F.lower(blank(text)), lambda low: let(F.lower(blank(body)), lambda b: _is_error_page(low, b)))
+
+
+def _is_error_page(low: Column, body: Column) -> Column:
+    def any_in(text: Column, phrases: Sequence[str]) -> Column:
+        return any_of(F.contains(text, F.lit(p)) for p in phrases)
+
+    at = F.instr(body, "error")
+    occurred = (at > 0) & F.contains(F.substr(body, at + 5, F.length(body)), F.lit("occurred"))
+    soft = sum(F.contains(low, F.lit(t)).cast("int") for t in ERROR_SOFT)
+    return ((F.length(body) < 100)
+            | ((any_in(low, ERROR_CRITICAL) | (soft >= 3)) & ~any_in(low, JS_DISABLED))
+            | ((any_in(body, BODY_ERRORS) | occurred) & ~any_in(body, JS_DISABLED)))
 
 
 # Abstract plausibility lists.
@@ -105,13 +106,5 @@ def is_likely_abstract(c) -> Column:
     The topic-list test of the source can never fire on cleaned text (no
     newline is left), so it is not evaluated.
     """
-    from .text import pystrip, word_count
-    s = blank(c)
-    low = F.lower(pystrip(s))
-    boiler = F.lit(False)
-    for p in ABSTRACT_BOILERPLATE:
-        boiler = boiler | (F.instr(low, p) > 0)
-    research = F.lit(False)
-    for p in RESEARCH_INDICATORS:
-        research = research | (F.instr(low, p) > 0)
-    return (F.length(pystrip(s)) >= 50) & ~boiler & (word_count(s) >= 10) & research
+    return let(pystrip(blank(c)), lambda s: (F.length(s) >= 50) & let(F.lower(s), lambda low: ~contains_any(low, ABSTRACT_BOILERPLATE)
+               & contains_any(low, RESEARCH_INDICATORS)) & (word_count(s) >= 10))

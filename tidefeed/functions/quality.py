@@ -1,8 +1,9 @@
 """Summary text functions and quality gates (Column -> Column, native expressions).
 
 Every gate works on the whole text in the JVM: sentence splitting is
-``regexp_extract_all``, phrase lists are one alternation each, and the
-repeated-token share is a sort plus one linear ``aggregate`` pass.
+a linear split, phrase lists are plain substring searches over a text bound once, the
+repeated-token share compares a sorted list with itself, and what decides most texts
+cheaply (length, ends, a missing ``@``) is tested before any pattern runs.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import (WS_CLASS, WS_RUN, alternation, blank, clean_text, collapse_ws, contains_any,
-                   let, pystrip, tokens, word_count)
+from .text import (PY_WHITESPACE, WS_CLASS, WS_RUN, ZERO_WIDTH, alternation, any_of, blank, clean_text, collapse_ws, contains_any,
+                   folded, let, pystrip, rewritten, tokens, word_count)
 
 SENTENCE_RE = "[^.!?]*[.!?]"
 
@@ -202,8 +203,12 @@ def split_sentences(c, *, clean: str = "clean_text") -> Column:
 
 
 def first_sentences(c, n: int = 2, *, clean: str = "clean_text") -> Column:
-    """The first ``n`` whole sentences joined by a space; '' when there are none."""
-    return F.array_join(F.slice(split_sentences(c, clean=clean), 1, n), " ")
+    """The first ``n`` whole sentences joined by a space; '' when there are none.
+
+    Only the part of the text up to the ``n``-th terminator is cleaned and split.
+    """
+    head = F.regexp_extract(blank(c), "^(?:[^.!?]*+[.!?]){1,%d}" % n, 0)
+    return F.array_join(split_sentences(head, clean=clean), " ")
 
 
 def limit_two_sentences(c) -> Column:
@@ -226,10 +231,15 @@ def sentence_marks(c) -> Column:
 
 
 def mid_phrase_start(c) -> Column:
-    """First sentence starts (after quotes/brackets) with an auxiliary verb or participle."""
-    text = F.lower(clean_text(c))
-    pattern = "(?U)^[\"'(\\[{]*\\s*(?:" + "|".join(MID_PHRASE_WORDS) + ")\\b"
-    return text.rlike(pattern)
+    """First sentence starts (after quotes/brackets) with an auxiliary verb or participle.
+
+    Anchored on the lower-cased text as it is: white space and invisible characters are
+    stepped over where cleaning would drop them, so the rest of the text is not touched.
+    """
+    unseen = "[" + ZERO_WIDTH + "]*+"
+    skipped = "[" + WS_CLASS[1:-1] + ZERO_WIDTH + "]*+"
+    words = "|".join(unseen.join(w) for w in MID_PHRASE_WORDS)
+    return F.lower(blank(c)).rlike(f"(?U)^{skipped}(?:[\"'(\\[{{]{unseen})*+{skipped}(?:{words}){unseen}(?!\\w)")
 
 
 def truncate_sentence(c, max_chars: int = 800) -> Column:
@@ -253,9 +263,10 @@ def extract_urls(c, mode: str = "narrow") -> Column:
 
 
 def has_urls(c, mode: str = "broad") -> Column:
-    """Any URL-like token (one regex pass: the patterns as one alternation)."""
+    """Any URL-like token (one regex pass, only over texts with ``://`` or a dot inside a word)."""
     pats = [p.replace("(?i)", "") for p in (URL_BROAD_RES if mode == "broad" else URL_NARROW_RE.split("|"))]
-    return blank(c).rlike("(?i)(?:" + "|".join(_py_ws(p) for p in pats) + ")")
+    whole = "(?i)(?:" + "|".join(_py_ws(p) for p in pats) + ")"
+    return let(blank(c), lambda s: (F.contains(s, F.lit("://")) | s.rlike(_py_ws("\\.[^\\s]"))) & s.rlike(whole))
 
 
 def strip_urls(c, mode: str = "narrow") -> Column:
@@ -277,8 +288,6 @@ def strip_contact_info(c) -> Column:
     Text, sentences and the first result are each bound once; the e-mail pattern runs
     only where there is an ``@``.
     """
-    phrase_re = alternation(CONTACT_PHRASES)
-
     def surgical(s):
         out = s
         for phrase in CONTACT_PHRASES:      # removed one phrase after another, in list order
@@ -288,7 +297,7 @@ def strip_contact_info(c) -> Column:
         return pystrip(out)
 
     def of_sentences(sentences):
-        kept = F.filter(sentences, lambda s: ~F.lower(pystrip(s)).rlike(phrase_re))
+        kept = F.filter(sentences, lambda s: ~contains_any(F.lower(s), CONTACT_PHRASES))
         whole = pystrip(F.array_join(F.transform(kept, lambda s: pystrip(s)), " "))
         cut = F.filter(F.transform(sentences, surgical), lambda s: (s != "") & (word_count(s) > 3))
         return let(whole, lambda result: F.when(
@@ -328,34 +337,27 @@ def third_person(c, variant: str = "summary") -> Column:
     if variant == "summary":
         s = pystrip(s)
     verbs = THIRD_PERSON_VERBS_SHORT if variant == "summary" else THIRD_PERSON_VERBS_LONG
-    for verb, repl in verbs:
-        s = F.regexp_replace(s, "(?iU)\\bwe " + verb + "\\b", repl)
-    s = F.regexp_replace(s, "(?iU)\\bour\\b", "their")
-    s = F.regexp_replace(s, "(?iU)\\bours\\b", "theirs")
-    s = F.regexp_replace(s, "(?iU)\\bus\\b", "them")
-    s = F.regexp_replace(s, "(?iU)\\bI\\b", "The researcher")
-    if variant == "summary":
-        s = F.regexp_replace(s, "(?iU)\\bwe\\b", "the researchers")
-        for term in PUBLISHER_TERMS:
-            s = F.regexp_replace(s, "(?iU)\\b" + term + "\\b", "")
-        s = F.regexp_replace(s, "(?i)" + PUBLISHER_NAME, "")
-        return clean_text(s)
-    return pystrip(s)
+    rules = [("we " + verb, "(?iU)\\bwe " + verb + "\\b", repl) for verb, repl in verbs]
+    rules += [("our", "(?iU)\\bour\\b", "their"), ("ours", "(?iU)\\bours\\b", "theirs"),
+              ("us", "(?iU)\\bus\\b", "them"), ("i", "(?iU)\\bI\\b", "The researcher")]
+    if variant != "summary":
+        return pystrip(rewritten(s, rules))
+    rules.append(("we", "(?iU)\\bwe\\b", "the researchers"))
+    rules += [(term.lower(), "(?iU)\\b" + term + "\\b", "") for term in PUBLISHER_TERMS]
+    dropped = rewritten(s, rules)
+    # dropping a term may bring the name's parts together, so the name is looked for afterwards
+    return clean_text(rewritten(dropped, [(PUBLISHER_NAME.lower(), "(?i)" + PUBLISHER_NAME, "")]))
 
 
 # ---------------------------------------------------------------------------
 # Gibberish and informativeness
 # ---------------------------------------------------------------------------
 
-def max_token_count(tok: Column) -> Column:
-    """Largest multiplicity in an array of tokens: one sort, one linear pass."""
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc, x):
-        run = F.when(acc["prev"] == x, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(tok), init, step, lambda acc: acc["best"])
+def repeats_over(tok: Column, share: float) -> Column:
+    """Some token makes up more than ``share`` of the list: in the sorted list it is found again that many places on."""
+    least = (F.floor(F.size(tok) * F.lit(share)) + 1).cast("int")
+    return (F.size(tok) > 0) & let(F.sort_array(tok), lambda order: F.exists(
+        F.zip_with(order, F.slice(order, least, F.size(order)), lambda a, b: a.eqNullSafe(b)), lambda same: same))
 
 
 def has_gibberish(c, variant: str = "audit") -> Column:
@@ -366,13 +368,12 @@ def has_gibberish(c, variant: str = "audit") -> Column:
 
 def _has_gibberish(s: Column, low: Column, tok: Column, variant: str) -> Column:
     n = F.size(tok)
-    top = max_token_count(tok)
     if variant == "audit":
-        return (n >= 5) & (top > n * F.lit(0.3))
+        return (n >= 5) & repeats_over(tok, 0.3)
     if variant == "lenient":
         low_s = low
         ends = low_s.rlike("\\.\\.\\.|\\.+" + WS_CLASS + "*$")
-        repeated = (n > 0) & (top > n * F.lit(0.4))
+        repeated = repeats_over(tok, 0.4)
         technical = contains_any(low_s, TECHNICAL_TERMS_LONG)
         return F.when(s == "", F.lit(False)).when(ends, F.lit(True)).when(
             repeated, ~technical).otherwise(F.lit(False))
@@ -383,14 +384,15 @@ def _has_gibberish(s: Column, low: Column, tok: Column, variant: str) -> Column:
         ends_punct = low_s.rlike("[.!?]$")
         short_tail = ((last_word != "") & ~ends_punct & (F.length(last_word) < 3)
                       & ~last_word.isin(*SHORT_WORD_ALLOW))
-        # 5+ characters in a row outside [a-z0-9 whitespace .,:;!?'-()]: allowed
-        # characters become spaces (itself allowed), then any 5 non-spaces in a
-        # row are 5 disallowed ones -- same answer, a much cheaper class test.
-        allowed_to_space = F.regexp_replace(low_s, "[a-z0-9" + WS_CLASS[1:-1] + "\\.,:;!?'\\-()]", " ")
+        # 5+ characters in a row outside [a-z0-9 whitespace .,:;!?'-()]: allowed characters
+        # become spaces (itself allowed) by a character table, then any 5 non-spaces in a
+        # row are 5 disallowed ones.
+        allowed = "abcdefghijklmnopqrstuvwxyz0123456789.,:;!?'-()" + PY_WHITESPACE
+        allowed_to_space = F.translate(low_s, allowed, " " * len(allowed))
         nonsense = (low_s.rlike("[a-z]{20,}") | low_s.rlike("\\d{10,}")
                     | allowed_to_space.rlike("[^ ]{5}"))
         return F.when(s == "", F.lit(False)).otherwise(
-            low_s.contains("...") | short_tail | ((n > 0) & (top > n * F.lit(0.3))) | nonsense)
+            low_s.contains("...") | short_tail | nonsense | repeats_over(tok, 0.3))
     raise ValueError(f"unknown gibberish variant {variant!r}")
 
 
@@ -415,47 +417,51 @@ def is_uninformative(c, variant: str = "summary") -> Column:
         return let(s, lambda text: F.when(text == "", F.lit(True)).otherwise(
             let(clean_text(F.lower(text)), lambda norm: _uninformative(text, norm))))
     if variant == "strict":
-        low = pystrip(F.lower(s))
-        forbidden = F.lit(False)
-        for p in FORBIDDEN_PREFIXES:
-            forbidden = forbidden | low.startswith(p)
-        block = F.lit(True)
-        for p in JUNK_SECURITY_BLOCK:
-            block = block & (F.instr(low, p) > 0)
-        return (forbidden
-                | (F.instr(low, "conducted by researchers at the") > 0)
-                | block
-                | contains_any(low, RESEARCHER_MENTIONS)
-                | ((F.instr(low, "nist") > 0) & (F.instr(low, "security concern") > 0))
-                | low.rlike(_py_ws("^https?://[^\\s]*$"))
-                | ((F.length(low) < 50) & low.rlike("https?://"))
-                | s.rlike(EMAIL_RE)
-                | contains_any(low, STRICT_INDICATORS))
+        return let(s, lambda text: let(pystrip(F.lower(text)), lambda low: _strictly_uninformative(text, low)))
     raise ValueError(f"unknown variant {variant!r}")
 
 
+def _strictly_uninformative(s: Column, low: Column) -> Column:
+    block = F.lit(True)
+    for p in JUNK_SECURITY_BLOCK:
+        block = block & F.contains(low, F.lit(p))
+    return (any_of(low.startswith(p) for p in FORBIDDEN_PREFIXES)
+            | F.contains(low, F.lit("conducted by researchers at the"))
+            | block
+            | contains_any(low, RESEARCHER_MENTIONS)
+            | (F.contains(low, F.lit("nist")) & F.contains(low, F.lit("security concern")))
+            | low.rlike(_py_ws("^https?://[^\\s]*$"))
+            | ((F.length(low) < 50) & low.rlike("https?://"))
+            | ((F.instr(s, "@") > 0) & s.rlike(EMAIL_RE))
+            | contains_any(low, STRICT_INDICATORS))
+
+
 def complete_sentences(c) -> Column:
     """At least 20 chars, two pieces between '.!?', the first two with 3+ words each."""
-    s = blank(c)
+    return let(blank(c), _complete_sentences)
+
+
+def _complete_sentences(s: Column) -> Column:
     pieces = F.filter(F.transform(F.split(s, "[.!?]"), lambda p: pystrip(p)), lambda p: p != "")
-    first_two = F.slice(pieces, 1, 2)
-    return ((F.length(pystrip(s)) >= 20) & (F.size(pieces) >= 2)
-            & F.forall(first_two, lambda p: word_count(p) >= 3))
+    return (F.length(pystrip(s)) >= 20) & let(F.slice(pieces, 1, 2), lambda two: (F.size(two) == 2) & F.forall(two, lambda p: word_count(p) >= 3))
 
 
 def valid_summary(c) -> Column:
-    """Generated-summary gate: all checks must pass."""
-    s = blank(c)
-    st = pystrip(s)
+    """Generated-summary gate: all checks must pass; the text is bound once and cheap checks come first."""
+    return let(blank(c), lambda s: let(pystrip(s), lambda st: _valid_summary(s, st)))
+
+
+def _valid_summary(s: Column, st: Column) -> Column:
+    low = F.lower(s)
     return ((F.length(st) >= 20)
-            & ~has_urls(s, "broad")
-            & ~(s.contains("://") | F.lower(s).contains("www.") | F.lower(s).contains("http"))
+            & F.substring(st, -1, 1).isin(".", "!", "?")
             & ~F.substring(st, 1, 1).rlike("^\\p{Ll}$")
-            & ~has_gibberish(s, "strict")
-            & complete_sentences(s)
+            & ~(F.contains(s, F.lit("://")) | F.contains(low, F.lit("www.")) | F.contains(low, F.lit("http")))
             & ~mid_phrase_start(s)
+            & _complete_sentences(s)
             & ~is_uninformative(s, "strict")
-            & st.rlike("[.!?]$"))
+            & ~has_urls(s, "broad")
+            & ~has_gibberish(s, "strict"))
 
 
 def bad_summary(c) -> Column:
@@ -467,9 +473,9 @@ def _bad_summary(s: Column, low: Column) -> Column:
     sub_hit = F.coalesce(*[F.when(F.instr(low, sub) > 0, F.lit(sub)) for sub in BAD_SUBSTRINGS])
     pat_hit = F.coalesce(*[F.when(low.rlike(_py_ws(p)), F.lit(p)) for p in BAD_PATTERNS])
     last_char = F.substring(s, -1, 1)
-    word = F.lower(F.regexp_extract(s, "(?U)\\b(\\w+)\\." + WS_CLASS + "*$", 1))
-    cut_off = (s.rlike("(?iU)\\b[a-z]{2,6}\\." + WS_CLASS + "*$") & (word != "")
-               & word.isin(*CUT_OFF_ABBREVIATIONS))
+    # the word before a last full stop, read from the end so that the pattern is anchored
+    word = F.lower(F.reverse(F.regexp_extract(F.reverse(s), "(?U)^\\.(\\w+)", 1)))
+    cut_off = word.isin(*CUT_OFF_ABBREVIATIONS)
     kind = (F.when(s == "", F.lit("empty"))
              .when(F.length(s) < 25, F.lit("too short"))
              .when(sub_hit.isNotNull(), F.lit("boilerplate"))
@@ -506,8 +512,8 @@ def _audit_flags(s: Column) -> dict[str, Column]:
         "incomplete": sentence_marks(s) < 2,
         "boilerplate": contains_any(low, AUDIT_BOILERPLATE),
         "filler": contains_any(low, AUDIT_FILLER),
-        "grammar": F.lit(False) if not AUDIT_GRAMMAR else
-        s.rlike("(?iU)" + "|".join(_py_ws(p) for p in AUDIT_GRAMMAR)),
+        # a cheap pattern for what all grammar patterns begin with goes first
+        "grammar": folded(s).rlike("th(?:e[se]|" + WS_CLASS + "+e)") & s.rlike("(?iU)" + "|".join(_py_ws(p) for p in AUDIT_GRAMMAR)),
     }
 
 
@@ -557,12 +563,9 @@ def issue_key(issue: Column) -> Column:
 
 def clean_summary(c) -> Column:
     """gate -> third person -> first two sentences -> gate again; '' on any failure."""
-    s = blank(c)
-    rewritten = third_person(s, "summary")
-    two = first_sentences(rewritten, 2)
-    return (F.when((s == "") | is_uninformative(s, "summary"), F.lit(""))
-             .when(is_uninformative(two, "summary") | mid_phrase_start(two), F.lit(""))
-             .otherwise(two))
+    return let(blank(c), lambda s: F.when((s == "") | is_uninformative(s, "summary"), F.lit("")).otherwise(
+        let(first_sentences(third_person(s, "summary"), 2), lambda two: F.when(
+            is_uninformative(two, "summary") | mid_phrase_start(two), F.lit("")).otherwise(two))))
 
 
 def is_padded(summary, abstract) -> Column:

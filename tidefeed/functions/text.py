@@ -17,6 +17,10 @@ WS_CLASS = (
 WS_RUN = WS_CLASS + "+"
 NON_WS = WS_CLASS.replace("[", "[^", 1)
 
+# Python's whitespace characters (same set as WS_CLASS).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
 # Invisible characters removed by the cleaner.
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
@@ -40,14 +44,22 @@ def blank(c) -> Column:
     return F.coalesce(col_(c), F.lit(""))
 
 
+def _spaced(c, dropped: str = "") -> Column:
+    """Every white-space character as a space, and the characters of ``dropped`` left out.
+
+    A character table: a pattern of all white space would be tried at every character.
+    """
+    return F.translate(blank(c), PY_WHITESPACE + dropped, " " * len(PY_WHITESPACE))
+
+
 def collapse_ws(c) -> Column:
     """Python ``' '.join(s.split())``: collapse whitespace runs and strip."""
-    return F.trim(F.regexp_replace(blank(c), WS_RUN, " "))
+    return F.trim(F.regexp_replace(_spaced(c), " {2,}", " "))
 
 
 def clean_text(c) -> Column:
     """Drop zero-width characters, collapse whitespace, trim; NULL -> ''."""
-    return collapse_ws(F.translate(blank(c), ZERO_WIDTH, ""))
+    return F.trim(F.regexp_replace(_spaced(c, ZERO_WIDTH), " {2,}", " "))
 
 
 def normalize_text(c) -> Column:
@@ -67,7 +79,7 @@ def word_count(c) -> Column:
 
 def tokens(c) -> Column:
     """``s.split()`` as an array (empty array for blank text)."""
-    return F.filter(F.split(blank(c), WS_RUN), lambda t: t != "")
+    return F.array_remove(F.split(_spaced(c), " "), "")
 
 
 def _regex_escape(term: str) -> str:
@@ -86,11 +98,39 @@ def alternation(terms: Iterable[str]) -> str:
 
 
 def contains_any(c, terms: Iterable[str]) -> Column:
-    """Any of the phrases is a substring of ``c`` (case as given)."""
+    """Any of the phrases is a substring of ``c`` (case as given).
+
+    Plain substring searches, the text bound once and the first hit ending the chain: a
+    regular expression would try every phrase at every character.
+    """
     terms = list(terms)
     if not terms:
         return F.lit(False)
-    return blank(c).rlike(alternation(terms))
+    return let(blank(c), lambda s: any_of(F.contains(s, F.lit(t)) for t in terms))
+
+
+def any_of(conditions: Iterable[Column]) -> Column:
+    """Conditions joined by OR as a balanced tree (long lists stay shallow), tried in order."""
+    level = list(conditions)
+    while len(level) > 1:
+        level = [level[i] | level[i + 1] if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
+
+
+def folded(c) -> Column:
+    """Lower case in which letters that only look equal under ``(?iU)`` patterns are the plain ones."""
+    return F.lower(F.translate(blank(c), "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def rewritten(s: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
+    """Apply rules ``(word, pattern, replacement)`` one after another where their folded word occurs.
+
+    No replacement may bring in the word of a later rule: words are looked for once.
+    """
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(r).alias("r")) for w, p, r in rules])
+    return let(s, lambda text: let(folded(text), lambda low: F.aggregate(
+        F.filter(table, lambda rule: F.contains(low, rule["w"])), text,
+        lambda done, rule: F.regexp_replace(done, rule["p"], rule["r"]))))
 
 
 def cache_key(c, *, kind: str | None = None, trim: bool = True) -> Column:
@@ -100,11 +140,6 @@ def cache_key(c, *, kind: str | None = None, trim: bool = True) -> Column:
     return F.concat(F.lit(kind + "_"), key) if kind else key
 
 
-# Python's whitespace characters, for ``btrim`` (same set as WS_CLASS).
-PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
-                 + "\u2028\u2029\u202f\u205f\u3000")
-
-
 def pystrip(c) -> Column:
     """Python ``str.strip()`` (Unicode whitespace at both ends)."""
     return F.btrim(blank(c), F.lit(PY_WHITESPACE))

@@ -22,6 +22,7 @@ from ..functions.links import absolutize_link, is_search_index_url
 from ..functions.quality import first_sentences, is_uninformative, strip_contact_info, word_count
 from ..functions.text import blank, clean_text, let
 from ..session import ship_package
+from .common import bind
 from .page_tree import NO_TEXT, Node, parse, select
 
 
@@ -331,8 +332,9 @@ def _gate(kind: Column, raw: Column) -> Column:
     return F.coalesce(let(cleaned, judged), F.lit(""))
 
 
-def _first_usable(texts: Column) -> Column:
-    return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+def _first_usable(before: Column, candidates: Column, gate) -> Column:
+    """``before`` if it is a summary, else the first candidate that passes ``gate``; later ones are not judged."""
+    return F.aggregate(candidates, before, lambda found, c: F.when(found != "", found).otherwise(gate(c)))
 
 
 def page_summary(pages: DataFrame) -> DataFrame:
@@ -340,14 +342,19 @@ def page_summary(pages: DataFrame) -> DataFrame:
 
     Search-index URLs give ''.  Candidates: meta and Open Graph descriptions,
     abstract/summary blocks, paragraphs of the main content; only where all of these
-    fail, the page's divs, which come as spans of one text (nested divs cost no copies).
+    fail, the page is read again for its divs, which come as spans of one text (nested
+    divs cost no copies).  A candidate is judged only after all before it failed.
     """
-    ext = extract_pages(pages, ["summary_candidates", "divs"])
-    early = _first_usable(F.transform("summary_candidates", lambda c: _gate(c["kind"], c["text"])))
-    divs = _first_usable(F.transform("divs.spans", lambda s: _gate(
-        F.lit("div"), F.substring(F.col("divs.text"), s["start"] + 1, s["length"]))))
-    summary = F.when(is_search_index_url(F.col("url")), F.lit("")).otherwise(F.coalesce(early, divs, F.lit("")))
-    return ext.select("page_id", "url", summary.alias("summary"))
+    ext = extract_pages(pages, ["summary_candidates"], ["html"])
+    early = _first_usable(F.lit(""), F.col("summary_candidates"), lambda c: _gate(c["kind"], c["text"]))
+    known = F.when(is_search_index_url(F.col("url")), F.lit("")).otherwise(early)
+    judged = bind(ext.select("page_id", "url", "html", "summary_candidates"), "summary", known)
+    # pages without a summary so far keep their html; the others are passed through without being parsed
+    open_page = (F.col("summary") == "") & ~is_search_index_url(F.col("url"))
+    rest = extract_pages(judged.select("page_id", "url", F.when(open_page, F.col("html")).alias("html"), "summary"), ["divs"], ["summary"])
+    divs = _first_usable(F.col("summary"), F.col("divs.spans"), lambda s: _gate(
+        F.lit("div"), F.substring(F.col("divs.text"), s["start"] + 1, s["length"])))
+    return rest.select("page_id", "url", F.when(is_search_index_url(F.col("url")), F.lit("")).otherwise(divs).alias("summary"))
 
 
 def article_dates(pages: DataFrame) -> DataFrame:

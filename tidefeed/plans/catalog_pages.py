@@ -174,7 +174,7 @@ def _any(x: str, words) -> str:
 
 @query("is_error_page", f"""SELECT doc_id AS page_id, (({_any('low', H.ERROR_CRITICAL)} OR {' + '.join(f"(strpos(low, {S.q(w)}) > 0)::INT" for w in H.ERROR_SOFT)} >= 3)
          AND NOT {_any('low', H.JS_DISABLED)}) OR length(body) < 100
-       OR (NOT regexp_matches(body, '(?i){'|'.join(H.JS_DISABLED)}') AND regexp_matches(body, '(?is){'|'.join(H.BODY_ERROR_PATTERNS)}')) AS error_page
+       OR (NOT regexp_matches(body, '(?i){'|'.join(H.JS_DISABLED)}') AND regexp_matches(body, '(?is)error.*occurred|{'|'.join(H.BODY_ERRORS)}')) AS error_page
 FROM (SELECT doc_id, lower({_PAGE_TEXT}) AS low, {_BODY} AS body FROM ({_FIELDS}) f) g""")
 def q_is_error_page(spark, sf):
     pages = P.article_pages(spark, sf)
