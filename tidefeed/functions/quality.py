@@ -8,6 +8,7 @@ cheaply (length, ends, a missing ``@``) is tested before any pattern runs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -469,41 +470,49 @@ def bad_summary(c) -> Column:
     return let(pystrip(blank(c)), lambda s: let(F.lower(s), lambda low: _bad_summary(s, low)))
 
 
+def _pattern_hit(low: Column) -> Column:
+    """First bad pattern found; a pattern runs only over texts with its last long word."""
+    def hit(p: str) -> Column:
+        word = re.findall("[a-z]{4,}", re.sub(r"\\.", " ", p))[-1]
+        return F.contains(low, F.lit(word)) & low.rlike(_py_ws(p))
+    return F.coalesce(*[F.when(hit(p), F.lit(p)) for p in BAD_PATTERNS])
+
+
 def _bad_summary(s: Column, low: Column) -> Column:
-    sub_hit = F.coalesce(*[F.when(F.instr(low, sub) > 0, F.lit(sub)) for sub in BAD_SUBSTRINGS])
-    pat_hit = F.coalesce(*[F.when(low.rlike(_py_ws(p)), F.lit(p)) for p in BAD_PATTERNS])
+    long_enough = F.length(s) >= 25
+    sub_hit = F.coalesce(*[F.when(F.contains(low, F.lit(sub)), F.lit(sub)) for sub in BAD_SUBSTRINGS])
+    return let(F.when(long_enough, sub_hit), lambda sub: let(F.when(long_enough & sub.isNull(), _pattern_hit(low)), lambda pat: _bad_kind(s, sub, pat)))
+
+
+def _bad_kind(s: Column, sub: Column, pat: Column) -> Column:
     last_char = F.substring(s, -1, 1)
     # the word before a last full stop, read from the end so that the pattern is anchored
     word = F.lower(F.reverse(F.regexp_extract(F.reverse(s), "(?U)^\\.(\\w+)", 1)))
-    cut_off = word.isin(*CUT_OFF_ABBREVIATIONS)
     kind = (F.when(s == "", F.lit("empty"))
              .when(F.length(s) < 25, F.lit("too short"))
-             .when(sub_hit.isNotNull(), F.lit("boilerplate"))
-             .when(pat_hit.isNotNull(), F.lit("boilerplate pattern"))
+             .when(sub.isNotNull(), F.lit("boilerplate"))
+             .when(pat.isNotNull(), F.lit("boilerplate pattern"))
              .when(~last_char.isin(".", "!", "?"), F.lit("incomplete"))
-             .when(cut_off, F.lit("cut off")))
-    return let(F.struct(kind.alias("k"), sub_hit.alias("sub"), pat_hit.alias("pat"), word.alias("w")), lambda r: F.struct(
-        r["k"].isNotNull().alias("is_bad"),
-        (F.when(r["k"] == "empty", F.lit("empty"))
-          .when(r["k"] == "too short", F.concat(F.lit("too short ("), F.length(s).cast("string"), F.lit(" chars)")))
-          .when(r["k"] == "boilerplate", F.concat(F.lit("boilerplate: '"), r["sub"], F.lit("'")))
-          .when(r["k"] == "boilerplate pattern", F.concat(F.lit("boilerplate pattern: "), r["pat"]))
-          .when(r["k"] == "incomplete", F.concat(F.lit("incomplete — ends with '"), last_char, F.lit("'")))
-          .when(r["k"] == "cut off", F.concat(F.lit("cut off at abbreviation '"), r["w"], F.lit(".'")))
+             .when(word.isin(*CUT_OFF_ABBREVIATIONS), F.lit("cut off")))
+    return let(kind, lambda k: F.struct(
+        k.isNotNull().alias("is_bad"),
+        (F.when(k == "empty", F.lit("empty"))
+          .when(k == "too short", F.concat(F.lit("too short ("), F.length(s).cast("string"), F.lit(" chars)")))
+          .when(k == "boilerplate", F.concat(F.lit("boilerplate: '"), sub, F.lit("'")))
+          .when(k == "boilerplate pattern", F.concat(F.lit("boilerplate pattern: "), pat))
+          .when(k == "incomplete", F.concat(F.lit("incomplete — ends with '"), last_char, F.lit("'")))
+          .when(k == "cut off", F.concat(F.lit("cut off at abbreviation '"), word, F.lit(".'")))
           .otherwise(F.lit(""))).alias("reason"),
-        F.coalesce(r["k"], F.lit("")).alias("reason_kind")))
+        F.coalesce(k, F.lit("")).alias("reason_kind")))
 
 
 def _audit_flags(s: Column) -> dict[str, Column]:
     st = pystrip(s)
     low = F.lower(s)
-    words = tokens(st)
-    last_word = F.regexp_replace(F.try_element_at(words, F.lit(-1)), "[.,!?;:]+$", "")
-    truncation = (s.contains("...")
-                  | ((st != "") & ~st.rlike("[.!?]$"))
-                  | ((F.size(words) > 0) & (F.length(last_word) == 1) & last_word.rlike("^\\p{Lu}$"))
-                  | ((F.size(words) > 0) & st.endswith(".") & (F.length(last_word) <= 3)
-                     & last_word.rlike("^\\p{L}+$")))
+    # the last token without its punctuation, read from the end
+    last = F.reverse(F.regexp_extract(F.reverse(st), "^[^" + WS_CLASS[1:-1] + "]+", 0))
+    truncation = s.contains("...") | let(F.regexp_replace(last, "[.,!?;:]+$", ""), lambda word: (st != "") & (
+        ~st.rlike("[.!?]$") | word.rlike("^\\p{Lu}$") | (st.endswith(".") & word.rlike("^\\p{L}{1,3}$"))))
     return {
         "url_only": st.rlike("^https?://\\S+$|^www\\.\\S+$".replace("\\S", "[^" + WS_CLASS[1:-1] + "]")),
         "has_urls": s.rlike("https?://|www\\."),
