@@ -130,3 +130,33 @@ def test_rows_and_items_without_an_id(spark, tmp_path):
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
     left = P.decontaminate(spark, docs, str(tmp_path))
     assert left.columns == docs.columns and sorted(r["key"] for r in left.collect()) == [2, 3, 5]
+
+
+def test_an_occurrence_across_a_cut_is_one_row(spark):
+    from tidefeed.llm import decontamination as D
+    rng = random.Random(8)
+    item = "".join(rng.choice("bcdfghjklm") for _ in range(210))
+    for at in (D.SLICE - 10, D.SLICE - 205, D.SLICE + 300, D.SLICE + 415):
+        text = "".join(rng.choice("nopqrstuvw") for _ in range(at)) + item + "".join(rng.choice("nopqrstuvw") for _ in range(D.SLICE))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = D.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+        assert [tuple(r) for r in found] == [(1, 7, at, at + 210, 0)]
+
+
+def test_repetitive_text_and_item_take_bounded_memory():
+    import tracemalloc
+    from tidefeed.llm import decontamination as D
+    index = D.ItemIndex.of([(1, "a" * 1000)])
+    codes = D.normalised("a" * 100_000)[0]
+    tracemalloc.start()
+    bands = D.candidate_bands(index, codes, np.zeros(len(codes), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bands) and peak < 500e6
+    small = D.normalised("a" * 3000)[0]
+    whole = D.candidate_bands(index, small, np.zeros(3000, np.int64))
+    held, D._PAIRS = D._PAIRS, 1000
+    try:
+        assert (D.candidate_bands(index, small, np.zeros(3000, np.int64)) == whole).all()
+    finally:
+        D._PAIRS = held

@@ -126,16 +126,26 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys * _MULTIPLIER) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
-def shared_grams(index: ItemIndex, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, item place and document place of every q-gram shared with an item."""
+#: Pairs of equal q-grams (one of a text, one of an item) held at once.
+_PAIRS = 1 << 21
+
+
+def shared_grams(index: ItemIndex, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Item, item place and document place of every q-gram shared with an item, in pieces of about ``_PAIRS``.
+
+    A repetitive text shares each of its q-grams with many places of a repetitive item.
+    """
     keys = gram_keys(codes)
     at = np.flatnonzero(index.seen[_slot(keys)])
     slot = np.searchsorted(index.keys, keys[at])
     known = index.keys[np.minimum(slot, len(index.keys) - 1)] == keys[at]
     at, slot = at[known], slot[known]
     times = index.first[slot + 1] - index.first[slot]
-    entry = np.repeat(index.first[slot] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
-    return index.item[entry], index.place[entry], np.repeat(at, times)
+    piece = np.cumsum(times) // _PAIRS
+    for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1):
+        a, s, t = at[cut], slot[cut], times[cut]
+        entry = np.repeat(index.first[s] - np.append(0, np.cumsum(t)[:-1]), t) + np.arange(t.sum())
+        yield index.item[entry], index.place[entry], np.repeat(a, t)
 
 
 def candidate_bands(index: ItemIndex, codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -145,14 +155,16 @@ def candidate_bands(index: ItemIndex, codes: np.ndarray, owner: np.ndarray) -> n
     so any k + 1 neighbouring diagonals lie in one band.  ``owner`` numbers the
     document of each character.
     """
-    item, place, at = shared_grams(index, codes)
-    if not len(item):
-        return np.empty((0, 3), np.int64)
-    cell = (at - place) // (index.budget[item] + 1)
     # One sortable number per (owner, item, cell); cells may be negative near the start.
     span = len(codes) + 2 * int(max(map(len, index.codes))) + 4
-    key = (owner[at] * len(index.ids) + item) * span + cell + span - len(codes) - 2
-    cells, count = np.unique(key, return_counts=True)
+    counted = []
+    for item, place, at in shared_grams(index, codes):
+        cell = (at - place) // (index.budget[item] + 1)
+        counted.append(np.unique((owner[at] * len(index.ids) + item) * span + cell + span - len(codes) - 2, return_counts=True))
+    cells, where = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
+    if not len(cells):
+        return np.empty((0, 3), np.int64)
+    count = np.bincount(where, np.concatenate([n for _, n in counted])).astype(np.int64)
     follows = np.zeros(len(cells), np.int64)
     follows[:-1] = np.where(cells[1:] == cells[:-1] + 1, count[1:], 0)
     before = np.ones(len(cells), bool)
@@ -220,14 +232,16 @@ def occurrences(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> list
         hits = align(index, items, codes, band * (index.budget[items] + 1), bounds[who], bounds[who + 1])
         for n in np.flatnonzero(hits[:, 0] <= index.budget[items]):
             found.setdefault((int(who[n]), int(items[n])), []).append(tuple(hits[n].tolist()))
-    out = []
-    for (who, item), hits in found.items():
-        taken: list[tuple[int, int]] = []
-        for edits, start, end in sorted(hits):
-            if all(end <= s or start >= e for s, e in taken):
-                taken.append((start, end))
-                out.append((who, item, start, end, edits))
-    return out
+    return [(who, item, start, end, edits) for (who, item), hits in found.items() for edits, start, end in apart(hits)]
+
+
+def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping occurrences ``(edits, start, end)`` the one of fewest edits, then the earliest."""
+    taken: list[tuple[int, int, int]] = []
+    for edits, start, end in sorted(hits):
+        if all(end <= s or start >= e for _, s, e in taken):
+            taken.append((edits, start, end))
+    return taken
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
@@ -276,12 +290,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, edit_percent: int) -> DataFram
             overlap = 2 * max(map(len, index.codes))
             for batch in batches:
                 ids, texts, keys = (batch.column(n).to_pylist() for n in range(3))
-                rows = []
+                # slices of one text overlap: what both sides of a cut report is settled over the whole text
+                hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for codes, bounds, who, places in _slices(texts, overlap):
                     for part, item, start, end, edits in occurrences(index, codes, bounds):
                         place = places[part]
-                        rows.append((ids[who[part]], index.ids[item], int(place[start - bounds[part]]),
-                                     int(place[end - 1 - bounds[part]]) + 1, edits, keys[who[part]]))
+                        hits.setdefault((who[part], item), []).append(
+                            (edits, int(place[start - bounds[part]]), int(place[end - 1 - bounds[part]]) + 1))
+                rows = [(ids[n], index.ids[item], start, end, edits, keys[n])
+                        for (n, item), found_here in hits.items() for edits, start, end in apart(found_here)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), t.type) for c, t in zip(zip(*rows) if rows else [[]] * 6, _OUT)], schema=_OUT)
 
