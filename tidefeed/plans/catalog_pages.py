@@ -32,8 +32,8 @@ _FIELDS = f"""SELECT d.doc_id, d.doc_id // {P.PER_PAGE} AS page_id, d.text, x.do
        strftime({_DAY}, '%Y-%m-%d') AS iso, strftime({_DAY}, '%B %d, %Y') AS long_date, strftime({_DAY} + 9, '%Y-%m-%d') AS later,
        CASE d.doc_id % 3 WHEN 0 THEN '/pubs/' || d.doc_id WHEN 1 THEN 'https://www.nist.gov/publications/a/' || d.doc_id
             ELSE 'pubs/' || d.doc_id END AS href,
-       'SP ' || CAST(d.doc_id % 7 AS VARCHAR) AS series, string_split(d.text, chr(10))[-1] AS line,
-       CASE WHEN d.doc_id % 2 = 0 THEN 'Abstract: ' ELSE '' END || string_split(d.text, chr(10))[-1] AS marked_line,
+       'SP ' || CAST(d.doc_id % 7 AS VARCHAR) AS series, d.text AS line,
+       CASE WHEN d.doc_id % 2 = 0 THEN 'Abstract: ' ELSE '' END || d.text AS marked_line,
        CASE WHEN d.doc_id % 2 = 0 THEN 'Final' ELSE 'Draft' END AS status
 FROM documents d JOIN ({SQL_ITEMS_DOCS}) x ON x.seq = d.doc_id"""
 

@@ -52,10 +52,9 @@ _KEY = "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'km_' ELSE 'te_' END || md5(C
 def _cache_docs(spark, sf):
     """Cache maps of twenty documents each: a text, or a stored payload of either kind."""
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    n, line = F.col("doc_id"), F.substring_index("text", "\n", 1)
-    words = F.slice(F.split(line, " "), 1, 3)
-    km = F.to_json(F.struct(F.lit("d").alias("domain"), line.alias("problem"), F.array_join(words, " , ").alias("keywords")))
-    te = F.to_json(F.struct(line.alias("technical_core"), F.array_join(words, ",").alias("system_entities")))
+    n, text = F.col("doc_id"), F.col("text")
+    km = F.to_json(F.struct(F.lit("d").alias("domain"), text.alias("problem"), text.alias("keywords")))
+    te = F.to_json(F.struct(text.alias("technical_core"), text.alias("system_entities")))
     key = F.concat(F.when(n % 3 == 1, "km_").when(n % 3 == 2, "te_").otherwise(""), F.md5(n.cast("string").cast("binary")))
     entry = F.struct(F.lit("2024-01-30T10:00:00").alias("timestamp"), F.when(n % 3 == 1, km).when(n % 3 == 2, te).otherwise(F.col("text")).alias("summary"))
     maps = d.select(F.expr(_PAGE).alias("page"), key.alias("k"), entry.alias("e")).groupBy("page").agg(
@@ -63,15 +62,16 @@ def _cache_docs(spark, sf):
     return read_summary_cache(spark, _json_files(maps, F.to_json("m"), "cache-maps"), "pqc")
 
 
-@query("read_summary_cache", f"""SELECT 'pqc' AS topic, {_KEY} AS key, {_KIND} AS kind, CASE WHEN doc_id % 3 = 0 THEN text END AS summary FROM documents""")
+@query("read_summary_cache", f"""SELECT 'pqc' AS topic, {_KEY} AS key, {_KIND} AS kind, text AS summary FROM documents""")
 def q_read_summary_cache(spark, sf):
-    return _cache_docs(spark, sf).select("topic", "key", "kind", F.when(F.col("kind") == "item", F.col("summary")).alias("summary"))
+    payload = F.when(F.col("kind") == "km", F.get_json_object("summary", "$.problem")).when(
+        F.col("kind") == "te", F.get_json_object("summary", "$.technical_core")).otherwise(F.col("summary"))
+    return _cache_docs(spark, sf).select("topic", "key", "kind", payload.alias("summary"))
 
 
-@query("extraction_table", f"""WITH w AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
-k AS (SELECT doc_id, line, string_split(line, ' ')[1:3] AS words FROM w)
-SELECT 'km' AS kind, {_KEY} AS key, line AS main, trim(u, ' ') AS listed FROM (SELECT *, unnest(regexp_split_to_array(array_to_string(words, ' , '), '\\s*,\\s*')) AS u FROM k) WHERE doc_id % 3 = 1
-UNION ALL SELECT 'te', {_KEY}, line, u FROM (SELECT *, unnest(regexp_split_to_array(array_to_string(words, ','), '\\s*,\\s*')) AS u FROM k) WHERE doc_id % 3 = 2""")
+@query("extraction_table", f"""WITH k AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]*,[ \\t\\n\\x0B\\f\\r]*')) AS u FROM documents)
+SELECT 'km' AS kind, {_KEY} AS key, text AS main, u AS listed FROM k WHERE doc_id % 3 = 1
+UNION ALL SELECT 'te', {_KEY}, text, u FROM k WHERE doc_id % 3 = 2""")
 def q_extraction_table(spark, sf):
     cache = materialize(_cache_docs(spark, sf))
     km = extraction_table(cache, "km").select(F.lit("km").alias("kind"), "key", F.col("problem").alias("main"), F.col("keywords").alias("listed"))
@@ -132,8 +132,8 @@ def q_feed_run(spark, sf):
     return new_items(current, before).select("section", "identity", "seq")
 
 
-_SQL_SHORT = f"""SELECT doc_id, {S.clean_text('name')} AS abstract, doc_id % 2 = 0 AS has_page FROM
-(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) ELSE '' END AS name FROM documents) d"""
+_SQL_SHORT = f"""SELECT doc_id, text, {S.clean_text('name')} AS abstract, doc_id % 2 = 0 AS has_page FROM
+(SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS name FROM documents) d"""
 
 
 def _two(x: str) -> str:
@@ -142,7 +142,7 @@ def _two(x: str) -> str:
 
 _MID = lambda x: S.mid_phrase_start(x, Q.MID_PHRASE_WORDS)
 _BAD = lambda x: S.is_uninformative(x, "summary", Q)
-_PAGE_SUMMARY = "'The report on topic ' || doc_id || ' describes a method for secure exchange. It gives results. More follows.'"
+_PAGE_SUMMARY = "'The report on topic ' || doc_id || ' describes a method for secure exchange. It gives results. More follows. ' || text"
 
 
 @query("summary_cascade_pages", f"""WITH i AS ({_SQL_SHORT}), j AS (SELECT *, {S.strip_contact_info('abstract', Q)} AS cl, {_PAGE_SUMMARY} AS ps FROM i),
@@ -155,9 +155,9 @@ def q_summary_cascade_pages(spark, sf):
     n = F.col("doc_id")
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
     items = d.select(n.alias("seq"), F.lit("pqc").alias("topic"), F.lit("").alias("document_name"),
-                     F.when(n % 3 == 0, F.substring_index("text", "\n", 1)).otherwise("").alias("summary"),
+                     F.when(n % 3 == 0, F.col("text")).otherwise("").alias("summary"),
                      F.concat(F.lit("https://a.example.org/"), n).alias("link"), F.lit("Publication").alias("resource_type"))
-    said = F.concat(F.lit("The report on topic "), n, F.lit(" describes a method for secure exchange. It gives results. More follows."))
+    said = F.concat(F.lit("The report on topic "), n, F.lit(" describes a method for secure exchange. It gives results. More follows. "), F.col("text"))
     url = F.concat(F.lit("https://A.example.org/"), n, F.lit("/"))
     pages = d.where(n % 2 == 0).select(n.alias("page_id"), url.alias("url"), said.alias("summary"))
     # a later page of the same link, which must not be taken

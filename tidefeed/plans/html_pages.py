@@ -80,7 +80,7 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("pubs/"), n)).alias("href"),
         F.concat(F.lit("SP "), (n % 7).cast("string")).alias("series"),
         F.concat(F.when(n % 2 == 0, F.lit("Abstract: ")).otherwise(F.lit("")),
-                 F.substring_index(F.col("summary"), "\n", -1)).alias("line"),
+                 F.col("summary")).alias("abstract"),
         F.when(n % 2 == 0, F.lit("Final")).otherwise(F.lit("Draft")).alias("status"))
 
 
@@ -90,7 +90,7 @@ def listing_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     d = _fields(spark, sf_dir).withColumn("page_id", F.floor(F.col("doc_id") / PER_PAGE))
     fields = {"id": F.col("doc_id").cast("string"), "name": F.when(F.col("doc_id") % UNTITLED == 0, F.lit("")).otherwise(escape(F.col("document_name"))), "href": F.col("href"),
               "series": F.col("series"), "date": escape(F.col("date")), "iso": F.concat("iso", F.lit("T09:30:00Z")),
-              "summary": escape(F.col("line")), "status": F.col("status")}
+              "summary": escape(F.col("abstract")), "status": F.col("status")}
     titled = F.when(F.col("doc_id") % UNTITLED == 0, F.lit("")).otherwise(_fill(link, fields))
     block = F.lit("")
     for turn, markup in enumerate(markups):
@@ -140,7 +140,7 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               "next": (n + 1).cast("string")}
     described = F.when(n % 3 == 0, F.concat(F.lit('<meta name="description" content="'), F.replace(escape(F.col("document_name")), F.lit('"'), F.lit("&quot;")),
                                             F.lit('">'))).otherwise(F.lit(""))
-    abstract = F.when(n % 2 == 1, F.concat(F.lit('<section class="abstract">'), escape(F.col("line")), F.lit("</section>"))).otherwise(F.lit(""))
+    abstract = F.when(n % 2 == 1, F.concat(F.lit('<section class="abstract">'), escape(F.col("abstract")), F.lit("</section>"))).otherwise(F.lit(""))
     html = F.concat(
         F.lit("<html><head><title>Doc "), n.cast("string"), F.lit("</title>"), described, F.lit("</head><body><nav>menu</nav>\n<h1>"),
         escape(F.col("document_name")), F.lit("</h1>\n"), _turn(PUBLISHED_MARKUP, fields), F.lit("\n"), _turn(MODIFIED_MARKUP, fields),
