@@ -117,3 +117,21 @@ def test_changed_items(spark):
     got = {r["identity"]: r["status"] for r in compare_snapshots(new, old, compare=["link"], fields=["link"]).collect()}
     assert got == {"a": "changed", "b": "kept", "c": "removed", "d": "added"}
     assert {r["identity"]: r["status"] for r in compare_snapshots(new, old).collect()}["a"] == "kept"
+
+
+def test_positions_and_running_sums_over_ranges(spark):
+    """Ties, nulls and one value that most rows share; the places are those of one sort."""
+    from pyspark.sql import functions as F
+    from tidefeed.operators.positions import with_positions, with_running_sum
+    rows = [(None if k % 11 == 0 else 5 if k % 3 else k % 17, k, k % 4) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, k long, w long").repartition(7)
+    order = [F.desc_nulls_last("a"), F.col("k")]
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = sorted(tuple(r) for r in with_positions(df, order).select("position", "a", "k", "w").collect())
+    assert got == [(n, *r) for n, r in enumerate(want)]
+    sums = {r.k: r.before for r in with_running_sum(df, order, "w", "before").collect()}
+    total = 0
+    for a, k, w in want:
+        assert sums[k] == total
+        total += w
+    assert with_positions(df.limit(0), order).count() == 0

@@ -203,3 +203,23 @@ def test_cache_store_rewrites_changed_buckets_only(spark):
     assert expire_cache(store, "2024-01-12 00:00:00") == 0
     assert put_cache(store, entries(("ai", "bad", "2024-02-01 00:00:00", "x")))
     assert clean_cache(store) >= 1 and "bad" not in now() and clean_cache(store) == 0
+
+
+def test_lines_keep_their_order_over_hundreds_of_splits(spark):
+    """Numbers of rows without one follow files and lines, past 128 partitions too."""
+    d = tempfile.mkdtemp(prefix="tf-splits-")
+    for name, part in (("b", range(700, 900)), ("a", range(700))):
+        with open(os.path.join(d, f"{name}.json"), "w") as f:
+            for k in part:
+                f.write(json.dumps({"type": "news", "timestamp": "2024-01-02T10:00:00", "scrape_date": "x", "item": {"title": f"t{k:05d}"}}) + "\n")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "400")
+        spark.conf.set(keys[1], "0")
+        assert spark.read.text(d).rdd.getNumPartitions() > 129
+        got = [(r.seq, r.item["title"]) for r in read_notifications(spark, d).orderBy("seq").collect()]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert got == [(k, f"t{k:05d}") for k in range(900)]

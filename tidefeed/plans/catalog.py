@@ -418,17 +418,20 @@ def q_is_draft_open(spark, sf):
 
 @query("comment_drafts", f"""SELECT seq, coalesce(nullif(comment_due_date, ''), 'Not listed') AS due,
        coalesce(nullif(release_date, ''), '—') AS published, coalesce(document_name, 'Draft Publication') AS title,
-       strftime({_SQL_DUE}, '%Y-%m-%d') AS due_date
+       strftime({_SQL_DUE}, '%Y-%m-%d') AS due_date, row_number() OVER (ORDER BY {_SQL_DUE} NULLS LAST, seq) - 1 AS position
 FROM ({_SQL_DOCS_LINK}) d WHERE {_SQL_DRAFT_OPEN} AND {_SQL_CURRENT}""")
 def q_comment_drafts(spark, sf):
     from ..operators.ordering import comment_drafts
-    return comment_drafts(_docs(spark, sf), AS_OF).select("seq", "due", "published", "title", "due_date")
+    listed = _docs(spark, sf).drop("summary", "abstract", "description")
+    return comment_drafts(listed, AS_OF, position="position").select("seq", "due", "published", "title", "due_date", "position")
 
 
-@query("sort_newest", f"""SELECT seq, strftime({_SQL_PUB_DATE}, '%Y-%m-%d') AS item_date FROM ({SQL_ITEMS_DOCS}) d""")
+@query("sort_newest", f"""SELECT seq, row_number() OVER (ORDER BY {_SQL_PUB_DATE} DESC NULLS LAST, seq) - 1 AS position,
+       strftime({_SQL_PUB_DATE}, '%Y-%m-%d') AS item_date FROM ({SQL_ITEMS_DOCS}) d""")
 def q_sort_newest(spark, sf):
     from ..operators.ordering import sort_newest
-    return sort_newest(_docs(spark, sf), _PUB_KEYS).select("seq", F.date_format("item_date", "yyyy-MM-dd").alias("item_date"))
+    keys = _docs(spark, sf).select("seq", *_PUB_KEYS)
+    return sort_newest(keys, _PUB_KEYS, position="position").select("seq", "position", F.date_format("item_date", "yyyy-MM-dd").alias("item_date"))
 
 
 @query("drop_presentations", f"""SELECT seq FROM ({SQL_NOTIFICATIONS}) n
@@ -1008,12 +1011,12 @@ def q_new_item_banner(spark, sf):
     return new_item_banner(new, False)
 
 
-@query("head_preview", f"""SELECT seq, document_name FROM ({SQL_ITEMS_DOCS}) d
-ORDER BY {_SQL_PUB_DATE} DESC NULLS LAST, seq LIMIT 5""")
+@query("head_preview", f"""SELECT seq, document_name, CAST(row_number() OVER (ORDER BY {_SQL_PUB_DATE} DESC NULLS LAST, seq) - 1 AS INTEGER) AS position
+FROM ({SQL_ITEMS_DOCS}) d ORDER BY {_SQL_PUB_DATE} DESC NULLS LAST, seq LIMIT 5""")
 def q_head_preview(spark, sf):
     from ..operators.ordering import head_preview
     d = _docs(spark, sf).withColumn("_d", D.item_date(_PUB_KEYS))
-    return head_preview(d, 5, [F.desc_nulls_last("_d"), F.col("seq")]).select("seq", "document_name")
+    return head_preview(d, 5, [F.desc_nulls_last("_d"), F.col("seq")], position="position").select("seq", "document_name", "position")
 
 
 _SQL_PAGES_TABLE = f"""SELECT source AS listing, CAST(doc_id // 20 AS INTEGER) AS page, count(*) AS n_items,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..operators.notifications import ITEM_STRING_FIELDS, dedupe_notifications
+from ..operators.positions import with_running_sum
 
 NOTE_SCHEMA = StructType([
     StructField("type", StringType()), StructField("timestamp", StringType()),
@@ -15,17 +16,20 @@ NOTE_SCHEMA = StructType([
 ])
 
 
-def numbered(rows: DataFrame, place: str) -> DataFrame:
-    """Add ``seq``: the given numbers, then numbers by file and position for rows without one.
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``seq``: the given numbers, then numbers in the order of files and lines for rows without one.
 
-    Files are numbered by name (one row per file), so a number is
-    ``(file number + 1) * 2**40 + position`` past every given number's range.
+    ``_file``, ``_start`` and ``_at`` say where a row was read: a file's part, and a number
+    that rises by one from row to row of a part.  Parts are counted, one row each, and a
+    row's number is the largest given one, the rows of all earlier parts and its place.
     """
-    files = rows.select(F.col(f"{place}.file").alias("file")).where("file <> ''").distinct()
-    ranked = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")))  # one row per file
-    both = rows.join(F.broadcast(ranked), F.col(f"{place}.file") == F.col("file"), "left")
-    at = F.col("file_no").cast("long") * F.lit(1 << 40) + F.col(f"{place}.at") % F.lit(1 << 40)
-    return both.withColumn("seq", F.when(F.col(f"{place}.late"), at).otherwise(F.col(f"{place}.n"))).drop("file", "file_no", place)
+    late = rows.where(F.col("seq").isNull())
+    parts = late.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    parts = with_running_sum(parts, [F.col("_file"), F.col("_start")], "_rows", "_earlier").drop("_rows")
+    given = rows.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).scalar()
+    both = rows.join(parts, ["_file", "_start"], "left")
+    place = given + F.col("_earlier") + F.col("_at") - F.col("_first")
+    return both.withColumn("seq", F.coalesce("seq", place)).drop("_file", "_start", "_at", "_first", "_earlier")
 
 
 def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines") -> DataFrame:
@@ -33,30 +37,26 @@ def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines")
 
     ``layout='lines'``: one JSON object per line (the scalable store format).
     Lines without a ``seq`` come after those with one, in the order of their files
-    and lines.  ``layout='list'``: files holding one JSON list each (import format);
-    a payload that is not a list gives no rows.  The order of notifications is a
-    struct of rank, file and position; ``seq`` of the result is that of the first row.
+    and lines, however many splits and tasks read them.  ``layout='list'``: files holding
+    one JSON list each (import format); a payload that is not a list gives no rows.
     """
     if layout == "lines":
         rows = spark.read.schema(StructType([*NOTE_SCHEMA.fields, StructField("seq", LongType())])).json(path)
-        place = F.struct(F.col("seq").isNull().alias("late"), F.coalesce("seq", F.lit(0)).alias("n"),
-                         F.when(F.col("seq").isNull(), F.input_file_name()).otherwise("").alias("file"),
-                         F.when(F.col("seq").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("at"))
-        rows = rows.withColumn("_place", place)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                           F.monotonically_increasing_id().alias("_at"))
     else:
         raw = spark.read.text(path, wholetext=True)
         arr = F.from_json(F.col("value"), ArrayType(NOTE_SCHEMA))
         # a single object would be read as a one-element list: only '[' payloads count
         is_list = F.regexp_replace(F.col("value"), "^\\s+", "").startswith("[")
-        rows = (raw.select(F.input_file_name().alias("_file"), F.when(is_list, arr).alias("a"))
+        rows = (raw.select(F.col("_metadata.file_path").alias("_file"), F.when(is_list, arr).alias("a"))
                    .where(F.col("a").isNotNull())
                    .select("_file", F.posexplode("a").alias("pos", "n"))
-                   .select(F.struct(F.lit(True).alias("late"), F.lit(0).cast("long").alias("n"), F.col("_file").alias("file"),
-                                    F.col("pos").cast("long").alias("at")).alias("_place"), "n.*"))
+                   .select(F.lit(None).cast("long").alias("seq"), "_file", F.lit(0).cast("long").alias("_start"),
+                           F.col("pos").cast("long").alias("_at"), "n.*"))
     rows = (rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
                 .withColumn("scrape_date", F.col("scrape_date").try_cast("timestamp_ntz")))
-    ordered = numbered(rows, "_place")
-    return dedupe_notifications(ordered.select("seq", "type", "timestamp", "scrape_date", "item"))
+    return dedupe_notifications(numbered(rows).select("seq", "type", "timestamp", "scrape_date", "item"))
 
 
 def write_notifications(df: DataFrame, path: str, *, dedupe: bool = True) -> None:
