@@ -256,10 +256,20 @@ _PHRASED = f"SELECT doc_id, {_PHRASE_SQL} || ' ' || text AS text FROM documents"
 _TYPE_SQL = "(['" + "', '".join(TYPES) + f"'])[(doc_id // 14) % {len(TYPES)} + 1]"
 
 
+# made links of documents, and the links of the given pages (numbered below zero)
+_LINKED = f"""SELECT doc_id, {_LINK_SQL} AS link, {_TYPE_SQL} AS type FROM documents
+UNION ALL SELECT -1 - page_id, url, ({list(TYPES)})[page_id % {len(TYPES)} + 1] FROM pages"""
+
+
 def _links(spark, sf):
     d = read_table(spark, sf, "documents", ["doc_id"])
-    types = F.element_at(F.array(*map(F.lit, TYPES)), (F.floor(F.col("doc_id") / 14) % len(TYPES) + 1).cast("int"))
-    return d.select("doc_id", _template(LINKS, {"id": F.col("doc_id").cast("string")}, F.col("doc_id")).alias("link"), types.alias("type"))
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
+
+    def type_of(n):
+        return F.element_at(F.array(*map(F.lit, TYPES)), (n % len(TYPES) + 1).cast("int")).alias("type")
+
+    made = d.select("doc_id", _template(LINKS, {"id": F.col("doc_id").cast("string")}, F.col("doc_id")).alias("link"), type_of(F.floor(F.col("doc_id") / 14)))
+    return made.unionByName(p.select((-1 - F.col("page_id")).alias("doc_id"), F.col("url").alias("link"), type_of(F.col("page_id"))))
 
 
 def _phrased(spark, sf):
@@ -268,19 +278,19 @@ def _phrased(spark, sf):
     return d.select("doc_id", F.concat(_template(PHRASES, fields, F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"))
 
 
-@query("link_score", f"SELECT doc_id, {S.link_score('link')} AS score FROM (SELECT doc_id, {_LINK_SQL} AS link FROM documents) d")
+@query("link_score", f"SELECT doc_id, {S.link_score('link')} AS score FROM ({_LINKED}) d")
 def q_link_score(spark, sf):
     return _links(spark, sf).select("doc_id", L.link_score("link").alias("score"))
 
 
 @query("link_score_typed", f"""SELECT doc_id, {_sql_typed_score('link', 'type')} AS score
-FROM (SELECT doc_id, {S.sanitize_link('raw')} AS link, type FROM (SELECT doc_id, {_LINK_SQL} AS raw, {_TYPE_SQL} AS type FROM documents) r) d""")
+FROM (SELECT doc_id, {S.sanitize_link('raw')} AS link, type FROM (SELECT doc_id, link AS raw, type FROM ({_LINKED}) l) r) d""")
 def q_link_score_typed(spark, sf):
     return _links(spark, sf).select("doc_id", L.link_score_typed(F.col("link"), F.col("type")).alias("score"))
 
 
 @query("is_search_index_url", f"""SELECT doc_id, regexp_matches(link, '(?i)(/publications/search|/search([^A-Za-z0-9_]|$))') AS search_index
-FROM (SELECT doc_id, {_LINK_SQL} AS link FROM documents) d""")
+FROM ({_LINKED}) d""")
 def q_is_search_index_url(spark, sf):
     return _links(spark, sf).select("doc_id", L.is_search_index_url("link").alias("search_index"))
 
@@ -296,10 +306,20 @@ _STRIPPED_URLS = S.collapse("regexp_replace(regexp_replace(text, " + S.q('(?i)ht
                             + S.q('(?i)www' + chr(92) + '.[^' + S.WS_INNER + ']+') + ", '', 'g')")
 
 
-@query("extract_urls", f"""SELECT doc_id, len(regexp_extract_all(text, {S.q(S.URL_NARROW)})) AS n_urls, {_STRIPPED_URLS} AS stripped FROM ({_PHRASED}) d""")
+# the broad patterns as the SQL has them (white space written out)
+_BROAD = tuple(p.replace("[^\\s]", "[^" + S.WS_INNER + "]") for p in Q.URL_BROAD_RES)
+_BROAD_FOUND = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, {S.q(p)})" for p in _BROAD) + ")))"
+_BROAD_CUT = "text"
+for _p in _BROAD:
+    _BROAD_CUT = f"regexp_replace({_BROAD_CUT}, {S.q(_p)}, '', 'g')"
+
+
+@query("extract_urls", f"""SELECT doc_id, len(regexp_extract_all(text, {S.q(S.URL_NARROW)})) AS n_urls, {_STRIPPED_URLS} AS stripped,
+       array_to_string({_BROAD_FOUND}, ' ') AS broad, {S.collapse(_BROAD_CUT)} AS stripped_broad FROM ({_PHRASED}) d""")
 def q_extract_urls(spark, sf):
     d = _phrased(spark, sf)
-    return d.select("doc_id", F.size(Q.extract_urls("text")).cast("long").alias("n_urls"), Q.strip_urls("text").alias("stripped"))
+    return d.select("doc_id", F.size(Q.extract_urls("text")).cast("long").alias("n_urls"), Q.strip_urls("text").alias("stripped"),
+                    F.array_join(F.sort_array(Q.extract_urls("text", "broad")), " ").alias("broad"), Q.strip_urls("text", "broad").alias("stripped_broad"))
 
 
 @query("strip_contact_info", f"SELECT doc_id, {S.strip_contact_info('text', Q)} AS stripped FROM ({_PHRASED}) d")
@@ -329,13 +349,23 @@ _DATES = ("CASE doc_id % 3 WHEN 0 THEN 'May 01, 2025' WHEN 1 THEN ' ' ELSE '' EN
           "CASE doc_id % 5 WHEN 0 THEN 'May 01, 2025' WHEN 1 THEN 'June 02, 2025' ELSE '' END", "CASE doc_id % 7 WHEN 0 THEN '2025-05-01' ELSE '' END")
 
 
+# made dates of documents, and the dates of the given orders (numbered below zero; edited on the day for every third customer)
+_ORDER_DATES = ("strftime(o_orderdate, '%B %d, %Y')", "strftime(o_orderdate, '%Y-%m-%d')", "strftime(o_orderdate + to_days(CAST(o_custkey % 3 AS INTEGER)), '%B %d, %Y')",
+                "strftime(o_orderdate + to_days(CAST(o_custkey % 3 AS INTEGER)), '%Y-%m-%d')")
+
+
 @query("news_date_flags", f"""SELECT doc_id, (trim(le) <> '' OR trim(le_raw) <> '') AND NOT ((trim(le_raw) <> '' AND trim(le_raw) = trim(pub_raw))
        OR (trim(le) <> '' AND trim(le) = trim(pub))) AS show_last_edited, trim(pub) <> '' AS show_published
-FROM (SELECT doc_id, {_DATES[0]} AS pub, {_DATES[1]} AS pub_raw, {_DATES[2]} AS le, {_DATES[3]} AS le_raw FROM documents) d""")
+FROM (SELECT doc_id, {_DATES[0]} AS pub, {_DATES[1]} AS pub_raw, {_DATES[2]} AS le, {_DATES[3]} AS le_raw FROM documents
+      UNION ALL SELECT -1 - o_orderkey, {', '.join(_ORDER_DATES)} FROM orders) d""")
 def q_news_date_flags(spark, sf):
-    n = read_table(spark, sf, "documents", ["doc_id"]).select("doc_id", *(F.expr(e).alias(c) for e, c in zip(
-        _DATES, ("publish_date", "publish_date_raw", "last_edited_date", "last_edited_date_raw"))))
-    return D.news_date_flags(n).select("doc_id", "show_last_edited", "show_published")
+    names = ("publish_date", "publish_date_raw", "last_edited_date", "last_edited_date_raw")
+    made = read_table(spark, sf, "documents", ["doc_id"]).select("doc_id", *(F.expr(e).alias(c) for e, c in zip(_DATES, names)))
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    edited = F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_custkey") % 3).cast("int"))
+    given = o.select((-1 - F.col("o_orderkey")).alias("doc_id"), *(F.date_format(d, f).alias(c) for d, f, c in zip(
+        (F.col("o_orderdate"), F.col("o_orderdate"), edited, edited), ("MMMM dd, yyyy", "yyyy-MM-dd") * 2, names)))
+    return D.news_date_flags(made.unionByName(given)).select("doc_id", "show_last_edited", "show_published")
 
 
 @query("enrich_due_dates", f"""SELECT doc_id AS seq, coalesce({S.fmt_display('due')}, '') AS comment_due_date, coalesce({S.fmt_raw('due')}, '') AS comment_due_date_raw
