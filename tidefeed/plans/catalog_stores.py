@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import html_pages as P
@@ -24,25 +25,30 @@ from . import adapters as A
 from .catalog import _AUD, _CACHE_SQL, _PAGE_FIELDS, AS_OF_SQL, REGISTRY, SQL_ITEMS_DOCS, query
 from .catalog_pages import _record_sql
 
-_PAGE = f"doc_id div {P.PER_PAGE}"
+#: Documents that the readers are given, whatever the number of rows.
+FILES = 8
+_PART = f"{{0}} * {FILES} // (SELECT max(doc_id) + 1 FROM documents)"
 
 
-def _json_files(df, value, name: str):
-    """Write one JSON document per page of documents, each in a file of its own; returns the folder."""
-    path = scratch_path(df.sparkSession, f"tidefeed-{name}-{uuid.uuid4().hex}")
-    df.select("page", value.alias("value")).repartition("page").write.partitionBy("page").text(path)
+def _json_files(spark, sf, rows, entry, before: str, after: str, name: str):
+    """Write rows (``n``) as ``FILES`` JSON documents, entries in order of ``n``; returns the folder."""
+    path = scratch_path(spark, f"tidefeed-{name}-{uuid.uuid4().hex}")
+    upto = read_table(spark, sf, "documents", ["doc_id"]).agg(F.max("doc_id") + 1).scalar()
+    order = Window.partitionBy("part").orderBy("n")
+    placed = rows.withColumn("part", F.floor(F.col("n") * FILES / upto)).select(
+        "part", "n", entry.alias("entry"), F.row_number().over(order).alias("at"), F.lead("n").over(order).isNull().alias("last"))
+    value = F.concat(F.when(F.col("at") == 1, before).otherwise(""), "entry", F.when(F.col("last"), after).otherwise(","))
+    placed.select("part", value.alias("value")).write.partitionBy("part").text(path)
     return path
 
 
-@query("read_snapshot", f"""SELECT 'pqc' AS topic, 'publications' AS section, row_number() OVER (PARTITION BY seq // {P.PER_PAGE} ORDER BY seq) - 1 AS seq,
-       document_name, release_date FROM ({SQL_ITEMS_DOCS}) d""")
+@query("read_snapshot", f"""SELECT 'pqc' AS topic, 'publications' AS section, row_number() OVER (PARTITION BY {_PART.format('seq')} ORDER BY seq) - 1 AS seq,
+       document_name, summary, release_date FROM ({SQL_ITEMS_DOCS}) d""")
 def q_read_snapshot(spark, sf):
-    items = A.items_docs(spark, sf).select(F.floor(F.col("seq") / P.PER_PAGE).alias("page"), "seq", "document_name", "release_date")
-    listed = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "document_name", "release_date"))).alias("l"))
-    rows = F.transform("l", lambda x: F.struct(x["document_name"].alias("document_name"), x["release_date"].alias("release_date")))
-    envelope = F.to_json(F.struct(F.struct(rows.alias("publications")).alias("data"), F.lit("2024-01-31T00:00:00").alias("timestamp")))
-    out = read_snapshot_json(spark, _json_files(listed, envelope, "envelopes"), "pqc")
-    return out.select("topic", "section", "seq", "document_name", "release_date")
+    items = A.items_docs(spark, sf).withColumn("n", F.col("seq"))
+    entry = F.to_json(F.struct("document_name", "summary", "release_date"))
+    path = _json_files(spark, sf, items, entry, '{"timestamp": "2024-01-31T00:00:00", "data": {"publications": [', "]}}", "envelopes")
+    return read_snapshot_json(spark, path, "pqc").select("topic", "section", "seq", "document_name", "summary", "release_date")
 
 
 _KIND = "CASE doc_id % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'km' ELSE 'te' END"
@@ -50,16 +56,15 @@ _KEY = "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'km_' ELSE 'te_' END || md5(C
 
 
 def _cache_docs(spark, sf):
-    """Cache maps of twenty documents each: a text, or a stored payload of either kind."""
+    """Cache maps of documents: a text, or a stored payload of either kind."""
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
     n, text = F.col("doc_id"), F.col("text")
     km = F.to_json(F.struct(F.lit("d").alias("domain"), text.alias("problem"), text.alias("keywords")))
     te = F.to_json(F.struct(text.alias("technical_core"), text.alias("system_entities")))
-    key = F.concat(F.when(n % 3 == 1, "km_").when(n % 3 == 2, "te_").otherwise(""), F.md5(n.cast("string").cast("binary")))
-    entry = F.struct(F.lit("2024-01-30T10:00:00").alias("timestamp"), F.when(n % 3 == 1, km).when(n % 3 == 2, te).otherwise(F.col("text")).alias("summary"))
-    maps = d.select(F.expr(_PAGE).alias("page"), key.alias("k"), entry.alias("e")).groupBy("page").agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "e"))).alias("m"))
-    return read_summary_cache(spark, _json_files(maps, F.to_json("m"), "cache-maps"), "pqc")
+    entry = F.struct(F.lit("2024-01-30T10:00:00").alias("timestamp"), F.when(n % 3 == 1, km).when(n % 3 == 2, te).otherwise(text).alias("summary"))
+    kind = F.when(n % 3 == 1, "km_").when(n % 3 == 2, "te_").otherwise("")
+    member = F.concat(F.lit('"'), kind, F.md5(n.cast("string").cast("binary")), F.lit('": '), F.to_json(entry))
+    return read_summary_cache(spark, _json_files(spark, sf, d.withColumn("n", n), member, "{", "}", "cache-maps"), "pqc")
 
 
 @query("read_summary_cache", f"""SELECT 'pqc' AS topic, {_KEY} AS key, {_KIND} AS kind, text AS summary FROM documents""")

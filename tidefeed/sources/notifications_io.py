@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.notifications import ITEM_STRING_FIELDS, dedupe_notifications
 from ..operators.positions import with_running_sum
+from .json_stream import PLACES, json_entries, sound_entries
 
 NOTE_SCHEMA = StructType([
     StructField("type", StringType()), StructField("timestamp", StringType()),
@@ -38,22 +39,18 @@ def read_notifications(spark: SparkSession, path: str, *, layout: str = "lines")
     ``layout='lines'``: one JSON object per line (the scalable store format).
     Lines without a ``seq`` come after those with one, in the order of their files
     and lines, however many splits and tasks read them.  ``layout='list'``: files holding
-    one JSON list each (import format); a payload that is not a list gives no rows.
+    one JSON list each (import format), read entry by entry; a payload that is not a list,
+    and a file that is no JSON, gives no rows.
     """
     if layout == "lines":
         rows = spark.read.schema(StructType([*NOTE_SCHEMA.fields, StructField("seq", LongType())])).json(path)
         rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
                            F.monotonically_increasing_id().alias("_at"))
     else:
-        raw = spark.read.text(path, wholetext=True)
-        arr = F.from_json(F.col("value"), ArrayType(NOTE_SCHEMA))
-        # a single object would be read as a one-element list: only '[' payloads count
-        is_list = F.regexp_replace(F.col("value"), "^\\s+", "").startswith("[")
-        rows = (raw.select(F.col("_metadata.file_path").alias("_file"), F.when(is_list, arr).alias("a"))
-                   .where(F.col("a").isNotNull())
-                   .select("_file", F.posexplode("a").alias("pos", "n"))
-                   .select(F.lit(None).cast("long").alias("seq"), "_file", F.lit(0).cast("long").alias("_start"),
-                           F.col("pos").cast("long").alias("_at"), "n.*"))
+        found = sound_entries(json_entries(spark, path, (PLACES,)))
+        rows = found.select(F.lit(None).cast("long").alias("seq"), F.col("file").alias("_file"), F.lit(0).cast("long").alias("_start"),
+                            F.col("place").alias("_at"), F.from_json("entry", NOTE_SCHEMA).alias("n"))
+        rows = rows.select("seq", "_file", "_start", "_at", "n.*")
     rows = (rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
                 .withColumn("scrape_date", F.col("scrape_date").try_cast("timestamp_ntz")))
     return dedupe_notifications(numbered(rows).select("seq", "type", "timestamp", "scrape_date", "item"))

@@ -20,10 +20,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.merge import merge_items
 from ..session import file_names, read_text, write_text
+from .json_stream import ANY, PLACES, all_entries, json_entries, sound_entries
 
 # Canonical item fields (all strings; '' or NULL means missing).
 ITEM_FIELDS = (
@@ -151,25 +152,18 @@ def read_snapshot_json(spark: SparkSession, path: str, topic: str, *, flat_secti
     """Items of JSON snapshot envelopes with ``seq`` = list position (order is meaning).
 
     A missing path gives an empty frame.  Corrupt files: the flat reader
-    (``flat_section`` set) skips them, the topic reader raises.  Each envelope
-    file is one JSON document and is parsed by one task; this is an import
-    path for the envelope format, the snapshot store itself is parquet.
+    (``flat_section`` set) skips them, the topic reader raises.  Items are read one by
+    one (``json_stream``), so an envelope may be larger than a task's memory.
     """
-    data_type = ArrayType(ITEM_SCHEMA) if flat_section else MapType(StringType(), ArrayType(ITEM_SCHEMA))
-    schema = StructType([StructField("data", data_type), StructField("timestamp", StringType())])
     out_schema = StructType([StructField("topic", StringType()), StructField("section", StringType()),
                              StructField("seq", LongType()), *ITEM_SCHEMA.fields])
-    # flat reader: corrupt files are dropped; topic reader: the job fails on one
-    mode = "DROPMALFORMED" if flat_section else "FAILFAST"
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
+        entries = json_entries(spark, path, ("data", PLACES) if flat_section else ("data", ANY, PLACES))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e).lower():
             return spark.createDataFrame([], out_schema)
         raise
-    if flat_section:
-        items = raw.select(F.lit(flat_section).alias("section"), F.posexplode("data").alias("seq", "it"))
-    else:
-        sections = raw.select(F.explode("data").alias("section", "lst"))
-        items = sections.select("section", F.posexplode("lst").alias("seq", "it"))
-    return items.select(F.lit(topic).alias("topic"), "section", F.col("seq").cast("long").alias("seq"), "it.*")
+    found = sound_entries(entries) if flat_section else all_entries(entries)
+    section = F.lit(flat_section) if flat_section else F.element_at("keys", -1)
+    items = found.select(section.alias("section"), F.col("place").alias("seq"), F.from_json("entry", ITEM_SCHEMA).alias("it"))
+    return items.select(F.lit(topic).alias("topic"), "section", "seq", "it.*")
