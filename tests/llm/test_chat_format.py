@@ -49,7 +49,8 @@ def test_round_trip(spark, rows):
 def test_windows_of_one_conversation(spark):
     rows = [(1, 0, "system", "be kind")] + [(1, n, "assistant" if n % 2 == 0 else "user", f"w{n} " * 10) for n in range(1, 40)]
     windows = C.format_windows(frame(spark, rows), budget=60, history_turns=2, history_tokens=40).orderBy("window").collect()
-    assert len(windows) == 10 and all(w["text"].startswith(f"{C.START}system\nbe kind{C.END}\n") for w in windows)
+    # 7 tokens of the system turn and 15 of each other turn: three new turns fit, or two repeated ones and a new one
+    assert len(windows) == 1 + 36 and all(w["text"].startswith(f"{C.START}system\nbe kind{C.END}\n") for w in windows)
     learnt = []
     for w in windows:
         roles = [w["text"][t["at"]:t["at"] + t["chars"]].split("\n")[0][len(C.START):] for t in w["turns"]]
@@ -60,6 +61,43 @@ def test_windows_of_one_conversation(spark):
     assert learnt == [x for _, _, r, x in rows if r == "assistant"]
 
 
+def laid(turns, budget, history_turns, history_tokens, block):
+    """Windows of one conversation turn by turn: places of repeated and of new turns."""
+    out, at = [], 0
+    system = turns[0][0] == "system"
+    while at < len(turns):
+        fixed = [0] if system and at else []
+        room = max(0, min(history_tokens, budget - turns[at][1] - sum(turns[i][1] for i in fixed)))
+        old = []
+        while len(old) < history_turns and at - len(old) - 1 >= system and sum(turns[i][1] for i in old) + turns[at - len(old) - 1][1] <= room:
+            old.insert(0, at - len(old) - 1)
+        new = [at]
+        while (at := at + 1) < len(turns) and at % block and sum(turns[i][1] for i in fixed + old + new) + turns[at][1] <= budget:
+            new.append(at)
+        out.append((fixed + old, new))
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.booleans(), st.integers(0, 3), st.sampled_from([4, 16, 256]))
+def test_windows_fit_the_budget(spark, words, system, history, block):
+    roles = ["system" if system and not n else "assistant" if n % 2 else "user" for n in range(len(words))]
+    rows = [(1, n, role, "w " * size) for n, (role, size) in enumerate(zip(roles, words))]
+    turns = [(role, size + C.TEMPLATE_TOKENS) for role, size in zip(roles, words)]
+    old, C.BLOCK = C.BLOCK, block
+    try:
+        windows = C.format_windows(frame(spark, rows), budget=50, history_turns=history, history_tokens=30).orderBy("window").collect()
+    finally:
+        C.BLOCK = old
+    plan = laid(turns, 50, history, 30, block)
+    assert [w["window"] for w in windows] == [new[0] + 1 for _, new in plan]
+    for w, (again, new) in zip(windows, plan):
+        texts = [w["text"][t["at"]:t["at"] + t["chars"]] for t in w["turns"]]
+        assert [t["repeated"] for t in w["turns"]] == [True] * len(again) + [False] * len(new)
+        assert texts == [f"{C.START}{roles[i]}\n{'w ' * words[i]}{C.END}\n" for i in again + new]
+        assert sum(turns[i][1] for i in again + new) <= 50 or len(new) == 1 and again == [0] * (system and new[0] > 0)
+
+
 def test_turns_far_apart_and_repeated(spark):
     rows = [(5, t, "assistant", "same") for t in (0, 0, 300, 300, 10**12, None)] + [(None, 1, "user", "x"), (6, 1, "user", INJECTED)]
     windows = C.format_windows(frame(spark, rows))

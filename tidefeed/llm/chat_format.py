@@ -2,8 +2,8 @@
 
 Prefix sums of turn tokens deal a conversation's turns into spans at turn
 boundaries.  A window is the conversation's system turn, a limited history of
-the turns before its span, and the span; only the span's assistant texts are
-under the loss mask, so repeated targets are never learnt twice.  Control strings
+the turns before its span, and the span, all within the budget; only the span's
+assistant texts are under the loss mask, so repeated targets are never learnt twice.  Control strings
 inside roles and texts are escaped reversibly.  Everything is DataFrame functions.
 """
 
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of new turns per window, and turns and tokens of repeated history.
+#: Tokens per window, and most turns and tokens of repeated history.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 512, 2, 256
 #: Tokens that the template adds to a turn.
 TEMPLATE_TOKENS = 5
-#: Turns per block of the two-level prefix sums.
+#: Turn numbers per block of the two-level prefix sums, and turns after which a span ends in any case.
 BLOCK = 256
 
 
@@ -76,33 +76,85 @@ def indexed_turns(conversations: DataFrame) -> DataFrame:
                        (F.col("ahead") + F.col("t0")).alias("before"))
 
 
+def dealt_turns(turns: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
+    """Turns with ``window``, the place of the turn their span starts with, and ``room``, the tokens of history it may repeat.
+
+    What a window repeats depends on its first turn only, so a span that starts there
+    holds the turns whose prefix sums end within the budget less that.  Spans are laid
+    one after another inside blocks of :data:`BLOCK` turns (and end with them), so a
+    long conversation is dealt over its blocks.
+    """
+    def whole(number: int | Column) -> Column:
+        return (F.lit(number) if isinstance(number, int) else number).cast("long")
+
+    system = turns.where((F.col("idx") == 1) & (F.col("role") == "system")).select(
+        F.col("conv_id").alias("sc"), whole(F.col("tokens")).alias("system"))
+    block = F.floor((F.col("idx") - 1) / BLOCK)
+    held = turns.select("conv_id", "idx", whole(F.col("tokens")).alias("tokens"), "before", F.explode(F.sequence(
+        block, F.floor((F.col("idx") - 1 + history_turns) / BLOCK))).alias("block"))  # also as history of the next block
+    blocks = held.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens", "before"))).alias("all"))
+    joined = blocks.join(system, F.col("conv_id").eqNullSafe(F.col("sc")), "left")
+
+    def fixed(turn: Column) -> Column:
+        return F.when(turn["idx"] > 1, F.coalesce("system", whole(0))).otherwise(whole(0))
+
+    def room(turn: Column) -> Column:
+        return F.greatest(whole(0), F.least(whole(history_tokens), whole(budget) - turn["tokens"] - fixed(turn)))
+
+    def repeated(turn: Column, at: Column) -> Column:
+        lowest = F.when(F.col("system").isNull(), 1).otherwise(2)
+        cost = [whole(0)]
+        for back in range(1, history_turns + 1):
+            old = F.get(F.col("all"), at - back)
+            took = turn["before"] - old["before"]
+            cost.append(F.when((old["idx"] >= lowest) & (took <= room(turn)), took))
+        return fixed(turn) + (F.greatest(*cost) if history_turns else cost[0])
+
+    priced = F.filter(F.transform("all", lambda turn, at: F.struct(
+        turn["idx"].alias("idx"), (turn["before"] + turn["tokens"]).alias("upto"), room(turn).alias("room"),
+        (turn["before"] + budget - repeated(turn, at)).alias("limit"))), lambda t: t["idx"] > F.col("block") * BLOCK)
+
+    def lay(spans: Column, turn: Column) -> Column:
+        fresh = (spans["window"] == 0) | (turn["upto"] > spans["limit"])
+        window = F.when(fresh, turn["idx"]).otherwise(spans["window"])
+        return F.struct(window.alias("window"), F.when(fresh, turn["limit"]).otherwise(spans["limit"]).alias("limit"),
+                        F.concat(spans["turns"], F.array(F.struct(
+                            turn["idx"].alias("idx"), window.alias("window"), turn["room"].alias("room")))).alias("turns"))
+
+    none = F.struct(whole(0).alias("window"), whole(0).alias("limit"),
+                    F.array().cast("array<struct<idx:bigint,window:bigint,room:bigint>>").alias("turns"))
+    laid = joined.select(F.col("conv_id").alias("lc"), F.explode(F.aggregate(priced, none, lay, lambda spans: spans["turns"])).alias("t")).select(
+        "lc", F.col("t.idx").alias("li"), "t.window", "t.room")
+    return turns.join(laid, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("idx") == F.col("li"))).drop("lc", "li")
+
+
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
                    history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """``conv_id, window, text, turns, loss``: the formatted windows of every conversation.
 
-    A turn belongs to the span numbered by the tokens before it divided by
-    ``budget``, so spans are cut at turns and only a turn longer than what is left
-    exceeds the budget.  A window repeats the first turn if it is a system turn, and
-    the last ``history_turns`` turns before its span that fit ``history_tokens``
-    together.  ``turns`` has ``at, chars, repeated`` for each turn in the window's
-    text, ``loss`` has ``at, chars`` of the assistant texts under the loss mask, all
-    in code points.
+    ``window`` is the place of its first new turn.  A window repeats the first turn
+    if it is a system turn, and of the ``history_turns`` turns before its span the
+    last that fit ``history_tokens`` and the budget together.  Repeated and new turns
+    stay within ``budget`` tokens, unless the system turn and one new turn alone do
+    not; then the window holds just these.  ``turns`` has ``at, chars, repeated`` for
+    each turn in the window's text, ``loss`` has ``at, chars`` of the assistant texts
+    under the loss mask, all in code points.
 
     Null roles and texts are empty; turns are ordered by number (nulls first), role
     and text, and repeated rows are turns of their own; null conversation ids form
     one conversation; an empty table has no windows; other columns are ignored.
     """
-    turns = indexed_turns(conversations).withColumn("window", F.floor(F.col("before") / budget))
-    starts = turns.groupBy("conv_id", "window").agg(F.min("idx").alias("start"), F.min("before").alias("upto"))
+    turns = dealt_turns(indexed_turns(conversations), budget, history_turns, history_tokens)
+    starts = turns.where("idx = window").select("conv_id", "window", F.col("idx").alias("start"), F.col("before").alias("upto"), "room")
     wanted = starts.select(
-        F.col("conv_id").alias("c"), F.col("window").alias("w"), "upto", "start",
+        F.col("conv_id").alias("c"), F.col("window").alias("w"), "upto", "start", F.col("room").alias("left"),
         F.explode(F.array_distinct(F.filter(
             F.concat(F.array(F.lit(1).cast("long")), F.transform(
                 F.sequence(F.lit(1), F.lit(max(history_turns, 1))), lambda back: F.col("start") - back)),
             lambda i: (i >= 1) & (i < F.col("start"))))).alias("i"))
-    repeats = turns.drop("window").join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("i")))
+    repeats = turns.drop("window", "room").join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("i")))
     kept = ((F.col("idx") == 1) & (F.col("role") == "system")) | (
-        (F.col("start") - F.col("idx") <= history_turns) & (F.col("upto") - F.col("before") <= history_tokens))
+        (F.col("start") - F.col("idx") <= history_turns) & (F.col("upto") - F.col("before") <= F.col("left")))
     old = repeats.where(kept).select("conv_id", F.col("w").alias("window"), "idx", "role", "text", F.lit(True).alias("repeated"))
     new = turns.select("conv_id", "window", "idx", "role", "text", F.lit(False).alias("repeated"))
     parts = old.unionByName(new).select(
