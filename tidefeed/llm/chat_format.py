@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens per window, and most turns and tokens of repeated history.
@@ -77,7 +79,7 @@ def indexed_turns(conversations: DataFrame) -> DataFrame:
 
 
 def dealt_turns(turns: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
-    """Turns with ``window``, the place of the turn their span starts with, and ``room``, the tokens of history it may repeat.
+    """``conv_id, idx, before, window, room``: the place of the turn each turn's span starts with, and the tokens of history it may repeat.
 
     What a window repeats depends on its first turn only, so a span that starts there
     holds the turns whose prefix sums end within the budget less that.  Spans are laid
@@ -111,7 +113,7 @@ def dealt_turns(turns: DataFrame, budget: int, history_turns: int, history_token
         return fixed(turn) + (F.greatest(*cost) if history_turns else cost[0])
 
     priced = F.filter(F.transform("all", lambda turn, at: F.struct(
-        turn["idx"].alias("idx"), (turn["before"] + turn["tokens"]).alias("upto"), room(turn).alias("room"),
+        turn["idx"].alias("idx"), turn["before"].alias("before"), (turn["before"] + turn["tokens"]).alias("upto"), room(turn).alias("room"),
         (turn["before"] + budget - repeated(turn, at)).alias("limit"))), lambda t: t["idx"] > F.col("block") * BLOCK)
 
     def lay(spans: Column, turn: Column) -> Column:
@@ -119,13 +121,11 @@ def dealt_turns(turns: DataFrame, budget: int, history_turns: int, history_token
         window = F.when(fresh, turn["idx"]).otherwise(spans["window"])
         return F.struct(window.alias("window"), F.when(fresh, turn["limit"]).otherwise(spans["limit"]).alias("limit"),
                         F.concat(spans["turns"], F.array(F.struct(
-                            turn["idx"].alias("idx"), window.alias("window"), turn["room"].alias("room")))).alias("turns"))
+                            turn["idx"].alias("idx"), turn["before"].alias("before"), window.alias("window"), turn["room"].alias("room")))).alias("turns"))
 
     none = F.struct(whole(0).alias("window"), whole(0).alias("limit"),
-                    F.array().cast("array<struct<idx:bigint,window:bigint,room:bigint>>").alias("turns"))
-    laid = joined.select(F.col("conv_id").alias("lc"), F.explode(F.aggregate(priced, none, lay, lambda spans: spans["turns"])).alias("t")).select(
-        "lc", F.col("t.idx").alias("li"), "t.window", "t.room")
-    return turns.join(laid, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("idx") == F.col("li"))).drop("lc", "li")
+                    F.array().cast("array<struct<idx:bigint,before:bigint,window:bigint,room:bigint>>").alias("turns"))
+    return joined.select("conv_id", F.explode(F.aggregate(priced, none, lay, lambda spans: spans["turns"])).alias("t")).select("conv_id", "t.*")
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
@@ -144,19 +144,22 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history_turns
     and text, and repeated rows are turns of their own; null conversation ids form
     one conversation; an empty table has no windows; other columns are ignored.
     """
-    turns = dealt_turns(indexed_turns(conversations), budget, history_turns, history_tokens)
-    starts = turns.where("idx = window").select("conv_id", "window", F.col("idx").alias("start"), F.col("before").alias("upto"), "room")
+    turns = saved(indexed_turns(conversations), "turns")
+    laid = saved(dealt_turns(turns, budget, history_turns, history_tokens), "spans")
+    starts = laid.where("idx = window").select("conv_id", "window", F.col("idx").alias("start"), F.col("before").alias("upto"), "room")
     wanted = starts.select(
         F.col("conv_id").alias("c"), F.col("window").alias("w"), "upto", "start", F.col("room").alias("left"),
         F.explode(F.array_distinct(F.filter(
             F.concat(F.array(F.lit(1).cast("long")), F.transform(
                 F.sequence(F.lit(1), F.lit(max(history_turns, 1))), lambda back: F.col("start") - back)),
             lambda i: (i >= 1) & (i < F.col("start"))))).alias("i"))
-    repeats = turns.drop("window", "room").join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("i")))
+    repeats = turns.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("i")))
     kept = ((F.col("idx") == 1) & (F.col("role") == "system")) | (
         (F.col("start") - F.col("idx") <= history_turns) & (F.col("upto") - F.col("before") <= F.col("left")))
     old = repeats.where(kept).select("conv_id", F.col("w").alias("window"), "idx", "role", "text", F.lit(True).alias("repeated"))
-    new = turns.select("conv_id", "window", "idx", "role", "text", F.lit(False).alias("repeated"))
+    windows = laid.select(F.col("conv_id").alias("c"), F.col("idx").alias("i"), "window")
+    new = turns.join(windows, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("i"))).select(
+        "conv_id", "window", "idx", "role", "text", F.lit(False).alias("repeated"))
     parts = old.unionByName(new).select(
         "conv_id", "window", "idx", "repeated", formatted_turn(F.col("role"), F.col("text")).alias("part"),
         F.when((F.col("role") == "assistant") & ~F.col("repeated"), F.length(escape(F.col("text")))).alias("target"))
