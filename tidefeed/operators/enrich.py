@@ -16,6 +16,7 @@ from ..functions.html import meta_content, page_text
 from ..functions.links import normalize_link, sanitize_link
 from ..functions.quality import is_uninformative, mid_phrase_start
 from ..functions.text import blank, first_nonempty
+from .common import bind
 from .dedupe import first_per_key
 from .filters import is_draft_open
 
@@ -79,7 +80,8 @@ def cache_lookup(items: DataFrame, cache: DataFrame, *, as_of, ttl_hours: int =
     # one entry per (key, topic): the newest write, as a keyed store keeps it
     latest = first_per_key(cache.select(F.col("key").alias(key_col), "topic", "ts", "summary"),
                            [key_col, "topic"], [-ntz_micros(F.col("ts"))])
-    usable = ((F.col("ts") >= as_of_col - F.make_dt_interval(hours=F.lit(ttl_hours)))
-              & ~((blank("summary") != "") & (is_uninformative("summary", "summary") | mid_phrase_start("summary"))))
-    hit = latest.where(usable).select(key_col, "topic", F.col("summary").alias("cached_summary"))
-    return items.join(hit, [key_col, "topic"], "left")
+    fresh = latest.where(F.col("ts") >= as_of_col - F.make_dt_interval(hours=F.lit(ttl_hours)))
+    joined = items.join(fresh.select(key_col, "topic", F.col("summary").alias("_cached")), [key_col, "topic"], "left")
+    # the gates read whole texts: only entries that an item asks for are judged, each item's once
+    refused = (blank("_cached") != "") & (is_uninformative("_cached", "summary") | mid_phrase_start("_cached"))
+    return bind(joined, "cached_summary", F.when(F.col("_cached").isNotNull() & ~refused, F.col("_cached"))).drop("_cached")

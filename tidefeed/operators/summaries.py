@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.links import normalize_link
-from ..functions.quality import (first_sentences, is_uninformative, mid_phrase_start, split_sentences,
+from ..functions.quality import (first_sentences, is_uninformative, mid_phrase_start, sentence_head, split_sentences,
                                  strip_contact_info, third_person)
 from ..functions.text import blank, cache_key, clean_text, first_nonempty, let, pystrip
 from .dedupe import first_per_key
@@ -24,7 +24,8 @@ from .filters import is_presentation
 
 
 def _two(c: Column) -> Column:
-    return first_sentences(third_person(c, "summary"), 2)
+    """The first two sentences in the third person; no rewrite reaches over or touches a terminator, so only they are rewritten."""
+    return first_sentences(third_person(sentence_head(c, 2), "summary"), 2)
 
 
 def summary_cascade(items: DataFrame, *, pages_summary: DataFrame | None = None,
