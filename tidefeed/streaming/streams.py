@@ -74,6 +74,16 @@ def stream_first_seen(sdf: DataFrame, path: str, checkpoint: str, *, buckets: in
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _merged(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Stored and new rows merged; a stored row whose identity the batch lacks is passed on as it is."""
+    if stored is None:
+        return with_nid(dedupe_notifications(new.drop(NID)))
+    named = new.select(F.col(NID).alias("_named")).distinct()
+    met = stored[NID].eqNullSafe(named["_named"])
+    rows = stored.join(named, met, "left_semi").drop(NID).unionByName(new.drop(NID))
+    return with_nid(dedupe_notifications(rows)).unionByName(stored.join(named, met, "left_anti"))
+
+
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = BUCKETS, stream: str | None = None) -> None:
     """One micro-batch: merge the batch into the buckets it touches and commit them as a new version.
 
@@ -88,9 +98,7 @@ def upsert_batch(batch: DataFrame, batch_id: int, path: str, *, buckets: int = B
     new, copy = _staged(with_nid(batch.select("seq", "type", "timestamp", "scrape_date", "item")))
     touched = store.touched(new)
     if touched:
-        stored = store.read(touched)
-        rows = new.drop(NID) if stored is None else stored.drop(NID).unionByName(new.drop(NID))
-        store.commit(with_nid(dedupe_notifications(rows)), touched, stream=stream, batch_id=batch_id)
+        store.commit(_merged(store.read(touched), new), touched, stream=stream, batch_id=batch_id)
         store.vacuum()
     remove_path(batch.sparkSession, copy)
 
