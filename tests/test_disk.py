@@ -6,6 +6,7 @@ import tempfile
 
 import pytest
 
+from tidefeed.plans.catalog import q_write_summary_cache
 from tidefeed.plans.catalog_stores import q_extraction_table
 from tidefeed.session import ensure_checkpoint_dir, shuffles_removed
 
@@ -16,7 +17,7 @@ def _size(path):
 
 def _shuffle_files(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle_")}
+    return {files.apply(n).getName(): files.apply(n).length() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle_")}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def test_shuffle_files_go_with_their_query(spark):
     before = _shuffle_files(spark)
     with shuffles_removed(spark):
         spark.range(1000).repartition(3).write.parquet(tempfile.mkdtemp(prefix="tf-disk-") + "/t")
-    assert not _shuffle_files(spark) - before
+    assert not _shuffle_files(spark).keys() - before
 
 
 def test_extraction_table_keeps_less_than_three_times_its_documents(spark, documents):
@@ -41,5 +42,11 @@ def test_extraction_table_keeps_less_than_three_times_its_documents(spark, docum
     kept, files = _size(ensure_checkpoint_dir(spark)[len("file:"):]), _shuffle_files(spark)
     found = q_extraction_table(spark, folder)
     assert _size(ensure_checkpoint_dir(spark)[len("file:"):]) - kept < 3 * size
-    assert not _shuffle_files(spark) - files
+    assert not _shuffle_files(spark).keys() - files
     assert found.count() == 800  # two listed parts of two documents in three
+
+
+def test_write_summary_cache_leaves_no_shuffle_files(spark, documents):
+    files = _shuffle_files(spark)
+    q_write_summary_cache(spark, documents[0])
+    assert not _shuffle_files(spark).keys() - files

@@ -223,3 +223,25 @@ def test_lines_keep_their_order_over_hundreds_of_splits(spark):
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
     assert got == [(k, f"t{k:05d}") for k in range(900)]
+
+
+def test_cache_writes_equal_upserts_of_the_whole_cache(spark):
+    """Null and repeated keys, entries of one time, entries that change nothing."""
+    import random
+    from tidefeed.sources.cache_io import CACHE_COLUMNS, cache_store, put_cache
+    made = random.Random(11)
+    store = cache_store(spark, tempfile.mkdtemp(prefix="tf-store-") + "/c", buckets=4)
+    held = _cache(spark, [])
+    for size in (60, 40, 3, 80):
+        rows = [(made.choice(["ai", "qis", None]), made.choice([None, *"abcdefghijkl"]), made.choice(["item", "km", None]), made.choice(
+            [None, "2024-01-01 00:00:00", "2024-01-02 00:00:00"]), made.choice(["", None, "One.", "Two.", "x" * 50 + "a", "x" * 50 + "b"])) for _ in range(size)]
+        new = _cache(spark, rows)
+        held = _cache(spark, [tuple(r) for r in upsert_cache(held, new).selectExpr("topic", "key", "kind", "cast(ts as string)", "summary").collect()])
+        put_cache(store, new)
+        version = store.manifest().version
+        assert sorted(map(str, store.read().select(*CACHE_COLUMNS).collect())) == sorted(map(str, held.collect()))
+        assert not put_cache(store, new) and store.manifest().version == version
+
+
+def _cache(spark, rows):
+    return spark.createDataFrame(rows, "topic string, key string, kind string, ts string, summary string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -108,7 +108,7 @@ class BucketStore:
         version = last.version + 1
         target = f"{self.path}/data/{version:012d}"
         # a bucket larger than a task's share is dealt over several; files of an earlier attempt at this version are replaced
-        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target, compression="zstd")
         written = {int(n.split("=")[1]) for n in file_names(self.spark, target) if n.startswith("bucket=")}
         if not written <= set(touched):
             raise ValueError(f"rows outside of the buckets named: {sorted(written - set(touched))}")
